@@ -33,7 +33,7 @@ class PieceTable:
         self.end, self.marker = self.sp.eos_id(), self.sp.piece_to_id("▁")
         self.starts, self.shown = {i for i, p in enumerate(pieces) if p[:1] == "▁"}, [str(i) for i in range(len(pieces))]
         self.chunk = re.compile(r" +[^ \n]*|\n+[^ \n]*")
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
         self.text: dict[str, str] = {}
 
     def learn(self, new: list[str]) -> None:
@@ -47,7 +47,7 @@ class PieceTable:
             ids = self.sp.encode("".join(part)[1:], num_threads=1)
             shown, cut = list(map(self.shown.__getitem__, ids)), [k for k, x in enumerate(ids) if x in self.starts]
             for c, a, b in zip(part, cut, cut[1:] + [len(ids)]):
-                self.ids[c], self.text[c] = ids[a:b], " ".join(shown[a:b])
+                self.ids[c], self.text[c] = tuple(ids[a:b]), " ".join(shown[a:b])
         # the library puts one marker in front: it stands for a chunk's first space
         for c in rest:
             if c == " ":
@@ -55,7 +55,7 @@ class PieceTable:
             else:
                 ids = self.sp.encode(c[1:] if c[0] == " " else c)
                 ids = ids[1:] if c[0] == "\n" else ids
-            self.ids[c], self.text[c] = ids, " ".join(map(str, ids))
+            self.ids[c], self.text[c] = tuple(ids), " ".join(map(str, ids))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         parts = [self.chunk.findall((" " + t).replace("▁", " ")) if t else [] for t in texts]

@@ -7,25 +7,84 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from offerloom.llm.common import table
+from offerloom.llm.chunk_dedup import exact_dedup
+from offerloom.llm.common import LOWER, UPPER, table
+from offerloom.llm.html_text import extract_main_text
+from offerloom.llm.personal_data import personal_data
 from offerloom.llm.piece_codec import encode_decode
+from offerloom.llm.source_mix import mix_sources
 from offerloom.llm.token_count import token_counts
 
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3, seed=42).select("doc_id", "size", "source_size", "target", "taken")
+
 
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).drop("all_spans")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_text": op2_html_text,
+        "op3_chunk_dedup": op3_chunk_dedup,
+        "op5_source_mix": op5_source_mix,
         "op6_piece_codec": op6_piece_codec,
+        "op7_personal_data": op7_personal_data,
         "op10_token_counts": op10_token_counts,
     }
 
 
+OP3_SQL = f"""
+with t as (select doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') as t from documents),
+g as (select t, max(doc_id) as keep_id, count(*) as group_size from t group by t)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(g.t) as text_sha256
+from t join g on t.t = g.t
+"""
+
+OP5_SQL = f"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as bigint) as size,
+         md5('42:' || coalesce(cast(doc_id as varchar), ''))[1:16] as u
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as k from d group by source),
+w as (select source, source_size, source_size * 3.0::double as cap, case k % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from s),
+o as (
+  select *, coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as held,
+         sum(w) over (order by cap / w, source nulls last rows between current row and unbounded following) as open_w,
+         sum(source_size) over () as total
+  from w),
+l as (select coalesce(min_by((total - held) / open_w, cap / w) filter (where cap / w >= (total - held) / open_w), 0) as level from o),
+t as (
+  select source, source_size, case when cap < w * level then cap else w * level end as target from w, l),
+r as (
+  select *, cast(case when source_size > 0 then floor(target / source_size) else 0 end as bigint) as repeats from t),
+x as (select *, cast(floor(target - repeats * source_size + 0.5) as bigint) as extra from r),
+c as (
+  select d.*, coalesce(sum(size) over (partition by source order by u, doc_id, size rows between unbounded preceding and 1 preceding), 0) as ahead from d)
+select c.doc_id, c.size, x.source_size, x.target,
+       cast(c.size * x.repeats + greatest(0, least(c.size, x.extra - c.ahead)) as bigint) as taken
+from c join x on c.source is not distinct from x.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chunk_dedup": OP3_SQL, "op5_source_mix": OP5_SQL}
