@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from offerloom.llm.chunk_dedup import exact_dedup
 from offerloom.llm.common import LOWER, UPPER, table
+from offerloom.llm.grid_join import near_vectors
 from offerloom.llm.html_text import extract_main_text
 from offerloom.llm.personal_data import personal_data
 from offerloom.llm.piece_codec import encode_decode
@@ -38,6 +39,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents")).drop("all_spans")
 
 
+def op8_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_source_mix": op5_source_mix,
         "op6_piece_codec": op6_piece_codec,
         "op7_personal_data": op7_personal_data,
+        "op8_grid_join": op8_grid_join,
         "op10_token_counts": op10_token_counts,
     }
 
@@ -86,5 +92,22 @@ from c join x on c.source is not distinct from x.source
 """
 
 
+OP8_SQL = """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda e: cast(e as double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0
+    and len(list_filter(embedding, lambda e: e <> 0)) > 0),
+n as (select vec_id, x, sqrt(list_dot_product(x, x)) as norm from v),
+e as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+      where list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) as low from r group by a),
+d as (select a, count(*) as n from e group by a)
+select vec_id, coalesce(d.n, 0) as n_links, least(vec_id, coalesce(c.low, vec_id)) as component_id,
+       vec_id = least(vec_id, coalesce(c.low, vec_id)) as kept
+from embeddings left join c on c.a = vec_id left join d on d.a = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chunk_dedup": OP3_SQL, "op5_source_mix": OP5_SQL}
+    return {"op3_chunk_dedup": OP3_SQL, "op5_source_mix": OP5_SQL, "op8_grid_join": OP8_SQL}
