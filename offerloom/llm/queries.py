@@ -12,8 +12,10 @@ from offerloom.llm.common import LOWER, UPPER, table
 from offerloom.llm.grid_join import near_vectors
 from offerloom.llm.html_text import extract_main_text
 from offerloom.llm.personal_data import personal_data
+from offerloom.llm.phrase_dedup import repeated_passages
 from offerloom.llm.piece_codec import encode_decode
 from offerloom.llm.source_mix import mix_sources
+from offerloom.llm.token_combo_join import jaccard_components
 from offerloom.llm.token_count import token_counts
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -27,6 +29,10 @@ def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op4_token_combo_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3, seed=42).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,6 +49,10 @@ def op8_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), window=20)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -51,10 +61,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_html_text": op2_html_text,
         "op3_chunk_dedup": op3_chunk_dedup,
+        "op4_token_combo_join": op4_token_combo_join,
         "op5_source_mix": op5_source_mix,
         "op6_piece_codec": op6_piece_codec,
         "op7_personal_data": op7_personal_data,
         "op8_grid_join": op8_grid_join,
+        "op9_phrase_dedup": op9_phrase_dedup,
         "op10_token_counts": op10_token_counts,
     }
 
@@ -66,6 +78,32 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 from t join g on t.t = g.t
 """
 
+OP4_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORDS}') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as g from w, unnest(range(1, greatest(len(w) - 3, 1))) as t(i) where len(w) >= 5
+  union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 4),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) as low from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id
+"""
+
+OP9_SQL = f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') as w from documents),
+v as (select doc_id, i, array_to_string(w[i : i + 19], ' ') as g from w, unnest(range(1, greatest(len(w) - 18, 1))) as t(i) where len(w) >= 20),
+f as (select *, row_number() over (partition by g order by doc_id, i) as k from v),
+c as (select distinct doc_id, i + j as i from f, unnest(range(0, 20)) as t(j) where k > 1),
+x as (select w.doc_id, t.i, w.w[t.i] as word from w, unnest(range(1, len(w) + 1)) as t(i)),
+y as (select x.*, c.i is not null as gone from x left join c on c.doc_id = x.doc_id and c.i = x.i),
+z as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by i) filter (where not gone) as kept from y group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join z on z.doc_id = d.doc_id
+"""
+
 OP5_SQL = f"""
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as bigint) as size,
@@ -110,4 +148,4 @@ from embeddings left join c on c.a = vec_id left join d on d.a = vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chunk_dedup": OP3_SQL, "op5_source_mix": OP5_SQL, "op8_grid_join": OP8_SQL}
+    return {"op3_chunk_dedup": OP3_SQL, "op4_token_combo_join": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_grid_join": OP8_SQL, "op9_phrase_dedup": OP9_SQL}
