@@ -11,6 +11,7 @@ from offerloom.llm.chunk_dedup import exact_dedup
 from offerloom.llm.common import LOWER, UPPER, table
 from offerloom.llm.grid_join import near_vectors
 from offerloom.llm.html_text import extract_main_text
+from offerloom.llm.ngram_quality import quality
 from offerloom.llm.personal_data import personal_data
 from offerloom.llm.phrase_dedup import repeated_passages
 from offerloom.llm.piece_codec import encode_decode
@@ -21,6 +22,10 @@ from offerloom.llm.token_count import token_counts
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -57,8 +62,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
+        "op1_ngram_quality": op1_ngram_quality,
         "op2_html_text": op2_html_text,
         "op3_chunk_dedup": op3_chunk_dedup,
         "op4_token_combo_join": op4_token_combo_join,
