@@ -20,25 +20,36 @@ from offerloom.llm.source_mix import mix_sources, take
 from offerloom.llm.token_combo_join import jaccard_components
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in ids; a null id meets a null id."""
-    keep = ids.select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+#: Rejected ids are broadcast up to this many; beyond, the anti join is shuffled.
+MOST_BROADCAST = 2_000_000
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows of docs whose id is not in rejected; a null id meets a null id."""
+    gone = written(rejected.select(F.col("doc_id").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of trusted text does not reject."""
-    return _only(docs, quality(docs, table(spark, sf_dir, "labels")).where("keep"))
+    return _without(docs, quality(docs, table(spark, sf_dir, "labels")).where("not keep"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest id."""
-    return _only(docs, exact_dedup(docs).where("kept")).dropDuplicates(["doc_id", "text"])
+    kept = _without(docs, exact_dedup(docs).where("not kept"))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    # rows that repeat both id and text are one document
+    again = docs.join(repeated.withColumnRenamed("doc_id", "_again"), docs["doc_id"].eqNullSafe(F.col("_again")), "left_semi")
+    return _without(kept, repeated).unionByName(_without(again, exact_dedup(docs).where("not kept")).dropDuplicates(["doc_id", "text"]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links join, the one with the smallest id."""
-    return _only(docs, jaccard_components(docs).where("doc_id <=> component_id or component_id is null"))
+    return _without(docs, jaccard_components(docs).where("doc_id <> component_id"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
