@@ -32,6 +32,8 @@ def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends at replicated files."""
     path = f"{scratch_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # the shuffle files of finished jobs go once their plans are collected; ask for that now
+    df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from offerloom.llm import common
 
 GRAM = 6
-#: Occurrences of one anchor that one salt holds on average, and snippets of one automaton.
-PER_SALT, PER_AUTOMATON = 2000, 20000
+#: Windows of one anchor that one salt holds on average, and those of one automaton.
+PER_SALT, PER_AUTOMATON = 16000, 160000
 
 
 def lowest_in(a: np.ndarray, width: int) -> np.ndarray:
@@ -30,24 +30,29 @@ def lowest_in(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, window: int):
-    """(row, anchor, first window, number of windows): each window of `window` words falls to the
-    lowest hash among the GRAM-word runs in it, so equal windows always fall to equal anchors."""
+    """(row, anchor, first window, windows, anchor places) of the runs of a piece's rows.
+
+    Each window of `window` words falls to the lowest hash among the GRAM-word runs in it, so
+    equal windows always fall to equal anchors. A run is windows in a row with one anchor; where
+    words repeat, it holds several places of it.
+    """
     row, _, _, code = common.words(data, offsets, False)
     none = np.zeros(0, np.int64)
     if len(code) < window:
-        return none, none, none, none
+        return none, none, none, none, none
     gram = common.shingles(code, GRAM)
-    at = lowest_in(gram, window - GRAM + 1)
     n = len(code) - window + 1
-    at, ok = at[:n], row[:n] == row[window - 1 :]
+    at, ok = lowest_in(gram, window - GRAM + 1)[:n], row[:n] == row[window - 1 :]
     place = np.flatnonzero(ok)
     if not len(place):
-        return none, none, none, none
-    new = np.r_[True, (at[place][1:] != at[place][:-1]) | (row[place][1:] != row[place][:-1])]
+        return none, none, none, none, none
+    at, own = at[place], row[place]
+    other = own[1:] != own[:-1]
+    moved = np.r_[True, (at[1:] != at[:-1]) | other]
+    new = np.flatnonzero(np.r_[True, (gram[at[1:]] != gram[at[:-1]]) | other])
     first = place[new]
-    size = np.diff(np.r_[np.flatnonzero(new), len(place)])
     start = np.searchsorted(row, row[first], "left")
-    return row[first], gram[at[first]].view(np.int64), first - start, size
+    return row[first], gram[at[new]].view(np.int64), first - start, np.diff(np.r_[new, len(place)]), np.add.reduceat(moved.astype(np.int64), new)
 
 
 def _anchors(window: int):
@@ -56,16 +61,16 @@ def _anchors(window: int):
             data, offsets = common.utf8(batch.column(2))
             for a, b in common.pieces(offsets):
                 lo = offsets[a]
-                row, anchor, first, size = anchor_runs(data[lo : offsets[b]], offsets[a : b + 1] - lo, window)
+                row, anchor, first, size, places = anchor_runs(data[lo : offsets[b]], offsets[a : b + 1] - lo, window)
                 if len(row):
                     pick = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], ["anchor", "doc", "h", "first", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(places)], ["anchor", "doc", "h", "first", "n", "k"])
 
     return run
 
 
-def locate(anchors: list[int], docs: list[int], hs: list[int], firsts: list[int], hot: list[bool], texts: list[str], window: int):
-    """Windows of the snippets that start earlier elsewhere: rows (doc, h, start, windows, key).
+def locate(doc: np.ndarray, h: np.ndarray, first: np.ndarray, hot: np.ndarray, texts: pa.Array, window: int):
+    """Windows of the snippets that start earlier elsewhere: arrays (doc, h, start, windows, key).
 
     Counting confirms which windows recur; one Aho-Corasick automaton over them, on words coded
     as characters, locates every occurrence in the snippets. Windows of an anchor that has
@@ -73,51 +78,51 @@ def locate(anchors: list[int], docs: list[int], hs: list[int], firsts: list[int]
     """
     import ahocorasick
 
-    code: dict[str, int] = {}
-    flat, size = [], []
-    for t in texts:
-        w = t.split(" ")
-        size.append(len(w))
-        flat += [code.setdefault(x, len(code)) for x in w]
-    letters = np.array(flat, np.uint32) + 1
-    letters[letters >= 0xD800] += 0x800  # surrogates are no characters
-    text = letters.tobytes().decode("utf-32-le")
-    at = np.r_[0, np.cumsum(size)].tolist()
-    strings = [text[a:b] for a, b in zip(at, at[1:])]
-    count = Counter(s[j : j + window] for s in strings for j in range(len(s) - window + 1))
+    data, offsets = common.utf8(texts)
+    row, _, _, code = common.words(data, offsets, False)
+    _, letter = np.unique(code, return_inverse=True)
+    letter = letter.astype(np.uint32) + 1
+    letter[letter >= 0xD800] += 0x800  # surrogates are no characters
+    signs = np.zeros(len(code) + len(first), np.uint32)  # a zero ends each snippet
+    signs[np.arange(len(code)) + row] = letter
+    text = signs.tobytes().decode("utf-32-le")
+    begin = np.searchsorted(row, np.arange(len(first)), "left")
+    at = np.flatnonzero(row[: len(code) - window + 1] == row[window - 1 :])
+    hashes = common.shingles(code, window)[at]
+    _, one, number, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     automaton = ahocorasick.Automaton()
-    confirmed = [w for w, n in count.items() if n > 1]
-    for k, w in enumerate(confirmed):
-        automaton.add_word(w, k)
-    best: list[tuple | None] = [None] * len(confirmed)
-    places: list[tuple[int, int, int]] = []
-    if confirmed:
+    confirmed = np.flatnonzero(count > 1)
+    for k, p in zip(confirmed.tolist(), (at[one[confirmed]] + row[at[one[confirmed]]]).tolist()):
+        automaton.add_word(text[p : p + window], k)
+    found = np.zeros((0, 2), np.int64)
+    if len(confirmed):
         automaton.make_automaton()
-        for i, s in enumerate(strings):
-            d, h, f = docs[i], hs[i], firsts[i]
-            for end, k in automaton.iter(s):
-                here = (d, h, f + end - window + 1)
-                places.append((k, i, here[2]))
-                if best[k] is None or here < best[k]:
-                    best[k] = here
-    out = []
-    for k, i, start in places:
-        if (docs[i], hs[i], start) != best[k]:
-            if out and out[-1][0] == docs[i] and out[-1][1] == hs[i] and out[-1][2] + out[-1][3] == start:
-                out[-1][3] += 1
-            else:
-                out.append([docs[i], hs[i], start, 1, None])
-    if any(hot):
-        first: dict[str, tuple] = {}
-        for i, s in enumerate(strings):
-            if hot[i]:
-                words = texts[i].split(" ")
-                for j in range(len(s) - window + 1):
-                    here, w = (docs[i], hs[i], firsts[i] + j), s[j : j + window]
-                    if w not in first or here < first[w][0]:
-                        first[w] = (here, " ".join(words[j : j + window]))
-        for (d, h, start), w in first.values():
-            out.append([d, h, start, 1, hashlib.blake2b(w.encode(), digest_size=16).digest()])
+        found = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
+    which = found[:, 1]
+    place = found[:, 0] - window + 1
+    snippet = np.searchsorted(begin + np.arange(len(first)), place, "right") - 1
+    start = first[snippet] + place - begin[snippet] - snippet
+    d, hh = doc[snippet], h[snippet]
+    order = np.lexsort((start, hh, d, which))
+    which, d, hh, start = which[order], d[order], hh[order], start[order]
+    lead = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
+    best = np.repeat(lead, np.diff(np.r_[lead, len(which)]))
+    late = (d != d[best]) | (hh != hh[best]) | (start != start[best])
+    d, hh, start = d[late], hh[late], start[late]
+    order = np.lexsort((start, hh, d))
+    d, hh, start = d[order], hh[order], start[order]
+    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (hh[1:] != hh[:-1]) | (start[1:] - start[:-1] > 1)]) if len(d) else np.zeros(0, np.int64)
+    last = np.r_[new[1:], len(d)] - 1 if len(new) else new
+    out = [(d[new], hh[new], start[new], start[last] - start[new] + 1, [None] * len(new))]
+    if hot.any():
+        mine = hot[row[at]]
+        second = common.shingles(common.mix(code + np.uint64(11)), window)[at][mine]
+        w, r = number[mine], row[at][mine]
+        s = first[r] + at[mine] - begin[r]
+        order = np.lexsort((s, h[r], doc[r], w))
+        order = order[np.r_[True, w[order][1:] != w[order][:-1]]]
+        key = np.stack([hashes[mine][order], second[order]], 1)
+        out.append((doc[r][order], h[r][order], s[order], np.ones(len(order), np.int64), [k.tobytes() for k in key]))
     return out
 
 
@@ -126,22 +131,34 @@ def _shards(window: int):
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches):
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: pa.Table):
+            num = lambda n: rows.column(n).to_numpy()
+            for part in locate(num("doc"), num("h"), num("first").astype(np.int64), num("salts") > 1, rows.column("text").combine_chunks(), window):
+                for i in range(0, len(part[0]), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000], t) if isinstance(c, list) else pa.array(c[i : i + 200_000]).cast(t) for c, t in zip(part, types)], names)
 
-        def flush(rows):
-            cols = list(zip(*rows))
-            found = locate(*[list(c) for c in cols[:4]], [s > 1 for s in cols[4]], list(cols[5]), window)
-            for i in range(0, len(found), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found[i : i + 100_000]), types)], names)
+        def weight(rows) -> np.ndarray:
+            return pc.binary_length(rows.column("text")).to_numpy(zero_copy_only=False) / 6
 
+        size = 0.0
         for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "doc", "h", "first", "salts", "text"))):
-                if len(held) >= PER_AUTOMATON and held[-1][0] != row[0]:
-                    yield from flush(held)
-                    held = []
-                held.append(row)
+            for i in range(0, batch.num_rows, 2000):
+                held.append(batch.slice(i, 2000))
+                size += float(weight(held[-1]).sum())
+                if size < 4 * PER_AUTOMATON:
+                    continue
+                # groups of one anchor stay together: cut before the last one
+                rows = pa.Table.from_batches(held)
+                anchor, salt = rows.column("anchor").to_numpy(), rows.column("salt").to_numpy()
+                cut = int(np.flatnonzero((anchor != anchor[-1]) | (salt != salt[-1]))[-1:].sum() + 1) if ((anchor != anchor[-1]) | (salt != salt[-1])).any() else 0
+                if cut:
+                    yield from flush(rows.slice(0, cut))
+                    held = rows.slice(cut).combine_chunks().to_batches()
+                    size = sum(float(weight(b).sum()) for b in held)
         if held:
-            yield from flush(held)
+            yield from flush(pa.Table.from_batches(held))
 
     return run
 
@@ -163,8 +180,8 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     """
     out_id = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.hash(text_col).alias("h"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    placed = rows.select("doc", "h", "text").mapInArrow(_anchors(window), "anchor long, doc long, h int, first int, n int")
-    recurring = placed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", F.ceil(F.col("c") / PER_SALT).cast("int").alias("salts"))
+    placed = rows.select("doc", "h", "text").mapInArrow(_anchors(window), "anchor long, doc long, h int, first int, n int, k long")
+    recurring = placed.groupBy("anchor").agg(F.sum("k").alias("c"), F.sum("n").alias("w")).where("c > 1").select("anchor", F.ceil(F.col("w") / PER_SALT).cast("int").alias("salts"))
     lists = placed.join(recurring, "anchor").groupBy("doc", "h").agg(F.collect_set(F.struct("first", "n", "anchor", "salts")).alias("runs"))
 
     def squeeze(batches):
