@@ -1 +1,39 @@
 """Promotion catalog analytics as Spark jobs."""
+
+from __future__ import annotations
+
+import functools
+import os
+import tempfile
+import zipfile
+
+
+def ship(spark) -> None:
+    """Make this package importable in Python workers that do not share the driver's path."""
+    context = spark.sparkContext
+    if getattr(context, "_offerloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "offerloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("offerloom", os.path.relpath(full, root)))
+    context.addPyFile(path)
+    context._offerloom_shipped = True
+
+
+def prepared(query):
+    """A query that can run on a session as it comes: the package shipped, a checkpoint folder set."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        if not spark.sparkContext.getCheckpointDir():
+            base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            spark.sparkContext.setCheckpointDir(base)
+        return query(spark, sf_dir)
+
+    return run
