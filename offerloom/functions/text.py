@@ -114,7 +114,7 @@ def url_without_fragment(c: Column) -> Column:
 
 def page_key(c: Column) -> Column:
     """Key of pages: lower-case host, no fragment, a path that ends with a slash."""
-    path = F.regexp_replace(_url(c, 3), "/*$", "/")
+    path = F.when(_url(c, 3).endswith("/"), _url(c, 3)).otherwise(F.concat(_url(c, 3), F.lit("/")))
     return F.when(c.rlike(_URL), F.concat(F.lower(_url(c, 1)), F.lit("://"), F.lower(_url(c, 2)), path, _url(c, 4))).otherwise(c)
 
 

@@ -20,7 +20,7 @@ def clean(presets: DataFrame, as_of: Column) -> DataFrame:
     valid = (F.coalesce(F.col("preset_id").cast("string"), F.lit("")) != "") & (F.coalesce("name", F.lit("")) != "") & F.col("bank_ids").isNotNull() & F.col("categories").isNotNull() & F.col("created_at").isNotNull() & ~F.exists("bank_ids", lambda b: b.isNull())
     fresh = F.coalesce(last_touch() >= as_of - F.expr(f"interval {DAYS} days"), F.lit(False))
     rows = presets.where(valid & fresh)
-    return rows.withColumns({"bank_ids": F.filter(F.transform("bank_ids", F.trim), lambda b: b != ""), "categories": F.filter("categories", lambda c: c.isin(list(CATEGORIES)))})
+    return rows.withColumns({"bank_ids": F.filter(F.transform("bank_ids", lambda b: F.trim(b)), lambda b: b != ""), "categories": F.filter("categories", lambda c: c.isin(list(CATEGORIES)))})
 
 
 def recent(presets: DataFrame, most: int = MOST) -> DataFrame:
@@ -84,7 +84,7 @@ def names(presets: DataFrame, banks: DataFrame, cards: DataFrame) -> DataFrame:
     shorts = items.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "short_name"))).alias("b")).select(*key, F.transform("b", lambda x: x["short_name"]).alias("shorts"))
     rows = presets.join(shorts, key, "left").join(cards.select("card_id", F.col("name").alias("card_name")), "card_id", "left")
     bank = truncated(F.coalesce("shorts", F.array().cast("array<string>")))
-    category = truncated(F.transform("categories", category_label))
+    category = truncated(F.transform("categories", lambda c: category_label(c)))
     suggested = F.when((bank != "") & (category != ""), F.concat(bank, F.lit(" · "), category)).when(bank != "", bank).when(category != "", category).otherwise(F.coalesce("card_name", F.lit("My filters")))
     nb, nc = F.size("bank_ids"), F.size("categories")
     parts = F.concat_ws(

@@ -28,7 +28,7 @@ def first_value(url: Column, key: str) -> Column:
 def log_filters(log: DataFrame) -> DataFrame:
     """The filter, order and page that each request asks for; unknown categories and keys fall away."""
     url = F.col("url")
-    many = lambda k: F.filter(F.transform(query_values(url, k), F.trim), lambda v: v != "")
+    many = lambda k: F.filter(F.transform(query_values(url, k), lambda v: F.trim(v)), lambda v: v != "")
     some = lambda k: F.nullif(F.trim(first_value(url, k)), F.lit(""))
     whole = lambda k: F.when(first_value(url, k).rlike("^[1-9][0-9]*$"), first_value(url, k).try_cast("int"))
     return log.select(

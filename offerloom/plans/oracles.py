@@ -1 +1,242 @@
-def oracle_sql(): return {}
+"""The same results in DuckDB SQL, for checking queries.py."""
+
+from __future__ import annotations
+
+from offerloom.functions.text import CATEGORY_RULES
+from offerloom.plans.queries import NOW, SITE
+from offerloom.plans.views import AS_OF, VIEWS
+from offerloom.schema import CATEGORIES, CATEGORY_LABELS
+
+_EXPIRES = "try_strptime(case when contains(valid_until, 'T') then valid_until else valid_until || 'T23:59:59.999Z' end, '%Y-%m-%dT%H:%M:%S.%gZ')"
+_INSTANT = "coalesce(try_strptime(valid_until, '%Y-%m-%d'), try_strptime(valid_until, '%Y-%m-%dT%H:%M:%S.%gZ'))"
+_ACTIVE = f"coalesce({_EXPIRES} >= timestamp '{AS_OF}', true)"
+_LABEL = "case category " + " ".join(f"when '{k}' then '{v}'" for k, v in CATEGORY_LABELS.items()) + " else 'Other' end"
+_TEXT = f"lower(concat_ws(' ', nullif(title, ''), nullif(bank_name, ''), nullif(bank_short_name, ''), nullif(card_name, ''), nullif(merchant, ''), nullif(description, ''), nullif(category, ''), {_LABEL}))"
+_KEY = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
+_CLASS = lambda c: "case " + " ".join(f"when regexp_matches({c}, '(?i)\\b(?:{p})\\b') then '{k}'" for k, p in CATEGORY_RULES) + " else 'other' end"
+_PAGE = lambda c: f"regexp_replace({c}, '^([a-z]+://[^/?#]+)([^?#]*?)/*(\\?[^#]*)?(#.*)?$', '\\1\\2/\\3')"
+_NOFRAG = lambda c: f"regexp_replace({c}, '#.*$', '')"
+
+DERIVED = {
+    "offers": "select *, source_url as terms_link from offer_raw",
+    "served": """
+        select o.id, b.bank_id, b.name as bank_name, b.short_name as bank_short_name, c.card_id, c.name as card_name, o.title, o.category, o.description, o.merchant, o.location, o.valid_from, o.valid_until,
+               o.terms_link as terms, o.source_url, o.last_reviewed_at as first_seen_at, o.last_reviewed_at as last_seen_at, o.last_reviewed_at as last_checked_at, o.status, sha1(o.id || '|' || o.last_reviewed_at) as raw_source_hash, o.seq
+        from offers o join card c on o.card_id = c.card_id join bank b on c.bank_id = b.bank_id""",
+    "active": f"select * from served where status = 'active' and {_ACTIVE}",
+    "firsts": "select * from offers qualify row_number() over (partition by id order by seq) = 1",
+    "old_batch": "select * from firsts where seq % 10 < 8",
+    "new_batch": "select * replace (case when seq % 10 = 5 then title || ' v2' else title end as title) from firsts where seq % 10 >= 4",
+    "gate_rows": """
+        select 'nation_' || (doc_id % 25) as bank_id, 'https://x.example/' || doc_id || '/' as url_key, doc_id as pos, doc_id % 10 <> 0 as fetched, doc_id % 10 <> 1 as has_content, sha1(text) as hash, doc_id % 7 <> 0 as extracts,
+               case when doc_id % 10 in (2, 3, 0) then sha1(text) when doc_id % 10 = 4 then sha1(text || 'old') end as old_hash,
+               case when doc_id % 10 in (2, 4, 0, 5) then 1 + cast(doc_id % 10 = 2 as int) else 0 end as prior from documents""",
+    "gated": """
+        select *, case when not fetched then 'fetch-failed' when not has_content then 'no-content' when coalesce(old_hash = hash and prior > 0, false) then 'unchanged' else 'changed' end as gate from gate_rows""",
+    "budgeted": "select *, coalesce(sum(cast(gate = 'changed' and extracts as int)) over (partition by bank_id order by pos rows between unbounded preceding and 1 preceding), 0) as before from gated",
+    "decided": "select *, case when gate <> 'changed' then gate when before >= 12 then 'over-budget' when extracts then 'extracted' else 'extract-failed' end as decision from budgeted",
+    "hash_gate": """
+        select bank_id, url_key, pos, decision, case when decision = 'extracted' then 0 else prior end as reused,
+               case when decision in ('unchanged', 'extracted') then hash when prior > 0 then old_hash end as next_hash from decided""",
+    "reconciled": """
+        select p.user_id, p.preset_id, list_filter(p.bank_ids, lambda b: list_contains(e.every, b)) as bank_ids, p.categories, p.bank_ids as had, p.card_id as card, c.bank_id as card_bank
+        from preset p cross join (select list(bank_id) as every from bank) e left join card c on p.card_id = c.card_id""",
+    "repaired": """
+        select *, case when card_bank is not null and (len(had) = 0 or list_contains(bank_ids, card_bank)) then card end as card_id from reconciled""",
+    "preset_fresh": f"select * from preset where coalesce(last_used_at, created_at) >= timestamp '{AS_OF}' - interval 60 day",
+    "visits": "select event_id, client_key, url, coalesce(ts >= lag(ts) over (partition by client_key order by ts, event_id) + interval 30 minute, false) as is_return from request_log",
+    "feed_a_rows": "select doc_id % 50 as feed_id, doc_id as k, row_number() over (partition by doc_id % 50 order by doc_id) - 1 as pos from documents",
+    "hrefs": "select page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages",
+    "targets": f"select page_id, {_PAGE('url')} as page_key, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) as site, href from hrefs where href like '/%'",
+    "semantic_rows": f"""
+        select *, coalesce(nullif({_KEY('merchant')}, ''), {_KEY('title')}) as a, {_KEY('description')} as d,
+               cast(coalesce(valid_until, '') <> '' as int) + cast(coalesce(valid_from, '') <> '' as int) + cast(coalesce(location, '') <> '' as int) + cast(coalesce(terms_link, '') <> '' as int) as s from firsts""",
+    "semantic_lists": "select card_id, a, d, list(struct_pack(seq := seq, s := s, n := len(description)) order by seq) as g from semantic_rows group by card_id, a, d",
+    "semantic": """
+        select card_id, a, d, g[1].seq as place, list_reduce(g, lambda x, y: case when y.s + cast(y.n > x.n as int) > x.s + cast(x.n > y.n as int) then y else x end).seq as won from semantic_lists""",
+    "bank_counts": "select c.bank_id, cast(coalesce(sum(n), 0) as bigint) as offers from card c left join (select card_id, count(*) as n from offers group by card_id) o on o.card_id = c.card_id group by c.bank_id",
+    "upper_changes": """
+        select user_id, case when preset_id % 96 = 0 then 'clear' else ['save', 'delete', 'touch'][1 + (preset_id // 3) % 3] end as op, preset_id as k, upper(name) as name, created_at + interval 90 day as moment
+        from preset where preset_id % 3 = 0""",
+    "changes": """
+        select *, case when op <> 'save' or k % 2 = 0 then k else k + 100000000 end as preset_id from upper_changes""",
+    "last_changes": """
+        select * from changes qualify row_number() over (partition by user_id, op, case when op = 'save' then lower(trim(name)) else cast(preset_id as varchar) end order by moment desc) = 1""",
+    "left_presets": """
+        select p.user_id, p.preset_id, p.name, p.created_at, coalesce(t.moment, p.last_used_at) as last_used_at, lower(trim(p.name)) as nk from preset p
+        left join last_changes t on t.op = 'touch' and t.user_id = p.user_id and t.preset_id = p.preset_id
+        where not exists (select 1 from last_changes c where c.op = 'clear' and c.user_id = p.user_id) and not exists (select 1 from last_changes c where c.op = 'delete' and c.user_id = p.user_id and c.preset_id = p.preset_id)""",
+    "numbered_presets": "select *, row_number() over (partition by user_id, nk order by preset_id) = 1 as lead from left_presets",
+    "saved_presets": """
+        select coalesce(l.user_id, s.user_id) as user_id, coalesce(l.preset_id, s.preset_id) as preset_id, case when s.user_id is null then l.name else trim(s.name) end as name,
+               coalesce(case when s.user_id is null then l.last_used_at else s.moment end, l.created_at, s.moment) as touched
+        from numbered_presets l full outer join (select * from last_changes where op = 'save') s on l.user_id = s.user_id and l.nk = lower(trim(s.name)) and l.lead""",
+}
+
+
+def _with(body: str, recursive: bool = False) -> str:
+    """A statement with the relations that it names, in order of their dependence."""
+    every = {**VIEWS, **DERIVED}
+    need: list[str] = []
+
+    def add(sql: str) -> None:
+        import re
+
+        for name in every:
+            if name not in need and re.search(rf"(?:from|join|in \(select \w+ from)\s+{name}\b", sql):
+                add(every[name])
+                if name not in need:
+                    need.append(name)
+
+    add(body)
+    head = ", ".join(f"{n} as ({every[n]})" for n in need)
+    if body.lstrip().startswith("with "):
+        return f"with {'recursive ' if recursive else ''}{head + ', ' if head else ''}{body.lstrip()[5:]}"
+    return f"with {head} {body}" if head else body
+
+
+_BANKS_EVEN = "(select bank_id from bank where seq % 2 = 0)"
+_BATCH_BANK = "(select o.*, c.bank_id from {} o join card c on o.card_id = c.card_id)"
+
+BODIES = {
+    "catalog_violations": """
+        with v as (select seq, case when seq % 97 = 0 then 'bogus' else category end as category, case when seq % 89 <> 0 then title end as title from offers)
+        select seq, 'missing title' as violation from v where title is null union all select seq, 'unknown category' from v where category = 'bogus'""",
+    "scrape_violations": "select seq, 'missing category' as violation from scrape_raw where seq % 11 = 0 union all select seq, 'missing source_url' from scrape_raw where seq % 13 = 0",
+    "catalog_offers": "select * from served",
+    "active_offers": "select id, bank_id, category, valid_until, seq from active",
+    "expiring_soon": f"select id, valid_until, seq from served where {_EXPIRES} between timestamp '{AS_OF}' and timestamp '{AS_OF}' + interval 14 day",
+    "filter_facets": "select id, bank_id, category, seq from active where bank_id in ('nation_1', 'nation_2', 'nation_3') and category in ('dining', 'fuel')",
+    "search_text": f"select id, seq from active where contains({_TEXT}, 'brand#1')",
+    "offer_lookup": """
+        select 'offer' as kind, id, title from (select * from offers where id = 'o1-1' order by seq limit 1) union all select 'bank', bank_id, name from bank where bank_id = 'nation_3'
+        union all select 'card', card_id, name from card where bank_id = 'nation_3'""",
+    "filter_locked": "select id, bank_id, category, seq from active where bank_id = 'nation_4' and category = 'fuel'",
+    "offer_json_export": f"""
+        select id, merchant as seller, valid_from, sha1('{{"@type":"Offer","name":' || to_json(title) || ',"description":' || to_json(description) || ',"category":' || to_json({_LABEL}) || ',"offeredBy":{{"@type":"BankOrCreditUnion","name":' || to_json(bank_name) || '}}'
+          || coalesce(',"validFrom":' || to_json(valid_from), '') || coalesce(',"validThrough":' || to_json(valid_until), '') || coalesce(',"seller":{{"@type":"Organization","name":' || to_json(merchant) || '}}', '') || ',"dateModified":' || to_json(last_checked_at) || '}}') as json_hash from active""",
+    "scan_violations": """
+        with r as (select o.id, o.seq, case when o.seq % 50 = 2 then 'none' else o.card_id end as card_id, case o.seq % 50 when 0 then 'nowhere' when 1 then 'nation_0' else c.bank_id end as bank_id from offers o join card c on o.card_id = c.card_id)
+        select * from (select r.id, r.seq, case when b.bank_id is null then 'missing bank' when c.card_id is null then 'missing card' when c.bank_id <> r.bank_id then 'bank and card differ' end as violation
+        from r left join bank b on r.bank_id = b.bank_id left join card c on c.card_id = r.card_id) where violation is not null""",
+    "sync_scanned": f"""
+        with n as (select * from new_batch where seq % 100 < 10)
+        select id, title, 0 as part, seq from old_batch where id not in (select id from n) and {_NOFRAG('source_url')} not in (select {_NOFRAG('source_url')} from n) union all select id, title, 1, seq from n""",
+    "merge_lifecycle": f"""
+        select coalesce(o.id, n.id) as id, coalesce(n.title, o.title) as title,
+               case when n.id is null then case when o.status = 'expired' then 'expired' else 'inactive' end when coalesce((select {_EXPIRES} < timestamp '{AS_OF}' from (select n.valid_until)), false) then 'expired' else 'active' end as status,
+               case when o.id is null then '{NOW}' else o.last_reviewed_at end as first_seen_at, case when n.id is null then o.last_reviewed_at else '{NOW}' end as last_seen_at, '{NOW}' as last_checked_at,
+               case when n.id is null then o.valid_until else n.valid_until end as valid_until, cast(o.id is null as int) as part, coalesce(o.seq, n.seq) as seq
+        from old_batch o full outer join new_batch n on o.id = n.id""",
+    "reconcile_orphans": f"""
+        with r as (select id, case when seq % 100 = 0 then 'unknown' else card_id end as card_id, seq from offers)
+        select * from r where card_id not in (select card_id from card where bank_id not in {_BANKS_EVEN})""",
+    "hash_gate": "select * from hash_gate",
+    "extraction_budget": "select bank_id, decision, count(*) as urls, cast(sum(reused) as bigint) as reused from hash_gate group by bank_id, decision",
+    "cards_in_scope": f"select card_id, bank_id from card where bank_id in {_BANKS_EVEN}",
+    "match_saved_filters": f"""
+        with f as (select preset_id, list_sort(list_distinct(bank_ids)) as b, list_sort(list_distinct(categories)) as c, preset_id % 5 = 0 as s from preset),
+        k as (select distinct b, c, s from f), t as (select bank_id, category, {_TEXT} as text from active),
+        n as (select k.b, k.c, k.s, count(t.bank_id) as n from k left join t on list_contains(k.b, t.bank_id) and list_contains(k.c, t.category) and (not k.s or contains(t.text, 'brand#2')) group by all)
+        select f.preset_id as filter_id, n.n as offers from f join n on f.b = n.b and f.c = n.c and f.s = n.s""",
+    "count_by_bank": "select b.bank_id, count(a.id) as offers from bank b left join active a on a.bank_id = b.bank_id group by b.bank_id",
+    "count_by_category": "select c.category, count(a.id) as offers from (select unnest(" + str(list(CATEGORIES)) + ") as category) c left join active a on a.category = c.category group by c.category",
+    "catalog_totals": "select count(*) filter (where category = 'dining') as matching, count(*) as total, cast(count(*) // 100 * 100 as bigint) as rounded from active",
+    "bank_offer_count": "select * from bank_counts",
+    "collapse_gate": f"""
+        with r as (select c.bank_id, o.*, {_KEY('o.description')} as d, coalesce(nullif({_KEY('o.merchant')}, ''), {_KEY('o.title')}) as a from new_batch o join card c on o.card_id = c.card_id),
+        f as (select bank_id, count(distinct (card_id, a, d)) as fresh from r where bank_id in ('nation_1', 'nation_2') or seq % 9973 = 0 group by bank_id)
+        select b.bank_id, b.offers as stored, coalesce(f.fresh, 0) as fresh, b.offers >= 10 and coalesce(f.fresh, 0) <= 3 and b.bank_id <> 'nation_5' as rejected from bank_counts b left join f on f.bank_id = b.bank_id""",
+    "refresh_summary": """
+        select ['updated', 'unchanged', 'fetch-failed', 'sanity-rejected'][1 + seq % 4] as status, count(*) as banks, count(*) filter (where seq % 4 >= 2) as failed, cast(sum(seq * 10) as bigint) as tokens_in, cast(sum(seq) as bigint) as tokens_out,
+               cast(coalesce(sum(seq) filter (where seq % 4 = 0), 0) as bigint) as written from bank group by 1""",
+    "bank_status": """
+        with f as (select bank_id || '-' || card_id as bank_id, seq % 7 <> 0 as enabled, (seq // 2) % 2 = 1 as crawl, seq % 5 <> 0 as ex, (seq // 4) % 2 = 1 as disc, seq % 3 as act, (seq // 8) % 2 = 1 as rej, seq % 4 as src, seq % 6 = 1 as thin, seq % 11 = 0 as same, (seq // 16) % 2 = 1 as mapper, (seq // 32) % 2 = 1 as over_b from card)
+        select bank_id, case when not enabled then 'disabled'
+          when crawl then case when not ex then 'deferred' when not disc then 'fetch-failed' when act = 0 then 'extract-failed' when rej then 'sanity-rejected' else 'updated' end
+          else case when src = 0 then 'fetch-failed' when thin then 'skipped-empty' when same then 'unchanged' when not mapper and (not ex or over_b) then 'deferred' when act = 0 then 'extract-failed' when rej then 'sanity-rejected' else 'updated' end end as status from f""",
+    "expire_lapsed": f"""
+        select * from (select count(*) filter (where not {_ACTIVE}) as stored_dropped, count(*) filter (where {_ACTIVE}) as stored_kept from old_batch), (select count(*) filter (where not {_ACTIVE}) as staging_dropped, count(*) filter (where {_ACTIVE}) as staging_kept from new_batch)""",
+    "refresh_sweep": f"select id, seq from offers where card_id not in (select card_id from card where bank_id not in {_BANKS_EVEN}) and {_ACTIVE}",
+    "bank_content_hash": """
+        select 'nation_' || (page_id % 25) as bank_id, sha1(concat_ws('|', string_agg(sha1(html), '|' order by page_id), string_agg(url, '|' order by url) filter (where page_id % 3 = 0))) as hash from pages group by 1""",
+    "dedupe_first": "select id, title, seq from firsts",
+    "dedupe_last": "select id, max_by(title, seq) as title, min(seq) as seq from offers group by id",
+    "dedupe_semantic": "select r.id, r.card_id, r.description, s.place as seq from semantic s join semantic_rows r on r.seq = s.won where s.a <> '' or s.d <> '' union all select id, card_id, description, seq from semantic_rows where a = '' and d = ''",
+    "page_slice": "select id, seq from active order by last_seen_at desc, first_seen_at desc, seq limit 24 offset 48",
+    "page_meta": """
+        with c as (select count(*) as n from active), p as (select n, greatest(1, cast(ceil(n / 24.0) as int)) as pages from c)
+        select n as total_items, pages as total_pages, case when n = 0 then 1 else pages end as page, 24 as page_size, case when n = 0 then 0 else (pages - 1) * 24 + 1 end as start_index, n as end_index from p""",
+    "import_bank": f"""
+        with st as (select * from {_BATCH_BANK.format('old_batch')} where seq % 3 = 0), nb as (select * from {_BATCH_BANK.format('new_batch')} where bank_id in ('nation_1', 'nation_2')),
+        hit as (select distinct bank_id from nb),
+        staged as (select id, title, source_url, 0 as part, seq from st where bank_id not in (select bank_id from hit) union all select id, title, source_url, 1, seq from nb),
+        kept as (select * from old_batch where card_id not in (select card_id from card where bank_id in (select bank_id from hit)) and id not in (select id from staged) and {_NOFRAG('source_url')} not in (select {_NOFRAG('source_url')} from staged))
+        select 'stored' as kind, id, title, 0 as part, seq from kept union all select 'stored', id, title, 1, seq from staged union all select 'staged', id, title, part, seq from staged""",
+    "remove_bank": """
+        with g as (select bank_id from bank where seq < 5), gc as (select card_id from card where bank_id in (select bank_id from g))
+        select 'stored' as kind, count(*) as rows from old_batch where card_id not in (select card_id from gc)
+        union all select 'staging', count(*) from new_batch o join card c on o.card_id = c.card_id where c.bank_id not in (select bank_id from g)
+        union all select 'banks', count(*) from bank where seq >= 5 union all select 'cards', count(*) from card where bank_id not in (select bank_id from g)""",
+    "url_feed": f"""
+        select '{SITE}' as url, 'daily' as change_frequency, 1.0::double as priority, null::varchar as last_modified union all select '{SITE}/categories', 'weekly', 0.8, null
+        union all select '{SITE}/banks/' || bank_id, 'daily', 0.8, null from bank union all select '{SITE}/categories/' || c, 'daily', 0.7, null from (select unnest({list(CATEGORIES)}) as c)
+        union all select '{SITE}/offers/' || id, 'weekly', 0.6, last_checked_at from served where status = 'active'""",
+    "classify_text": f"select seq, {_CLASS('offer_about')} as category from scrape_raw",
+    "stable_ids": "select seq, card_id || '-' || sha1(card_id || '|' || title || '|' || source_url)[1:12] as stable_id from offers",
+    "url_keys": f"select distinct source_url, {_PAGE('source_url')} as page_key, {_NOFRAG('source_url')} as asset_key from offers",
+    "extract_expiry": """
+        select doc_id, case doc_id % 3 when 0 then '2026-' || lpad(cast(doc_id % 12 + 1 as varchar), 2, '0') || '-07' when 1 then '2027-03-' || lpad(cast(doc_id % 28 + 1 as varchar), 2, '0') end as valid_until from documents""",
+    "feed_a": f"""
+        select 'nation_1-' || k as id, 'nation_1' as bank_id, case when k % 3 = 0 then 'n1-debit' else 'n1-credit' end as card_id, '20% off at restaurant ' || (k % 40) as title, 'dining' as category, '20% off at restaurant ' || (k % 40) as description, 'Shop ' || (k % 9) as merchant,
+               '2026-01-05' as valid_from, case when k % 2 = 0 then '2026-09-30' end as valid_until, '{SITE}/search/' || k as terms_link, '{SITE}/search/' || k as source_url, feed_id * 1000000 + pos as seq from feed_a_rows""",
+    "feed_b": f"""
+        with r as (select *, k % 300 as oid, feed_id * 1000000 + pos as seq from feed_a_rows where k % 7 <> 0),
+        d as (select *, case k % 4 when 0 then '0% interest plan' when 1 then '10% Cash Back' else '15% off' end as disc, case when k % 2 = 0 then 'Hotels' else 'fashion' end as tab from r),
+        f as (select oid, min(seq) as seq, max_by(struct_pack(k := k, disc := disc, tab := tab), seq) as v from d group by oid)
+        select 'nation_2-' || oid as id, 'nation_2' as bank_id, 'n2-credit' as card_id, v.disc || ' at Shop ' || (v.k % 40) as title, case v.k % 4 when 0 then 'installment' when 1 then 'cashback' else case when v.tab = 'Hotels' then 'travel' else 'other' end end as category,
+               'Deal & more ' || v.k as description, 'Shop ' || (v.k % 40) as merchant, null::varchar as location, null::varchar as valid_from, case when v.k % 5 <> 0 then '2026-09-21' end as valid_until, '{SITE}' as terms_link, '{SITE}?firstTab=' || v.tab as source_url, seq from f""",
+    "feed_envelope": """
+        with n as (select feed_id, count(*) as n from feed_a_rows group by feed_id)
+        select feed_id, case feed_id % 6 when 3 then 0 when 4 then n when 5 then n end as rows, cast(case feed_id % 6 when 2 then 3 when 3 then 4 when 4 then cast('9' || n as int) when 5 then n end as double) as total,
+               case feed_id % 6 when 0 then 'empty' when 1 then 'not json' when 2 then 'no data' when 3 then 'inconsistent' when 4 then 'truncated' end as problem from n""",
+    "conform_extracted": """
+        with r as (select doc_id as k, 'Deal ' || (doc_id % 90) as title, 'https://x.example/' || (doc_id % 30) as url, case when doc_id % 2 = 0 then 'dining' else 'other' end as category, lang from documents),
+        i as (select *, 'nation_1-' || sha1('nation_1|' || title || '|' || url)[1:12] as id, k * 10000 as seq from r)
+        select id, any_value(title) as title, max_by(category, seq) as category, max_by(lang, seq) as description, null::varchar as merchant, null::varchar as valid_from, '2026-12-31' as valid_until, any_value(url) as terms_link, any_value(url) as source_url, min(seq) as seq from i group by id""",
+    "page_links": f"select distinct page_key, {_PAGE('site || href')} as url from targets where regexp_matches(href, '^/[a-zA-Z]')",
+    "crawl_discover": f"""
+        with s as (select distinct 'nation_' || (page_id % 25) as bank_id, {_PAGE('url')} as page_key from pages), d as (select distinct s.bank_id, {_PAGE('site || href')} as url from s join targets t on s.page_key = t.page_key where href like '/th%')
+        select bank_id, url, null::varchar as error from d union all select distinct bank_id, null, 'no detail links matched ^/th' from s where bank_id not in (select bank_id from d)""",
+    "presets_clean": f"select user_id, preset_id, bank_ids, list_filter(categories, lambda c: list_contains({list(CATEGORIES)}, c)) as categories from preset_fresh",
+    "presets_recent": "select user_id, preset_id, rank from (select *, row_number() over (partition by user_id order by coalesce(last_used_at, created_at) desc, preset_id) as rank from preset_fresh) where rank <= 3",
+    "preset_upsert": "select user_id, preset_id, name, rank from (select *, row_number() over (partition by user_id order by touched desc, preset_id) as rank from saved_presets) where rank <= 10",
+    "preset_reconcile": """
+        select user_id, preset_id, bank_ids, categories, card_id, len(had) - len(bank_ids) + cast(coalesce(card, '') <> '' and card_id is null as int) as missing_count, len(bank_ids) = 0 and len(categories) = 0 and card_id is null as is_empty from repaired""",
+    "preset_names": f"""
+        with n as (select user_id, preset_id, bank_ids, categories, card_id, list_transform(bank_ids, lambda b: upper(b)) as s, list_transform(categories, lambda c: case c {' '.join(f"when '{k}' then '{v}'" for k, v in CATEGORY_LABELS.items())} else 'Other' end) as l from repaired)
+        select n.user_id, n.preset_id, concat_ws(' · ', nullif(array_to_string(s[1:2], ', ') || case when len(s) > 2 then ' +' || (len(s) - 2) else '' end, ''), nullif(array_to_string(l[1:2], ', ') || case when len(l) > 2 then ' +' || (len(l) - 2) else '' end, '')) as suggested,
+               concat_ws(' · ', case len(bank_ids) when 0 then null when 1 then '1 bank' else len(bank_ids) || ' banks' end, case len(categories) when 0 then null when 1 then '1 category' else len(categories) || ' categories' end, case when card_id is not null then '1 card' end) as summary from n""",
+    "preset_match": """
+        with k as (select user_id, preset_id, list_sort(list_distinct(bank_ids)) as b, list_sort(list_distinct(categories)) as c, coalesce(card_id, '') as k from preset)
+        select user_id, preset_id as selection_id, min(preset_id) over (partition by user_id, b, c, k) as preset_id from k""",
+    "log_filters": """
+        select event_id, case when contains(url, 'bank=') then ['nation_1'] else [] end as bank_ids, case when contains(url, 'category=') then ['dining'] else [] end as categories, case when contains(url, 'card=') then 's1' end as card_id,
+               case when contains(url, 'search=keells') then 'keells' end as search, 'relevance' as sort, case when contains(url, 'page=2') then 2 else 1 end as page, 12 as page_size from request_log""",
+    "return_visits": "select event_id, is_return from visits",
+    "visit_paths": """
+        with p as (select is_return, contains(url, 'search=keells') as s, contains(url, 'bank=') or contains(url, 'card=') as f from visits)
+        select case when s or f or is_return then '/__analytics' || case when is_return then '/return-visit' else '' end || case when s then '/search' when f then '/filter' else '' end else 'untouched' end as path, count(*) as visits from p group by 1""",
+    "rate_limit": """
+        with q as (select event_id, client_key, ts, row_number() over (partition by client_key order by ts, event_id) as i from request_log where not contains(lower(user_agent), 'googlebot')),
+        w as (select event_id, client_key, i, ts, ts as opened, 1 as n from q where i = 1
+              union all select q.event_id, q.client_key, q.i, q.ts, case when q.ts - w.opened >= interval 1 day then q.ts else w.opened end, case when q.ts - w.opened >= interval 1 day then 1 else w.n + 1 end from w join q on q.client_key = w.client_key and q.i = w.i + 1)
+        select event_id, client_key, n > 3 as blocked from w""",
+    "sort_relevance": "select id, last_seen_at, valid_until, seq from active order by seq limit 100",
+    "sort_newest": "select id, last_seen_at, valid_until, seq from active order by last_seen_at desc, first_seen_at desc, seq limit 100",
+    "sort_expiring": f"select id, last_seen_at, valid_until, seq from active order by {_INSTANT} asc nulls last, seq limit 100",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: _with(body, recursive=name == "rate_limit") for name, body in BODIES.items()}
