@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from offerloom.llm import common
 
-GRAM = 6
+GRAM = 5
 #: Windows of one anchor that one salt holds on average, and those of one automaton.
 PER_SALT, PER_AUTOMATON = 16000, 160000
 
