@@ -13,21 +13,40 @@ from pyspark.sql import functions as F
 from offerloom.llm import common
 
 ORDER = 4
-START = 2  # the character before a text
+START = 2  # code of the character before a text
 #: Held-out share of trusted documents, for quantiles of texts that the model has not seen.
 HELD_OUT = 5
 #: Ids of trusted documents are broadcast up to this many (8 bytes each); beyond, the join is shuffled.
 MOST_BROADCAST = 2_000_000
 
 
-def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram matrix, row of each gram): every character with the ORDER - 1 before it, white space runs as one space."""
-    texts = [" ".join(t.split()) for t in texts]
-    size = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer(("\x02" * (ORDER - 1)).join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), size)
-    at = np.arange(int(size.sum())) + (row + 1) * (ORDER - 1)
-    return np.stack([points[at - k] for k in range(ORDER - 1, -1, -1)], 1) if len(at) else np.zeros((0, ORDER), np.uint32), row
+#: Characters that are turned into grams at a time; a longer text goes in segments.
+AT_ONCE = 500_000
+
+
+def segments(texts: list[str]):
+    """Lists of (row, characters before, segment) of about AT_ONCE characters, white space runs as one space."""
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        text = " ".join(text.split())
+        before = chr(START) * (ORDER - 1)
+        for i in range(0, len(text), AT_ONCE):
+            part = text[i : i + AT_ONCE]
+            held.append((row, before, part))
+            before, size = (before + part)[-(ORDER - 1) :], size + len(part)
+            if size >= AT_ONCE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def characters(parts: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram matrix, row of each gram): every character of the segments with the ORDER - 1 before it."""
+    size = np.array([len(p[2]) for p in parts], np.int64)
+    points = np.frombuffer("".join(b + t for _, b, t in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.arange(int(size.sum())) + (np.repeat(np.arange(len(parts)), size) + 1) * (ORDER - 1)
+    return np.stack([points[at - k] for k in range(ORDER - 1, -1, -1)], 1), np.repeat(np.array([p[0] for p in parts], np.int64), size)
 
 
 def packed(grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
@@ -39,7 +58,7 @@ def packed(grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     return key
 
 
-def distinct(grams: np.ndarray, weigh: bool = False):
+def distinct(grams: np.ndarray):
     """(strings of the distinct grams, their counts)."""
     if not len(grams):
         return [], np.zeros(0, np.int64)
@@ -63,8 +82,9 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                for lang, _, texts in _by_lang(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    strings, count = distinct(characters(texts)[0])
+                found = ((lang, seg) for lang, _, texts in _by_lang(part.column(0).to_pylist(), part.column(1).to_pylist()) for seg in segments(texts))
+                for lang, seg in found:
+                    strings, count = distinct(characters(seg)[0])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(strings), pa.string()), pa.array(strings, pa.string()), pa.array(count.astype(np.int64))], ["lang", "gram", "c"])
 
     return trusted.mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
@@ -132,8 +152,8 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
         for name, _, langs, texts in parts(batches):
             for lang, _, group in _by_lang(langs, texts):
                 found: set[str] = set()
-                for i in range(0, len(group), 1000):
-                    found.update(distinct(characters(group[i : i + 1000])[0])[0])
+                for seg in segments(group):
+                    found.update(distinct(characters(seg)[0])[0])
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.int64()), pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string())], ["name", "lang", "gram"])
 
     def carried(batches):
@@ -164,15 +184,14 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
                     key = packed(grams, alphabet)
                     order = np.argsort(key)
                     key, logp = key[order], np.array(batch.column("logps")[i].values)[order]
-                    for j in range(0, len(texts), 500):
-                        g, row = characters(texts[j : j + 500])
-                        if len(g):
-                            v = packed(g, alphabet)
-                            at = np.minimum(np.searchsorted(key, v), len(key) - 1)
-                            if not (key[at] == v).all():
-                                raise ValueError("a batch met other grams than it asked for")
-                            m = len(texts[j : j + 500])
-                            n[j : j + 500], total[j : j + 500] = np.bincount(row, minlength=m), np.bincount(row, logp[at], minlength=m)
+                    for seg in segments(texts):
+                        g, row = characters(seg)
+                        v = packed(g, alphabet)
+                        at = np.minimum(np.searchsorted(key, v), len(key) - 1)
+                        if not (key[at] == v).all():
+                            raise ValueError("a batch met other grams than it asked for")
+                        n += np.bincount(row, minlength=len(texts))
+                        total += np.bincount(row, logp[at], minlength=len(texts))
                 elif lang in known and any(t.strip() for t in texts):
                     raise ValueError("a batch found no answer: the documents must be a table that reads alike twice")
                 yield pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(texts), pa.string()), pa.array(n), pa.array(total)], ["doc_id", "lang", "n", "logp"])

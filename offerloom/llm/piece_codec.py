@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Distinct chunks kept by one Python worker; the table starts anew beyond that.
-KEPT = 400_000
+KEPT = 200_000
 _loaded: dict[str, "PieceTable"] = {}
 
 
