@@ -192,7 +192,9 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
                             raise ValueError("a batch met other grams than it asked for")
                         n += np.bincount(row, minlength=len(texts))
                         total += np.bincount(row, logp[at], minlength=len(texts))
-                elif lang in known and any(t.strip() for t in texts):
+                else:
+                    n += np.array([len(" ".join(t.split())) for t in texts], np.int64)
+                if not batch.column("grams")[i].is_valid and lang in known and any(t.strip() for t in texts):
                     raise ValueError("a batch found no answer: the documents must be a table that reads alike twice")
                 yield pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(texts), pa.string()), pa.array(n), pa.array(total)], ["doc_id", "lang", "n", "logp"])
 
@@ -239,5 +241,5 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: f
     value = adjusted(F.col("n"), F.col("logp"), F.col("centre"))
     return out.select(
         "doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("limit").isNotNull(), F.exp(level)).alias("perplexity"), F.exp("limit").alias("threshold"),
-        F.when(F.col("limit").isNull(), F.lit(True)).when(F.col("n") == 0, F.lit(False)).otherwise(F.col("open") | (value <= F.col("limit"))).alias("keep"),
+        F.when(F.col("n") == 0, F.lit(False)).when(F.col("limit").isNull(), F.lit(True)).otherwise(F.col("open") | (value <= F.col("limit"))).alias("keep"),
     )
