@@ -205,6 +205,9 @@ BODIES = {
         i as (select *, 'nation_1-' || sha1('nation_1|' || title || '|' || url)[1:12] as id, k * 10000 as seq from r)
         select id, any_value(title) as title, max_by(category, seq) as category, max_by(lang, seq) as description, null::varchar as merchant, null::varchar as valid_from, '2026-12-31' as valid_until, any_value(url) as terms_link, any_value(url) as source_url, min(seq) as seq from i group by id""",
     "page_links": f"select distinct page_key, {_PAGE('site || href')} as url from targets where regexp_matches(href, '^/[a-zA-Z]')",
+    "page_candidates": """
+        with r as (select page_id, 'Weekly deal ' || page_id as title, 'Weekly deal ' || page_id || ' Save 10% at our hotel until 2026-05-07. more' as text, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || '/promo/' || page_id as link from pages)
+        select 'nation_1-' || sha1('nation_1|' || title || '|' || link)[1:12] as id, 'nation_1' as bank_id, title, 'travel' as category, text as description, '2026-05-07' as valid_until, link as source_url, null::varchar as image_url, sha1(text) as raw_source_hash, page_id * 1000 as seq from r""",
     "crawl_discover": f"""
         with s as (select distinct 'nation_' || (page_id % 25) as bank_id, {_PAGE('url')} as page_key from pages), d as (select distinct s.bank_id, {_PAGE('site || href')} as url from s join targets t on s.page_key = t.page_key where href like '/th%')
         select bank_id, url, null::varchar as error from d union all select distinct bank_id, null, 'no detail links matched ^/th' from s where bank_id not in (select bank_id from d)""",

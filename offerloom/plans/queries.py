@@ -304,7 +304,11 @@ def page_links(c):
 
 
 def page_candidates(c):
-    return pages.page_candidates(pages.parse_pages(c.table("pages")), F.lit("nation_1"), REVIEWED)
+    """Stored pages with a promotion block put in front, since their own prose names no offer."""
+    k = F.col("page_id").cast("string")
+    block = F.concat(F.lit('<div class="offer-card"><h3>Weekly deal '), k, F.lit('</h3> <p>Save 10% at our hotel until 2026-05-07.</p> <a href="/promo/'), k, F.lit('">more</a></div>'))
+    rows = c.table("pages").withColumn("html", F.concat(block, F.regexp_replace("html", "</?article>", "")))
+    return pages.page_candidates(pages.parse_pages(rows), F.lit("nation_1"), REVIEWED).drop("last_seen_at")
 
 
 def crawl_discover(c):

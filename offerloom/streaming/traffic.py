@@ -18,7 +18,7 @@ def _keyed(log: DataFrame) -> DataFrame:
     return log.select("event_id", "client_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
 
-def return_visits(log: DataFrame, minutes: int = 30, idle: str = "2 hours") -> DataFrame:
+def return_visits(log: DataFrame, minutes: int = 30) -> DataFrame:
     """(event_id, client_key, is_return): state is each client's last request."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,8 +37,12 @@ def return_visits(log: DataFrame, minutes: int = 30, idle: str = "2 hours") -> D
     return _keyed(log).groupBy("client_key").applyInPandasWithState(step, "event_id long, client_key string, is_return boolean", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def rate_limit(log: DataFrame, seconds: int = 60, most: int = 60) -> DataFrame:
-    """(event_id, client_key, blocked): state is the open window's start and count, dropped by a timer once the client rests."""
+def rate_limit(log: DataFrame, seconds: int = 60, most: int = 60, timer: bool = True) -> DataFrame:
+    """(event_id, client_key, blocked): state is the open window's start and count.
+
+    With a timer, a resting client's state is dropped; such a stream wakes up without new rows,
+    so a run over what is available now must do without.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -54,8 +58,9 @@ def rate_limit(log: DataFrame, seconds: int = 60, most: int = 60) -> DataFrame:
                 n += 1
             blocked.append(n > most)
         state.update((start, n))
-        state.setTimeoutDuration(max(1, seconds) * 1000)
+        if timer:
+            state.setTimeoutDuration(max(1, seconds) * 1000)
         yield pd.DataFrame({"event_id": rows["event_id"], "client_key": key[0], "blocked": blocked})
 
     rows = _keyed(log.where(~is_crawler(F.col("user_agent"))))
-    return rows.groupBy("client_key").applyInPandasWithState(step, "event_id long, client_key string, blocked boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("client_key").applyInPandasWithState(step, "event_id long, client_key string, blocked boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)

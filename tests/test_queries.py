@@ -1,8 +1,7 @@
 """Every catalog query that has SQL gives its rows."""
 
 import pytest
-from compare import differences
-from conftest import DATA
+from compare import DATA, differences
 
 import __spark_entry__
 from offerloom.plans import oracles, queries
