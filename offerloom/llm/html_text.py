@@ -312,8 +312,11 @@ def extract_main_text(pages: DataFrame, sample: int = 400, id_col: str = "page_i
     """
     from pyspark.sql import functions as F
 
-    some = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h"), F.substring(html_col, 1, 20000).alias("html")).orderBy("h", "html").limit(sample)
-    model = fit_extractor([r["html"] for r in some.collect()])
+    hashed = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h"), F.substring(html_col, 1, 20000).alias("html"))
+    lowest = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    # only the hashes are ordered; the pages up to the last of them are fetched, one a hash
+    some = hashed.where(F.col("h") <= lowest[-1]).groupBy("h").agg(F.min("html").alias("html")).collect() if lowest else []
+    model = fit_extractor([r["html"] for r in some])
     id_type, url_type = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
     def run(batches):
