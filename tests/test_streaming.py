@@ -35,6 +35,6 @@ def test_refresh_stream_is_idempotent(spark, tmp_path):
     assert snap.version() == 0 and first > 0
     refresh.refresh_batch(snap, rows.where("seq < 5"), 0, now, now)  # an old batch id changes nothing
     assert snap.version() == 0 and snap.read("offers", schema).count() == first
-    refresh.refresh_batch(snap, rows.where("bank_id = 'dfcc' and seq < 5"), 1, now, now)
+    refresh.refresh_batch(snap, rows.where("bank_id = 'dfcc' and seq < 8"), 1, now, now)
     later = snap.read("offers", schema)
     assert snap.version() == 1 and later.count() == first and later.where("status = 'inactive' and bank_id = 'dfcc'").count() > 0
