@@ -208,3 +208,24 @@ def refresh_summary(report: DataFrame) -> DataFrame:
 def refresh_sweep(stored: DataFrame, cards: DataFrame, valid: DataFrame, as_of: Column) -> DataFrame:
     """End of a run: orphans pruned, then lapsed offers dropped."""
     return reconcile_orphans(stored, cards, valid).where(expiry.is_active(F.col("valid_until"), as_of))
+
+
+def gated_offers(decisions: DataFrame, prior: DataFrame, extracted: DataFrame, reviewed: str) -> DataFrame:
+    """Offers of a hash-gated run: kept and reused rows of prior, and the extracted ones.
+
+    prior has (bank_id, url_key) beside its offer columns, extracted the same plus page_url, which
+    becomes the source. Reused rows of unchanged pages take the review date. URLs without a
+    decision drop out. The last row of an id counts, at the first one's place.
+    """
+    key = ["bank_id", "url_key"]
+    kept = prior.join(decisions.where("decision <> 'extracted'").select(*key, "decision", "pos"), key)
+    kept = kept.withColumn("last_reviewed_at", F.when(F.col("decision") == "unchanged", reviewed).otherwise(F.col("last_reviewed_at")))
+    fresh = extracted.join(decisions.where("decision = 'extracted'").select(*key, "decision", "pos"), key).withColumn("source_url", F.col("page_url")).drop("page_url")
+    rows = kept.unionByName(fresh).withColumn("seq", F.struct("pos", "seq"))
+    return dedupe_last(rows.drop("decision", "pos", "url_key"))
+
+
+def run_summary(banks: DataFrame) -> DataFrame:
+    """One row of a run over banks (bank_id, found, saved, reason): totals and the failures."""
+    failure = F.when(F.col("reason").isNotNull(), F.struct("bank_id", "reason"))
+    return banks.agg(F.count("*").alias("banks_checked"), F.sum("found").alias("offers_found"), F.sum("saved").alias("offers_saved"), F.array_sort(F.collect_list(failure)).alias("failures"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import classify, extract_expiry, host_of, normalize_text, page_key, path_query, stable_id, url_without_fragment
-from offerloom.operators.maintain import dedupe_first, dedupe_last
+from offerloom.operators.maintain import dedupe_first, dedupe_last, merge_lifecycle
 
 # Elements without page text, chrome, words of navigation blocks.
 DROPPED = frozenset("script style noscript nav header footer svg iframe form".split())
@@ -194,3 +194,9 @@ def merge_discovered(details: DataFrame, assets: DataFrame) -> DataFrame:
 def is_content_image(url: Column, size: Column) -> Column:
     """No data URI, an image extension, and at least 10 KiB."""
     return ~url.startswith("data:") & F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1).rlike(r"(?i)\.(jpe?g|png|gif|webp)$") & (size >= 10 * 1024)
+
+
+def refresh_pages(stored: DataFrame, pages: DataFrame, bank_id: Column, now: str) -> DataFrame:
+    """Stored offers after a run over stored pages: candidates are extracted and merged by id."""
+    found = page_candidates(parse_pages(pages), bank_id, now).withColumns({c: F.lit(now) for c in ("first_seen_at", "last_checked_at")}).withColumn("status", F.lit("active"))
+    return merge_lifecycle(stored, found.select(*stored.columns), now)

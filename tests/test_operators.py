@@ -205,3 +205,24 @@ def test_sources_and_snapshot(spark, tmp_path):
     assert snap.version() is None and snap.read("offers", OFFER).count() == 0
     snap.write(3, {"offers": offers(spark, [{"id": "a"}])})
     assert snap.version() == 3 and snap.read("offers", OFFER).count() == 1
+
+
+def test_gated_offers_and_summary(spark):
+    decisions = spark.createDataFrame([("b", "same", 0, "unchanged"), ("b", "new", 1, "extracted"), ("b", "late", 2, "over-budget")], "bank_id string, url_key string, pos int, decision string")
+    prior = spark.createDataFrame([("b", "same", "a", "old", "u", 1), ("b", "late", "b", "old", "u", 2), ("b", "gone", "c", "old", "u", 3)], "bank_id string, url_key string, id string, last_reviewed_at string, source_url string, seq long")
+    extracted = spark.createDataFrame([("b", "new", "d", "now", "x", 1, "https://p/")], "bank_id string, url_key string, id string, last_reviewed_at string, source_url string, seq long, page_url string")
+    got = maintain.gated_offers(decisions, prior, extracted, "now").orderBy("seq").collect()
+    assert [(r["id"], r["last_reviewed_at"], r["source_url"]) for r in got] == [("a", "now", "u"), ("d", "now", "https://p/"), ("b", "old", "u")]
+    row = maintain.run_summary(spark.createDataFrame([("b", 3, 2, None), ("c", 0, 0, "down")], "bank_id string, found int, saved int, reason string")).first()
+    assert (row["banks_checked"], row["offers_found"], row["offers_saved"], [f["reason"] for f in row["failures"]]) == (2, 3, 2, ["down"])
+
+
+def test_refresh_pages(spark):
+    html = "<article><h2>Dinner for two deal</h2><p>Save 20% at our restaurant</p></article>"
+    page = spark.createDataFrame([(1, "https://s.example/p", html)], "page_id long, url string, html string")
+    names = "id string, bank_id string, title string, status string, valid_until string, first_seen_at string, last_seen_at string, last_checked_at string, seq long"
+    stored = spark.createDataFrame([("z", "b", "Old", "active", None, "t0", "t0", "t0", 0)], names)
+    once = pages.refresh_pages(stored, page, F.lit("b"), "2026-01-01T00:00:00Z").drop("part").cache()
+    assert sorted((r["title"], r["status"]) for r in once.collect()) == [("Dinner for two deal", "active"), ("Old", "inactive")]
+    again = pages.refresh_pages(once, page, F.lit("b"), "2026-02-01T00:00:00Z")
+    assert {r["title"]: (r["first_seen_at"], r["status"]) for r in again.collect()}["Dinner for two deal"] == ("2026-01-01T00:00:00Z", "active")
