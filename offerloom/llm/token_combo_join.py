@@ -59,6 +59,12 @@ def prefix_length(n: int, k: int, num: int, den: int) -> int:
     return min(n, n - -(-n * num // den) + k)
 
 
+def prefix(n: int, num: int, den: int) -> int:
+    """How many first tokens of a set are indexed: as many as each of the two classes it meets in needs."""
+    c = length_class(n, num, den)
+    return max(prefix_length(n, shared_at_least(m, num, den), num, den) for m in (c, c + 1))
+
+
 def signatures(n: int, tokens: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
     """Index keys of a set from the recurring tokens of its prefix.
 
@@ -131,8 +137,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 3, den: int
                         if key not in seen:  # copies within a task
                             seen.add(key)
                             n = len(s)
-                            k = shared_at_least(length_class(n, num, den) + 1, num, den)
-                            part = s[: prefix_length(n, k, num, den)]
+                            part = s[: prefix(n, num, den)]
                             token.append(part >> np.uint64(64 - bits))
                             node.append(np.full(len(part), int.from_bytes(key, "big", signed=True)))
                             size.append(np.full(len(part), n, np.int32))

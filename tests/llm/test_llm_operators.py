@@ -100,6 +100,31 @@ def test_jaccard_components(docs, empty, frequent, monkeypatch):
         assert token_combo_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("edge, low, large", [(178, 170, range(1, 12, 2)), (421, 332, [0])])
+def test_near_copies_of_two_classes_link(spark, edge, low, large):
+    """Groups of near copies whose sizes stand on both sides of a class: all shared tokens are frequent."""
+    rng = random.Random(edge)
+    texts = []
+    for group in range(4):
+        base = [f"w{group}x{i}" for i in range(edge + 24)]
+        for i in range(12):
+            t = base[: edge + 8 if i in large else low + 4]
+            t[-1] = f"own{i}"
+            at = rng.randrange(len(t))
+            texts.append(t[:at] + [f"new{i}"] + t[at + 1 :])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    assert {token_combo_join.length_class(len(s), 3, 4) for s in sets} == {token_combo_join.length_class(k, 3, 4) for k in (edge, low)}
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i < j and 100 * len(a & b) >= 75 * len(a | b):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {i: r["component_id"] for i, r in by_id(token_combo_join.jaccard_components(docs)).items()} == dict(enumerate(root))
+    assert len(set(root)) < 8
+
+
 @pytest.mark.parametrize("per_salt", [16000, 30])
 def test_repeated_passages(docs, empty, per_salt, monkeypatch):
     monkeypatch.setattr(phrase_dedup, "PER_SALT", per_salt)
