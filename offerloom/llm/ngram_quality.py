@@ -128,28 +128,30 @@ class KneserNey:
 
 
 def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """(doc_id, lang, n, logp): characters and summed log chances of rows (doc_id, lang, text).
+    """(doc_id, lang, n, logp): characters and summed log chances of rows (doc_id, lang, text), with row_key if they have one.
 
     A batch of documents, as read from the table, is named by its content. Its distinct grams
     meet the count tables by joins; what comes back meets the batch's compressed texts by name.
     A table reads in equal batches each time; a batch that finds no answer is an error.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    keyed = "row_key" in docs.columns
 
     def parts(batches):
         for batch in batches:
             ids, langs, texts = (batch.column(n).to_pylist() for n in ("doc_id", "lang", "text"))
+            keys = batch.column("row_key").to_pylist() if keyed else [None] * len(ids)
             size, a = 0, 0
             for i, t in enumerate(texts):
                 size += len(t)
                 if size > 16_000_000 or i + 1 == len(texts):
                     rows = slice(a, i + 1)
                     name = hashlib.blake2b(repr((ids[rows], [len(t) for t in texts[rows]])).encode(), digest_size=8).digest()
-                    yield int.from_bytes(name, "big", signed=True), ids[rows], langs[rows], texts[rows]
+                    yield int.from_bytes(name, "big", signed=True), ids[rows], langs[rows], texts[rows], keys[rows]
                     size, a = 0, i + 1
 
     def asked(batches):
-        for name, _, langs, texts in parts(batches):
+        for name, _, langs, texts, _ in parts(batches):
             for lang, _, group in _by_lang(langs, texts):
                 found: set[str] = set()
                 for seg in segments(group):
@@ -158,16 +160,16 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
 
     def carried(batches):
         z = zstandard.ZstdCompressor(level=3)
-        for name, ids, langs, texts in parts(batches):
+        for name, ids, langs, texts, keys in parts(batches):
             for lang, at, group in _by_lang(langs, texts):
                 blob = z.compress("\0".join(t.replace("\0", " ") for t in group).encode())
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([lang], pa.string()), pa.array([[ids[i] for i in at]], pa.list_(batch_type)), pa.array([blob], pa.binary())], ["name", "lang", "ids", "z"])
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([lang], pa.string()), pa.array([[ids[i] for i in at]], pa.list_(batch_type)), pa.array([blob], pa.binary()), pa.array([[keys[i] for i in at]], pa.list_(pa.int64()))], ["name", "lang", "ids", "z", "keys"])
 
     batch_type = pa.int64() if id_type in ("bigint", "int") else pa.string()
     some = common.written(docs.mapInArrow(asked, "name long, lang string, gram string"))
     chances = model.log_chance(some.select("lang", "gram").distinct())
     answers = some.join(chances, ["lang", "gram"]).groupBy("name", "lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
-    blobs = docs.mapInArrow(carried, f"name long, lang string, ids array<{'bigint' if batch_type == pa.int64() else 'string'}>, z binary")
+    blobs = docs.mapInArrow(carried, f"name long, lang string, ids array<{'bigint' if batch_type == pa.int64() else 'string'}>, z binary, keys array<bigint>")
     met = blobs.join(answers, ["name", "lang"], "left")
 
     def score(batches):
@@ -196,10 +198,10 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
                     n += np.array([len(" ".join(t.split())) for t in texts], np.int64)
                 if not batch.column("grams")[i].is_valid and lang in known and any(t.strip() for t in texts):
                     raise ValueError("a batch found no answer: the documents must be a table that reads alike twice")
-                yield pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(texts), pa.string()), pa.array(n), pa.array(total)], ["doc_id", "lang", "n", "logp"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(texts), pa.string()), pa.array(n), pa.array(total), *([batch.column("keys")[i].values] if keyed else [])], ["doc_id", "lang", "n", "logp", *(["row_key"] if keyed else [])])
 
     known = frozenset(r[0] for r in model.signs.select("lang").limit(10_000).collect())
-    return met.mapInArrow(score, f"doc_id {'bigint' if batch_type == pa.int64() else 'string'}, lang string, n long, logp double")
+    return met.mapInArrow(score, f"doc_id {'bigint' if batch_type == pa.int64() else 'string'}, lang string, n long, logp double{', row_key long' if keyed else ''}")
 
 
 def adjusted(n: Column, logp: Column, centre: Column, prior: int = 60) -> Column:
@@ -207,13 +209,13 @@ def adjusted(n: Column, logp: Column, centre: Column, prior: int = 60) -> Column
     return (-logp + prior * centre) / (n + prior)
 
 
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_chars, perplexity, threshold, keep; one row per row of docs.
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", key_col: str | None = None) -> DataFrame:
+    """doc_id, lang, n_chars, perplexity, threshold, keep; one row per row of docs. A long key_col goes along as row_key.
 
     labels (doc_id, quality, toxic): text of quality 1 that is not toxic is trusted. Four fifths
-    of the trusted documents train a model per language on all their text; the others set the
-    language's threshold: their median log perplexity plus (1 + slack) times the distance to
-    their `quantile`. A document above it is rejected.
+    of the trusted documents train a model per language on all their text; the language's
+    threshold is the `quantile` of log perplexity of the others, or of all the language's
+    documents where no other is left. A document above it is rejected.
 
     Perplexity is of characters and, for the threshold, drawn to the median for short texts.
     Null languages are one language ("none"). Documents of a language without trusted text are
@@ -221,7 +223,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: f
     document with several labels is trusted if each row trusts it. Repeated rows each give a
     row; other columns are ignored. docs must be a table or another plan that reads alike twice.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(lang_col, F.lit("none")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(lang_col, F.lit("none")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"), *([F.col(key_col).alias("row_key")] if key_col else []))
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     trusted = common.written(labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).where("good").select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0).alias("held")))
     training = trusted.where("not held").select("doc_id")
@@ -235,11 +237,13 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: f
     middle = lambda t, name: t.groupBy("lang").agg(F.percentile_approx("level", F.lit(0.5), F.lit(10000)).alias(name))
     centre = middle(fallback, "all").join(middle(held, "own"), "lang", "left").select("lang", F.coalesce("own", "all").alias("centre"))
     centre = common.written(centre)
-    top = held.join(centre, "lang").withColumn("a", adjusted(F.col("n"), F.col("logp"), F.col("centre"))).groupBy("lang").agg(F.percentile_approx("a", F.lit(quantile), F.lit(10000)).alias("top"))
-    limits = common.written(centre.join(top, "lang", "left").select("lang", "centre", (F.col("centre") + (1 + slack) * (F.coalesce("top", "centre") - F.col("centre"))).alias("limit"), F.col("top").isNull().alias("open")))
+    top = lambda t, name: t.join(centre, "lang").withColumn("a", adjusted(F.col("n"), F.col("logp"), F.col("centre"))).groupBy("lang").agg(F.percentile_approx("a", F.lit(quantile), F.lit(10000)).alias(name))
+    limits = centre.join(top(fallback, "all"), "lang", "left").join(top(held, "own"), "lang", "left")
+    limits = common.written(limits.select("lang", "centre", F.coalesce("own", "all").alias("limit")))
     out = scored.join(limits, "lang", "left")
     value = adjusted(F.col("n"), F.col("logp"), F.col("centre"))
     return out.select(
         "doc_id", "lang", F.col("n").alias("n_chars"), F.when(F.col("limit").isNotNull(), F.exp(level)).alias("perplexity"), F.exp("limit").alias("threshold"),
-        F.when(F.col("n") == 0, F.lit(False)).when(F.col("limit").isNull(), F.lit(True)).otherwise(F.col("open") | (value <= F.col("limit"))).alias("keep"),
+        F.when(F.col("n") == 0, F.lit(False)).when(F.col("limit").isNull(), F.lit(True)).otherwise(value <= F.col("limit")).alias("keep"),
+        *(["row_key"] if key_col else []),
     )

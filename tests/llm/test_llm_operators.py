@@ -307,3 +307,24 @@ def test_main_text(spark):
     got = {r["page_id"]: r for r in html_text.extract_main_text(df).collect()}
     assert got[0]["text"] == "" and got[1]["n_chars"] == 0 and all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_text.extract_main_text(df.where("false")).count() == 0
+
+
+def test_quality_threshold_is_a_quantile_of_the_language(spark):
+    """Texts of repeated words: nearly all must go; a language without held-out text has a threshold too."""
+    rng = random.Random(6)
+    parts = "the of and ing er on an re en at".split()
+    prose = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    ids = spark.range(2000).select("id", (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).alias("held")).collect()
+    trained = [r["id"] for r in ids if not r["held"]][-40:]
+    rows = [(i, prose(rng.randint(5, 60)), "en") for i in range(300)] + [(i, prose(40), "de") for i in trained] + [(3000 + i, prose(40), "de") for i in range(110)]
+    rows += [(5000, "zq xv jw kp " * 40, "de")] + [(6000 + i, " ".join([rng.choice(("Thsh", "Ea", "Rnto", "Gndi"))] * 60), "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).cache()
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)] + [(i, 1, 0) for i in trained], "doc_id long, quality int, toxic int")
+    got = by_id(ngram_quality.quality(docs, labels))
+    held = [r["id"] for r in ids[:300] if r["held"]]
+    assert sum(not got[i]["keep"] for i in held) <= 0.02 * len(held)
+    # the threshold is a quantile of held-out levels, so none of them is far below it
+    levels = [(np.log(got[i]["perplexity"]) * got[i]["n_chars"] + 60 * np.median([np.log(got[j]["perplexity"]) for j in held])) / (got[i]["n_chars"] + 60) for i in held]
+    assert np.log(got[0]["threshold"]) <= max(levels) + 0.01
+    assert not any(got[6000 + i]["keep"] for i in range(20)) and not got[5000]["keep"]
+    assert sum(not got[i]["keep"] for i in trained) <= 1 and sum(not got[3000 + i]["keep"] for i in range(110)) <= 2
