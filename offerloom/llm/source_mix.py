@@ -33,8 +33,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_e
     return state.select("source", "source_size", F.when(F.col("cap") < F.col("w") * level, F.col("cap")).otherwise(F.col("w") * level).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, repeats, part; one row per row of docs.
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, repeats, part; one row per row of docs. With carry, also the row itself.
 
     A source is taken target / source_size times: each document as often as the whole part says
     (`repeats`), and the fraction once more for documents in the order of a seeded hash until
@@ -47,15 +47,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoch
     apart; a source of size 0 has target 0. Other columns are ignored.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = common.written(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(common.WORD)).cast("long").alias("size"),
-            F.substring(key, 1, 16).alias("u"),
-        ).withColumn("range", F.substring("u", 1, 3))
-    )
-    by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
+    size = F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(common.WORD)).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.substring(key, 1, 16).alias("u"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    rows = rows.withColumn("range", F.substring("u", 1, 3))
+    slim = common.written(rows.drop("row"))
+    rows = rows if carry else slim
+    by_range = slim.groupBy("source", "range").agg(F.sum("size").alias("words"))
     targets = source_targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     targets = targets.withColumn("repeats", F.floor(ratio).cast("long")).withColumn("extra", F.floor(F.col("target") - F.col("repeats") * F.col("source_size") + 0.5).cast("long"))
@@ -67,7 +64,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoch
     cut = common.written(cut.withColumnRenamed("source", "s"))
     placed = rows.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
     at_cut = F.coalesce(F.col("range") == F.col("at.range"), F.lit(False))
-    inside = Window.partitionBy("source", "range").orderBy("u", "doc_id", "size")
+    inside = Window.partitionBy("source", "range").orderBy("u", "doc_id", "size", *(["row"] if carry else []))
     ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     crossed = placed.where(at_cut).withColumn("once", F.greatest(F.lit(0), F.least("size", F.col("extra") - F.col("at.before") - ahead)))
     clear = placed.where(~at_cut).withColumn("once", F.when(F.col("range") <= F.col("full"), F.col("size")).otherwise(F.lit(0)))
@@ -77,18 +74,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epoch
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("repeats") + F.col("once")).cast("long").alias("taken"),
         (F.col("repeats") + whole.cast("long")).alias("repeats"),
-        F.when(whole, F.lit(0)).otherwise(F.col("once")).cast("long").alias("part"),
+        F.when(whole, F.lit(0)).otherwise(F.col("once")).cast("long").alias("part"), *(["row"] if carry else []),
     )
 
 
 def take(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The mixed rows: every document `repeats` times, and its first `part` words if it has one.
 
-    plan holds each id of docs once, as mix_sources gives it for unique ids.
+    A plan that carries its rows needs no join. Any other plan meets docs by id, so its ids must
+    be unique and not null; it is an error if they are not.
     """
-    p = plan.select(F.col("doc_id").alias("_id"), "repeats", "part")
-    head = F.expr(f"regexp_substr(`{text_col}`, concat('^[\\\\x20\\\\x09-\\\\x0D]*+(?:[^\\\\x20\\\\x09-\\\\x0D]++[\\\\x20\\\\x09-\\\\x0D]*+){{', part, '}}+'))")
-    joined = docs.join(p, docs[id_col] == F.col("_id"))
-    whole = joined.where("repeats > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-    cut = joined.where("part > 0").withColumn(text_col, head)
-    return whole.select(docs.columns).unionByName(cut.select(docs.columns))
+    if "row" in plan.columns:
+        joined = plan.select("row.*", F.col("repeats").alias("_repeats"), F.col("part").alias("_part"))
+    else:
+        p = plan.select(F.col("doc_id").alias("_id"), F.col("repeats").alias("_repeats"), F.col("part").alias("_part"))
+        if not p.groupBy("_id").count().where("_id is null or count > 1").isEmpty():
+            raise ValueError("ids are null or repeated: the plan must carry its rows")
+        joined = docs.join(p, docs[id_col] == F.col("_id"))
+    head = F.expr(f"regexp_substr(`{text_col}`, concat('^[\\\\x20\\\\x09-\\\\x0D]*+(?:[^\\\\x20\\\\x09-\\\\x0D]++[\\\\x20\\\\x09-\\\\x0D]*+){{', _part, '}}+'))")
+    copies = F.concat(F.array_repeat(F.lit(False), F.col("_repeats").cast("int")), F.when(F.col("_part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    each = joined.withColumn("_cut", F.explode(copies))
+    return each.withColumn(text_col, F.when(F.col("_cut"), head).otherwise(F.col(text_col))).select(docs.columns)

@@ -328,3 +328,21 @@ def test_quality_threshold_is_a_quantile_of_the_language(spark):
     assert np.log(got[0]["threshold"]) <= max(levels) + 0.01
     assert not any(got[6000 + i]["keep"] for i in range(20)) and not got[5000]["keep"]
     assert sum(not got[i]["keep"] for i in trained) <= 1 and sum(not got[3000 + i]["keep"] for i in range(110)) <= 2
+
+
+def test_mixed_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, "n1 a b", "s1"), (None, "n2 c", "s1"), (7, "x y z", "s1"), (7, "other text", "s1"), (7, "x y z", "s1"), (8, "far away " * 9, "s2"), (9, "p q " * 20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    plan = source_mix.mix_sources(docs, carry=True)
+    want = Counter()
+    for r in plan.collect():
+        text = r["row"]["text"]
+        want[(r["doc_id"], " ".join(text.split()), r["row"]["source"])] += r["repeats"]
+        if r["part"]:
+            want[(r["doc_id"], " ".join(text.split()[: r["part"]]), r["row"]["source"])] += 1
+    got = Counter((r["doc_id"], " ".join(r["text"].split()), r["source"]) for r in source_mix.take(docs, plan).collect())
+    assert got == +want
+    taken = sum(r["taken"] for r in plan.collect())
+    assert sum(len(t.split()) * n for (_, t, _), n in got.items()) == taken
+    with pytest.raises(ValueError):
+        source_mix.take(docs, source_mix.mix_sources(docs))
