@@ -13,48 +13,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm.chunk_dedup import exact_dedup
-from offerloom.llm.common import table, written
+from offerloom.llm.common import ascii_lower, table, written
 from offerloom.llm.ngram_quality import quality
 from offerloom.llm.piece_codec import encode_decode
 from offerloom.llm.source_mix import mix_sources, take
 from offerloom.llm.token_combo_join import jaccard_components
 
 
-#: Rejected ids are broadcast up to this many; beyond, the anti join is shuffled.
+#: Rejected keys are broadcast up to this many (8 bytes each); beyond, the anti join is shuffled.
 MOST_BROADCAST = 2_000_000
+#: Ids may be null or repeated, so a row is told by 64 bits of its id and text (and what else decides its fate).
+ROW = lambda: F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.coalesce("lang", F.lit("none")), F.coalesce("text", F.lit("")))
+EXACT = lambda: F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of docs whose id is not in rejected; a null id meets a null id."""
-    gone = written(rejected.select(F.col("doc_id").alias("_gone")).distinct())
+    """Rows of docs whose row_key is not in rejected."""
+    gone = written(rejected.select(F.col("row_key").alias("_gone")).distinct())
     gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["row_key"] == F.col("_gone"), "left_anti").drop("row_key")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of trusted text does not reject."""
-    return _without(docs, quality(docs, table(spark, sf_dir, "labels")).where("not keep"))
+    keyed = docs.withColumn("row_key", ROW())
+    return _without(keyed, quality(keyed, table(spark, sf_dir, "labels"), key_col="row_key").where("not keep"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest id."""
-    kept = _without(docs, exact_dedup(docs).where("not kept"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    told = exact_dedup(docs).select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_sha256").alias("row_key"), "kept")
+    told = written(told.groupBy("row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
+    keyed = docs.withColumn("row_key", EXACT())
+    kept = _without(keyed, told)
+    repeated = told.where("kept").select("row_key")
     if repeated.isEmpty():
         return kept
     # rows that repeat both id and text are one document
-    again = docs.join(repeated.withColumnRenamed("doc_id", "_again"), docs["doc_id"].eqNullSafe(F.col("_again")), "left_semi")
-    return _without(kept, repeated).unionByName(_without(again, exact_dedup(docs).where("not kept")).dropDuplicates(["doc_id", "text"]))
+    again = keyed.join(repeated, "row_key", "left_semi").groupBy("row_key").agg(F.max(F.struct("text", *[c for c in docs.columns if c != "text"])).alias("row"))
+    return kept.unionByName(again.select("row.*").select(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the smallest id."""
-    return _without(docs, jaccard_components(docs).where("doc_id <> component_id"))
+    """Of each group of documents that links join, the one with the smallest id (a null id is above all)."""
+    keyed = docs.withColumn("row_key", ROW())
+    found = jaccard_components(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    joined = written(found.where("row_key <> component_id").distinct())
+    members = joined.union(joined.select("component_id", "component_id").distinct())
+    ids = keyed.select(F.col("row_key").alias("_key"), F.col("doc_id").isNull().alias("none"), "doc_id")
+    members = written(members.join(ids, F.col("row_key") == F.col("_key")).select("row_key", "component_id", F.struct("none", "doc_id", "row_key").alias("place")))
+    first = members.groupBy("component_id").agg(F.min("place").alias("first"))
+    return _without(keyed, members.join(first, "component_id").where("row_key <> first.row_key"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated and sampled until sources have their target shares."""
-    return take(docs, mix_sources(docs))
+    return take(docs, mix_sources(docs, carry=True))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
