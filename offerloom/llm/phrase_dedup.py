@@ -3,258 +3,292 @@
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm import common
 
-GRAM = 5
-#: Windows of one anchor that one salt holds on average, and those of one automaton.
-PER_SALT, PER_AUTOMATON = 16000, 160000
+#: Bytes of text in a pack, windows in a shard, packs that ask one pack in one task, words of phrases in an automaton.
+PACK, PER_SHARD, PER_SALT, PER_AUTOMATON = 4 << 20, 1 << 21, 2000, 160_000
 
 
-def lowest_in(a: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost smallest value in each run of `width` values."""
-    at, span = np.arange(len(a)), 1
-    while span < width:
-        step = min(span, width - span)
-        x, y = at[:-step], at[step:]
-        at, span = np.where(a[x] <= a[y], x, y), span + step
-    return at
+def windows_of(raw: np.ndarray, off: np.ndarray, window: int):
+    """(first byte of each word, its end, places where a window begins, their hashes); no window crosses a text's end."""
+    row, start, end, code = common.words(raw, off, False)
+    if len(code) < window:
+        return start, end, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    place = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
+    return start, end, place, common.shingles(code, window)[place]
 
 
-def anchor_runs(data: np.ndarray, offsets: np.ndarray, window: int):
-    """(row, anchor, first window, windows, anchor places) of the runs of a piece's rows.
+def _unpack(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("z")[i].as_py()), np.uint8)
+    return raw, np.r_[0, np.cumsum(np.array(batch.column("lengths")[i].values, np.int64))].astype(np.int64)
 
-    Each window of `window` words falls to the lowest hash among the GRAM-word runs in it, so
-    equal windows always fall to equal anchors. A run is windows in a row with one anchor; where
-    words repeat, it holds several places of it.
-    """
-    row, _, _, code = common.words(data, offsets, False)
-    none = np.zeros(0, np.int64)
-    if len(code) < window:
-        return none, none, none, none, none
-    gram = common.shingles(code, GRAM)
-    n = len(code) - window + 1
-    at, ok = lowest_in(gram, window - GRAM + 1)[:n], row[:n] == row[window - 1 :]
-    place = np.flatnonzero(ok)
-    if not len(place):
-        return none, none, none, none, none
-    at, own = at[place], row[place]
-    other = own[1:] != own[:-1]
-    moved = np.r_[True, (at[1:] != at[:-1]) | other]
-    new = np.flatnonzero(np.r_[True, (gram[at[1:]] != gram[at[:-1]]) | other])
-    first = place[new]
-    start = np.searchsorted(row, row[first], "left")
-    return row[first], gram[at[new]].view(np.int64), first - start, np.diff(np.r_[new, len(place)]), np.add.reduceat(moved.astype(np.int64), new)
-
-
-def _anchors(window: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = common.utf8(batch.column(2))
-            for a, b in common.pieces(offsets):
-                lo = offsets[a]
-                row, anchor, first, size, places = anchor_runs(data[lo : offsets[b]], offsets[a : b + 1] - lo, window)
-                if len(row):
-                    pick = pa.array(row + a)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(places)], ["anchor", "doc", "h", "first", "n", "k"])
 
-    return run
+def _packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(batch, ids, lengths, z): the texts in order of id in packs of about PACK bytes, batch numbers in the same order."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
+    def squeeze(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data, off = common.utf8(batch.column("text"))
+            packed = [z.compress(data[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("h"), batch.column("id"), pa.array(packed, pa.binary())], ["doc", "h", "id", "z"])
+
+    def pack(batches):
+        z, d = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        task, made, size = TaskContext.get().partitionId() << 32, 0, 0
+        texts: list[bytes] = []
+        ids: list[pa.Array] = []
+
+        def flush():
+            every = pa.concat_arrays(ids)
+            row = [pa.array([task + made]), pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([z.compress(b"".join(texts))], pa.binary())]
+            texts.clear()
+            ids.clear()
+            return pa.RecordBatch.from_arrays(row, ["batch", "ids", "lengths", "z"])
 
-def locate(doc: np.ndarray, h: np.ndarray, first: np.ndarray, hot: np.ndarray, texts: pa.Array, window: int):
-    """Windows of the snippets that start earlier elsewhere: arrays (doc, h, start, windows, key).
+        for batch in batches:
+            for i, packed in enumerate(batch.column("z").to_pylist()):
+                texts.append(d.decompress(packed))
+                ids.append(batch.column("id").slice(i, 1))
+                size += len(texts[-1])
+                if size >= PACK:
+                    yield flush()
+                    made, size = made + 1, 0
+        if texts:
+            yield flush()
+
+    moved = rows.mapInArrow(squeeze, f"doc long, h long, id {id_type}, z binary")
+    ordered = moved.repartitionByRange("doc", "h").sortWithinPartitions("doc", "h").select("id", "z")
+    return common.written(ordered.mapInArrow(pack, f"batch long, ids array<{id_type}>, lengths array<int>, z binary"))
+
+
+def _confirmed(packs: DataFrame, window: int) -> DataFrame:
+    """(batch, marks): for each shard, a byte for each distinct window of a pack (1: an earlier pack has it) and these packs."""
+    total = int(packs.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]) // 6
+    split = max(3, (total // PER_SHARD).bit_length())
+
+    def ask(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = np.unique(windows_of(*_unpack(batch, i), window)[3])
+                if not len(found):
+                    continue
+                shard = (found >> np.uint64(64 - split)).astype(np.int32)
+                cuts = np.flatnonzero(np.r_[True, np.diff(shard) > 0])
+                short = np.ascontiguousarray(((found << np.uint64(split)) >> np.uint64(8)).view(np.uint8).reshape(-1, 8)[:, :7])
+                blobs = [short[a:b].tobytes() for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(found)].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[cuts]), pa.array(np.full(len(cuts), batch.column("batch")[i].as_py())), pa.array(blobs, pa.binary())], ["shard", "batch", "windows"])
+
+    def answer(batches):
+        held: list = []
+
+        def flush():
+            raw = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(-1, 7)
+            key = np.zeros((len(raw), 8), np.uint8)
+            key[:, :7] = raw
+            own = np.repeat(np.array([h[1] for h in held]), [len(h[2]) // 7 for h in held])
+            # packs come in order, so the first row of a window is its earliest pack
+            _, first, at = np.unique(key.view(np.uint64).ravel(), return_index=True, return_inverse=True)
+            owner = own[first][at]
+            later = owner != own
+            ends = np.cumsum([len(h[2]) // 7 for h in held]).tolist()
+            for a in range(0, len(held), 500):
+                some = list(zip(held[a : a + 500], ends[a : a + 500]))
+                cuts = [slice(e - len(h[2]) // 7, e) for h, e in some]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([h[1] for h, _ in some]), pa.array([h[0] for h, _ in some], pa.int32()),
+                    pa.array([later[c].tobytes() for c in cuts], pa.binary()), pa.array([owner[c][later[c]].tobytes() for c in cuts], pa.binary()),
+                ], ["batch", "shard", "later", "owners"])
+            held.clear()
 
-    Counting confirms which windows recur; one Aho-Corasick automaton over them, on words coded
-    as characters, locates every occurrence in the snippets. Windows of an anchor that has
-    several salts are passed on, each with its first place here and a digest as key.
-    """
-    import ahocorasick
-
-    data, offsets = common.utf8(texts)
-    row, _, _, code = common.words(data, offsets, False)
-    _, letter = np.unique(code, return_inverse=True)
-    letter = letter.astype(np.uint32) + 1
-    letter[letter >= 0xD800] += 0x800  # surrogates are no characters
-    signs = np.zeros(len(code) + len(first), np.uint32)  # a zero ends each snippet
-    signs[np.arange(len(code)) + row] = letter
-    text = signs.tobytes().decode("utf-32-le")
-    begin = np.searchsorted(row, np.arange(len(first)), "left")
-    at = np.flatnonzero(row[: len(code) - window + 1] == row[window - 1 :])
-    hashes = common.shingles(code, window)[at]
-    _, one, number, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    automaton = ahocorasick.Automaton()
-    confirmed = np.flatnonzero(count > 1)
-    for k, p in zip(confirmed.tolist(), (at[one[confirmed]] + row[at[one[confirmed]]]).tolist()):
-        automaton.add_word(text[p : p + window], k)
-    found = np.zeros((0, 2), np.int64)
-    if len(confirmed):
-        automaton.make_automaton()
-        found = np.fromiter(chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
-    which = found[:, 1]
-    place = found[:, 0] - window + 1
-    snippet = np.searchsorted(begin + np.arange(len(first)), place, "right") - 1
-    start = first[snippet] + place - begin[snippet] - snippet
-    d, hh = doc[snippet], h[snippet]
-    order = np.lexsort((start, hh, d, which))
-    which, d, hh, start = which[order], d[order], hh[order], start[order]
-    lead = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else np.zeros(0, np.int64)
-    best = np.repeat(lead, np.diff(np.r_[lead, len(which)]))
-    late = (d != d[best]) | (hh != hh[best]) | (start != start[best])
-    d, hh, start = d[late], hh[late], start[late]
-    order = np.lexsort((start, hh, d))
-    d, hh, start = d[order], hh[order], start[order]
-    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (hh[1:] != hh[:-1]) | (start[1:] - start[:-1] > 1)]) if len(d) else np.zeros(0, np.int64)
-    last = np.r_[new[1:], len(d)] - 1 if len(new) else new
-    out = [(d[new], hh[new], start[new], start[last] - start[new] + 1, [None] * len(new))]
-    if hot.any():
-        mine = hot[row[at]]
-        second = common.shingles(common.mix(code + np.uint64(11)), window)[at][mine]
-        w, r = number[mine], row[at][mine]
-        s = first[r] + at[mine] - begin[r]
-        order = np.lexsort((s, h[r], doc[r], w))
-        order = order[np.r_[True, w[order][1:] != w[order][:-1]]]
-        key = np.stack([hashes[mine][order], second[order]], 1)
-        out.append((doc[r][order], h[r][order], s[order], np.ones(len(order), np.int64), [k.tobytes() for k in key]))
-    return out
-
-
-def _shards(window: int):
-    names = ["doc", "h", "start", "n", "key"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        for batch in batches:
+            for r in zip(*(batch.column(c).to_pylist() for c in ("shard", "batch", "windows"))):
+                if held and held[0][0] != r[0]:
+                    yield from flush()
+                held.append(r)
+        if held:
+            yield from flush()
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
+    asked = packs.select("batch", "lengths", "z").mapInArrow(ask, "shard int, batch long, windows binary")
+    answered = asked.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(answer, "batch long, shard int, later binary, owners binary")
+    return answered.groupBy("batch").agg(F.collect_list(F.struct("shard", "later", "owners")).alias("marks"))
 
-        def flush(rows: pa.Table):
-            num = lambda n: rows.column(n).to_numpy()
-            for part in locate(num("doc"), num("h"), num("first").astype(np.int64), num("salts") > 1, rows.column("text").combine_chunks(), window):
-                for i in range(0, len(part[0]), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 200_000], t) if isinstance(c, list) else pa.array(c[i : i + 200_000]).cast(t) for c, t in zip(part, types)], names)
 
-        def weight(rows) -> np.ndarray:
-            return pc.binary_length(rows.column("text")).to_numpy(zero_copy_only=False) / 6
+def _wanted(packs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
+    """(owner, batch, hashes, lengths): the distinct runs of windows of a pack that an earlier one, the owner, has."""
 
-        size = 0.0
+    def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                held.append(batch.slice(i, 2000))
-                size += float(weight(held[-1]).sum())
-                if size < 4 * PER_AUTOMATON:
+            for i in range(batch.num_rows):
+                _, _, place, found = windows_of(*_unpack(batch, i), window)
+                marks = sorted((m["shard"], m["later"], m["owners"]) for m in batch.column("marks")[i].as_py())
+                later = np.frombuffer(b"".join(m[1] for m in marks), bool)
+                if not later.any():
                     continue
-                # groups of one anchor stay together: cut before the last one
-                rows = pa.Table.from_batches(held)
-                anchor, salt = rows.column("anchor").to_numpy(), rows.column("salt").to_numpy()
-                cut = int(np.flatnonzero((anchor != anchor[-1]) | (salt != salt[-1]))[-1:].sum() + 1) if ((anchor != anchor[-1]) | (salt != salt[-1])).any() else 0
-                if cut:
-                    yield from flush(rows.slice(0, cut))
-                    held = rows.slice(cut).combine_chunks().to_batches()
-                    size = sum(float(weight(b).sum()) for b in held)
-        if held:
-            yield from flush(pa.Table.from_batches(held))
+                owner = np.full(len(later), -1)
+                owner[later] = np.frombuffer(b"".join(m[2] for m in marks), np.int64)
+                owner = owner[np.unique(found, return_inverse=True)[1]]
+                cut = np.r_[True, (np.diff(owner) != 0) | (np.diff(place) != 1)]
+                first = np.flatnonzero(cut & (owner >= 0))
+                last = np.r_[np.flatnonzero(cut)[1:], len(owner)][np.searchsorted(np.flatnonzero(cut), first)]
+                runs: dict[int, dict[bytes, int]] = {}
+                for a, b in zip(first.tolist(), last.tolist()):
+                    runs.setdefault(int(owner[a]), {})[found[a:b].tobytes()] = b - a
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(list(runs), pa.int64()), pa.array(np.full(len(runs), batch.column("batch")[i].as_py())),
+                    pa.array([b"".join(r) for r in runs.values()], pa.binary()), pa.array([list(r.values()) for r in runs.values()], pa.list_(pa.int32())),
+                ], ["owner", "asker", "hashes", "lengths"])
 
-    return run
+    return packs.select("batch", "lengths", "z").join(marks, "batch").mapInArrow(run, "owner long, asker long, hashes binary, lengths array<int>")
 
 
-def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept, if asked for); one row per row of docs.
-
-    A word goes if a window of `window` words covers it whose words also start earlier: in a row
-    of a smaller id, or earlier in the row. Each window falls to an anchor, the lowest hash of
-    the GRAM-word runs in it; only anchors that occur twice can hold repeated windows. Their
-    surroundings, short snippets, go to shards by anchor. A shard confirms the windows that
-    recur, builds automata of bounded size over them and streams its snippets through them.
-    Frequent anchors are dealt over salts by place; the first places of the salts are then
-    compared by an aggregate. Texts move once, compressed; without recurring anchors they end there.
-
-    A null text has no words. Rows that repeat id and text are one document and get equal
-    results; rows with one id and other texts are ordered by a hash of the text. Null ids come
-    last. Other columns are ignored. An empty table gives none.
-    """
-    out_id = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc"), F.hash(text_col).alias("h"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).alias("id"))
-    placed = rows.select("doc", "h", "text").mapInArrow(_anchors(window), "anchor long, doc long, h int, first int, n int, k long")
-    recurring = placed.groupBy("anchor").agg(F.sum("k").alias("c"), F.sum("n").alias("w")).where("c > 1").select("anchor", F.ceil(F.col("w") / PER_SALT).cast("int").alias("salts"))
-    lists = placed.join(recurring, "anchor").groupBy("doc", "h").agg(F.collect_set(F.struct("first", "n", "anchor", "salts")).alias("runs"))
+def _phrases(packs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(batch, phrases): passages of earlier packs that a pack asked for, as they stand there, in one list for each owner."""
 
-    def squeeze(batches):
-        z = zstandard.ZstdCompressor(level=3)
+    def run(batches):
         for batch in batches:
-            packed = pa.array([z.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed, batch.column(3)], ["doc", "h", "z", "id"])
+            for i in range(batch.num_rows):
+                raw, off = _unpack(batch, i)
+                start, end, place, found = windows_of(raw, off, window)
+                order = np.argsort(found, kind="stable")
+                found, place, text = found[order], place[order], raw.tobytes()
+                askers, out = [], []
+                for asked in batch.column("asked")[i].as_py():
+                    want = np.frombuffer(asked["hashes"], np.uint64)
+                    at = np.minimum(np.searchsorted(found, want), len(found) - 1)
+                    here, have = place[at], found[at] == want
+                    edge = np.zeros(len(want), bool)
+                    edge[np.r_[0, np.cumsum(asked["runs"])[:-1]]] = True
+                    edge[1:] |= (np.diff(here) != 1) | ~have[:-1]
+                    first = np.flatnonzero(edge & have)
+                    # a phrase goes on while the owner's windows do
+                    stop = np.flatnonzero(np.r_[(edge | ~have)[1:], True])
+                    last = stop[np.searchsorted(stop, first)]
+                    askers.append(asked["asker"])
+                    out.append(list({text[start[here[a]] : end[here[b] + window - 1]] for a, b in zip(first.tolist(), last.tolist())}))
+                yield pa.RecordBatch.from_arrays([pa.array(askers, pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["batch", "phrases"])
+
+    salts = wanted.groupBy("owner").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
+    asked = wanted.join(salts, "owner").groupBy("owner", F.pmod(F.xxhash64("asker"), "salts").alias("salt")).agg(F.collect_list(F.struct("asker", "hashes", F.col("lengths").alias("runs"))).alias("asked"))
+    return packs.select("batch", "lengths", "z").join(asked.select(F.col("owner").alias("batch"), "asked"), "batch").mapInArrow(run, "batch long, phrases array<binary>")
+
+
+def occurrences(words: list[bytes], breaks: np.ndarray, phrases: list[list[bytes]], window: int):
+    """Yields (places, length) of each phrase in the words; none goes across a break. Automata hold PER_AUTOMATON words of phrases at most."""
+    parts = []
+    for p in phrases:
+        step = PER_AUTOMATON // 2 - window
+        parts += [p[i : i + step + window - 1] for i in range(0, max(1, len(p) - window + 1), step)]
+    a = 0
+    while a < len(parts):
+        b, size = a, 0
+        while b < len(parts) and (b == a or size + len(parts[b]) <= PER_AUTOMATON):
+            size, b = size + len(parts[b]), b + 1
+        letter: dict[bytes, int] = {}
+        for p in parts[a:b]:
+            for w in p:
+                letter.setdefault(w, len(letter) + 2)
+
+        def coded(some, gaps=None):
+            code = np.array([letter.get(w, 1) for w in some], np.uint32)
+            code[code >= 0xD800] += 0x800  # surrogates are no characters
+            return (code if gaps is None else np.insert(code, gaps, 0)).tobytes().decode("utf-32-le")
+
+        automaton = ahocorasick.Automaton()
+        for k, p in enumerate(parts[a:b]):
+            automaton.add_word(coded(p), k)
+        automaton.make_automaton()
+        hits = np.array(list(automaton.iter(coded(words, breaks))), np.int64).reshape(-1, 2)
+        # a zero stands before each break's word; take these out of the places
+        end = hits[:, 0] - np.searchsorted(breaks + np.arange(len(breaks)), hits[:, 0], "right")
+        order = np.lexsort((end, hits[:, 1]))
+        which, end = hits[order, 1], end[order]
+        cuts = np.flatnonzero(np.r_[True, np.diff(which) > 0]) if len(which) else which
+        for c, d in zip(cuts.tolist(), np.r_[cuts[1:], len(which)].tolist()):
+            n = len(parts[a + int(which[c])])
+            yield end[c:d] - n + 1, n
+        a = b
 
-    moved = rows.mapInArrow(squeeze, f"doc long, h int, z binary, id {out_id}").join(lists, ["doc", "h"], "left")
 
-    def settle(batches):
-        """Rows without recurring anchors are done; the others keep their compressed text."""
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                packed, open_ = part.column("z").to_pylist(), pc.is_valid(part.column("runs")).to_pylist()
-                words = [z.decompress(p).split() for p in packed]
-                kept = [None if o else b" ".join(w) for w, o in zip(words, open_)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column("doc"), part.column("h"), part.column("id"), pa.array(list(map(len, words)), pa.int64()),
-                    pa.array([None if k is None else hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                    pa.array([k.decode() if keep_text and k is not None else None for k in kept], pa.string()),
-                    pa.array([p if o else None for p, o in zip(packed, open_)], pa.binary()), part.column("runs"),
-                ], ["doc", "h", "id", "n_words", "sha", "kept", "z", "runs"])
-
-    runs_type = "array<struct<first:int,n:int,anchor:bigint,salts:int>>"
-    settled = common.written(moved.select("doc", "h", "id", "z", "runs").mapInArrow(settle, f"doc long, h int, id {out_id}, n_words long, sha string, kept string, z binary, runs {runs_type}"))
-    candidates = settled.where("z is not null")
-
-    def snippets(batches):
-        z = zstandard.ZstdDecompressor()
-        names, types = ["anchor", "salts", "doc", "h", "first", "text"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                words = z.decompress(batch.column("z")[i].as_py()).split()
-                runs = batch.column("runs")[i].values
-                first, n = (np.array(runs.field(k)).tolist() for k in (0, 1))
-                cut = pa.array([b" ".join(words[f : f + m + window - 1]).decode() for f, m in zip(first, n)], types[5])
-                d, h = batch.column("doc")[i].as_py(), batch.column("h")[i].as_py()
-                yield pa.RecordBatch.from_arrays([runs.field(2), runs.field(3), pa.array([d] * len(cut), types[2]), pa.array([h] * len(cut), types[3]), runs.field(0), cut], names)
-
-    cut = candidates.select("doc", "h", "z", "runs").mapInArrow(snippets, "anchor long, salts int, doc long, h int, first int, text string")
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc", "h", "first"), "salts"))
-    dealt = cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-    found = common.written(dealt.mapInArrow(_shards(window), "doc long, h int, start int, n int, key binary"))
-    keyed = found.where("key is not null")
-    firsts = keyed.groupBy("key").agg(F.min(F.struct("doc", "h", "start")).alias("best"))
-    late = keyed.join(firsts, "key").where(F.struct("doc", "h", "start") != F.col("best"))
-    spans = found.where("key is null").select("doc", "h", "start", "n").unionByName(late.select("doc", "h", "start", "n"))
-    spans = spans.groupBy("doc", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-
-    def cut_out(batches):
-        z = zstandard.ZstdDecompressor()
+def _located(packs: DataFrame, phrases: DataFrame, window: int, id_type: str, keep_text: bool) -> DataFrame:
+    """Every text of a pack streams through automata of the phrases that earlier packs hold, then of those that the pack itself repeats."""
+
+    def run(batches):
         for batch in batches:
-            removed, shas, kept_texts = [], [], []
             for i in range(batch.num_rows):
-                words = z.decompress(batch.column("z")[i].as_py()).split()
+                raw, off = _unpack(batch, i)
+                texts = [raw[a:b].tobytes().split() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+                words = [w for t in texts for w in t]
+                at = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+                breaks = np.unique(at[1:-1])
                 mark = np.zeros(len(words) + 1, np.int64)
-                if batch.column("spans")[i].is_valid:
-                    v = batch.column("spans")[i].values
-                    start, n = np.array(v.field(0)), np.array(v.field(1))
-                    np.add.at(mark, start, 1)
-                    np.add.at(mark, start + n + window - 1, -1)
+                if batch.column("phrases")[i].is_valid:
+                    earlier = [list(p) for p in {tuple(p.split()) for p in batch.column("phrases")[i].values.to_pylist()}]
+                    for place, n in occurrences(words, breaks, earlier, window):
+                        np.add.at(mark, place, 1)
+                        np.add.at(mark, place + n, -1)
                 gone = np.cumsum(mark)[:-1] > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                removed.append(int(gone.sum()))
-                shas.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept.decode() if keep_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    schema = f"doc_id {out_id}, n_words long, n_removed long, kept_sha256 string, kept string"
-    open_rows = candidates.select("doc", "h", "id", "n_words", "z").join(spans, ["doc", "h"], "left").mapInArrow(cut_out, schema)
-    done = settled.where("z is null").select(F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), "kept")
-    out = done.unionByName(open_rows)
-    return out if keep_text else out.drop("kept")
+                _, _, place, found = windows_of(raw, off, window)
+                order = np.argsort(found, kind="stable")
+                lead = np.maximum.accumulate(np.where(np.r_[True, np.diff(found[order]) > 0], np.arange(len(order)), 0)) if len(order) else order
+                first = np.empty_like(place)
+                first[order] = place[order[lead]]
+                left = np.r_[0, np.cumsum(~gone)]
+                again = np.flatnonzero((first != place) & (left[place + window] > left[place]))
+                if len(again):
+                    p, f = place[again], first[again]
+                    cut = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(f) != 1)])
+                    own = {tuple(words[p[a] : p[b - 1] + window]) for a, b in zip(cut.tolist(), np.r_[cut[1:], len(p)].tolist())}
+                    for where, n in occurrences(words, breaks, [list(p) for p in own], window):
+                        np.add.at(mark, where[1:], 1)
+                        np.add.at(mark, where[1:] + n, -1)
+                    gone = np.cumsum(mark)[:-1] > 0
+                lost = np.r_[0, np.cumsum(gone)]
+                removed = lost[at[1:]] - lost[at[:-1]]
+                sha, kept = [], []
+                for k, t in enumerate(texts):
+                    if removed[k]:
+                        t = [w for w, g in zip(t, gone[at[k] : at[k + 1]].tolist()) if not g]
+                    text = b" ".join(t)
+                    sha.append(hashlib.sha256(text).hexdigest())
+                    if keep_text:
+                        kept.append(text.decode())
+                ids = batch.column("ids")[i].values
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(removed), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if keep_text else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])])
+
+    return packs.join(phrases, "batch", "left").select("ids", "lengths", "z", "phrases").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{', kept string' if keep_text else ''}")
+
+
+def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (and kept, if asked for); one row per row of docs.
+
+    A word goes if a window of `window` words covers it whose words also start earlier: in a row
+    of a smaller id, or earlier in the row. Texts are packed in order of id. Each pack sends the
+    hash of each of its windows once to the hash's shard; the shard confirms which recur and tells
+    a pack which earlier pack has a window first. That pack sends the recurring passages, as they
+    stand in its texts. They are the phrases of the asking pack's automata, of bounded size, and
+    all texts of the pack stream through these, which locate every occurrence by its words. Windows
+    that recur inside a pack get automata likewise; of their occurrences the first stays.
+
+    A null text has no words. Rows of one id are ordered by a hash of their texts; of rows that
+    repeat both, one is first. Null ids come last, in order of that hash. Other columns are ignored.
+    An empty table gives none. Two different windows with one 64-bit hash can hide a repeat; nothing
+    is removed unless its words repeat.
+    """
+    packs = _packs(docs, id_col, text_col)
+    wanted = common.written(_wanted(packs, _confirmed(packs, window), window))
+    phrases = common.written(_phrases(packs, wanted, window))
+    lists = phrases.groupBy("batch").agg(F.flatten(F.collect_list("phrases")).alias("phrases"))
+    return _located(packs, lists, window, docs.schema[id_col].dataType.simpleString(), keep_text)

@@ -125,24 +125,46 @@ def test_near_copies_of_two_classes_link(spark, edge, low, large):
     assert len(set(root)) < 8
 
 
-@pytest.mark.parametrize("per_salt", [16000, 30])
-def test_repeated_passages(docs, empty, per_salt, monkeypatch):
-    monkeypatch.setattr(phrase_dedup, "PER_SALT", per_salt)
-    seen, want = set(), {}
-    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
-        w = WORD.findall(r["text"] or "")
+def brute_repeats(rows, window=20):
+    """Rows in order; (words, removed, kept words) of each."""
+    seen, want = set(), []
+    for t in rows:
+        w = WORD.findall(t or "")
         gone = [False] * len(w)
-        for i in range(len(w) - 19):
-            k = tuple(w[i : i + 20])
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
             if k in seen:
-                gone[i : i + 20] = [True] * 20
+                gone[i : i + window] = [True] * window
             seen.add(k)
-        want[r["doc_id"]] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest())
+        want.append((len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("pack, automaton", [(4 << 20, 160_000), (1500, 90)])
+def test_repeated_passages(docs, empty, pack, automaton, monkeypatch):
+    monkeypatch.setattr(phrase_dedup, "PACK", pack)
+    monkeypatch.setattr(phrase_dedup, "PER_AUTOMATON", automaton)
+    rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
+    want = dict(zip((r["doc_id"] for r in rows), brute_repeats([r["text"] for r in rows])))
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in by_id(phrase_dedup.repeated_passages(docs)).items()} == want
-    if per_salt == 30:
+    if pack == 1500:
         assert phrase_dedup.repeated_passages(empty).count() == 0
 
 
+def test_repeated_passages_of_repeated_rows_and_long_texts(spark, monkeypatch):
+    """Null and repeated ids, equal rows, a text of 60,000 words that repeats itself, periodic texts over packs."""
+    monkeypatch.setattr(phrase_dedup, "PACK", 20_000)
+    rng = random.Random(8)
+    some = lambda k: " ".join(rng.choice("a b c d e f".split()) + rng.choice("xyz") for _ in range(k))
+    passage = some(300)
+    long = some(30_000) + " " + passage + "\x00 " + some(29_000) + " " + passage
+    rows = [(1, long), (2, passage), (2, passage), (3, "n " * 500), (4, "n " * 25), (5, some(40) + " " + passage[:200] + " " + some(10)), (None, passage), (None, "z " * 30)]
+    got = phrase_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_text=True).collect()
+    want = brute_repeats([t for _, t in rows[:6]])
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got if r["doc_id"]) == sorted((i, *w) for (i, _), w in zip(rows, want))
+    assert sorted((r["n_words"], r["n_removed"]) for r in got if r["doc_id"] is None) == [(30, 29), (300, 300)]
+
+
 def test_mix_meets_targets(docs, empty):
     got = source_mix.mix_sources(docs).collect()
     again = source_mix.mix_sources(docs.repartition(7)).collect()
