@@ -11,11 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<""", re.S)
+# comments, other declarations and end tags without a name, tags (a quote counts only after "="), text
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)|[^<]+|<""", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:@-][\w:.-]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 # Fixed sets of the HTML standard: elements without content, with raw content, in a line, closing a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br ruby rt rp".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -52,21 +54,13 @@ class Node:
 def parse(page: str) -> list[Node]:
     """Nodes of a page in document order; the first is the root. Broken markup gives some tree, never an error."""
     root = Node("#root", None)
-    nodes, here, raw = [root], root, None
-    for m in TOKEN.finditer(page):
-        tag = m[2]
-        if raw is not None:
-            if tag is None or not m[1] or tag.lower() != raw:
-                continue
-            raw = None
+    nodes, here, at = [root], root, 0
+    while m := TOKEN.match(page, at):
+        tag, at = m[2], m.end()
         if tag is None:
             t = m[0]
-            if t[:2] != "<!" and t[:2] != "<?" and not t.isspace():
-                node = Node("#text", here, 0, t)
-                here.kids.append(node)
-                nodes.append(node)
-            elif t[:2] != "<!" and t[:2] != "<?":
-                node = Node("#space", here, 0, " ")
+            if t[:2] not in ("<!", "<?", "</"):
+                node = Node("#space", here, 0, " ") if t.isspace() else Node("#text", here, 0, t)
                 here.kids.append(node)
                 nodes.append(node)
             continue
@@ -102,7 +96,10 @@ def parse(page: str) -> list[Node]:
         here.kids.append(node)
         nodes.append(node)
         if tag in RAW:
-            raw = tag if not m[3].rstrip().endswith("/") else None
+            # its content ends at its own end tag only; what looks like markup before that is none
+            if tag != "svg" or not m[3].endswith("/"):
+                end = RAW_END[tag].search(page, at)
+                at = end.start() if end else len(page)
         elif tag not in VOID:
             here = node
     return nodes
@@ -301,18 +298,19 @@ def fit_extractor(pages: list[str], seed: int = 7, made: int = 500) -> Trees:
     return Trees().fit(np.vstack(xs), np.concatenate(ys))
 
 
-def extract_main_text(pages: DataFrame, sample: int = 400, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, sample: int = 400, sample_chars: int = 20_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page from its whole html.
 
-    The model is fitted on the driver on pages made from the paragraphs of at most `sample`
-    pages (the ones with the smallest hash of their html), so its size has a fixed bound; tasks
-    get it with the function. Scoring needs no shuffle. A null or empty html, or a page without
+    The model is fitted on the driver on pages made from the paragraphs in the first `sample_chars`
+    characters of at most `sample` pages (the ones with the smallest hash of their html), so its
+    size has a fixed bound; tasks get it with the function. Every page is scored whole, without a
+    shuffle. A null or empty html, or a page without
     main text, gives an empty text; repeated rows each give a row; other columns are ignored; an
     empty table gives none.
     """
     from pyspark.sql import functions as F
 
-    hashed = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h"), F.substring(html_col, 1, 20000).alias("html"))
+    hashed = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(html_col).alias("h"), F.substring(html_col, 1, sample_chars).alias("html"))
     lowest = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
     # only the hashes are ordered; the pages up to the last of them are fetched, one a hash
     some = hashed.where(F.col("h") <= lowest[-1]).groupBy("h").agg(F.min("html").alias("html")).collect() if lowest else []
