@@ -50,11 +50,12 @@ def characters(parts: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarra
 
 
 def packed(grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-    """One integer for each gram: 16 bits a character, characters by place in the sorted alphabet."""
+    """One key for each gram: 16 bits a character by place in the sorted alphabet; its bytes where the alphabet is larger than that."""
+    if len(alphabet) > 65536:
+        return np.ascontiguousarray(grams, np.uint32).view(f"S{4 * grams.shape[1]}").ravel()
     key = np.zeros(len(grams), np.uint64)
     for k in range(grams.shape[1]):
-        at = np.searchsorted(alphabet, grams[:, k]).astype(np.uint64)
-        key = (key << np.uint64(16)) | np.minimum(at, np.uint64(65535))
+        key = (key << np.uint64(16)) | np.searchsorted(alphabet, grams[:, k]).astype(np.uint64)
     return key
 
 
@@ -112,7 +113,9 @@ class KneserNey:
             by = ["lang", F.expr(f"substr(gram, 1, {k - 1})").alias("ctx")]
             self.context[k] = t.groupBy(*by).agg(F.sum("c").alias("total"), *[F.count_if(F.col("c") == j).alias(f"f{j}") for j in (1, 2)], F.count_if(F.col("c") >= 3).alias("f3"))
             self.context[k] = self.context[k].join(self.discount[k], "lang").select("lang", "ctx", "total", "d1", "d2", "d3", ((F.col("d1") * F.col("f1") + F.col("d2") * F.col("f2") + F.col("d3") * F.col("f3")) / F.col("total")).alias("back"))
-        self.signs = self.level[1].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("uniform"))
+        self.signs = common.written(self.level[1].groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("uniform")))
+        # at order 1 a language has one context: a row a language, which joins dealt by context could not spread
+        self.context[1] = common.written(self.context[1].drop("ctx"))
 
     def log_chance(self, grams: DataFrame) -> DataFrame:
         """(lang, gram, logp) of distinct (lang, gram): for each order a join of counts and one of contexts."""
@@ -120,7 +123,7 @@ class KneserNey:
         for k in range(1, ORDER + 1):
             tail = F.expr(f"substr(gram, {ORDER - k + 1}, {k})")
             out = out.withColumns({"tail": tail, "ctx": F.expr(f"substr(gram, {ORDER - k + 1}, {k - 1})")})
-            out = out.join(self.level[k].withColumnRenamed("gram", "tail"), ["lang", "tail"], "left").join(self.context[k], ["lang", "ctx"], "left")
+            out = out.join(self.level[k].withColumnRenamed("gram", "tail"), ["lang", "tail"], "left").join(self.context[k], ["lang", "ctx"] if k > 1 else "lang", "left")
             off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
             seen = F.coalesce(F.greatest(F.lit(0.0), F.col("c") - off) / F.col("total"), F.lit(0.0))
             out = out.select("lang", "gram", F.when(F.col("total").isNull(), F.col("p")).otherwise(seen + F.col("back") * F.col("p")).alias("p"))
@@ -162,22 +165,23 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
         z = zstandard.ZstdCompressor(level=3)
         for name, ids, langs, texts, keys in parts(batches):
             for lang, at, group in _by_lang(langs, texts):
-                blob = z.compress("\0".join(t.replace("\0", " ") for t in group).encode())
-                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([lang], pa.string()), pa.array([[ids[i] for i in at]], pa.list_(batch_type)), pa.array([blob], pa.binary()), pa.array([[keys[i] for i in at]], pa.list_(pa.int64()))], ["name", "lang", "ids", "z", "keys"])
+                blob = z.compress("".join(group).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([lang], pa.string()), pa.array([[ids[i] for i in at]], pa.list_(batch_type)), pa.array([blob], pa.binary()), pa.array([[len(t) for t in group]], pa.list_(pa.int32())), pa.array([[keys[i] for i in at]], pa.list_(pa.int64()))], ["name", "lang", "ids", "z", "lengths", "keys"])
 
     batch_type = pa.int64() if id_type in ("bigint", "int") else pa.string()
     some = common.written(docs.mapInArrow(asked, "name long, lang string, gram string"))
     chances = model.log_chance(some.select("lang", "gram").distinct())
     answers = some.join(chances, ["lang", "gram"]).groupBy("name", "lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
-    blobs = docs.mapInArrow(carried, f"name long, lang string, ids array<{'bigint' if batch_type == pa.int64() else 'string'}>, z binary, keys array<bigint>")
-    met = blobs.join(answers, ["name", "lang"], "left")
+    blobs = docs.mapInArrow(carried, f"name long, lang string, ids array<{'bigint' if batch_type == pa.int64() else 'string'}>, z binary, lengths array<int>, keys array<bigint>")
+    met = blobs.join(answers, ["name", "lang"], "left").join(model.signs.select("lang", F.lit(True).alias("known")), "lang", "left")
 
     def score(batches):
         d = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
                 ids, lang = batch.column("ids")[i].values, batch.column("lang")[i].as_py()
-                texts = d.decompress(batch.column("z")[i].as_py()).decode().split("\0")
+                whole, ends = d.decompress(batch.column("z")[i].as_py()).decode(), np.cumsum(batch.column("lengths")[i].as_py()).tolist()
+                texts = [whole[a:b] for a, b in zip([0, *ends], ends)]
                 n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 if batch.column("grams")[i].is_valid:
                     text = "".join(batch.column("grams")[i].values.to_pylist())
@@ -196,11 +200,10 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
                         total += np.bincount(row, logp[at], minlength=len(texts))
                 else:
                     n += np.array([len(" ".join(t.split())) for t in texts], np.int64)
-                if not batch.column("grams")[i].is_valid and lang in known and any(t.strip() for t in texts):
+                if not batch.column("grams")[i].is_valid and batch.column("known")[i].is_valid and any(t.strip() for t in texts):
                     raise ValueError("a batch found no answer: the documents must be a table that reads alike twice")
                 yield pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(texts), pa.string()), pa.array(n), pa.array(total), *([batch.column("keys")[i].values] if keyed else [])], ["doc_id", "lang", "n", "logp", *(["row_key"] if keyed else [])])
 
-    known = frozenset(r[0] for r in model.signs.select("lang").limit(10_000).collect())
     return met.mapInArrow(score, f"doc_id {'bigint' if batch_type == pa.int64() else 'string'}, lang string, n long, logp double{', row_key long' if keyed else ''}")
 
 
