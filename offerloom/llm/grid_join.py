@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm import common
 
-CELL_DIMS, BOX_DIMS, BLOCK, LEAF = 3, 8, 512, 128
+#: Leading axes that order the points, axes of the boxes, points of a block and of an interval that is not halved further.
+CELL_DIMS, BOX_DIMS, BLOCK, LEAF = 8, 16, 8192, 256
 
 
 def principal_axes(sample: np.ndarray) -> np.ndarray:
@@ -73,11 +74,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample: int = 10000, i
     """vec_id, n_links, component_id, kept: links of cosine >= least, in double precision.
 
     Equal vectors are one point first. Points are projected on leading principal axes (of a
-    sample of at most `sample` points) and ordered by grid cells of the side eps that the cosine
-    allows between unit vectors. Runs of at most 512 points of one cell become blocks with
-    bounding boxes; a block meets the blocks of its 27 neighbour cells, and every pair is joined
-    recursively, skipping intervals whose boxes are more than eps apart. A pair of blocks gives
-    link counts and each point's smallest linked id, never its pairs.
+    sample of at most `sample` points; coordinate axes for lengths that it lacks) and ordered by
+    length and by grid cells of the side eps that the cosine allows between unit vectors. Runs of
+    at most BLOCK points in this order are blocks with bounding boxes; a block meets the blocks
+    whose first cells reach into its own or the next, unless their boxes are more than eps apart. A
+    pair of blocks is joined recursively, skipping distant intervals; it gives link counts and
+    each point's smallest linked id, never its pairs. A block moves once for each block it meets:
+    where no axis tells points apart, that is N / BLOCK times.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without an id,
     link with nothing. Vectors of different lengths do not link. Repeated rows count as vectors.
@@ -87,79 +90,73 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, sample: int = 10000, i
     good = F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(good, F.transform(x, lambda v: v + 0.0)).alias("x"))
     points = common.written(rows.where("x is not null").groupBy("x").agg(F.min("vec_id").cast("long").alias("id"), F.count("*").alias("size")))
-    dims = [r[0] for r in points.select(F.size("x")).distinct().limit(1000).collect()]
-    out = [_joined(points.where(F.size("x") == d), d, eps, least, sample) for d in dims]
-    spark = vectors.sparkSession
-    found = common.written(out[0] if len(out) == 1 else _union(out)) if out else None
-    if found is None:
-        groups = points.select("x", "id", "size", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
-    else:
-        links = found.groupBy("id").agg(F.sum("links").alias("links"))
-        parts = common.components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "cid")
-        groups = points.join(links, "id", "left").join(parts, F.col("id") == F.col("cid"), "left").select("x", "id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "id").alias("component"))
+    found = common.written(_joined(points, eps, least, sample))
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    parts = common.components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("id", "cid")
+    groups = points.join(links, "id", "left").join(parts, F.col("id") == F.col("cid"), "left").select("x", "id", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "id").alias("component"))
     joined = rows.join(groups.withColumnRenamed("x", "gx"), F.col("x") == F.col("gx"), "left")
     component = F.coalesce("component", F.col("vec_id").cast("long"))
     return joined.select("vec_id", F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").cast("long").eqNullSafe(component).alias("kept"))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _joined(points: DataFrame, dim: int, eps: float, least: float, sample: int) -> DataFrame:
+def _joined(points: DataFrame, eps: float, least: float, sample: int) -> DataFrame:
     """(id, links, low) for each pair of blocks and point with links in it."""
-    some = points.orderBy(F.xxhash64("x"), "id").limit(sample).select("x").collect()
-    s = np.array([r[0] for r in some], float)
-    axes = principal_axes(s / np.linalg.norm(s, axis=1, keepdims=True))
-    k, c = axes.shape[1], min(CELL_DIMS, axes.shape[1])
+    by_length: dict[int, list] = {}
+    for r in points.orderBy(F.xxhash64("x"), "id").limit(sample).select("x").collect():
+        by_length.setdefault(len(r[0]), []).append(r[0])
+    axes = {}
+    for length, found in by_length.items():
+        v = np.array(found, float)
+        axes[length] = principal_axes(v / np.linalg.norm(v, axis=1, keepdims=True))
 
     def place(batches):
         for batch in batches:
-            v = np.array(batch.column(0).flatten()).reshape(batch.num_rows, dim)
-            y = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ axes
-            cell = np.floor(y / eps).astype(np.int32)
-            lists = lambda m, t: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(m).ravel(), t), m.shape[1]).cast(pa.list_(t))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(0), lists(y, pa.float64()), lists(cell, pa.int32())], ["id", "size", "x", "y", "cell"])
-
-    placed = points.select("x", "id", "size").mapInArrow(place, "id long, size long, x array<double>, y array<double>, cell array<int>")
-    ordered = placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id")
+            lists = batch.column(0)
+            length = np.asarray(pc.list_value_length(lists))
+            for d in np.unique(length).tolist():
+                at = pa.array(np.flatnonzero(length == d))
+                x = lists.take(at)
+                v = np.array(x.flatten()).reshape(-1, d)
+                y = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ axes.get(d, np.eye(d)[:, :BOX_DIMS])
+                cell = np.floor(y[:, :CELL_DIMS] / eps).astype(np.int32)
+                rows = lambda m, t: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(m).ravel(), t))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), rows(cell, pa.int32()), batch.column(1).take(at), batch.column(2).take(at), x, rows(y, pa.float64())], ["length", "cell", "id", "size", "x", "y"])
+
+    placed = points.select("x", "id", "size").mapInArrow(place, "length int, cell array<int>, id long, size long, x array<double>, y array<double>")
+    ordered = placed.repartitionByRange("length", "cell", "id").sortWithinPartitions("length", "cell", "id")
 
     def pack(batches):
         held: list = []
 
         def flush():
-            y = np.array([h[3] for h in held])
-            first, x = held[0], np.array([h[2] for h in held])
-            ids, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-            row = [[int(first[0])], [[int(q) for q in first[4][:c]]], [y.min(0).tolist()], [y.max(0).tolist()], [ids.tobytes()], [sizes.tobytes()], [x.tobytes()], [y.tobytes()]]
-            types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            y, x = np.array([h[5] for h in held]), np.array([h[4] for h in held])
+            ids, sizes = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
+            row = [int(ids[0]), held[0][0], held[0][1][0], held[-1][1][0], y.min(0).tolist(), y.max(0).tolist(), ids.tobytes(), sizes.tobytes(), x.tobytes(), y.tobytes()]
+            types = [pa.int64(), *[pa.int32()] * 3, *[pa.list_(pa.float64())] * 2, *[pa.binary()] * 4]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["block", "cell", "lo", "hi", "ids", "sizes", "x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], ["block", "length", "first", "last", "lo", "hi", "ids", "sizes", "x", "y"])
 
         for batch in batches:
             for r in zip(*(col.to_pylist() for col in batch.columns)):
-                if held and (len(held) >= BLOCK or held[0][4][:c] != r[4][:c]):
+                if held and (len(held) >= BLOCK or held[0][0] != r[0]):
                     yield flush()
                 held.append(r)
         if held:
             yield flush()
 
-    blocks = common.written(ordered.mapInArrow(pack, "block long, cell array<int>, lo array<double>, hi array<double>, ids binary, sizes binary, x binary, y binary"))
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=c) if s >= (0,) * c]  # one of each opposite pair of neighbours
-    near = F.explode(F.array(*[F.array(*[F.col("cell")[i] + s[i] for i in range(c)]) for s in steps]))
-    box = lambda p: blocks.select(F.col("block").alias(f"{p}block"), F.col("cell").alias(f"{p}cell"), F.col("lo").alias(f"{p}lo"), F.col("hi").alias(f"{p}hi"))
-    left = blocks.select(F.col("block").alias("ablock"), F.col("cell").alias("acell"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), near.alias("bcell"))
+    blocks = common.written(ordered.mapInArrow(pack, "block long, length int, first int, last int, lo array<double>, hi array<double>, ids binary, sizes binary, x binary, y binary"))
+    # a block's points lie in the cells first..last of the leading axis
+    left = blocks.select("length", F.col("block").alias("ablock"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)).alias("cell"))
+    right = blocks.select("length", F.col("block").alias("bblock"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.explode(F.sequence("first", "last")).alias("cell"))
     gap = F.aggregate(F.zip_with(F.arrays_zip("alo", "ahi"), F.arrays_zip("blo", "bhi"), lambda p, q: F.greatest(F.lit(0.0), p["alo"] - q["bhi"], q["blo"] - p["ahi"])), F.lit(0.0), lambda acc, g: acc + g * g)
-    pairs = left.join(box("b"), "bcell").where((F.col("acell") != F.col("bcell")) | (F.col("ablock") <= F.col("bblock"))).where(gap <= eps * eps).select("ablock", "bblock")
+    pairs = left.join(right, ["length", "cell"]).where("ablock <= bblock").where(gap <= eps * eps).select("ablock", "bblock").distinct()
     full = lambda p: blocks.select(F.col("block").alias(f"{p}block"), *[F.col(n).alias(p + n) for n in ("ids", "sizes", "x", "y")])
     met = pairs.join(full("a"), "ablock").join(full("b"), "bblock").select("ablock", "bblock", *[p + n for p in "ab" for n in ("x", "y", "ids", "sizes")])
 
     def side(r, at):
-        x = np.frombuffer(r[at].as_py()).reshape(-1, dim)
-        return x, np.linalg.norm(x, axis=1), np.frombuffer(r[at + 1].as_py()).reshape(-1, k), np.frombuffer(r[at + 2].as_py(), np.int64), np.frombuffer(r[at + 3].as_py(), np.int64)
+        ids, sizes = (np.frombuffer(r[at + k].as_py(), np.int64) for k in (2, 3))
+        x = np.frombuffer(r[at].as_py()).reshape(len(ids), -1)
+        return x, np.linalg.norm(x, axis=1), np.frombuffer(r[at + 1].as_py()).reshape(len(ids), -1), ids, sizes
 
     def join(batches):
         for batch in batches:
