@@ -71,18 +71,28 @@ def _packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     moved = rows.mapInArrow(squeeze, f"doc long, h long, id {id_type}, z binary")
     ordered = moved.repartitionByRange("doc", "h").sortWithinPartitions("doc", "h").select("id", "z")
-    return common.written(ordered.mapInArrow(pack, f"batch long, ids array<{id_type}>, lengths array<int>, z binary"))
+    return common.written(ordered.mapInArrow(pack, f"batch long, ids array<{id_type}>, lengths array<int>, z binary"), free=True)
 
 
-def _confirmed(packs: DataFrame, window: int) -> DataFrame:
-    """(batch, marks): for each shard, a byte for each distinct window of a pack (1: an earlier pack has it) and these packs."""
+def _split(packs: DataFrame) -> int:
+    """Leading bits of a window's hash that name its shard; further bits name the window in 7 bytes."""
     total = int(packs.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]) // 6
-    split = max(3, (total // PER_SHARD).bit_length())
+    return max(3, (total // PER_SHARD).bit_length())
+
+
+def _cut(found: np.ndarray, split: int) -> np.ndarray:
+    """The bits of hashes that shard and 7 bytes hold: all 64 from 256 shards on."""
+    low = np.uint64(max(0, 8 - split))
+    return (found >> low) << low
+
+
+def _wanted(packs: DataFrame, window: int, split: int) -> DataFrame:
+    """(owner, asker, windows): confirmed windows of a pack, the asker, that an earlier one, the owner, has first."""
 
     def ask(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found = np.unique(windows_of(*_unpack(batch, i), window)[3])
+                found = np.unique(_cut(windows_of(*_unpack(batch, i), window)[3], split))
                 if not len(found):
                     continue
                 shard = (found >> np.uint64(64 - split)).astype(np.int32)
@@ -98,19 +108,22 @@ def _confirmed(packs: DataFrame, window: int) -> DataFrame:
             raw = np.frombuffer(b"".join(h[2] for h in held), np.uint8).reshape(-1, 7)
             key = np.zeros((len(raw), 8), np.uint8)
             key[:, :7] = raw
+            key = key.view(np.uint64).ravel()
             own = np.repeat(np.array([h[1] for h in held]), [len(h[2]) // 7 for h in held])
             # packs come in order, so the first row of a window is its earliest pack
-            _, first, at = np.unique(key.view(np.uint64).ravel(), return_index=True, return_inverse=True)
+            _, first, at = np.unique(key, return_index=True, return_inverse=True)
             owner = own[first][at]
-            later = owner != own
-            ends = np.cumsum([len(h[2]) // 7 for h in held]).tolist()
-            for a in range(0, len(held), 500):
-                some = list(zip(held[a : a + 500], ends[a : a + 500]))
-                cuts = [slice(e - len(h[2]) // 7, e) for h, e in some]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([h[1] for h, _ in some]), pa.array([h[0] for h, _ in some], pa.int32()),
-                    pa.array([later[c].tobytes() for c in cuts], pa.binary()), pa.array([owner[c][later[c]].tobytes() for c in cuts], pa.binary()),
-                ], ["batch", "shard", "later", "owners"])
+            later = np.flatnonzero(owner != own)
+            owner, own = owner[later], own[later]
+            full = (key[later] << np.uint64(8)) >> np.uint64(split) | (np.uint64(held[0][0]) << np.uint64(64 - split))
+            order = np.lexsort((own, owner))
+            owner, own, full = owner[order], own[order], full[order]
+            cuts = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(own) != 0)]) if len(own) else later
+            ends = np.r_[cuts[1:], len(own)]
+            for a in range(0, len(cuts), 5000):
+                c, e = cuts[a : a + 5000], ends[a : a + 5000]
+                blobs = pa.array([full[x:y].tobytes() for x, y in zip(c.tolist(), e.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(owner[c]), pa.array(own[c]), blobs], ["owner", "asker", "windows"])
             held.clear()
 
         for batch in batches:
@@ -122,67 +135,50 @@ def _confirmed(packs: DataFrame, window: int) -> DataFrame:
             yield from flush()
 
     asked = packs.select("batch", "lengths", "z").mapInArrow(ask, "shard int, batch long, windows binary")
-    answered = asked.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(answer, "batch long, shard int, later binary, owners binary")
-    return answered.groupBy("batch").agg(F.collect_list(F.struct("shard", "later", "owners")).alias("marks"))
+    return asked.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(answer, "owner long, asker long, windows binary")
 
 
-def _wanted(packs: DataFrame, marks: DataFrame, window: int) -> DataFrame:
-    """(owner, batch, hashes, lengths): the distinct runs of windows of a pack that an earlier one, the owner, has."""
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, _, place, found = windows_of(*_unpack(batch, i), window)
-                marks = sorted((m["shard"], m["later"], m["owners"]) for m in batch.column("marks")[i].as_py())
-                later = np.frombuffer(b"".join(m[1] for m in marks), bool)
-                if not later.any():
-                    continue
-                owner = np.full(len(later), -1)
-                owner[later] = np.frombuffer(b"".join(m[2] for m in marks), np.int64)
-                owner = owner[np.unique(found, return_inverse=True)[1]]
-                cut = np.r_[True, (np.diff(owner) != 0) | (np.diff(place) != 1)]
-                first = np.flatnonzero(cut & (owner >= 0))
-                last = np.r_[np.flatnonzero(cut)[1:], len(owner)][np.searchsorted(np.flatnonzero(cut), first)]
-                runs: dict[int, dict[bytes, int]] = {}
-                for a, b in zip(first.tolist(), last.tolist()):
-                    runs.setdefault(int(owner[a]), {})[found[a:b].tobytes()] = b - a
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(list(runs), pa.int64()), pa.array(np.full(len(runs), batch.column("batch")[i].as_py())),
-                    pa.array([b"".join(r) for r in runs.values()], pa.binary()), pa.array([list(r.values()) for r in runs.values()], pa.list_(pa.int32())),
-                ], ["owner", "asker", "hashes", "lengths"])
-
-    return packs.select("batch", "lengths", "z").join(marks, "batch").mapInArrow(run, "owner long, asker long, hashes binary, lengths array<int>")
-
-
-def _phrases(packs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(batch, phrases): passages of earlier packs that a pack asked for, as they stand there, in one list for each owner."""
+def _passages(packs: DataFrame, wanted: DataFrame, window: int, split: int) -> DataFrame:
+    """(batch, passages): for each pack that asks, the passages that hold its windows as they stand in an earlier pack."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, off = _unpack(batch, i)
                 start, end, place, found = windows_of(raw, off, window)
+                found = _cut(found, split)
                 order = np.argsort(found, kind="stable")
                 found, place, text = found[order], place[order], raw.tobytes()
-                askers, out = [], []
-                for asked in batch.column("asked")[i].as_py():
-                    want = np.frombuffer(asked["hashes"], np.uint64)
-                    at = np.minimum(np.searchsorted(found, want), len(found) - 1)
-                    here, have = place[at], found[at] == want
-                    edge = np.zeros(len(want), bool)
-                    edge[np.r_[0, np.cumsum(asked["runs"])[:-1]]] = True
-                    edge[1:] |= (np.diff(here) != 1) | ~have[:-1]
-                    first = np.flatnonzero(edge & have)
-                    # a phrase goes on while the owner's windows do
-                    stop = np.flatnonzero(np.r_[(edge | ~have)[1:], True])
-                    last = stop[np.searchsorted(stop, first)]
-                    askers.append(asked["asker"])
-                    out.append(list({text[start[here[a]] : end[here[b] + window - 1]] for a, b in zip(first.tolist(), last.tolist())}))
-                yield pa.RecordBatch.from_arrays([pa.array(askers, pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["batch", "phrases"])
-
-    salts = wanted.groupBy("owner").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
-    asked = wanted.join(salts, "owner").groupBy("owner", F.pmod(F.xxhash64("asker"), "salts").alias("salt")).agg(F.collect_list(F.struct("asker", "hashes", F.col("lengths").alias("runs"))).alias("asked"))
-    return packs.select("batch", "lengths", "z").join(asked.select(F.col("owner").alias("batch"), "asked"), "batch").mapInArrow(run, "batch long, phrases array<binary>")
+                asked: dict[int, list[bytes]] = {}
+                for r in batch.column("asked")[i].as_py():
+                    asked.setdefault(r["asker"], []).append(r["windows"])
+                out = []
+                for blobs in asked.values():
+                    want = np.frombuffer(b"".join(blobs), np.uint64)
+                    here = np.sort(place[np.searchsorted(found, want)])
+                    cut = np.flatnonzero(np.r_[True, np.diff(here) > 1])
+                    out.append(list({text[start[here[a]] : end[here[b - 1] + window - 1]] for a, b in zip(cut.tolist(), np.r_[cut[1:], len(here)].tolist())}))
+                yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["batch", "passages"])
+
+    # a pack that very many ask answers in several tasks, each for some of the askers
+    salts = wanted.groupBy("owner").agg(F.ceil(F.countDistinct("asker") / PER_SALT).cast("int").alias("salts"))
+    asked = wanted.join(salts, "owner").groupBy("owner", F.pmod(F.xxhash64("asker"), "salts").alias("salt")).agg(F.collect_list(F.struct("asker", "windows")).alias("asked"))
+    return packs.select("batch", "lengths", "z").join(asked.select(F.col("owner").alias("batch"), "asked"), "batch").mapInArrow(run, "batch long, passages array<binary>")
+
+
+def _shared(passages: list[bytes], place: np.ndarray, found: np.ndarray, window: int, split: int) -> list[list[bytes]]:
+    """What passages and a pack share: for each run of the pack's windows that also stand in a row in a passage, the passage's words there."""
+    off = np.r_[0, np.cumsum([len(p) for p in passages])].astype(np.int64)
+    _, _, at, have = windows_of(np.frombuffer(b"".join(passages), np.uint8), off, window)
+    words = [w for p in passages for w in p.split()]
+    have = _cut(have, split)
+    order = np.argsort(have, kind="stable")
+    have, at = have[order], at[order]
+    k = np.minimum(np.searchsorted(have, found), len(have) - 1)
+    hit = have[k] == found
+    here, there = place[hit], at[k][hit]
+    cut = np.flatnonzero(np.r_[True, (np.diff(here) != 1) | (np.diff(there) != 1)]) if len(here) else here
+    return [list(p) for p in {tuple(words[there[a] : there[b - 1] + window]) for a, b in zip(cut.tolist(), np.r_[cut[1:], len(here)].tolist())}] if len(here) else []
 
 
 def occurrences(words: list[bytes], breaks: np.ndarray, phrases: list[list[bytes]], window: int):
@@ -222,8 +218,8 @@ def occurrences(words: list[bytes], breaks: np.ndarray, phrases: list[list[bytes
         a = b
 
 
-def _located(packs: DataFrame, phrases: DataFrame, window: int, id_type: str, keep_text: bool) -> DataFrame:
-    """Every text of a pack streams through automata of the phrases that earlier packs hold, then of those that the pack itself repeats."""
+def _located(packs: DataFrame, passages: DataFrame, window: int, split: int, id_type: str, keep_text: bool) -> DataFrame:
+    """Every text of a pack streams through automata of the phrases that it shares with earlier packs, then of those that it repeats itself."""
 
     def run(batches):
         for batch in batches:
@@ -234,13 +230,13 @@ def _located(packs: DataFrame, phrases: DataFrame, window: int, id_type: str, ke
                 at = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
                 breaks = np.unique(at[1:-1])
                 mark = np.zeros(len(words) + 1, np.int64)
-                if batch.column("phrases")[i].is_valid:
-                    earlier = [list(p) for p in {tuple(p.split()) for p in batch.column("phrases")[i].values.to_pylist()}]
-                    for place, n in occurrences(words, breaks, earlier, window):
-                        np.add.at(mark, place, 1)
-                        np.add.at(mark, place + n, -1)
-                gone = np.cumsum(mark)[:-1] > 0
                 _, _, place, found = windows_of(raw, off, window)
+                if batch.column("passages")[i].is_valid:
+                    earlier = _shared(batch.column("passages")[i].values.to_pylist(), place, _cut(found, split), window, split)
+                    for where, n in occurrences(words, breaks, earlier, window):
+                        np.add.at(mark, where, 1)
+                        np.add.at(mark, where + n, -1)
+                gone = np.cumsum(mark)[:-1] > 0
                 order = np.argsort(found, kind="stable")
                 lead = np.maximum.accumulate(np.where(np.r_[True, np.diff(found[order]) > 0], np.arange(len(order)), 0)) if len(order) else order
                 first = np.empty_like(place)
@@ -268,7 +264,7 @@ def _located(packs: DataFrame, phrases: DataFrame, window: int, id_type: str, ke
                 ids = batch.column("ids")[i].values
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(removed), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if keep_text else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if keep_text else [])])
 
-    return packs.join(phrases, "batch", "left").select("ids", "lengths", "z", "phrases").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{', kept string' if keep_text else ''}")
+    return packs.join(passages, "batch", "left").select("ids", "lengths", "z", "passages").mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string{', kept string' if keep_text else ''}")
 
 
 def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -277,10 +273,10 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     A word goes if a window of `window` words covers it whose words also start earlier: in a row
     of a smaller id, or earlier in the row. Texts are packed in order of id. Each pack sends the
     hash of each of its windows once to the hash's shard; the shard confirms which recur and tells
-    a pack which earlier pack has a window first. That pack sends the recurring passages, as they
-    stand in its texts. They are the phrases of the asking pack's automata, of bounded size, and
-    all texts of the pack stream through these, which locate every occurrence by its words. Windows
-    that recur inside a pack get automata likewise; of their occurrences the first stays.
+    the first pack that has a window which later ones do. That pack sends them the passages, as they
+    stand in its texts. What a pack shares with these are the phrases of its automata, of bounded
+    size, and all texts of the pack stream through these, which locate every occurrence by its
+    words. Windows that recur inside a pack get automata likewise; of their occurrences the first stays.
 
     A null text has no words. Rows of one id are ordered by a hash of their texts; of rows that
     repeat both, one is first. Null ids come last, in order of that hash. Other columns are ignored.
@@ -288,7 +284,9 @@ def repeated_passages(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
     is removed unless its words repeat.
     """
     packs = _packs(docs, id_col, text_col)
-    wanted = common.written(_wanted(packs, _confirmed(packs, window), window))
-    phrases = common.written(_phrases(packs, wanted, window))
-    lists = phrases.groupBy("batch").agg(F.flatten(F.collect_list("phrases")).alias("phrases"))
-    return _located(packs, lists, window, docs.schema[id_col].dataType.simpleString(), keep_text)
+    split = _split(packs)
+    wanted = common.written(_wanted(packs, window, split), free=True)
+    passages = common.written(_passages(packs, wanted, window, split), free=True)
+    common.discard(wanted)
+    lists = passages.groupBy("batch").agg(F.flatten(F.collect_list("passages")).alias("passages"))
+    return _located(packs, lists, window, split, docs.schema[id_col].dataType.simpleString(), keep_text)
