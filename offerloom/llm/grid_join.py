@@ -123,7 +123,9 @@ def _joined(points: DataFrame, eps: float, least: float, sample: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), rows(cell, pa.int32()), batch.column(1).take(at), batch.column(2).take(at), x, rows(y, pa.float64())], ["length", "cell", "id", "size", "x", "y"])
 
     placed = points.select("x", "id", "size").mapInArrow(place, "length int, cell array<int>, id long, size long, x array<double>, y array<double>")
-    ordered = placed.repartitionByRange("length", "cell", "id").sortWithinPartitions("length", "cell", "id")
+    # neighbouring ranges go together, so that blocks are full however many ranges there are
+    tasks = max(1, points.count() // (4 * BLOCK))
+    ordered = placed.repartitionByRange("length", "cell", "id").sortWithinPartitions("length", "cell", "id").coalesce(tasks)
 
     def pack(batches):
         held: list = []
