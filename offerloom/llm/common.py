@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerloom import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -19,20 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of its own only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
+def written(df: DataFrame, free: bool = False) -> DataFrame:
+    """Write a frame to the shared folder and read it back: lineage ends at replicated files.
 
-def written(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends at replicated files."""
-    path = f"{scratch_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    Shuffle files of a finished job go once the driver has collected its plan. With `free`, a step that
+    shuffled much, the listeners first get time to let go of the plan.
+    """
+    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    # the shuffle files of finished jobs go once their plans are collected; ask for that now
+    if free:
+        time.sleep(0.5)
     df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -133,7 +133,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 3, den: int
     ids = known.where("doc is not null and node is not null").select(F.col("doc").cast("long").alias("doc"), "node")
     lowest = common.written(ids.groupBy("node").agg(F.min("doc").alias("low")))
     total = int(known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    opened = common.written(_opened(packs, shingle, num, den, total))
+    opened = common.written(_opened(packs, shingle, num, den, total), free=True)
     index_rows, sets = opened.where("key is not null").select("key", "node", "n", "own"), opened.where("z is not null").dropDuplicates(["node"]).select("node", "n", "z", "bits")
     sets = common.written(sets)
     blocks = index_rows.groupBy("key").agg(F.min(F.struct("own", "node", "n")).alias("p"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
@@ -150,8 +150,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 3, den: int
     labelled = met.select("key", "node", "pivot").join(places.select("node", "low", "comp"), "node")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("low").alias("one")).where("lo <> hi").select("key", "one")
     coarse = common.components(labelled.join(mixed, "key").select(F.col("low").alias("a"), F.col("one").alias("b")).distinct())
-    second = verified(_across(coarse, places, sets, num, den), sets, shingle, num, den)
+    second = common.written(verified(_across(coarse, places, sets, num, den), sets, shingle, num, den))
 
+    for done in (opened, met, places):
+        common.discard(done)
     same = ids.join(lowest, "node").select(F.col("doc").alias("a"), F.col("low").alias("b")).where("a <> b")
     found = common.components(numbered(first.unionByName(second)).unionByName(same))
     out = known.join(found, known["doc"].cast("long") == F.col("id"), "left")
@@ -279,7 +281,9 @@ def _opened(packs: DataFrame, shingle: int, num: int, den: int, total: int) -> D
 def _across(coarse: DataFrame, places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of nodes of one cluster but of different components whose bitmaps do not rule a link out."""
     members = places.join(coarse.select(F.col("id").alias("low"), F.col("component_id").alias("cluster")), "low").join(sets.select("node", "bits"), "node").select("cluster", "comp", "node", "n", "bits")
-    spread = members.repartitionByRange("cluster", "comp", "node").sortWithinPartitions("cluster", "comp", "node")
+    # neighbouring ranges go together, so that tiles are full however many ranges there are
+    tasks = max(1, coarse.count() // (4 * TILE))
+    spread = members.repartitionByRange("cluster", "comp", "node").sortWithinPartitions("cluster", "comp", "node").coalesce(tasks)
 
     def tiles(batches):
         held: list = []
