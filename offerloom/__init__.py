@@ -25,6 +25,17 @@ def ship(spark) -> None:
     context._offerloom_shipped = True
 
 
+def shared_dir(spark) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a folder of this machine, which only a local master can use."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def prepared(query):
     """A query that can run on a session as it comes: the package shipped, a checkpoint folder set."""
 
@@ -32,8 +43,7 @@ def prepared(query):
     def run(spark, sf_dir):
         ship(spark)
         if not spark.sparkContext.getCheckpointDir():
-            base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(base)
+            spark.sparkContext.setCheckpointDir(shared_dir(spark))
         return query(spark, sf_dir)
 
     return run
