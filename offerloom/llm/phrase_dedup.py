@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from offerloom.llm import common
 
-#: Bytes of text in a pack, windows in a shard, packs that ask one pack in one task, words of phrases in an automaton.
-PACK, PER_SHARD, PER_SALT, PER_AUTOMATON = 4 << 20, 1 << 21, 2000, 160_000
+#: Bytes of text in a pack, windows in a shard, windows of one owner and shard in a part, words of phrases in an automaton.
+PACK, PER_SHARD, PER_PART, PER_AUTOMATON = 4 << 20, 1 << 21, 1024, 160_000
 
 
 def windows_of(raw: np.ndarray, off: np.ndarray, window: int):
@@ -87,7 +87,10 @@ def _cut(found: np.ndarray, split: int) -> np.ndarray:
 
 
 def _wanted(packs: DataFrame, window: int, split: int) -> DataFrame:
-    """(owner, asker, windows): confirmed windows of a pack, the asker, that an earlier one, the owner, has first."""
+    """(owner, bits, part, askers, windows): confirmed windows of packs, the askers, that an earlier pack, the owner, has first.
+
+    A row holds what a shard knows of an owner; of much asked ones, what it knows for a part of the askers.
+    """
 
     def ask(batches):
         for batch in batches:
@@ -116,14 +119,18 @@ def _wanted(packs: DataFrame, window: int, split: int) -> DataFrame:
             later = np.flatnonzero(owner != own)
             owner, own = owner[later], own[later]
             full = (key[later] << np.uint64(8)) >> np.uint64(split) | (np.uint64(held[0][0]) << np.uint64(64 - split))
-            order = np.lexsort((own, owner))
-            owner, own, full = owner[order], own[order], full[order]
-            cuts = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(own) != 0)]) if len(own) else later
+            # what very many ask of one owner is dealt over parts by asker
+            _, which, many = np.unique(owner, return_inverse=True, return_counts=True)
+            bits = np.ceil(np.log2(np.maximum(1, many / PER_PART))).astype(np.int64)[which] if len(owner) else owner
+            part = (common.mix(own.view(np.uint64)) >> np.uint64(32) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+            order = np.lexsort((own, part, owner))
+            owner, bits, part, own, full = owner[order], bits[order], part[order], own[order], full[order]
+            cuts = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(part) != 0)]) if len(own) else later
             ends = np.r_[cuts[1:], len(own)]
-            for a in range(0, len(cuts), 5000):
-                c, e = cuts[a : a + 5000], ends[a : a + 5000]
-                blobs = pa.array([full[x:y].tobytes() for x, y in zip(c.tolist(), e.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(owner[c]), pa.array(own[c]), blobs], ["owner", "asker", "windows"])
+            for a in range(0, len(cuts), 1000):
+                c, e = cuts[a : a + 1000], ends[a : a + 1000]
+                blobs = [pa.array([v[x:y].tobytes() for x, y in zip(c.tolist(), e.tolist())], pa.binary()) for v in (own, full)]
+                yield pa.RecordBatch.from_arrays([pa.array(owner[c]), pa.array(bits[c].astype(np.int32)), pa.array(part[c]), *blobs], ["owner", "bits", "part", "askers", "windows"])
             held.clear()
 
         for batch in batches:
@@ -135,7 +142,7 @@ def _wanted(packs: DataFrame, window: int, split: int) -> DataFrame:
             yield from flush()
 
     asked = packs.select("batch", "lengths", "z").mapInArrow(ask, "shard int, batch long, windows binary")
-    return asked.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(answer, "owner long, asker long, windows binary")
+    return asked.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(answer, "owner long, bits int, part long, askers binary, windows binary")
 
 
 def _passages(packs: DataFrame, wanted: DataFrame, window: int, split: int) -> DataFrame:
@@ -149,20 +156,19 @@ def _passages(packs: DataFrame, wanted: DataFrame, window: int, split: int) -> D
                 found = _cut(found, split)
                 order = np.argsort(found, kind="stable")
                 found, place, text = found[order], place[order], raw.tobytes()
-                asked: dict[int, list[bytes]] = {}
-                for r in batch.column("asked")[i].as_py():
-                    asked.setdefault(r["asker"], []).append(r["windows"])
+                rows = batch.column("asked")[i].as_py()
+                asker, want = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("askers", np.int64), ("windows", np.uint64)))
+                order = np.argsort(asker, kind="stable")
+                asker, want = asker[order], want[order]
+                begin = np.flatnonzero(np.r_[True, np.diff(asker) != 0])
                 out = []
-                for blobs in asked.values():
-                    want = np.frombuffer(b"".join(blobs), np.uint64)
-                    here = np.sort(place[np.searchsorted(found, want)])
+                for x, y in zip(begin.tolist(), np.r_[begin[1:], len(asker)].tolist()):
+                    here = np.sort(place[np.searchsorted(found, want[x:y])])
                     cut = np.flatnonzero(np.r_[True, np.diff(here) > 1])
                     out.append(list({text[start[here[a]] : end[here[b - 1] + window - 1]] for a, b in zip(cut.tolist(), np.r_[cut[1:], len(here)].tolist())}))
-                yield pa.RecordBatch.from_arrays([pa.array(list(asked), pa.int64()), pa.array(out, pa.list_(pa.binary()))], ["batch", "passages"])
+                yield pa.RecordBatch.from_arrays([pa.array(asker[begin]), pa.array(out, pa.list_(pa.binary()))], ["batch", "passages"])
 
-    # a pack that very many ask answers in several tasks, each for some of the askers
-    salts = wanted.groupBy("owner").agg(F.ceil(F.countDistinct("asker") / PER_SALT).cast("int").alias("salts"))
-    asked = wanted.join(salts, "owner").groupBy("owner", F.pmod(F.xxhash64("asker"), "salts").alias("salt")).agg(F.collect_list(F.struct("asker", "windows")).alias("asked"))
+    asked = wanted.groupBy("owner", "bits", "part").agg(F.collect_list(F.struct("askers", "windows")).alias("asked"))
     return packs.select("batch", "lengths", "z").join(asked.select(F.col("owner").alias("batch"), "asked"), "batch").mapInArrow(run, "batch long, passages array<binary>")
 
 
