@@ -3,12 +3,13 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?Z$"
+_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?"
 
 
 def instant(c: Column) -> Column:
-    """Timestamp of a date or of an ISO instant in UTC; null for anything else."""
-    text = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(c, F.lit("T00:00:00Z"))).when(c.rlike(_INSTANT), c)
+    """Timestamp of a date or of an ISO instant, in UTC where it names no offset; null for anything else."""
+    day = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(c, F.lit("T00:00:00Z")))
+    text = day.when(c.rlike(_INSTANT + r"(Z|[+-]\d{2}:\d{2})$"), c).when(c.rlike(_INSTANT + "$"), F.concat(c, F.lit("Z")))
     return text.try_cast("timestamp")
 
 

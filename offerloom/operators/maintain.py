@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,24 @@ def scrape_violations(rows: DataFrame) -> DataFrame:
     return rows.select("seq", F.explode(F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]), lambda x: x.isNotNull())).alias("violation"))
 
 
+def _shape(rows: DataFrame, key: str, required: list[str]) -> DataFrame:
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in required]), lambda x: x.isNotNull())
+    return rows.select(F.col(key).alias("key"), F.explode(missing).alias("violation"))
+
+
+def bank_violations(banks: DataFrame) -> DataFrame:
+    """(key, violation) of bank entries that lack a declared field, or share an id."""
+    twice = banks.groupBy("bank_id").count().where("count > 1").select(F.col("bank_id").alias("key"), F.lit("repeated bank_id").alias("violation"))
+    return _shape(banks, "bank_id", ["bank_id", "name", "short_name", "website_url"]).unionByName(twice)
+
+
+def card_violations(cards: DataFrame, banks: DataFrame) -> DataFrame:
+    """The same for card entries, and cards whose bank is unknown."""
+    twice = cards.groupBy("card_id").count().where("count > 1").select(F.col("card_id").alias("key"), F.lit("repeated card_id").alias("violation"))
+    lost = cards.join(banks.select("bank_id"), "bank_id", "left_anti").select(F.col("card_id").alias("key"), F.lit("unknown bank").alias("violation"))
+    return _shape(cards, "card_id", ["card_id", "bank_id", "name"]).unionByName(twice).unionByName(lost)
+
+
 def scan_violations(scanned: DataFrame, cards: DataFrame, banks: DataFrame) -> DataFrame:
     """(id, seq, violation): missing bank, missing card, or a card of another bank."""
     b = banks.select(F.col("bank_id"), F.lit(True).alias("has_bank"))
@@ -44,27 +63,47 @@ def dedupe_last(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("r"), F.min("seq").alias("seq")).select("r.*", "seq")
 
 
+def _fold(batches):
+    """(seq, place) of each group's winner, from (group, seq, score, length) rows in order of group and seq; a task holds one row."""
+    group = place = won = None
+    done: list[tuple] = []
+
+    def out():
+        rows = pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in (0, 1)], ["seq", "_place"])
+        done.clear()
+        return rows
+
+    for batch in batches:
+        for g, seq, s, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if g != group:
+                if won is not None:
+                    done.append((won[0], place))
+                group, place, won = g, seq, (seq, s, n)
+            elif s + (n > won[2]) > won[1] + (won[2] > n):
+                won = (seq, s, n)
+        if len(done) > 10_000:
+            yield out()
+    if won is not None:
+        done.append((won[0], place))
+    yield out()
+
+
 def dedupe_semantic(rows: DataFrame) -> DataFrame:
     """First by id, then of rows with one card, anchor (merchant, else title) and description the richer.
 
     Rows meet in order: a later one wins if it has more of four optional fields, a longer
     description counting one more. That is no total order, so it is a fold over each group in
-    `seq` order. The fold needs only score and length: it runs on (seq, score, length) triples,
-    runs of equal pairs cut to their first, and the winner's row is joined back.
+    `seq` order. It needs only score and length: groups of several rows stream in order through
+    tasks that hold one row each, and the winner's row is joined back.
     """
     first = dedupe_first(rows)
     anchor = F.coalesce(F.nullif(dedupe_key(F.col("merchant")), F.lit("")), dedupe_key(F.col("title")))
     keyed = first.withColumns({"_a": anchor, "_d": dedupe_key(F.col("description"))})
     score = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in ("valid_until", "valid_from", "location", "terms_link")), F.lit(0))
     open_ = (F.col("_a") == "") & (F.col("_d") == "")
-    # a pair (score, length) after its first place in the group can still win again, but only
-    # after another pair has; equal neighbours in order cannot, so they are dropped
-    w = Window.partitionBy("card_id", "_a", "_d").orderBy("seq")
-    marked = keyed.where(~open_).select("card_id", "_a", "_d", "seq", score.alias("s"), F.length(F.coalesce("description", F.lit(""))).alias("n"))
-    marked = marked.withColumn("p", F.lag(F.struct("s", "n")).over(w)).where("p is null or p <> struct(s, n)")
-    better = lambda a, b: (b["s"] + F.when(b["n"] > a["n"], 1).otherwise(0)) > (a["s"] + F.when(a["n"] > b["n"], 1).otherwise(0))
-    folded = F.aggregate(F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(1))), F.element_at("g", 1), lambda a, b: F.when(better(a, b), b).otherwise(a))
-    won = marked.groupBy("card_id", "_a", "_d").agg(F.array_sort(F.collect_list(F.struct("seq", "s", "n"))).alias("g")).select(folded["seq"].alias("seq"), F.element_at("g", 1)["seq"].alias("_place"))
+    group = F.sha2(F.concat_ws("|", F.coalesce("card_id", F.lit("?")), "_a", "_d"), 256)
+    marked = keyed.where(~open_).select(group.alias("g"), F.col("seq").cast("long").alias("seq"), score.alias("s"), F.length(F.coalesce("description", F.lit(""))).alias("n"))
+    won = marked.repartition("g").sortWithinPartitions("g", "seq").mapInArrow(_fold, "seq long, _place long")
     kept = first.join(won, "seq").drop("seq").withColumnRenamed("_place", "seq")
     return kept.unionByName(keyed.where(open_).drop("_a", "_d"))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.text import classify, extract_expiry, host_of, normalize_text, page_key, path_query, stable_id, url_without_fragment
 from offerloom.operators.maintain import dedupe_first, dedupe_last, merge_lifecycle
+from offerloom.sources.feeds import conform_extracted
 
 # Elements without page text, chrome, words of navigation blocks.
 DROPPED = frozenset("script style noscript nav header footer svg iframe form".split())
@@ -21,9 +23,11 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 NAVIGATION = ("personal banking", "business banking", "corporate banking", "savings accounts", "current accounts", "fixed deposits", "treasury", "investment banking", "offshore banking")
 KEYWORDS = "(?i)offer|offers|off|discount|valid|cashback|installment|instalment|promotion|deal|save"
 MOST_CANDIDATES = 120
+EXTRACTED_BODY = "seq long, bank_id string, card_id string, source_url string, body string"
 OFFER_CLASS = re.compile(r"offer|Offer|promotion|Promotion")
+UNSEEN = DROPPED | {"head"}
 PARSED = (
-    "page_id long, url string, text string, links array<struct<pos:int,tag:string,href:string,url:string,classes:array<string>,rel:string,in_chrome:boolean>>, "
+    "page_id long, url string, text string, links array<struct<pos:int,tag:string,href:string,url:string,classes:array<string>,rel:string,attrs:array<struct<name:string,value:string>>,in_chrome:boolean>>, "
     "candidates array<struct<pos:int,text:string,heading:string,link:string,image:string>>"
 )
 
@@ -34,6 +38,7 @@ class _Page(HTMLParser):
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
         self.base, self.open, self.text, self.links = url, [], [], []
+        self.count, self.unseen, self.chrome = Counter(), 0, 0  # of open elements: by tag, without page text, in chrome
         self.found, self.active, self.heading = [], [], []
 
     def _link(self, href: str | None) -> str | None:
@@ -44,16 +49,22 @@ class _Page(HTMLParser):
         except ValueError:
             return None
 
+    def _step(self, tag: str, by: int) -> None:
+        self.count[tag] += by
+        self.unseen += by * (tag in UNSEEN)
+        self.chrome += by * (tag in CHROME)
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         classes = a.get("class", "").split()
         if tag in ("a", "img") and (a.get("href") if tag == "a" else a.get("src")):
             href = a["href"] if tag == "a" else a["src"]
-            self.links.append((len(self.links), tag, href, self._link(href), classes, a.get("rel"), any(t in CHROME for t in self.open)))
+            self.links.append((len(self.links), tag, href, self._link(href), classes, a.get("rel"), [{"name": k, "value": v} for k, v in a.items()], self.chrome > 0))
             for c in self.active:
                 c["link" if tag == "a" else "image"] = c["link" if tag == "a" else "image"] or self._link(href)
         if tag not in VOID:
             self.open.append(tag)
+            self._step(tag, 1)
             if tag == "article" or OFFER_CLASS.search(a.get("class", "")) or "promo" in classes or "views-row" in classes:
                 c = {"depth": len(self.open), "text": [], "heading": None, "link": None, "image": None}
                 self.active.append(c)
@@ -65,15 +76,17 @@ class _Page(HTMLParser):
                 self.heading.append((len(self.open), new))
 
     def handle_endtag(self, tag):
-        if tag not in self.open:
+        if not self.count[tag]:
             return
-        while self.open.pop() != tag:
-            pass
+        last = None
+        while last != tag:
+            last = self.open.pop()
+            self._step(last, -1)
         self.active = [c for c in self.active if c["depth"] <= len(self.open)]
         self.heading = [h for h in self.heading if h[0] <= len(self.open)]
 
     def handle_data(self, data):
-        if not any(t in DROPPED for t in self.open) and "head" not in self.open:
+        if not self.unseen:
             self.text.append(data)
         for c in self.active:
             c["text"].append(data)
@@ -92,7 +105,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 p = _Page(url or "")
                 p.feed(html or "")
                 p.close()
-                links = [dict(zip(("pos", "tag", "href", "url", "classes", "rel", "in_chrome"), x)) for x in p.links]
+                links = [dict(zip(("pos", "tag", "href", "url", "classes", "rel", "attrs", "in_chrome"), x)) for x in p.links]
                 found = [{"pos": i, "text": "".join(c["text"]), "heading": "".join(c["heading"] or []), "link": c["link"], "image": c["image"]} for i, c in enumerate(p.found)]
                 out.append((page_id, url, "".join(p.text), links, found))
             yield pd.DataFrame(out, columns=["page_id", "url", "text", "links", "candidates"])
@@ -106,8 +119,8 @@ def page_hashes(parsed: DataFrame) -> DataFrame:
 
 
 def links_table(parsed: DataFrame) -> DataFrame:
-    """(page_key, host, pos, tag, classes, rel, in_chrome, target) with absolute targets."""
-    return parsed.select("url", F.explode("links").alias("l")).where("l.url is not null").select(page_key(F.col("url")).alias("page_key"), host_of(F.col("url")).alias("host"), "l.pos", "l.tag", "l.classes", "l.rel", "l.in_chrome", F.col("l.url").alias("target"))
+    """(page_key, host, pos, tag, classes, rel, attrs, in_chrome, target) with absolute targets."""
+    return parsed.select("url", F.explode("links").alias("l")).where("l.url is not null").select(page_key(F.col("url")).alias("page_key"), host_of(F.col("url")).alias("host"), "l.pos", "l.tag", "l.classes", "l.rel", "l.attrs", "l.in_chrome", F.col("l.url").alias("target"))
 
 
 def page_links(links: DataFrame, pattern: str) -> DataFrame:
@@ -117,14 +130,24 @@ def page_links(links: DataFrame, pattern: str) -> DataFrame:
     return hits.groupBy("page_key", page_key(t).alias("url")).agg(F.min("pos").alias("pos"))
 
 
-def selected_links(links: DataFrame, css_class: str | None = None, rel: str | None = None) -> DataFrame:
-    """The same for anchors of a class or rel."""
-    test = F.lit(True)
-    if css_class:
-        test = test & F.array_contains("classes", css_class)
-    if rel:
-        test = test & (F.col("rel") == rel)
-    return page_links(links.where(test), "")
+def selects(css: Column) -> Column:
+    """Whether a row of the link table meets a compound selector such as a.next[rel="next"]: tag, classes, id, attributes with or without a value.
+
+    The selector is a column, so each row may bring its own; one with combinators meets nothing.
+    """
+    css = F.trim(css)
+    bare = F.regexp_replace(css, r"\[[^\]]*\]", "")
+    tag, classes = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9]*)", 1), F.regexp_extract_all(bare, F.lit(r"\.([\w-]+)"), F.lit(1))
+    pair = lambda p: F.struct(F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(1)))).alias("name"), F.when(p.contains("="), F.regexp_replace(F.regexp_extract(p, "^[^=]*=(.*)$", 1), r"^\s*[\"']?|[\"']?\s*$", "")).alias("value"))
+    wanted = F.transform(F.regexp_extract_all(css, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda p: pair(p))
+    ids = F.transform(F.regexp_extract_all(bare, F.lit(r"#([\w-]+)"), F.lit(1)), lambda v: F.struct(F.lit("id").alias("name"), v.alias("value")))
+    has = lambda w: F.exists("attrs", lambda a: (a["name"] == w["name"]) & (w["value"].isNull() | (a["value"] == w["value"])))
+    return ~bare.rlike(r"[\s>+~,:]") & ((tag == "") | (F.lower(tag) == F.col("tag"))) & F.forall(classes, lambda c: F.array_contains("classes", c)) & F.forall(F.concat(wanted, ids), has)
+
+
+def selected_links(links: DataFrame, css: str) -> DataFrame:
+    """The same for anchors that meet a selector."""
+    return page_links(links.where(selects(F.lit(css))), "")
 
 
 def page_candidates(parsed: DataFrame, bank_id: Column, reviewed: str) -> DataFrame:
@@ -138,43 +161,79 @@ def page_candidates(parsed: DataFrame, bank_id: Column, reviewed: str) -> DataFr
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("n") <= MOST_CANDIDATES)
     out = rows.select(
         stable_id(F.col("bank_id"), F.col("title"), F.col("link")).alias("id"), "bank_id", "title", classify(F.col("text")).alias("category"), F.substring("text", 1, 260).alias("description"),
-        extract_expiry(F.col("text")).alias("valid_until"), F.col("link").alias("source_url"), "image_url", F.lit(reviewed).alias("last_seen_at"), F.sha1("text").alias("raw_source_hash"), (F.col("page_id") * 1000 + F.col("pos")).alias("seq"),
+        extract_expiry(F.col("text")).alias("valid_until"), F.col("link").alias("source_url"), "image_url", F.lit(reviewed).alias("last_seen_at"), F.sha1("text").alias("raw_source_hash"), F.struct("page_id", "pos").alias("seq"),
     )
-    return dedupe_last(out)
+    # the place of a candidate is a number again once ids are unique
+    return dedupe_last(out).withColumn("seq", F.col("seq.page_id") * F.lit(1 << 20) + F.col("seq.pos"))
+
 
+def recipe_rows(spark, recipes: list[dict]) -> DataFrame:
+    """Crawl recipes as a table; a recipe has hops and a pattern or a selector for details, and may have one for the next page."""
+    return spark.createDataFrame([(r["bank_id"], r.get("hops", []), r.get("detail_match"), r.get("detail_css"), r.get("next_css")) for r in recipes], "bank_id string, hops array<string>, detail_match string, detail_css string, next_css string")
 
-def discover(seeds: DataFrame, links: DataFrame, hops: list[str], detail: str, next_class: str | None = None, cap: int = 100) -> DataFrame:
+
+def discover(seeds: DataFrame, links: DataFrame, recipes: DataFrame, cap: int = 100) -> DataFrame:
     """(bank_id, url, error) of every bank: detail pages, or the step that matched nothing.
 
-    seeds (bank_id, url). All banks walk together, one join of frontier and links a hop. With
-    next_class, the first link of that class leads to the next page until none is new or the
-    bank has seen `cap` pages. Each step ends in a checkpoint.
+    seeds (bank_id, url); recipes (bank_id, hops, detail_match, detail_css, next_css), a row a bank.
+    All banks walk together, each by its own recipe, one join of frontier and links a hop. Where
+    there is a next_css, the first link that meets it leads to the next page until none is new or
+    the bank has seen `cap` pages. Banks without a recipe are left out. Each step ends in a checkpoint.
     """
-    frontier = seeds.select("bank_id", page_key(F.col("url")).alias("page_key")).distinct()
-    failed = seeds.select("bank_id").distinct().withColumn("error", F.lit(None).cast("string"))
+    anchors = links.where((F.col("tag") == "a") & (host_of(F.col("target")) == F.col("host"))).withColumn("to", page_key(F.col("target")))
+    matching = lambda pattern: F.regexp_like(path_query(F.col("target")), pattern)
+    frontier = seeds.join(recipes, "bank_id", "left_semi").select("bank_id", page_key(F.col("url")).alias("page_key")).distinct()
+    failed = recipes.join(seeds.select("bank_id").distinct(), "bank_id", "left_semi").select("bank_id", F.when(F.coalesce("detail_match", "detail_css").isNull(), "crawl recipe names no details").alias("error"))
 
-    def note(failed: DataFrame, left: DataFrame, error: str) -> DataFrame:
+    def note(failed: DataFrame, left: DataFrame, expected: DataFrame) -> DataFrame:
+        """Banks that were expected (bank_id, why) and have nothing left fail, unless they had failed before."""
         some = left.select("bank_id").distinct().withColumn("_ok", F.lit(True))
-        return failed.join(some, "bank_id", "left").select("bank_id", F.when(F.col("error").isNull() & F.col("_ok").isNull(), error).otherwise(F.col("error")).alias("error"))
-
-    for hop in hops:
-        frontier = frontier.join(page_links(links, hop), "page_key").select("bank_id", F.col("url").alias("page_key")).distinct().checkpoint()
-        failed = note(failed, frontier, f"no links matched hop {hop}")
+        lost = F.when(F.col("_ok").isNull(), F.col("why"))
+        return failed.join(expected, "bank_id", "left").join(some, "bank_id", "left").select("bank_id", F.coalesce("error", lost).alias("error"))
+
+    for i in range(recipes.agg(F.max(F.size("hops"))).first()[0] or 0):
+        going = recipes.where(F.size("hops") > i).select("bank_id", F.col("hops")[i].alias("hop"))
+        moved = frontier.join(going, "bank_id").join(anchors, "page_key").where(matching(F.col("hop"))).select("bank_id", F.col("to").alias("page_key")).distinct()
+        frontier = frontier.join(going, "bank_id", "left_anti").unionByName(moved).checkpoint()
+        failed = note(failed, frontier, going.select("bank_id", F.concat(F.lit("no links matched hop "), "hop").alias("why")))
+
+    def within(frontier: DataFrame, pages: DataFrame | None) -> DataFrame:
+        """As much of a walking bank's frontier as its pages so far leave room for."""
+        place = F.row_number().over(Window.partitionBy("bank_id").orderBy("page_key"))
+        seen = F.coalesce("_seen", F.lit(0))
+        counted = frontier.withColumn("_seen", F.lit(0)) if pages is None else frontier.join(pages.groupBy("bank_id").agg(F.count("*").alias("_seen")), "bank_id", "left")
+        return counted.where(seen < cap).withColumn("_n", place).where(F.col("_n") + seen <= cap).select("bank_id", "page_key")
+
+    walking = recipes.where("next_css is not null").select("bank_id", "next_css")
     pages = frontier
-    if next_class:
-        first = selected_links(links, next_class).groupBy("page_key").agg(F.min_by("url", "pos").alias("next"))
+    if not walking.isEmpty():
+        frontier = within(frontier.join(walking, "bank_id", "left_semi"), None).checkpoint()
+        pages = pages.join(walking, "bank_id", "left_anti").unionByName(frontier).checkpoint()
         while True:
-            frontier = frontier.join(first, "page_key").select("bank_id", F.col("next").alias("page_key")).distinct().join(pages, ["bank_id", "page_key"], "left_anti")
-            full = pages.groupBy("bank_id").count().where(F.col("count") >= cap).select("bank_id")
-            frontier = frontier.join(full, "bank_id", "left_anti").checkpoint()
+            onward = frontier.join(walking, "bank_id").join(anchors, "page_key").where(selects(F.col("next_css"))).groupBy("bank_id", "page_key").agg(F.min_by("to", "pos").alias("next"))
+            new = onward.select("bank_id", F.col("next").alias("page_key")).distinct().join(pages, ["bank_id", "page_key"], "left_anti")
+            frontier = within(new, pages).checkpoint()
             if frontier.isEmpty():
                 break
             pages = pages.unionByName(frontier).checkpoint()
-    details = pages.join(page_links(links, detail), "page_key").select("bank_id", "url").distinct().checkpoint()
-    failed = note(failed, details, f"no detail links matched {detail}")
+    chosen = F.when(F.col("detail_css").isNotNull(), selects(F.col("detail_css"))).otherwise(matching(F.col("detail_match")))
+    details = pages.join(recipes, "bank_id").join(anchors, "page_key").where(chosen).select("bank_id", F.col("to").alias("url")).distinct().checkpoint()
+    why = F.when(F.col("detail_css").isNotNull(), F.concat(F.lit("no detail links matched selector "), "detail_css")).otherwise(F.concat(F.lit("no detail links matched "), "detail_match"))
+    failed = note(failed, details, recipes.select("bank_id", why.alias("why")))
     return details.withColumn("error", F.lit(None).cast("string")).unionByName(failed.where("error is not null").select("bank_id", F.lit(None).cast("string").alias("url"), "error"))
 
 
+def extract_pages(parsed: DataFrame, extractor: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], reviewed: str) -> DataFrame:
+    """Offers of stored pages by a user's extractor.
+
+    parsed has page_id, bank_id, card_id, url and text. The extractor gets these in batches as (seq, bank_id,
+    card_id, source_url, text) and gives rows of the declared schema EXTRACTED_BODY, whose body
+    is a JSON object with a list "offers"; what breaks that shape gives no offers.
+    """
+    asked = parsed.select(F.col("page_id").alias("seq"), "bank_id", "card_id", F.col("url").alias("source_url"), "text")
+    return conform_extracted(asked.mapInPandas(extractor, EXTRACTED_BODY), reviewed)
+
+
 def discover_assets(links: DataFrame, hosts: list[str]) -> DataFrame:
     """(url, type, seq): pdf links, then images, outside page chrome, on the page's or a listed host; junk images dropped."""
     t = F.col("target")

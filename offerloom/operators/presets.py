@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,28 +37,78 @@ def name_key(c: Column) -> Column:
 def apply_changes(presets: DataFrame, changes: DataFrame) -> DataFrame:
     """Presets after a change table (user_id, op, preset_id, name, bank_ids, categories, card_id, at), then the latest ten.
 
-    Of the changes that meet one preset the latest counts. save: by user and name; a preset of
-    that name keeps id and creation and takes the selection, else one is added. delete and touch:
-    by id. clear: all presets of the user.
+    A user's changes apply one after another, by `at`, then op and id. Each first drops presets not
+    touched for 60 days at that time and all but the latest ten. save: the latest preset of that name keeps
+    id and creation and takes the selection, else one is added with the change's id. delete and
+    touch: by id. clear: all presets of the user. Rows without a user are left out; changes without
+    a time do nothing. Users stream in order of time through tasks, and a task holds ten presets.
     """
-    w = Window.partitionBy("user_id", "op", F.when(F.col("op") == "save", name_key(F.col("name"))).otherwise(F.col("preset_id").cast("string"))).orderBy(F.desc("at"))
-    last = changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    cleared = last.where("op = 'clear'").select("user_id").distinct()
-    rows = presets.join(cleared, "user_id", "left_anti").withColumn("_k", name_key(F.col("name")))
-    rows = rows.join(last.where("op = 'delete'").select("user_id", "preset_id"), ["user_id", "preset_id"], "left_anti")
-    touched = last.where("op = 'touch'").select("user_id", "preset_id", F.col("at").alias("_t"))
-    rows = rows.join(touched, ["user_id", "preset_id"], "left").withColumn("last_used_at", F.coalesce("_t", "last_used_at")).drop("_t")
-    saved = last.where("op = 'save'").select(F.col("user_id").alias("u"), name_key(F.col("name")).alias("k"), F.struct(F.trim("name").alias("name"), "preset_id", "bank_ids", "categories", "card_id", "at").alias("s"))
-    # only the first preset of a name takes the save
-    rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy("user_id", "_k").orderBy("preset_id")) == 1)
-    both = rows.join(saved, (F.col("user_id") == F.col("u")) & (F.col("_k") == F.col("k")) & F.col("_first"), "full_outer")
-    hit = F.col("u").isNotNull()
-    out = both.select(
-        F.coalesce("user_id", "u").alias("user_id"), F.coalesce(both["preset_id"], F.col("s.preset_id")).alias("preset_id"),
-        *[F.when(hit, F.col(f"s.{c}")).otherwise(both[c]).alias(c) for c in ("name", "bank_ids", "categories", "card_id")],
-        F.coalesce("created_at", "s.at").alias("created_at"), F.when(hit, F.col("s.at")).otherwise(F.col("last_used_at")).alias("last_used_at"),
-    )
-    return recent(out)
+    fields = ["preset_id", "name", "bank_ids", "categories", "card_id"]
+    have = presets.select("user_id", F.lit(0).alias("step"), *fields, F.lit("have").alias("op"), "created_at", "last_used_at", F.lit(None).cast("timestamp").alias("at"))
+    then = changes.where("at is not null").select("user_id", F.lit(1).alias("step"), *fields, "op", F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("last_used_at"), F.col("at").cast("timestamp").alias("at"))
+    events = have.unionByName(then).where("user_id is not null").withColumn("touched", F.unix_micros(F.coalesce("last_used_at", "created_at").cast("timestamp"))).withColumn("when", F.unix_micros("at")).withColumn("k", name_key(F.col("name")))
+    order = ["user_id", "step", "when", F.col("touched").desc_nulls_last(), "op", "preset_id"]
+    spread = events.select("user_id", "step", "op", *fields, "k", "touched", "when", F.unix_micros(F.col("created_at").cast("timestamp")).alias("made"), F.unix_micros(F.col("last_used_at").cast("timestamp")).alias("used")).repartition("user_id").sortWithinPartitions(*order)
+    id_type = presets.schema["preset_id"].dataType.simpleString()
+    schema = f"user_id {presets.schema['user_id'].dataType.simpleString()}, preset_id {id_type}, name string, bank_ids array<string>, categories array<string>, card_id string, made long, used long"
+    folded = spread.mapInArrow(_fold, schema)
+    moment = lambda c: F.timestamp_micros(c).cast(presets.schema["created_at"].dataType)
+    return recent(folded.select("user_id", *fields, moment("made").alias("created_at"), moment("used").alias("last_used_at")))
+
+
+def _fold(batches):
+    """Rows in order of user and time: each user's presets first, the changes after them."""
+    names = ["user_id", "preset_id", "name", "bank_ids", "categories", "card_id", "made", "used"]
+    limit = DAYS * 86_400_000_000
+    user, held, schema = None, [], None
+
+    def settle(now=None):
+        # latest first; a tie goes to the smaller id
+        held.sort(key=lambda r: (r["used"] is None and r["made"] is None, -touch(r), r["preset_id"]))
+        if now is not None:
+            held[:] = [r for r in held if now - touch(r) <= limit]
+        del held[MOST:]
+
+    def touch(r):
+        return r["used"] if r["used"] is not None else r["made"] if r["made"] is not None else -(2**62)
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], schema.field(n).type) for n in names], names)
+
+    done: list[dict] = []
+    for batch in batches:
+        schema = batch.schema
+        for r in batch.to_pylist():
+            if r["user_id"] != user:
+                done += held
+                user, held = r["user_id"], []
+            if r["op"] == "have":
+                # in order of recency, so the first ten are the ones that count
+                if len(held) < MOST:
+                    held.append({n: r[n] for n in [*names, "k"]})
+                continue
+            now = r["when"]
+            settle(now)
+            if r["op"] == "save":
+                hit = next((h for h in held if h["k"] == r["k"]), None)
+                if hit is None:
+                    hit = {"user_id": user, "preset_id": r["preset_id"], "made": now, "k": r["k"]}
+                    held.append(hit)
+                hit.update({n: r[n] for n in ("bank_ids", "categories", "card_id")}, name=(r["name"] or "").strip(" "), used=now)
+                settle()
+            elif r["op"] == "delete":
+                held[:] = [h for h in held if h["preset_id"] != r["preset_id"]]
+            elif r["op"] == "touch":
+                for h in held:
+                    if h["preset_id"] == r["preset_id"]:
+                        h["used"] = now
+            elif r["op"] == "clear":
+                held.clear()
+        if len(done) > 1000:
+            yield out(done)
+            done = []
+    if schema is not None:
+        yield out(done + held)
 
 
 def reconcile(presets: DataFrame, banks: DataFrame, cards: DataFrame) -> DataFrame:

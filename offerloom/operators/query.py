@@ -13,21 +13,33 @@ from offerloom.functions.text import category_label
 from offerloom.schema import CATEGORIES
 
 
-def serve(offers: DataFrame, cards: DataFrame, banks: DataFrame) -> DataFrame:
+def serve(offers: DataFrame, cards: DataFrame, banks: DataFrame, missing: str = "fail") -> DataFrame:
     """Stored offers joined to card and bank. Dimensions have a row per card and bank; the optimizer sees their size.
 
-    An offer without card or bank is an error of the catalog: find those with scan_violations first.
+    An offer without card or bank is an error of the catalog. fail: reading its bank raises it.
+    quarantine: it is left out, and orphans() returns it.
     """
     c = cards.select(F.col("card_id"), F.col("bank_id"), F.col("name").alias("card_name"))
-    b = banks.select(F.col("bank_id"), F.col("name").alias("bank_name"), F.col("short_name").alias("bank_short_name"))
-    seen = F.col("last_reviewed_at")
-    return offers.drop("bank_id").join(c, "card_id").join(b, "bank_id").select(
-        "id", "bank_id", "bank_name", "bank_short_name", "card_id", "card_name", "title", "category", "description", "merchant", "location", "valid_from", "valid_until",
+    b = banks.select(F.col("bank_id"), F.col("name").alias("bank_name"), F.col("short_name").alias("bank_short_name"), F.lit(True).alias("_bank"))
+    seen, how = F.col("last_reviewed_at"), "left" if missing == "fail" else "inner"
+    bank_id = F.col("bank_id")
+    if missing == "fail":
+        bank_id = F.when(F.col("_bank"), bank_id).otherwise(F.raise_error(F.concat(F.lit("offer without card or bank: "), F.coalesce("id", F.lit("null")))))
+    return offers.drop("bank_id").join(c, "card_id", how).join(b, "bank_id", how).select(
+        "id", bank_id.alias("bank_id"), "bank_name", "bank_short_name", "card_id", "card_name", "title", "category", "description", "merchant", "location", "valid_from", "valid_until",
         F.col("terms_link").alias("terms"), "source_url", seen.alias("first_seen_at"), seen.alias("last_seen_at"), seen.alias("last_checked_at"), "status",
         F.sha1(F.concat_ws("|", "id", seen)).alias("raw_source_hash"), "seq",
     )
 
 
+def orphans(offers: DataFrame, cards: DataFrame, banks: DataFrame) -> DataFrame:
+    """(id, card_id, seq, violation) of the offers that serve() cannot join."""
+    c = cards.select("card_id", "bank_id", F.lit(True).alias("_card")).join(banks.select("bank_id", F.lit(True).alias("_bank")), "bank_id", "left").drop("bank_id")
+    rows = offers.select("id", "card_id", "seq").join(c, "card_id", "left")
+    what = F.when(F.col("_card").isNull(), "missing card").when(F.col("_bank").isNull(), "missing bank")
+    return rows.select("id", "card_id", "seq", what.alias("violation")).where("violation is not null")
+
+
 def active(served: DataFrame, as_of: Column) -> DataFrame:
     return served.where((F.col("status") == "active") & expiry.is_active(F.col("valid_until"), as_of))
 
@@ -97,7 +109,7 @@ def page_meta(rows: DataFrame, page: int, size: int) -> DataFrame:
 
 def page_slice(rows: DataFrame, key: str, page: int, size: int) -> DataFrame:
     """The rows of a clamped page: a count, then a bounded top-k."""
-    at = page_meta(rows, page, size).first()["page"]
+    at = page_meta(rows, page, size).first()["page"] if page > 1 else 1
     return rows.orderBy(*order(key)).offset((at - 1) * size).limit(size)
 
 
@@ -140,25 +152,37 @@ def url_feed(served: DataFrame, banks: DataFrame, site: str) -> DataFrame:
     return fixed.unionByName(by_bank).unionByName(by_category).unionByName(offers)
 
 
-def match_saved(served: DataFrame, filters: DataFrame) -> DataFrame:
+def match_saved(served: DataFrame, filters: DataFrame, most_searches: int = 200) -> DataFrame:
     """(filter_id, offers): how many offers each saved filter (bank_ids, categories, card_id, search) hits.
 
-    Distinct selections are evaluated once. Sets are exploded so that bank and category are
-    equal-key joins on offers already counted by bank, category and card; only filters with a
-    search meet single offers, and those too through bank and category keys.
+    Distinct selections are evaluated once. Each offer's text is tested once for each distinct
+    search; these come to the offers as one broadcast list where there are at most `most_searches`,
+    else through a join. Offers are counted by bank, category, card and search before anything
+    else, and selections meet these counts through equal keys, sets exploded.
     """
     any_ = "*"
     keyed = filters.withColumn("sel", F.struct(F.array_sort(F.array_distinct("bank_ids")).alias("bank_ids"), F.array_sort(F.array_distinct("categories")).alias("categories"), F.nullif(F.lower(F.trim("card_id")), F.lit("")).alias("card_id"), F.nullif(F.lower(F.trim("search")), F.lit("")).alias("search")))
     selections = keyed.select("sel").distinct()
     one = lambda c: F.explode(F.when(F.size(f"sel.{c}") > 0, F.col(f"sel.{c}")).otherwise(F.array(F.lit(any_))))
-    wide = selections.select("sel", one("bank_ids").alias("b")).select("sel", "b", one("categories").alias("c")).withColumn("k", F.coalesce("sel.card_id", F.lit(any_)))
+    wide = selections.select("sel", one("bank_ids").alias("b")).select("sel", "b", one("categories").alias("c")).select("sel", "b", "c", F.coalesce("sel.card_id", F.lit(any_)).alias("k"), F.coalesce("sel.search", F.lit("")).alias("s"))
+    searches = filters.select(F.nullif(F.lower(F.trim("search")), F.lit("")).alias("s")).where("s is not null").distinct()
+    known = [r["s"] for r in searches.limit(most_searches + 1).collect()]
     offers = served.select("bank_id", "category", "card_id", searchable().alias("text"))
+    if len(known) <= most_searches:
+        hits = F.filter(F.array(*map(F.lit, known)).cast("array<string>"), lambda s: F.col("text").contains(s))
+        found = offers.select("bank_id", "category", "card_id", F.explode(F.concat(F.array(F.lit("")), hits)).alias("s"))
+    else:
+        # a search hits where its first three letters stand, so only offers with these meet it
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(3))))
+        short = searches.where(F.length("s") < 3)
+        at = offers.select("*", F.explode(grams).alias("g")).join(searches.where(F.length("s") >= 3).withColumn("g", F.substring("s", 1, 3)), "g").where(F.expr("contains(text, s)"))
+        few = [r["s"] for r in short.collect()]  # at most the pairs and single letters that occur
+        brief = offers.select("*", F.explode(F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda s: F.col("text").contains(s))).alias("s"))
+        found = offers.select("bank_id", "category", "card_id", F.lit("").alias("s")).unionByName(at.select("bank_id", "category", "card_id", "s")).unionByName(brief.select("bank_id", "category", "card_id", "s"))
     # the eight ways to leave a dimension open
     open_ = lambda name: F.explode(F.array(F.col(name), F.lit(any_)))
-    cube = offers.groupBy("bank_id", "category", "card_id").agg(F.count("*").alias("n"))
-    cube = cube.select(open_("bank_id").alias("b"), "category", "card_id", "n").select("b", open_("category").alias("c"), "card_id", "n").select("b", "c", open_("card_id").alias("k"), "n")
-    cube = cube.groupBy("b", "c", "k").agg(F.sum("n").alias("n"))
-    plain = wide.where("sel.search is null").join(cube, ["b", "c", "k"]).groupBy("sel").agg(F.sum("n").alias("n"))
-    texts = offers.select(open_("bank_id").alias("b"), "category", "card_id", "text").select("b", open_("category").alias("c"), "card_id", "text").select("b", "c", open_("card_id").alias("k"), "text")
-    searched = wide.where("sel.search is not null").join(texts, ["b", "c", "k"]).where(F.expr("contains(text, sel.search)")).groupBy("sel").agg(F.count("*").alias("n"))
-    return keyed.join(plain.unionByName(searched), "sel", "left").select("filter_id", F.coalesce("n", F.lit(0)).cast("long").alias("offers"))
+    cube = found.groupBy("bank_id", "category", "card_id", "s").agg(F.count("*").alias("n"))
+    cube = cube.select(open_("bank_id").alias("b"), "category", "card_id", "s", "n").select("b", open_("category").alias("c"), "card_id", "s", "n").select("b", "c", open_("card_id").alias("k"), "s", "n")
+    cube = cube.groupBy("b", "c", "k", "s").agg(F.sum("n").alias("n"))
+    counted = wide.join(cube, ["b", "c", "k", "s"]).groupBy("sel").agg(F.sum("n").alias("n"))
+    return keyed.join(counted, "sel", "left").select("filter_id", F.coalesce("n", F.lit(0)).cast("long").alias("offers"))

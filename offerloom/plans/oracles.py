@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from offerloom.functions.text import CATEGORY_RULES
-from offerloom.plans.queries import NOW, SITE
+from offerloom.plans.queries import NOW, REVIEWED, SITE
 from offerloom.plans.views import AS_OF, VIEWS
 from offerloom.schema import CATEGORIES, CATEGORY_LABELS
 
 _EXPIRES = "try_strptime(case when contains(valid_until, 'T') then valid_until else valid_until || 'T23:59:59.999Z' end, '%Y-%m-%dT%H:%M:%S.%gZ')"
-_INSTANT = "coalesce(try_strptime(valid_until, '%Y-%m-%d'), try_strptime(valid_until, '%Y-%m-%dT%H:%M:%S.%gZ'))"
 _ACTIVE = f"coalesce({_EXPIRES} >= timestamp '{AS_OF}', true)"
 _LABEL = "case category " + " ".join(f"when '{k}' then '{v}'" for k, v in CATEGORY_LABELS.items()) + " else 'Other' end"
 _TEXT = f"lower(concat_ws(' ', nullif(title, ''), nullif(bank_name, ''), nullif(bank_short_name, ''), nullif(card_name, ''), nullif(merchant, ''), nullif(description, ''), nullif(category, ''), {_LABEL}))"
 _KEY = lambda c: f"trim(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'))"
 _CLASS = lambda c: "case " + " ".join(f"when regexp_matches({c}, '(?i)\\b(?:{p})\\b') then '{k}'" for k, p in CATEGORY_RULES) + " else 'other' end"
 _PAGE = lambda c: f"regexp_replace({c}, '^([a-z]+://[^/?#]+)([^?#]*?)/*(\\?[^#]*)?(#.*)?$', '\\1\\2/\\3')"
+_SLUG = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '-')"
 _NOFRAG = lambda c: f"regexp_replace({c}, '#.*$', '')"
 
 DERIVED = {
@@ -45,7 +45,7 @@ DERIVED = {
         select *, case when card_bank is not null and (len(had) = 0 or list_contains(bank_ids, card_bank)) then card end as card_id from reconciled""",
     "preset_fresh": f"select * from preset where coalesce(last_used_at, created_at) >= timestamp '{AS_OF}' - interval 60 day",
     "visits": "select event_id, client_key, url, coalesce(ts >= lag(ts) over (partition by client_key order by ts, event_id) + interval 30 minute, false) as is_return from request_log",
-    "feed_a_rows": "select doc_id % 50 as feed_id, doc_id as k, row_number() over (partition by doc_id % 50 order by doc_id) - 1 as pos from documents",
+    "feed_a_rows": "select doc_id // 100 as feed_id, doc_id as k, cast(row_number() over (partition by doc_id // 100 order by doc_id) - 1 as int) as pos from documents",
     "hrefs": "select page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages",
     "targets": f"select page_id, {_PAGE('url')} as page_key, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) as site, href from hrefs where href like '/%'",
     "semantic_rows": f"""
@@ -55,22 +55,13 @@ DERIVED = {
     "semantic": """
         select card_id, a, d, g[1].seq as place, list_reduce(g, lambda x, y: case when y.s + cast(y.n > x.n as int) > x.s + cast(x.n > y.n as int) then y else x end).seq as won from semantic_lists""",
     "bank_counts": "select c.bank_id, cast(coalesce(sum(n), 0) as bigint) as offers from card c left join (select card_id, count(*) as n from offers group by card_id) o on o.card_id = c.card_id group by c.bank_id",
-    "upper_changes": """
-        select user_id, case when preset_id % 96 = 0 then 'clear' else ['save', 'delete', 'touch'][1 + (preset_id // 3) % 3] end as op, preset_id as k, upper(name) as name, created_at + interval 90 day as moment
-        from preset where preset_id % 3 = 0""",
     "changes": """
-        select *, case when op <> 'save' or k % 2 = 0 then k else k + 100000000 end as preset_id from upper_changes""",
-    "last_changes": """
-        select * from changes qualify row_number() over (partition by user_id, op, case when op = 'save' then lower(trim(name)) else cast(preset_id as varchar) end order by moment desc) = 1""",
-    "left_presets": """
-        select p.user_id, p.preset_id, p.name, p.created_at, coalesce(t.moment, p.last_used_at) as last_used_at, lower(trim(p.name)) as nk from preset p
-        left join last_changes t on t.op = 'touch' and t.user_id = p.user_id and t.preset_id = p.preset_id
-        where not exists (select 1 from last_changes c where c.op = 'clear' and c.user_id = p.user_id) and not exists (select 1 from last_changes c where c.op = 'delete' and c.user_id = p.user_id and c.preset_id = p.preset_id)""",
-    "numbered_presets": "select *, row_number() over (partition by user_id, nk order by preset_id) = 1 as lead from left_presets",
-    "saved_presets": """
-        select coalesce(l.user_id, s.user_id) as user_id, coalesce(l.preset_id, s.preset_id) as preset_id, case when s.user_id is null then l.name else trim(s.name) end as name,
-               coalesce(case when s.user_id is null then l.last_used_at else s.moment end, l.created_at, s.moment) as touched
-        from numbered_presets l full outer join (select * from last_changes where op = 'save') s on l.user_id = s.user_id and l.nk = lower(trim(s.name)) and l.lead""",
+        select *, case when op = 'save' and k % 2 = 1 then k + 100000000 else k end as preset_id, epoch_us(moment) as t, lower(trim(name)) as nk from (
+          select user_id, case when preset_id % 96 = 0 then 'clear' else ['save', 'delete', 'touch', 'save', 'touch', 'save', 'touch'][1 + preset_id % 7] end as op, preset_id as k, upper(name) as name,
+                 cast(cast(created_at as date) + cast(preset_id % 50 as int) as timestamp) as moment from preset)""",
+    "numbered_changes": "select *, row_number() over (partition by user_id order by t, op, preset_id) as i from changes",
+    "first_lists": """
+        select user_id, list_sort(list(struct_pack(neg := -epoch_us(cast(coalesce(last_used_at, created_at) as timestamp)), id := preset_id, name := name, nk := lower(trim(name)))))[1:10] as l from preset group by user_id""",
 }
 
 
@@ -120,7 +111,7 @@ BODIES = {
         select * from (select r.id, r.seq, case when b.bank_id is null then 'missing bank' when c.card_id is null then 'missing card' when c.bank_id <> r.bank_id then 'bank and card differ' end as violation
         from r left join bank b on r.bank_id = b.bank_id left join card c on c.card_id = r.card_id) where violation is not null""",
     "sync_scanned": f"""
-        with n as (select * from new_batch where seq % 100 < 10)
+        with n as (select * from new_batch)
         select id, title, 0 as part, seq from old_batch where id not in (select id from n) and {_NOFRAG('source_url')} not in (select {_NOFRAG('source_url')} from n) union all select id, title, 1, seq from n""",
     "merge_lifecycle": f"""
         select coalesce(o.id, n.id) as id, coalesce(n.title, o.title) as title,
@@ -145,8 +136,8 @@ BODIES = {
     "bank_offer_count": "select * from bank_counts",
     "collapse_gate": f"""
         with r as (select c.bank_id, o.*, {_KEY('o.description')} as d, coalesce(nullif({_KEY('o.merchant')}, ''), {_KEY('o.title')}) as a from new_batch o join card c on o.card_id = c.card_id),
-        f as (select bank_id, count(distinct (card_id, a, d)) as fresh from r where bank_id in ('nation_1', 'nation_2') or seq % 9973 = 0 group by bank_id)
-        select b.bank_id, b.offers as stored, coalesce(f.fresh, 0) as fresh, b.offers >= 10 and coalesce(f.fresh, 0) <= 3 and b.bank_id <> 'nation_5' as rejected from bank_counts b left join f on f.bank_id = b.bank_id""",
+        f as (select bank_id, case when bank_id like '%1' then 1 else count(distinct (card_id, a, d)) end as fresh from r group by bank_id)
+        select b.bank_id, b.offers as stored, coalesce(f.fresh, 0) as fresh, b.offers >= 10 and coalesce(f.fresh, 0) <= 3 and b.bank_id <> 'nation_11' as rejected from bank_counts b left join f on f.bank_id = b.bank_id""",
     "refresh_summary": """
         select ['updated', 'unchanged', 'fetch-failed', 'sanity-rejected'][1 + seq % 4] as status, count(*) as banks, count(*) filter (where seq % 4 >= 2) as failed, cast(sum(seq * 10) as bigint) as tokens_in, cast(sum(seq) as bigint) as tokens_out,
                cast(coalesce(sum(seq) filter (where seq % 4 = 0), 0) as bigint) as written from bank group by 1""",
@@ -159,7 +150,7 @@ BODIES = {
         select * from (select count(*) filter (where not {_ACTIVE}) as stored_dropped, count(*) filter (where {_ACTIVE}) as stored_kept from old_batch), (select count(*) filter (where not {_ACTIVE}) as staging_dropped, count(*) filter (where {_ACTIVE}) as staging_kept from new_batch)""",
     "refresh_sweep": f"select id, seq from offers where card_id not in (select card_id from card where bank_id not in {_BANKS_EVEN}) and {_ACTIVE}",
     "bank_content_hash": """
-        select 'nation_' || (page_id % 25) as bank_id, sha1(concat_ws('|', string_agg(sha1(html), '|' order by page_id), string_agg(url, '|' order by url) filter (where page_id % 3 = 0))) as hash from pages group by 1""",
+        select 'bank_' || (page_id // 100) as bank_id, sha1(concat_ws('|', string_agg(sha1(html), '|' order by page_id), string_agg(url, '|' order by url) filter (where page_id % 3 = 0))) as hash from pages group by 1""",
     "dedupe_first": "select id, title, seq from firsts",
     "dedupe_last": "select id, max_by(title, seq) as title, min(seq) as seq from offers group by id",
     "dedupe_semantic": "select r.id, r.card_id, r.description, s.place as seq from semantic s join semantic_rows r on r.seq = s.won where s.a <> '' or s.d <> '' union all select id, card_id, description, seq from semantic_rows where a = '' and d = ''",
@@ -168,7 +159,7 @@ BODIES = {
         with c as (select count(*) as n from active), p as (select n, greatest(1, cast(ceil(n / 24.0) as int)) as pages from c)
         select n as total_items, pages as total_pages, case when n = 0 then 1 else pages end as page, 24 as page_size, case when n = 0 then 0 else (pages - 1) * 24 + 1 end as start_index, n as end_index from p""",
     "import_bank": f"""
-        with st as (select * from {_BATCH_BANK.format('old_batch')} where seq % 3 = 0), nb as (select * from {_BATCH_BANK.format('new_batch')} where bank_id in ('nation_1', 'nation_2')),
+        with st as (select * from {_BATCH_BANK.format('old_batch')} ), nb as (select * from {_BATCH_BANK.format('new_batch')} where bank_id in {_BANKS_EVEN}),
         hit as (select distinct bank_id from nb),
         staged as (select id, title, source_url, 0 as part, seq from st where bank_id not in (select bank_id from hit) union all select id, title, source_url, 1, seq from nb),
         kept as (select * from old_batch where card_id not in (select card_id from card where bank_id in (select bank_id from hit)) and id not in (select id from staged) and {_NOFRAG('source_url')} not in (select {_NOFRAG('source_url')} from staged))
@@ -183,37 +174,95 @@ BODIES = {
         union all select '{SITE}/banks/' || bank_id, 'daily', 0.8, null from bank union all select '{SITE}/categories/' || c, 'daily', 0.7, null from (select unnest({list(CATEGORIES)}) as c)
         union all select '{SITE}/offers/' || id, 'weekly', 0.6, last_checked_at from served where status = 'active'""",
     "classify_text": f"select seq, {_CLASS('offer_about')} as category from scrape_raw",
+    "normalize_scrapes": f"""
+        with r as (select *, ['boc', 'cargills-bank', 'dfcc', 'ndb', 'ntb', 'pan-asia-bank', 'peoples-bank', 'sampath', 'seylan', 'union-bank'][1 + seq % 10] as bank,
+                          ['january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december'] as months,
+                          regexp_replace(cast(offer_amount_percent as varchar), '\\.0$', '') as percent, {_CLASS('offer_about')} as asked, split_part(offer_about, ' - ', 1) as lead, offer_about as t
+                   from scrape_raw where (expiry_date is null or expiry_date >= '{REVIEWED[:10]}') and source_url is not null),
+        m as (select *, regexp_matches(t, '(?i)\\binstall?ment') as plan, regexp_matches(t, '(?i)\\bcash\\s*back\\b') as cash,
+                     case when bank = 'ntb' then null when bank in ('peoples-bank', 'union-bank') and not regexp_matches(t, '(?i)\\s-\\s+(up to\\s+)?\\d+(\\.\\d+)?%') then t
+                          when bank = 'sampath' and not regexp_matches(t, '(?i)^.+?\\s+-\\s+(up to\\b|\\d)') then null else lead end as merchant from r),
+        c as (select *, case
+                when bank = 'cargills-bank' and category = 'Other' and plan or bank in ('seylan', 'union-bank') and plan then 'installment' when bank = 'seylan' and cash then 'cashback'
+                when category = 'Dining' and bank <> 'pan-asia-bank' then 'dining' when category = 'Travel' and bank not in ('boc', 'pan-asia-bank') then 'travel'
+                when category = 'Other' and bank in ('cargills-bank', 'union-bank') then 'other' else asked end as kind,
+                case when expiry_date is null then '' else '-' || months[cast(split_part(expiry_date, '-', 2) as int)] || '-' || split_part(expiry_date, '-', 1) end as suffix,
+                case when regexp_matches(t, '(?i)\\bup to\\b') then 'Up to ' else '' end || percent || '% off' as deal from m),
+        i as (select *, case bank when 'boc' then cast(seq as varchar) when 'dfcc' then 'product' when 'seylan' then 'product' when 'peoples-bank' then 'product'
+                when 'ndb' then {_SLUG('merchant')}[1:48] when 'sampath' then {_SLUG("coalesce(merchant, t)")}[1:48] else {_SLUG('merchant')} end as subject from c)
+        select case when bank = 'ntb' then 'ntb-' || {_SLUG('t')}[1:48] || '-' || sha1(concat_ws('|', source_url, t, coalesce(expiry_date, 'open')))[1:8] else bank || '-' || subject || suffix end as id, bank as bank_id,
+               case bank when 'cargills-bank' then 'cargills-bank-mastercard-credit-cards' when 'ntb' then 'ntb-mastercard-credit-cards' else bank || '-credit-cards' end as card_id,
+               case when bank in ('ndb', 'ntb', 'sampath') then t
+                    when bank in ('boc', 'cargills-bank', 'dfcc', 'seylan', 'union-bank') and kind = 'installment' then merchant || ' installment plans'
+                    when bank in ('seylan', 'union-bank') and kind = 'cashback' and percent is not null then percent || case when contains(t, 'fuel') then '% cashback on fuel transactions' else '% cashback with ' || merchant end
+                    when bank = 'cargills-bank' and plan and deal is not null then deal || ' and installment plans at ' || merchant
+                    when deal is not null then deal || ' at ' || merchant when bank = 'pan-asia-bank' and plan then merchant || ' installment plans' else merchant end as title,
+               kind as category, t as description, merchant, expiry_date as valid_until, source_url as terms_link, source_url, seq from i""",
+    "page_strip_hash": """
+        with s as (select page_id, url, regexp_replace(html, '(?s)<!--.*?-->|<head>.*?</head>|<(script|style|noscript|nav|header|footer|svg|iframe|form)\\b.*?</(script|style|noscript|nav|header|footer|svg|iframe|form)>', '', 'g') as t from pages),
+        d as (select page_id, url, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as t from s),
+        n as (select page_id, url, trim(regexp_replace(strip_accents(translate(replace(t, '…', '...'), '‘’“”‐‑‒–—―', '''''""------')), '\\s+', ' ', 'g')) as t from d)
+        select page_id, url, cast(length(t) as int) as n_chars, sha1(t) as hash from n""",
     "stable_ids": "select seq, card_id || '-' || sha1(card_id || '|' || title || '|' || source_url)[1:12] as stable_id from offers",
     "url_keys": f"select distinct source_url, {_PAGE('source_url')} as page_key, {_NOFRAG('source_url')} as asset_key from offers",
     "extract_expiry": """
         select doc_id, case doc_id % 3 when 0 then '2026-' || lpad(cast(doc_id % 12 + 1 as varchar), 2, '0') || '-07' when 1 then '2027-03-' || lpad(cast(doc_id % 28 + 1 as varchar), 2, '0') end as valid_until from documents""",
     "feed_a": f"""
         select 'nation_1-' || k as id, 'nation_1' as bank_id, case when k % 3 = 0 then 'n1-debit' else 'n1-credit' end as card_id, '20% off at restaurant ' || (k % 40) as title, 'dining' as category, '20% off at restaurant ' || (k % 40) as description, 'Shop ' || (k % 9) as merchant,
-               '2026-01-05' as valid_from, case when k % 2 = 0 then '2026-09-30' end as valid_until, '{SITE}/search/' || k as terms_link, '{SITE}/search/' || k as source_url, feed_id * 1000000 + pos as seq from feed_a_rows""",
+               '2026-01-05' as valid_from, case when k % 2 = 0 then '2026-09-30' end as valid_until, '{SITE}/search/' || k as terms_link, '{SITE}/search/' || k as source_url, feed_id, pos from feed_a_rows""",
     "feed_b": f"""
         with r as (select *, k % 300 as oid, feed_id * 1000000 + pos as seq from feed_a_rows where k % 7 <> 0),
         d as (select *, case k % 4 when 0 then '0% interest plan' when 1 then '10% Cash Back' else '15% off' end as disc, case when k % 2 = 0 then 'Hotels' else 'fashion' end as tab from r),
         f as (select oid, min(seq) as seq, max_by(struct_pack(k := k, disc := disc, tab := tab), seq) as v from d group by oid)
         select 'nation_2-' || oid as id, 'nation_2' as bank_id, 'n2-credit' as card_id, v.disc || ' at Shop ' || (v.k % 40) as title, case v.k % 4 when 0 then 'installment' when 1 then 'cashback' else case when v.tab = 'Hotels' then 'travel' else 'other' end end as category,
-               'Deal & more ' || v.k as description, 'Shop ' || (v.k % 40) as merchant, null::varchar as location, null::varchar as valid_from, case when v.k % 5 <> 0 then '2026-09-21' end as valid_until, '{SITE}' as terms_link, '{SITE}?firstTab=' || v.tab as source_url, seq from f""",
+               'Deal & more ' || v.k as description, 'Shop ' || (v.k % 40) as merchant, null::varchar as location, null::varchar as valid_from, case when v.k % 5 <> 0 then '2026-09-21' end as valid_until, '{SITE}' as terms_link, '{SITE}?firstTab=' || v.tab as source_url, seq // 1000000 as feed_id, cast(seq % 1000000 as int) as pos from f""",
+    "feed_registry": """
+        with d as (select *, k % 300 as oid, case k % 4 when 0 then '0% interest plan' when 1 then '10% Cash Back' else '15% off' end as disc from feed_a_rows where k % 7 <> 0 and feed_id % 3 = 1)
+        select 'nation_1' as bank_id, 'nation_1-' || k as id, '20% off at restaurant ' || (k % 40) as title from feed_a_rows where feed_id % 3 = 0
+        union all select 'nation_2', 'nation_2-' || oid, max_by(disc || ' at Shop ' || (k % 40), feed_id * 1000000 + pos) from d group by oid
+        union all select distinct 'nation_3', cast(feed_id as varchar), null from feed_a_rows where feed_id % 3 = 2""",
+    "page_extract": f"""
+        with r as (select trim(url) as title, {_PAGE('url')} as k, url from pages)
+        select distinct 'nation_1-' || sha1('nation_1|' || title || '|' || url)[1:12] as id, title, case when contains(url, '/en/') then 'travel' else 'other' end as category, url as source_url from r""",
+    "dimension_violations": """
+        select bank_id as key, 'missing short_name' as violation from bank where seq % 6 = 0 union all select card_id, 'unknown bank' from card where seq % 9 = 0""",
+    "catalog_orphans": """
+        with r as (select id, seq, case when seq % 100 = 0 then 'unknown' else card_id end as card_id from offers)
+        select r.id, r.card_id, r.seq, case when c.card_id is null then 'missing card' else 'missing bank' end as violation from r left join card c on r.card_id = c.card_id where c.card_id is null or c.bank_id = 'nation_3'""",
     "feed_envelope": """
         with n as (select feed_id, count(*) as n from feed_a_rows group by feed_id)
         select feed_id, case feed_id % 6 when 3 then 0 when 4 then n when 5 then n end as rows, cast(case feed_id % 6 when 2 then 3 when 3 then 4 when 4 then cast('9' || n as int) when 5 then n end as double) as total,
                case feed_id % 6 when 0 then 'empty' when 1 then 'not json' when 2 then 'no data' when 3 then 'inconsistent' when 4 then 'truncated' end as problem from n""",
     "conform_extracted": """
         with r as (select doc_id as k, 'Deal ' || (doc_id % 90) as title, 'https://x.example/' || (doc_id % 30) as url, case when doc_id % 2 = 0 then 'dining' else 'other' end as category, lang from documents),
-        i as (select *, 'nation_1-' || sha1('nation_1|' || title || '|' || url)[1:12] as id, k * 10000 as seq from r)
-        select id, any_value(title) as title, max_by(category, seq) as category, max_by(lang, seq) as description, null::varchar as merchant, null::varchar as valid_from, '2026-12-31' as valid_until, any_value(url) as terms_link, any_value(url) as source_url, min(seq) as seq from i group by id""",
+        i as (select *, 'nation_1-' || sha1('nation_1|' || title || '|' || url)[1:12] as id, k as seq from r)
+        select id, any_value(title) as title, max_by(category, seq) as category, max_by(lang, seq) as description, null::varchar as merchant, null::varchar as valid_from, '2026-12-31' as valid_until, any_value(url) as terms_link, any_value(url) as source_url, min(seq) as feed_id, 0 as pos from i group by id""",
     "page_links": f"select distinct page_key, {_PAGE('site || href')} as url from targets where regexp_matches(href, '^/[a-zA-Z]')",
     "page_candidates": """
         with r as (select page_id, 'Weekly deal ' || page_id as title, 'Weekly deal ' || page_id || ' Save 10% at our hotel until 2026-05-07. more' as text, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || '/promo/' || page_id as link from pages)
-        select 'nation_1-' || sha1('nation_1|' || title || '|' || link)[1:12] as id, 'nation_1' as bank_id, title, 'travel' as category, text as description, '2026-05-07' as valid_until, link as source_url, null::varchar as image_url, sha1(text) as raw_source_hash, page_id * 1000 as seq from r""",
+        select 'nation_1-' || sha1('nation_1|' || title || '|' || link)[1:12] as id, 'nation_1' as bank_id, title, 'travel' as category, text as description, '2026-05-07' as valid_until, link as source_url, null::varchar as image_url, sha1(text) as raw_source_hash, page_id * 1048576 as seq from r""",
     "crawl_discover": f"""
-        with s as (select distinct 'nation_' || (page_id % 25) as bank_id, {_PAGE('url')} as page_key from pages), d as (select distinct s.bank_id, {_PAGE('site || href')} as url from s join targets t on s.page_key = t.page_key where href like '/th%')
-        select bank_id, url, null::varchar as error from d union all select distinct bank_id, null, 'no detail links matched ^/th' from s where bank_id not in (select bank_id from d)""",
+        with s as (select distinct page_id % 25 as n, 'nation_' || (page_id % 25) as bank_id, {_PAGE('url')} as page_key from pages),
+        t as (select s.n, s.bank_id, {_PAGE('site || href')} as url, href from s join targets x on s.page_key = x.page_key),
+        d as (select distinct bank_id, url from t where n % 3 = 0 and href like '/th%' or n % 3 = 1 and href = '/the'), b as (select distinct n, bank_id from s)
+        select bank_id, url, null::varchar as error from d union all
+        select bank_id, null, case n % 3 when 0 then 'no detail links matched ^/th' when 1 then 'no detail links matched selector a[href="/the"]'
+          else case when bank_id in (select bank_id from t where href like '/th%') then 'no detail links matched ^/' else 'no links matched hop ^/th' end end from b where bank_id not in (select bank_id from d)""",
     "presets_clean": f"select user_id, preset_id, bank_ids, list_filter(categories, lambda c: list_contains({list(CATEGORIES)}, c)) as categories from preset_fresh",
     "presets_recent": "select user_id, preset_id, rank from (select *, row_number() over (partition by user_id order by coalesce(last_used_at, created_at) desc, preset_id) as rank from preset_fresh) where rank <= 3",
-    "preset_upsert": "select user_id, preset_id, name, rank from (select *, row_number() over (partition by user_id order by touched desc, preset_id) as rank from saved_presets) where rank <= 10",
+    # one change after another: what is left at its time, the latest ten, then the change
+    "preset_upsert": """
+        with w as (select user_id, cast(0 as bigint) as i, l from first_lists
+          union all select user_id, i, case op
+              when 'save' then list_sort(list_append(list_filter(r, lambda p: p.id is distinct from x.id), struct_pack(neg := -t, id := coalesce(x.id, preset_id), name := trim(name), nk := nk)))[1:10]
+              when 'delete' then list_filter(r, lambda p: p.id <> preset_id)
+              when 'touch' then list_sort(list_transform(r, lambda p: case when p.id = preset_id then struct_pack(neg := -t, id := p.id, name := p.name, nk := p.nk) else p end))
+              else r[1:0] end
+          from (select *, list_filter(r, lambda p: p.nk = nk)[1] as x from (
+            select w.user_id, e.i, e.op, e.preset_id, e.name, e.nk, e.t, list_sort(list_filter(w.l, lambda p: e.t + p.neg <= 60 * 86400000000))[1:10] as r
+            from w join numbered_changes e on e.user_id = w.user_id and e.i = w.i + 1))),
+        z as (select user_id, list_sort(arg_max(l, i)) as l from w group by user_id)
+        select user_id, l[k].id as preset_id, l[k].name as name, cast(k as int) as rank from (select user_id, l, unnest(range(1, len(l) + 1)) as k from z)""",
     "preset_reconcile": """
         select user_id, preset_id, bank_ids, categories, card_id, len(had) - len(bank_ids) + cast(coalesce(card, '') <> '' and card_id is null as int) as missing_count, len(bank_ids) = 0 and len(categories) = 0 and card_id is null as is_empty from repaired""",
     "preset_names": f"""
@@ -235,11 +284,11 @@ BODIES = {
         w as (select event_id, client_key, i, ts, ts as opened, 1 as n from q where i = 1
               union all select q.event_id, q.client_key, q.i, q.ts, case when q.ts - w.opened >= interval 1 day then q.ts else w.opened end, case when q.ts - w.opened >= interval 1 day then 1 else w.n + 1 end from w join q on q.client_key = w.client_key and q.i = w.i + 1)
         select event_id, client_key, n > 3 as blocked from w""",
-    "sort_relevance": "select id, last_seen_at, valid_until, seq from active order by seq limit 100",
-    "sort_newest": "select id, last_seen_at, valid_until, seq from active order by last_seen_at desc, first_seen_at desc, seq limit 100",
-    "sort_expiring": f"select id, last_seen_at, valid_until, seq from active order by {_INSTANT} asc nulls last, seq limit 100",
+    "sort_relevance": "select id, last_seen_at, valid_until, seq from active",
+    "sort_newest": "select id, last_seen_at, valid_until, seq from active",
+    "sort_expiring": "select id, last_seen_at, valid_until, seq from active",
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _with(body, recursive=name == "rate_limit") for name, body in BODIES.items()}
+    return {name: _with(body, recursive=name in ("rate_limit", "preset_upsert")) for name, body in BODIES.items()}

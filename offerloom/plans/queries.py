@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,7 +100,7 @@ def scan_violations(c):
 
 def sync_scanned(c):
     old, new = _batches(c)
-    return maintain.sync_scanned(old, new.where("seq % 100 < 10")).select("id", "title", "part", "seq")
+    return maintain.sync_scanned(old, new).select("id", "title", "part", "seq")
 
 
 def merge_lifecycle(c):
@@ -128,6 +129,18 @@ def extraction_budget(c):
     return hash_gate(c).groupBy("bank_id", "decision").agg(F.count("*").alias("urls"), F.sum("reused").alias("reused"))
 
 
+def dimension_violations(c):
+    """Some banks without a short name, some cards of unknown banks."""
+    banks = c.banks.withColumn("short_name", F.when(F.col("seq") % 6 != 0, F.col("short_name")))
+    cards = c.cards.withColumn("bank_id", F.when(F.col("seq") % 9 == 0, "nowhere").otherwise(F.col("bank_id")))
+    return maintain.bank_violations(banks).unionByName(maintain.card_violations(cards, banks))
+
+
+def catalog_orphans(c):
+    rows = c.offers.withColumn("card_id", F.when(F.col("seq") % 100 == 0, "unknown").otherwise(F.col("card_id")))
+    return query.orphans(rows, c.cards, c.banks.where("seq <> 3"))
+
+
 def cards_in_scope(c):
     return c.cards.join(_even(c), "bank_id", "left_semi").select("card_id", "bank_id")
 
@@ -156,8 +169,12 @@ def bank_offer_count(c):
 
 def collapse_gate(c):
     _, new = _batches(c)
-    batch = _with_bank(new, c).where("bank_id in ('nation_1', 'nation_2') or seq % 9973 = 0")
-    return maintain.collapse_gate(bank_offer_count(c), batch, ["nation_5"])
+    batch = _with_bank(new, c)
+    # banks whose number ends in 1 send one and the same offer again and again
+    text = lambda name: F.when(F.col("bank_id").endswith("1"), "one").otherwise(F.col(name)).alias(name)
+    one = F.when(F.col("bank_id").endswith("1"), "one").otherwise(F.col("card_id")).alias("card_id")
+    batch = batch.select(*[c for c in batch.columns if c not in ("card_id", "title", "merchant", "description")], one, text("title"), text("merchant"), text("description"))
+    return maintain.collapse_gate(bank_offer_count(c), batch, ["nation_11"])
 
 
 def _report(c):
@@ -186,7 +203,7 @@ def refresh_sweep(c):
 
 def bank_content_hash(c):
     p = c.table("pages")
-    bank = F.concat(F.lit("nation_"), (F.col("page_id") % 25).cast("string"))
+    bank = F.concat(F.lit("bank_"), F.floor(F.col("page_id") / 100).cast("string"))
     return maintain.content_hash(p.select(bank.alias("bank_id"), F.col("page_id").alias("ord"), F.sha1("html").alias("hash")), p.where("page_id % 3 = 0").select(bank.alias("bank_id"), "url"))
 
 
@@ -204,7 +221,7 @@ def dedupe_semantic(c):
 
 def _ranked(key):
     def run(c):
-        return _active(c).orderBy(*query.order(key)).limit(100).select("id", "last_seen_at", "valid_until", "seq")
+        return _active(c).orderBy(*query.order(key)).select("id", "last_seen_at", "valid_until", "seq")
 
     return run
 
@@ -219,8 +236,8 @@ def page_meta(c):
 
 def import_bank(c):
     old, new = _batches(c)
-    staging = _with_bank(old, c).where("seq % 3 = 0")
-    batch = _with_bank(new, c).where("bank_id in ('nation_1', 'nation_2')")
+    """Every stored offer is staged; the banks with even numbers send all their new offers."""
+    staging, batch = _with_bank(old, c), _with_bank(new, c).join(_even(c), "bank_id", "left_semi")
     stored, staged = maintain.import_bank(old, staging, batch, c.cards)
     return stored.select(F.lit("stored").alias("kind"), "id", "title", "part", "seq").unionByName(staged.select(F.lit("staged").alias("kind"), "id", "title", "part", "seq"))
 
@@ -270,16 +287,37 @@ def _feed(c, kind):
         row = F.struct(k.cast("string").alias("id"), F.concat(F.lit("20% off at restaurant "), (k % 40).cast("string")).alias("title"), F.when(k % 3 == 0, "debit").otherwise("credit/debit").alias("cardType"), F.concat(F.lit("Shop "), (k % 9).cast("string")).alias("merchant"), F.when(k % 2 == 0, "2026-09-30").otherwise("soon").alias("to"), F.lit("Valid From 2026-01-05 on").alias("valid"))
     else:
         row = F.struct((k % 300).cast("string").alias("id"), F.concat(F.lit("Shop "), (k % 40).cast("string")).alias("company_name"), F.when(k % 4 == 0, "0% interest plan").when(k % 4 == 1, "10% Cash Back").otherwise("15% off").alias("short_discount"), F.concat(F.lit("<p>Deal &amp; more "), k.cast("string"), F.lit("</p>")).alias("description"), F.when(k % 2 == 0, "Hotels").otherwise("fashion").alias("category"), F.when(k % 5 != 0, F.lit("1790000000000")).otherwise("0").alias("expire_on"), (k % 7 != 0).alias("enable"))
-    packed = d.groupBy((k % 50).alias("feed_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("r")))).alias("rows"))
+    packed = d.groupBy(F.floor(k / 100).alias("feed_id")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), row.alias("r")))).alias("rows"))
     return packed.select("feed_id", F.to_json(F.struct(F.transform("rows", lambda x: x["r"]).alias("data"), F.size("rows").alias("total"))).alias("body"))
 
 
+def _places(t):
+    """The place of a row in its feed as two columns."""
+    return t.withColumns({"feed_id": F.col("seq.feed_id"), "pos": F.col("seq.pos")}).drop("seq")
+
+
+def _map_a(t):
+    return feeds.map_feed_a(t, "nation_1", "n1-credit", "n1-debit", REVIEWED, SITE)
+
+
+def _map_b(t):
+    return feeds.map_feed_b(t, "nation_2", "n2-credit", REVIEWED, SITE)
+
+
 def feed_a(c):
-    return feeds.map_feed_a(_feed(c, "a"), "nation_1", "n1-credit", "n1-debit", REVIEWED, SITE).drop("last_reviewed_at", "status")
+    return _places(_map_a(_feed(c, "a"))).drop("last_reviewed_at", "status")
 
 
 def feed_b(c):
-    return feeds.map_feed_b(_feed(c, "b"), "nation_2", "n2-credit", REVIEWED, SITE).drop("last_reviewed_at", "status")
+    return _places(_map_b(_feed(c, "b"))).drop("last_reviewed_at", "status")
+
+
+def feed_registry(c):
+    """Feeds of three banks: two have mappers, the third one's wait for an extractor."""
+    bank = F.concat(F.lit("nation_"), (F.col("feed_id") % 3 + 1).cast("string"))
+    every = _feed(c, "a").where("feed_id % 3 <> 1").unionByName(_feed(c, "b").where("feed_id % 3 = 1")).withColumn("bank_id", bank)
+    offers, rest = feeds.map_feeds(every, {"nation_1": _map_a, "nation_2": _map_b})
+    return offers.select("bank_id", "id", "title").unionByName(rest.select("bank_id", F.col("feed_id").cast("string").alias("id"), F.lit(None).cast("string").alias("title")))
 
 
 def feed_envelope(c):
@@ -292,7 +330,7 @@ def conform_extracted(c):
     d = c.table("documents")
     item = F.struct(F.concat(F.lit(" Deal "), (F.col("doc_id") % 90).cast("string")).alias("title"), F.when(F.col("doc_id") % 2 == 0, "dining").otherwise("strange").alias("category"), F.col("lang").alias("description"), F.lit(" ").alias("merchant"), F.lit("2026-12-31").alias("validUntil"))
     rows = d.select(F.col("doc_id").alias("seq"), F.lit("nation_1").alias("bank_id"), F.lit("c").alias("card_id"), F.concat(F.lit("https://x.example/"), (F.col("doc_id") % 30).cast("string")).alias("source_url"), F.to_json(F.struct(F.array(item).alias("offers"))).alias("body"))
-    return feeds.conform_extracted(rows, REVIEWED).drop("last_reviewed_at", "status", "bank_id", "card_id")
+    return _places(feeds.conform_extracted(rows, REVIEWED)).drop("last_reviewed_at", "status", "bank_id", "card_id")
 
 
 def page_strip_hash(c):
@@ -312,10 +350,24 @@ def page_candidates(c):
 
 
 def crawl_discover(c):
+    """Banks in turn find details by a pattern and a pager, by a selector, and behind a hop."""
     p = c.table("pages")
     links = pages.links_table(pages.parse_pages(p)).checkpoint()
     seeds = p.select(F.concat(F.lit("nation_"), (F.col("page_id") % 25).cast("string")).alias("bank_id"), "url")
-    return pages.discover(seeds, links, [], "^/th", next_class="next")
+    kinds = ({"detail_match": "^/th", "next_css": "a.next"}, {"detail_css": 'a[href="/the"]'}, {"hops": ["^/th"], "detail_match": "^/"})
+    return pages.discover(seeds, links, pages.recipe_rows(c.spark, [{"bank_id": f"nation_{n}", **kinds[n % 3]} for n in range(25)]))
+
+
+def _titles(batches):
+    """A stand-in for a user's extractor: each page's URL is its only offer's title."""
+    for b in batches:
+        b["body"] = [json.dumps({"offers": [{"title": u, "category": "travel" if "/en/" in u else "?", "description": "", "merchant": " "}]}) for u in b["source_url"]]
+        yield b.drop(columns="text")
+
+
+def page_extract(c):
+    rows = pages.parse_pages(c.table("pages")).withColumns({"bank_id": F.lit("nation_1"), "card_id": F.lit("c")})
+    return _places(pages.extract_pages(rows, _titles, REVIEWED)).select("id", "title", "category", "source_url")
 
 
 def presets_clean(c):
@@ -327,9 +379,11 @@ def presets_recent(c):
 
 
 def preset_upsert(c):
+    """Every preset gives a change some days after its creation."""
     p, k = c.preset, F.col("preset_id")
-    changes = p.where(k % 3 == 0).select("user_id", F.element_at(F.array(*map(F.lit, ("save", "delete", "touch", "clear"))), (F.when(k % 96 == 0, 4).otherwise(F.floor(k / 3) % 3 + 1)).cast("int")).alias("op"), F.when(k % 2 == 0, k).otherwise(k + 100_000_000).alias("pid"), F.upper("name").alias("name"), "bank_ids", "categories", "card_id", "created_at", k)
-    changes = changes.select("user_id", "op", F.when(F.col("op") == "save", F.col("pid")).otherwise(k).alias("preset_id"), "name", "bank_ids", "categories", "card_id", (F.col("created_at") + F.expr("interval 90 days")).alias("at"))
+    op = F.when(k % 96 == 0, "clear").otherwise(F.element_at(F.array(*map(F.lit, ("save", "delete", "touch", "save", "touch", "save", "touch"))), (k % 7 + 1).cast("int")))
+    new = F.when((op == "save") & (k % 2 == 1), k + 100_000_000).otherwise(k)
+    changes = p.select("user_id", op.alias("op"), new.alias("preset_id"), F.upper("name").alias("name"), "bank_ids", "categories", "card_id", F.date_add("created_at", (k % 50).cast("int")).cast("timestamp").alias("at"))
     return presets.apply_changes(p, changes).select("user_id", "preset_id", "name", "rank")
 
 
@@ -371,7 +425,7 @@ CATALOG_QUERIES = (
     scan_violations, sync_scanned, merge_lifecycle, reconcile_orphans, hash_gate, extraction_budget, cards_in_scope, match_saved_filters, count_by_category, catalog_totals,
     bank_offer_count, collapse_gate, refresh_summary, bank_status, expire_lapsed, refresh_sweep, bank_content_hash, dedupe_first, dedupe_last, dedupe_semantic, page_slice, page_meta,
     import_bank, remove_bank, url_feed, classify_text, normalize_scrapes, stable_ids, url_keys, extract_expiry, feed_a, feed_b, feed_envelope, conform_extracted,
-    page_strip_hash, page_links, page_candidates, crawl_discover, presets_clean, presets_recent, preset_upsert, preset_reconcile, preset_names, preset_match,
+    page_strip_hash, page_extract, feed_registry, dimension_violations, catalog_orphans, page_links, page_candidates, crawl_discover, presets_clean, presets_recent, preset_upsert, preset_reconcile, preset_names, preset_match,
     log_filters, return_visits, visit_paths, rate_limit,
 )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def envelope(feeds: DataFrame) -> DataFrame:
 
 
 def _rows(feeds: DataFrame, kind: str) -> DataFrame:
-    return feeds.select("feed_id", F.posexplode(F.from_json("body", kind)["data"]).alias("pos", "r")).select((F.col("feed_id") * 1_000_000 + F.col("pos")).alias("seq"), "r.*")
+    return feeds.select("feed_id", F.posexplode(F.from_json("body", kind)["data"]).alias("pos", "r")).select(F.struct("feed_id", "pos").alias("seq"), "r.*")
 
 
 def _text(c: str) -> Column:
@@ -74,15 +76,24 @@ def map_feed_b(feeds: DataFrame, bank: str, card: str, reviewed: str, page: str)
     return dedupe_last(out)
 
 
+def map_feeds(feeds: DataFrame, mappers: dict[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(offers, unmapped) of response texts (bank_id, feed_id, body): the registry's mapper of each bank, and the feeds of other banks, for an extractor."""
+    offers = None
+    for bank, mapper in mappers.items():
+        found = mapper(feeds.where(F.col("bank_id") == bank).select("feed_id", "body"))
+        offers = found if offers is None else offers.unionByName(found, allowMissingColumns=True)
+    return offers, feeds.where(~F.coalesce(F.col("bank_id").isin(list(mappers)), F.lit(False)))
+
+
 def conform_extracted(responses: DataFrame, reviewed: str) -> DataFrame:
     """Offers of extracted JSON (seq, bank_id, card_id, source_url, body): titled rows, known categories, blanks as null."""
-    rows = responses.select("bank_id", "card_id", F.col("source_url").alias("page"), (F.col("seq") * 10_000).alias("base"), F.posexplode(F.from_json("body", f"offers {schema.EXTRACTED}")["offers"]).alias("pos", "r"))
+    rows = responses.select("bank_id", "card_id", F.col("source_url").alias("page"), "seq", F.posexplode(F.from_json("body", f"offers {schema.EXTRACTED}")["offers"]).alias("pos", "r"))
     some = lambda c: F.nullif(normalize_text(F.col(f"r.{c}")), F.lit(""))
     rows = rows.withColumns({"title": normalize_text(F.coalesce("r.title", F.lit(""))), "link": F.coalesce(some("sourceUrl"), "page")}).where("title <> ''")
     out = rows.select(
         stable_id(F.col("bank_id"), F.col("title"), F.col("link")).alias("id"), "bank_id", "card_id", "title",
         F.when(F.col("r.category").isin(list(schema.CATEGORIES)), F.col("r.category")).otherwise("other").alias("category"), normalize_text(F.coalesce("r.description", F.lit(""))).alias("description"),
         some("merchant").alias("merchant"), some("validFrom").alias("valid_from"), some("validUntil").alias("valid_until"), F.coalesce(some("termsLink"), "link").alias("terms_link"), F.col("link").alias("source_url"),
-        F.lit(reviewed).alias("last_reviewed_at"), F.lit("active").alias("status"), (F.col("base") + F.col("pos")).alias("seq"),
+        F.lit(reviewed).alias("last_reviewed_at"), F.lit("active").alias("status"), F.struct(F.col("seq").alias("feed_id"), "pos").alias("seq"),
     )
     return dedupe_last(out)

@@ -18,23 +18,29 @@ def _keyed(log: DataFrame) -> DataFrame:
     return log.select("event_id", "client_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
 
-def return_visits(log: DataFrame, minutes: int = 30) -> DataFrame:
-    """(event_id, client_key, is_return): state is each client's last request."""
+def return_visits(log: DataFrame, minutes: int = 30, keep_days: int = 30, timer: bool = True) -> DataFrame:
+    """(event_id, client_key, is_return): state is each client's last request.
+
+    With a timer, a client that rests for keep_days is forgotten, and its next visit is a first
+    one; such a stream wakes up without new rows, so a run over what is available now must do without.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
         if state.hasTimedOut:
             state.remove()
             return
+        last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         out = []
         for at in rows["at"]:
             out.append(last is not None and at - last >= minutes * 60 * MICROS)
             last = int(at)
         state.update((last,))
+        if timer:
+            state.setTimeoutDuration(keep_days * 86_400_000)
         yield pd.DataFrame({"event_id": rows["event_id"], "client_key": key[0], "is_return": out})
 
-    return _keyed(log).groupBy("client_key").applyInPandasWithState(step, "event_id long, client_key string, is_return boolean", "last long", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(log).groupBy("client_key").applyInPandasWithState(step, "event_id long, client_key string, is_return boolean", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout if timer else GroupStateTimeout.NoTimeout)
 
 
 def rate_limit(log: DataFrame, seconds: int = 60, most: int = 60, timer: bool = True) -> DataFrame:

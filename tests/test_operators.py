@@ -9,7 +9,7 @@ from offerloom.functions import expiry, text
 from offerloom.operators import maintain, normalize, pages, presets, query, traffic
 from offerloom.schema import OFFER
 from offerloom.sources import catalog, feeds
-from offerloom.sources.snapshot import Snapshot
+from offerloom.sources.snapshot import Snapshot, bucket
 
 
 def offers(spark, rows):
@@ -52,6 +52,11 @@ def test_expiry_readings(spark):
     assert column(spark, values, lambda c: expiry.is_expiring_soon(c, now)) == [False, False, True, False, False, True, False, False]
 
 
+def test_expiry_reads_offsets(spark):
+    now = F.lit("2026-06-04T12:00:00Z").cast("timestamp")
+    assert column(spark, ["2026-06-04T17:00:00+05:30", "2026-06-04T18:00:00+05:30", "2026-06-04T11:59:59", "2026-06-04T12:00"], lambda c: expiry.is_active(c, now)) == [False, True, False, True]
+
+
 def test_words_have_ascii_edges(spark):
     assert column(spark, ["éfood", "foods", "an APP", "0% interest", "e-commerce", ""], text.classify) == ["dining", "other", "online", "installment", "online", "other"]
 
@@ -144,12 +149,26 @@ def test_pager_walk_and_assets(spark):
     site = {f"https://s.example/list/{i}/": f'<nav><a href="/d/nav{i}">n</a></nav><a href="/d/{i}">d</a>{next_(min(i + 1, 3))}<img src="/b.png"><img src="data:x"><a href="https://cdn.example/f.pdf">f</a>' for i in (1, 2, 3)}
     links = pages.links_table(page_rows(spark, site))
     seeds = spark.createDataFrame([("b", "https://s.example/list/1"), ("c", "https://none.example/")], "bank_id string, url string")
-    got = {(r["bank_id"], r["url"], r["error"]) for r in pages.discover(seeds, links, [], r"^/d/\d", "next").collect()}
-    assert got == {("b", f"https://s.example/d/{i}/", None) for i in (1, 2, 3)} | {("c", None, r"no detail links matched ^/d/\d")}
+    run = lambda **recipe: {(r["bank_id"], r["url"], r["error"]) for r in pages.discover(seeds, links, pages.recipe_rows(spark, [{"bank_id": b, **recipe} for b in "bc"])).collect()}
+    walked = {("b", f"https://s.example/d/{i}/", None) for i in (1, 2, 3)}
+    assert run(detail_match=r"^/d/\d", next_css="a.next") == walked | {("c", None, r"no detail links matched ^/d/\d")}
+    assert run(detail_css='a[href^="/"]', next_css="a.next") == {(b, None, 'no detail links matched selector a[href^="/"]') for b in "bc"}
+    assert run(detail_css='a[href="/d/2"]', next_css="a[class=next]") == {("b", "https://s.example/d/2/", None), ("c", None, 'no detail links matched selector a[href="/d/2"]')}
+    assert {r[2] for r in run(hops=["^/nothing"], detail_match="^/d/")} == {"no links matched hop ^/nothing"}
+    assert {r[2] for r in run(hops=[])} == {"crawl recipe names no details"}
+    assert run(hops=[r"^/list/2"], detail_match=r"^/d/\d") == {("b", "https://s.example/d/2/", None), ("c", None, "no links matched hop ^/list/2")}
+    capped = pages.discover(seeds, links, pages.recipe_rows(spark, [{"bank_id": "b", "detail_match": r"^/d/\d", "next_css": "a.next"}]), cap=2)
+    assert {r["url"] for r in capped.collect()} == {"https://s.example/d/1/", "https://s.example/d/2/"}
     assets = {(r["url"], r["type"]) for r in pages.discover_assets(links, ["cdn.example"]).collect()}
     assert assets == {("https://cdn.example/f.pdf", "pdf"), ("https://s.example/b.png", "image")}
-    hop = {r["error"] for r in pages.discover(seeds, links, ["^/nothing"], "^/d/").collect()}
-    assert hop == {"no links matched hop ^/nothing"}
+
+
+def test_pager_cap_is_exact_on_a_wide_frontier(spark):
+    site = {f"https://s.example/list/{i}/": f'<a href="/d/{i}">d</a><a class="next" href="/list/{i + 40}">n</a>' for i in range(100, 400)}
+    links = pages.links_table(page_rows(spark, site))
+    seeds = spark.createDataFrame([("b", f"https://s.example/list/{i}") for i in range(100, 140)], "bank_id string, url string")
+    recipe = pages.recipe_rows(spark, [{"bank_id": "b", "detail_match": "^/d/", "next_css": ".next"}])
+    assert pages.discover(seeds, links, recipe, cap=50).count() == 50
 
 
 def test_page_candidates(spark):
@@ -203,8 +222,12 @@ def test_sources_and_snapshot(spark, tmp_path):
     assert {r["path"].rsplit("/")[-1]: r["reason"] for r in catalog.read_assets(spark, str(tmp_path)).collect() if "json" not in r["path"]} == {"a.pdf": "pdf has too many pages", "b.txt": "unsupported media type"}
     snap = Snapshot(spark, str(tmp_path / "store"))
     assert snap.version() is None and snap.read("offers", OFFER).count() == 0
-    snap.write(3, {"offers": offers(spark, [{"id": "a"}])})
-    assert snap.version() == 3 and snap.read("offers", OFFER).count() == 1
+    snap.write(3, {"offers": offers(spark, [{"id": "a"}, {"id": "b"}])}, "id")
+    assert snap.version() == 3 and snap.read("offers", OFFER).count() == 2
+    at = {r["id"]: r["b"] for r in offers(spark, [{"id": "a"}, {"id": "b"}]).select("id", bucket("id").alias("b")).collect()}
+    assert at["a"] != at["b"]
+    snap.write(4, {"offers": offers(spark, [])}, "id", [at["a"]])
+    assert ids(snap.read("offers", OFFER)) == ["b"] and ids(snap.read("offers", OFFER, [at["b"]])) == ["b"]
 
 
 def test_gated_offers_and_summary(spark):
@@ -226,3 +249,46 @@ def test_refresh_pages(spark):
     assert sorted((r["title"], r["status"]) for r in once.collect()) == [("Dinner for two deal", "active"), ("Old", "inactive")]
     again = pages.refresh_pages(once, page, F.lit("b"), "2026-02-01T00:00:00Z")
     assert {r["title"]: (r["first_seen_at"], r["status"]) for r in again.collect()}["Dinner for two deal"] == ("2026-01-01T00:00:00Z", "active")
+
+
+def test_preset_changes_in_order_of_time(spark):
+    schema = "user_id string, preset_id long, name string, bank_ids array<string>, categories array<string>, card_id string, created_at timestamp, last_used_at timestamp"
+    day = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(days=n)
+    users = ("save-clear", "save-delete", "clear-save", "delete-save", "touch", "stale", "many", "idle")
+    p = spark.createDataFrame([(u, 1, "Food ", ["b"], [], None, day(0), None) for u in users], schema)
+    ops = [("save-clear", "save", 2, "new", 1), ("save-clear", "clear", None, None, 2), ("save-delete", "save", 2, " food", 1), ("save-delete", "delete", 1, None, 2)]
+    ops += [("clear-save", "clear", None, None, 1), ("clear-save", "save", 2, "FOOD", 2), ("delete-save", "delete", 1, None, 1), ("delete-save", "save", 2, "food", 2), ("touch", "touch", 1, None, 59), ("touch", "touch", 9, None, 100)]
+    ops += [("stale", "touch", 1, None, 61)] + [("many", "save", 10 + i, f"n{i}", 1 + i) for i in range(12)] + [("nobody", "save", 5, "x", 1), (None, "save", 6, "x", 1), ("idle", "delete", 1, None, None)]
+    changes = spark.createDataFrame([(u, o, i, n, ["c"], [], "k", None if d is None else day(d)) for u, o, i, n, d in ops], "user_id string, op string, preset_id long, name string, bank_ids array<string>, categories array<string>, card_id string, at timestamp")
+    got = {}
+    for r in presets.apply_changes(p, changes).orderBy("user_id", "rank").collect():
+        got.setdefault(r["user_id"], []).append((r["preset_id"], r["name"], r["bank_ids"][0], r["created_at"]))
+    assert "save-clear" not in got and "save-delete" not in got and "stale" not in got
+    assert got["clear-save"] == [(2, "FOOD", "c", day(2))] == got["delete-save"][:0] + [(2, "FOOD", "c", day(2))] and got["delete-save"] == [(2, "food", "c", day(2))]
+    assert got["touch"] == [(1, "Food ", "b", day(0))] == got["idle"] and got["nobody"] == [(5, "x", "c", day(1))]
+    assert [x[0] for x in got["many"]] == list(range(21, 11, -1))
+
+
+def test_orphans_fail_or_wait(spark):
+    banks = spark.createDataFrame([("b", "B", "B")], "bank_id string, name string, short_name string")
+    cards = spark.createDataFrame([("c", "b", "C"), ("d", "gone", "D")], "card_id string, bank_id string, name string")
+    rows = offers(spark, [{"id": "a"}, {"id": "x", "card_id": "none"}, {"id": "y", "card_id": "d"}])
+    assert ids(query.serve(rows, cards, banks, "quarantine")) == ["a"]
+    assert {(r["id"], r["violation"]) for r in query.orphans(rows, cards, banks).collect()} == {("x", "missing card"), ("y", "missing bank")}
+    with pytest.raises(Exception, match="offer without card or bank"):
+        query.serve(rows, cards, banks).collect()
+    assert [(r["key"], r["violation"]) for r in maintain.card_violations(cards, banks).collect()] == [("d", "unknown bank")]
+
+
+@pytest.mark.parametrize("most", [200, 1])
+def test_saved_filters_count_searches(spark, most):
+    served = spark.createDataFrame([("b1", "dining", "c", "Pizza one"), ("b1", "fuel", "c", "pizza two"), ("b2", "dining", "d", "tea"), ("b2", "dining", "d", None)], "bank_id string, category string, card_id string, title string").withColumns({c: F.lit("") for c in ("bank_name", "bank_short_name", "card_name", "merchant", "description")})
+    filters = spark.createDataFrame([(1, ["b1"], [], None, "PIZZA"), (2, [], ["dining"], None, ""), (3, [], [], "D", "te"), (4, ["b1", "b2"], ["dining"], None, "nothing"), (5, None, None, None, None)], "filter_id long, bank_ids array<string>, categories array<string>, card_id string, search string")
+    got = {r["filter_id"]: r["offers"] for r in query.match_saved(served, filters, most_searches=most).collect()}
+    assert got == {1: 2, 2: 3, 3: 1, 4: 0, 5: 4}
+
+
+def test_sorts_order_their_rows(spark):
+    rows = spark.createDataFrame([(1, "2026-01-02", "t1", "t0"), (2, None, "t2", "t0"), (3, "2026-01-01T00:00:00.000Z", "t2", "t1"), (4, "soon", "t1", "t0")], "seq long, valid_until string, last_seen_at string, first_seen_at string")
+    order = lambda key: [r["seq"] for r in rows.orderBy(*query.order(key)).collect()]
+    assert order("relevance") == [1, 2, 3, 4] and order("newest") == [3, 2, 1, 4] and order("expiring-soon") == [3, 1, 2, 4]

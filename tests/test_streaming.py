@@ -20,7 +20,7 @@ def test_streams_equal_batches(spark, tmp_path):
     log = Catalog(spark, f"{DATA}/sf0.001").request_log.withColumn("ts", F.col("ts").cast("timestamp"))
     log.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
-    got = run(spark, streams.return_visits(source()), "visits", tmp_path / "c1")
+    got = run(spark, streams.return_visits(source(), timer=False), "visits", tmp_path / "c1")
     assert sorted(map(tuple, got.select("event_id", "is_return").collect())) == sorted(map(tuple, traffic.return_visits(log).select("event_id", "is_return").collect()))
     got = run(spark, streams.rate_limit(source(), 86400, 3, timer=False), "limits", tmp_path / "c2")
     assert sorted(map(tuple, got.select("event_id", "blocked").collect())) == sorted(map(tuple, traffic.rate_limit(log, 86400, 3).select("event_id", "blocked").collect()))
@@ -30,11 +30,30 @@ def test_refresh_stream_is_idempotent(spark, tmp_path):
     rows = Catalog(spark, f"{DATA}/sf0.001").scrape_raw.where("seq < 40").withColumn("bank_id", F.when(F.col("seq") % 2 == 0, "seylan").otherwise("dfcc")).cache()
     snap, now = Snapshot(spark, str(tmp_path / "store")), "2026-06-01T00:00:00.000Z"
     refresh.refresh_batch(snap, rows, 0, now, now)
-    schema = spark.read.parquet(f"{tmp_path}/store/v=0/offers").schema
+    schema = spark.read.parquet(f"{tmp_path}/store/v=0/offers").drop("bucket").schema
     first = snap.read("offers", schema).count()
     assert snap.version() == 0 and first > 0
     refresh.refresh_batch(snap, rows.where("seq < 5"), 0, now, now)  # an old batch id changes nothing
     assert snap.version() == 0 and snap.read("offers", schema).count() == first
     refresh.refresh_batch(snap, rows.where("bank_id = 'dfcc' and seq < 8"), 1, now, now)
     later = snap.read("offers", schema)
+    assert {p.name for p in (tmp_path / "store/v=1/offers").glob("bucket=*")} < {p.name for p in (tmp_path / "store/v=0/offers").glob("bucket=*")}
     assert snap.version() == 1 and later.count() == first and later.where("status = 'inactive' and bank_id = 'dfcc'").count() > 0
+    # rows of a batch that is older than what is stored change nothing
+    refresh.refresh_batch(snap, rows.where("bank_id = 'seylan'"), 2, "2026-05-01T00:00:00.000Z", now)
+    assert sorted(map(tuple, snap.read("offers", schema).collect())) == sorted(map(tuple, later.collect()))
+
+
+def test_refresh_runs_as_a_stream(spark, tmp_path):
+    rows = Catalog(spark, f"{DATA}/sf0.001").scrape_raw.where("seq < 60").withColumn("bank_id", F.when(F.col("seq") % 2 == 0, "seylan").otherwise("dfcc"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    snap, now = Snapshot(spark, str(tmp_path / "store")), "2026-06-01T00:00:00.000Z"
+    source = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    assert refresh.start(source(), snap, str(tmp_path / "c"), now, now).awaitTermination(120)
+    once = Snapshot(spark, str(tmp_path / "once"))
+    refresh.refresh_batch(once, rows, 0, now, now)
+    schema = spark.read.parquet(f"{tmp_path}/store/v=0/offers").drop("bucket").schema
+    same = lambda s: sorted(map(str, s.read("offers", schema).select("id", "title", "status").collect()))
+    assert same(snap) == same(once) and len(same(snap)) > 0
+    assert refresh.start(source(), snap, str(tmp_path / "c"), now, now).awaitTermination(120)  # nothing new
+    assert snap.version() == 0
