@@ -144,6 +144,7 @@ def brute_repeats(rows, window=20):
 def test_repeated_passages(docs, empty, pack, automaton, monkeypatch):
     monkeypatch.setattr(phrase_dedup, "PACK", pack)
     monkeypatch.setattr(phrase_dedup, "PER_AUTOMATON", automaton)
+    monkeypatch.setattr(phrase_dedup, "PER_PART", 3 if pack == 1500 else 1024)
     rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
     want = dict(zip((r["doc_id"] for r in rows), brute_repeats([r["text"] for r in rows])))
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in by_id(phrase_dedup.repeated_passages(docs)).items()} == want
@@ -368,3 +369,132 @@ def test_mixed_rows_with_null_and_repeated_ids(spark):
     assert sum(len(t.split()) * n for (_, t, _), n in got.items()) == taken
     with pytest.raises(ValueError):
         source_mix.take(docs, source_mix.mix_sources(docs))
+
+
+def test_scores_and_threshold_equal_brute_force(spark):
+    """Document scores by recursion over counters, the threshold as the held-out quantile, with NUL characters and a text in two segments."""
+    rng = random.Random(12)
+    parts = "the of and ing er on an re en at".split()
+    prose = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 2))) for _ in range(n))
+    rows = [(i, prose(rng.randint(3, 15)), "en") for i in range(60)] + [(100, "the\x00of and", "en"), (101, "\x00", "en"), (102, " \x00 ", None), (103, "漢" * 40, "en"), (None, "the of", "en"), (None, None, "en"), (5, "again the of", "en")]
+    docs = spark.createDataFrame([(*r, 1.0, False) for r in rows], "doc_id long, text string, lang string, perplexity double, keep boolean").repartition(2).cache()
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    held = {r[0] for r in spark.range(60).where(F.pmod(F.xxhash64("id"), F.lit(ngram_quality.HELD_OUT)) == 0).collect()}
+    trained = [t for i, t, _ in rows if i is not None and i < 60 and i not in held]
+    chance = kneser_ney(trained)
+    known = {}
+
+    def score(text):
+        t = "\x02" * 3 + " ".join((text or "").split())
+        grams = [t[k : k + 4] for k in range(len(t) - 3)]
+        for g in grams:
+            if g not in known:
+                known[g] = np.log(chance(g))
+        return len(grams), sum(known[g] for g in grams)
+
+    got = ngram_quality.quality(docs, labels, quantile=0.9).collect()
+    assert len(got) == len(rows)
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], []).append(r)
+    for i, t, lang in rows:
+        if i is not None and i != 5 and lang == "en" and (t or "").split():
+            n, logp = score(t)
+            assert of[i][0]["n_chars"] == n and abs(np.log(of[i][0]["perplexity"]) + logp / n) < 1e-6
+    mine = [score(t) for i, t, _ in rows if i in held]
+    levels = sorted(-p / n for n, p in mine)
+    centre = levels[int(np.ceil(0.5 * len(levels))) - 1]
+    limit = sorted((-p + 60 * centre) / (n + 60) for n, p in mine)[int(np.ceil(0.9 * len(mine))) - 1]
+    assert all(abs(np.log(r["threshold"]) - limit) < 1e-6 for r in got if r["lang"] == "en")
+    assert not of[103][0]["keep"] and sorted(r["keep"] for r in of[None]) == [False, True]
+
+
+def test_grams_of_large_alphabets_stay_apart():
+    signs = np.array([c for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000][:70_000], np.uint32)
+    grams = np.stack([signs, signs, signs, np.roll(signs, 1)], 1)
+    assert len(np.unique(ngram_quality.packed(grams, np.unique(grams)))) == len(grams)
+    strings, count = ngram_quality.distinct(np.vstack([grams, grams[:5]]))
+    assert len(strings) == len(grams) and sorted(count)[-5:] == [2] * 5
+
+
+HAND = [
+    ("<html><head><title>T</title><script>for(i=0;i<n;i++){document.write('<p>x</p>')}</script><style>p<b{}</style></head><body><header><a href=/>Home</a> <a href=/n>News</a></header><article><h1>{0}</h1><p>{1}</p><p>{2}</p></article><footer>Copyright notice of the site</footer></body></html>", 3),
+    ("<body><div class='cookie-banner'>We use cookies to improve things <button>Accept all</button></div><nav class=menu><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav><main><h2>{0}</h2><p title=don't>{1}<p>{2}</main><aside class=sidebar><h3>Popular now</h3><ul><li><a href=3>Something else entirely</a></ul></aside></body>", 3),
+    ("<!--><body><div id=content class='post entry'><h1>{0}</h1><p>{1}</p><div class='ad-box advert'>Buy cheap things today</div><p>{2}</p></div><section id=comments class=comments><h3>2 comments</h3><div class=comment><p>First reader says something here</p></div></section></body>", 3),
+    ("<article><p>{0}</p><blockquote><p>{1}</p></blockquote></article><form class=newsletter><label>Subscribe to our newsletter</label><input name=m><button>Send</button></form><script>if (a</b/.test(x)) { y = \"</article>\" }</script>", 2),
+]
+
+
+def test_main_text_of_hand_written_pages(spark):
+    """Precision and recall of words on pages that the training generator did not make."""
+    rng = random.Random(3)
+    words = "river stone garden winter letter music bridge market window summer paper silver morning travel history kitchen".split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)).capitalize() + "."
+    truth, pages = [], []
+    for k in range(24):
+        page, n = HAND[k % len(HAND)]
+        parts = [prose(rng.randint(4, 8))] + [prose(rng.randint(25, 90)) for _ in range(n - 1)]
+        for i, part in enumerate(parts):
+            page = page.replace(f"{{{i}}}", part)
+        truth.append(" ".join(parts))
+        pages.append(page)
+    stored = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    df = stored.withColumn("page_id", F.col("page_id") + 1000).unionByName(spark.createDataFrame([(k, "u", p) for k, p in enumerate(pages)], "page_id long, url string, html string"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(df).where("page_id < 1000").collect()}
+    hit = sum(sum((Counter(got[k].split()) & Counter(t.split())).values()) for k, t in enumerate(truth))
+    assert hit / sum(len(t.split()) for t in truth) > 0.95
+    assert hit / sum(len(t.split()) for t in got.values()) > 0.95
+    assert not any(w in t for t in got.values() for w in ("document.write", "test(x)", "<p>"))
+
+
+def test_raw_elements_end_at_their_own_end_tag():
+    texts = lambda page: [n.text for n in html_text.parse(page) if n.tag == "#text"]
+    assert texts("<script>for(i=0;i<n;i++){}</script><p>a</p>") == ["a"]
+    assert texts("<script>x='</p>'<!-- </SCRIPT\n><p>a") == ["a"] and texts("<style>a<b") == [] and texts("<script src=/a/>x</script>b") == ["b"]
+    assert texts("<!--><p>a") == ["a"] == texts("<!-- x > --!><p>a") and texts("<p title=don't>it's</p>") == ["it's"] and texts("</ x>q") == ["q"]
+
+
+def test_token_operators_on_null_and_repeated_rows(spark, empty):
+    pieces, merges = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(None, "a b", 1), (None, None, 2), (7, "a b", 3), (7, "a b", 3), (7, "c" * 70_000 + " d", 4)], "doc_id long, text string, n_tokens int")
+    for got in (piece_codec.encode_decode(df, pieces).collect(), token_count.token_counts(df, merges, limit=2048).collect()):
+        assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 7, 7, 7]
+        same = [r for r in got if r["doc_id"] == 7]
+        assert len({r["n_tokens"] for r in same}) == 2
+    assert piece_codec.encode_decode(empty, pieces).count() == 0 == token_count.token_counts(empty, merges, limit=2048).count()
+
+
+def test_joins_on_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, " ".join(base[:-3])), (None, " ".join(base)), (None, "x"), (3, " ".join(base[:150] * 200)), (4, " ".join(base[:150] * 201))]
+    got = token_combo_join.jaccard_components(spark.createDataFrame([(i, t, 9) for i, t in rows], "doc_id long, text string, n_shingles int")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1), (3, 3), (4, 3)]
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = grid_join.near_vectors(vectors).collect()
+    assert sorted((r["vec_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 2)]
+
+
+def test_many_vector_lengths_all_join(spark):
+    rows = [(i, [(j + 1.0) * (1 + i % 2) for j in range(i // 2 + 1)]) for i in range(2200)]
+    got = grid_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("n_links = 1").count()
+    assert got == 2200
+
+
+def test_learned_spans_find_planted_secrets(spark):
+    """Votes, EM and the classifier together: planted secrets are added, dates and small numbers are not."""
+    rng = random.Random(21)
+    secret = lambda: hashlib.sha1(str(rng.random()).encode()).hexdigest()[: rng.choice((20, 32, 40))]
+    plain = ["on 2024-05-01 we met", "chapter 12b of 1999", "the A4 paper and 3 pages", "in 1984 or 2001-02", "see fig-7 and table_2"]
+    rows, where = [], {}
+    for i in range(300):
+        if i % 3 == 0:
+            s = secret()
+            t = f"intro {rng.choice(plain)} {rng.choice(('token', 'password', 'api_key', 'secret'))}{rng.choice(('=', ': ', ' = '))}{s} end"
+            where[i] = (t.index(s), t.index(s) + len(s))
+        else:
+            t = f"{rng.choice(plain)} and {rng.choice(plain)}."
+        rows.append((i, t))
+    got = by_id(personal_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
+    caught = sum(f"secret:{a}:{b}" in got[i]["spans"].split(",") for i, (a, b) in where.items())
+    false = sum(got[i]["n_added"] for i, _ in rows if i not in where)
+    assert caught >= 0.95 * len(where) and false <= 0.02 * len(rows)
