@@ -17,9 +17,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), max_e
     left of the total to the open sources by weight and clamps those above max_epochs times
     their size; rounds go on until none is above. A round is one small aggregate.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    state = common.written(sizes.select("source", "source_size", w.alias("w"), (F.col("source_size") * float(max_epochs)).alias("cap")))
+    # a source's place: the ranges before its own, and its place in that
+    order = F.col("source").asc_nulls_last()
+    ranged = common.written(sizes.repartitionByRange(order).select("source", "source_size", F.spark_partition_id().alias("range")))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", ahead.alias("ahead"))
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights) + 1).cast("int"))
+    state = common.written(ranged.join(ranges, "range").select("source", "source_size", w.alias("w"), (F.col("source_size") * float(max_epochs)).alias("cap")))
     total = state.agg(F.sum("source_size")).first()[0] or 0
     level, clamped = 0.0, -1
     while True:
