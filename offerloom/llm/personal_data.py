@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 # Fixed patterns of the base kinds. Possessive forms match the same texts without backtracking.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+CARD = r"[0-9](?:[\x20-]?+[0-9]){11,}+"  # shorter runs fail the count of digits anyway
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 #: A run of letters, digits, dashes and slashes with a digit in it: what labelers vote on.
 CANDIDATE = r"(?<![A-Za-z0-9_/-])(?=[A-Za-z_/-]*+[0-9])[A-Za-z0-9_/-]{6,}+"
 #: Gazetteer of words that announce a personal or secret value.
 ANNOUNCE = ("password", "passwd", "pwd", "passphrase", "token", "secret", "apikey", "api_key", "key", "auth", "ssn", "iban", "passport", "account", "pin", "tel", "phone", "mobile", "card", "contraseña", "passwort", "kennwort", "motdepasse")
+#: Matches of a text that get their places together.
+BLOCK = 64
 FEATURES = ("v_shape", "v_gazetteer", "v_context", "v_base", "long", "digits", "letters")
 
 
@@ -29,11 +31,23 @@ def found(text: Column, pattern: str, gate: Column) -> Column:
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.when(gate, F.zip_with(hits, F.slice(between, 1, F.size(hits)), lambda h, b: F.struct(h.alias("hit"), b.alias("left"))))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,hit:string,left:string>>)")
+    width = lambda x: F.length(x["left"]) + F.length(x["hit"])
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  # a value used twice is computed once
     step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["left"]) + F.length(x["hit"])).alias("at"),
-        F.concat(acc["got"], F.array(F.struct((acc["at"] + F.length(x["left"])).alias("start"), (acc["at"] + F.length(x["left"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit"), F.right(x["left"], F.lit(32)).alias("left")))).alias("got"),
+        (acc["at"] + width(x)).alias("at"),
+        F.concat(acc["got"], F.array(F.struct((acc["at"] + F.length(x["left"])).alias("start"), (acc["at"] + width(x)).alias("end"), x["hit"].alias("hit"), F.right(x["left"], F.lit(32)).alias("left")))).alias("got"),
     )
-    return F.coalesce(F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("got")), step, lambda acc: acc["got"]), empty)
+
+    def placed(blocks):
+        """Matches in blocks with their places: the blocks' starts first, so that no array that grows by one is long."""
+        widths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + width(x)))
+        starts = F.aggregate(widths, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("got")), lambda a, w: F.struct((a["at"] + w).alias("at"), F.concat(a["got"], F.array(a["at"])).alias("got")), lambda a: a["got"])
+        return F.flatten(F.zip_with(blocks, starts, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), empty.alias("got")), step, lambda acc: acc["got"])))
+
+    def blocked(pairs):
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(pairs) / BLOCK).cast("int") - 1), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
+
+    return F.coalesce(once(pairs, lambda p: F.when(F.size(p) > 0, once(blocked(p), placed))), empty)
 
 
 def digits_of(x: Column) -> Column:
