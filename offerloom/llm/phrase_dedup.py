@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from offerloom.llm import common
 
 #: Bytes of text in a pack, windows in a shard, windows of one owner and shard in a part, words of phrases in an automaton.
-PACK, PER_SHARD, PER_PART, PER_AUTOMATON = 4 << 20, 1 << 21, 1024, 160_000
+PACK, PER_SHARD, PER_PART, PER_AUTOMATON = 4 << 20, 1 << 21, 1 << 15, 160_000
 
 
 def windows_of(raw: np.ndarray, off: np.ndarray, window: int):
