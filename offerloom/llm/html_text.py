@@ -55,6 +55,16 @@ def parse(page: str) -> list[Node]:
     """Nodes of a page in document order; the first is the root. Broken markup gives some tree, never an error."""
     root = Node("#root", None)
     nodes, here, at = [root], root, 0
+    count: dict[str, int] = {}  # open elements by tag, so that nothing is sought that is not open
+
+    def leave(to: Node) -> Node:
+        """Close elements up to and with `to`."""
+        up = here
+        while up is not to.parent:
+            count[up.tag] -= 1
+            up = up.parent
+        return up
+
     while m := TOKEN.match(page, at):
         tag, at = m[2], m.end()
         if tag is None:
@@ -66,25 +76,27 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
-            up = here
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            if count.get(tag):
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = leave(up)
             continue
-        if tag in CLOSES_P or tag == "p":
+        if (tag in CLOSES_P or tag == "p") and count.get("p"):
             up = here
-            while up is not root and up.tag in INLINE:
+            while up.tag in INLINE:
                 up = up.parent
             if up.tag == "p":
-                here = up.parent
+                here = leave(up)
         if tag in SAME:
-            same, limit = SAME[tag]
-            up = here
-            while up is not root and up.tag not in limit:
-                if up.tag in same.split():
-                    here = up.parent
+            same, limit = SAME[tag][0].split(), SAME[tag][1]
+            up, last = here, None
+            while any(count.get(t) for t in same) and up is not root and up.tag not in limit:
+                if up.tag in same:
+                    last = up
                 up = up.parent
+            if last is not None:
+                here = leave(last)
         group = 0
         if m[3] and ("class" in m[3] or "id" in m[3] or "role" in m[3]):
             for name, value in ATTR.findall(m[3]):
@@ -102,6 +114,7 @@ def parse(page: str) -> list[Node]:
                 at = end.start() if end else len(page)
         elif tag not in VOID:
             here = node
+            count[tag] = count.get(tag, 0) + 1
     return nodes
 
 
