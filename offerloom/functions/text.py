@@ -50,11 +50,6 @@ def normalize_text(c: Column) -> Column:
     return squeeze(F.coalesce(plain, c))
 
 
-def normalize_ascii(c: Column) -> Column:
-    """normalize_text for columns known to be ASCII."""
-    return squeeze(c)
-
-
 def classify(text: Column) -> Column:
     """Category by the first keyword rule that hits, else other."""
     out = F.lit("other")

@@ -237,6 +237,26 @@ BODIES = {
         with r as (select doc_id as k, 'Deal ' || (doc_id % 90) as title, 'https://x.example/' || (doc_id % 30) as url, case when doc_id % 2 = 0 then 'dining' else 'other' end as category, lang from documents),
         i as (select *, 'nation_1-' || sha1('nation_1|' || title || '|' || url)[1:12] as id, k as seq from r)
         select id, any_value(title) as title, max_by(category, seq) as category, max_by(lang, seq) as description, null::varchar as merchant, null::varchar as valid_from, '2026-12-31' as valid_until, any_value(url) as terms_link, any_value(url) as source_url, min(seq) as feed_id, 0 as pos from i group by id""",
+    "candidate_cap": """
+        with r as (select page_id, url, unnest(range(0, least(120, page_id % 140 + 1))) as i from pages), n as (select *, page_id || '-' || i as k from r),
+        l as (select page_id, i, 'Weekly deal ' || k as title, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || '/promo/' || k as link from n)
+        select 'nation_1-' || sha1('nation_1|' || title || '|' || link)[1:12] as id, title, link as source_url, page_id * 1048576 + i as seq from l""",
+    "refresh_pages": f"""
+        with l as (select page_id, 'Weekly deal ' || page_id || '-0' as title, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || '/promo/' || page_id || '-0' as link from pages),
+        f as (select page_id, title, 'nation_1-' || sha1('nation_1|' || title || '|' || link)[1:12] as id from l)
+        select id, title, case when '2026-05-07' < '{REVIEWED[:10]}' then 'expired' else 'active' end as status, case when page_id % 2 = 0 then 't0' else '{REVIEWED}' end as first_seen_at, '{REVIEWED}' as last_seen_at, '2026-05-07' as valid_until from f
+        union all select 'gone-' || page_id, title, case when page_id % 10 = 0 then 'expired' else 'inactive' end, 't0', 't0', null from f where page_id % 5 = 0""",
+    "page_assets": """
+        with s as (select page_id, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) as site from pages),
+        d as (select distinct site || '/f/' || page_id || '.PDF/?v=1' as url from s where page_id % 10 = 0),
+        a as (select distinct site || '/f/' || page_id || '.PDF?v=1' as url, 'pdf' as type from s union all select distinct 'https://cdn.example/' || (page_id % 50) || '.pdf', 'pdf' from s union all select distinct site || '/i/' || page_id || '.png', 'image' from s)
+        select url, 'static_html' as type from d union all select url, type from a where url not in (select url from d)""",
+    "content_images": """
+        with r as (select page_id, case when page_id % 7 = 0 then 'data:' else '' end || regexp_extract(url, '^([^?#]*)', 1) || ['.png', '.JPG?x=1', '.svg', '.webp'][1 + page_id % 4] as image, length(html) * 3 as size from pages)
+        select page_id, image from r where not starts_with(image, 'data:') and page_id % 4 <> 2 and size >= 10240""",
+    "append_missing": "select id, title, seq from old_batch union all select id, title, seq from new_batch where id not in (select id from old_batch)",
+    "registry_sources": "select bank_id, unnest([website_url, website_url || '/feed.json']) as url, unnest(['static_html', 'json_feed']) as type from bank where seq % 4 <> 0",
+    "display_labels": f"select seq, coalesce(strftime(try_cast(valid_until[1:10] as date), '%b %-d, %Y'), 'Not specified') as until, {_LABEL} as label from offers",
     "page_links": f"select distinct page_key, {_PAGE('site || href')} as url from targets where regexp_matches(href, '^/[a-zA-Z]')",
     "page_candidates": """
         with r as (select page_id, 'Weekly deal ' || page_id as title, 'Weekly deal ' || page_id || ' Save 10% at our hotel until 2026-05-07. more' as text, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || '/promo/' || page_id as link from pages)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from offerloom.functions import expiry, text
 from offerloom.operators import maintain, normalize, pages, presets, publishers, query, traffic
 from offerloom.plans.views import AS_OF, Catalog
-from offerloom.sources import feeds
+from offerloom.sources import catalog, feeds
 
 NOW, REVIEWED, SITE = "1998-06-15T12:00:00.000Z", "2026-06-01T00:00:00.000Z", "https://catalog.example"
 
@@ -334,7 +334,7 @@ def conform_extracted(c):
 
 
 def page_strip_hash(c):
-    return pages.page_hashes(pages.parse_pages(c.table("pages")))
+    return pages.page_hashes(pages.parse_pages(catalog.read_pages(c.spark, f"{c.dir}/pages.parquet")))
 
 
 def page_links(c):
@@ -349,6 +349,60 @@ def page_candidates(c):
     return pages.page_candidates(pages.parse_pages(rows), F.lit("nation_1"), REVIEWED).drop("last_seen_at")
 
 
+def _deals(c, most):
+    """Stored pages with as many promotion blocks in front as their id asks for."""
+    k = F.col("page_id").cast("string")
+    block = lambda i: F.concat(F.lit('<div class="offer-card"><h3>Weekly deal '), k, F.lit("-"), i.cast("string"), F.lit('</h3> <p>Save 10% at our hotel until 2026-05-07.</p> <a href="/promo/'), k, F.lit("-"), i.cast("string"), F.lit('">more</a></div>'))
+    blocks = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("page_id") % most).cast("int")), block), " ")
+    return c.table("pages").withColumn("html", F.concat(blocks, F.regexp_replace("html", "</?article>", "")))
+
+
+def candidate_cap(c):
+    """Pages of up to 140 candidates: the first 120 of each count."""
+    return pages.page_candidates(pages.parse_pages(_deals(c, 140)), F.lit("nation_1"), REVIEWED).select("id", "title", "source_url", "seq")
+
+
+def refresh_pages(c):
+    """Stored offers of the even pages and of pages that are gone, after a run over all pages."""
+    now = REVIEWED
+    found = pages.page_candidates(pages.parse_pages(_deals(c, 1)), F.lit("nation_1"), "x").select("id", "title", "seq")
+    times = {"first_seen_at": F.lit("t0"), "last_seen_at": F.lit("t0"), "last_checked_at": F.lit("t0"), "bank_id": F.lit("nation_1"), "valid_until": F.lit(None).cast("string")}
+    page = F.floor(F.col("seq") / (1 << 20))
+    old = found.where(page % 2 == 0).withColumn("status", F.lit("active"))
+    gone = found.where(page % 5 == 0).select(F.concat(F.lit("gone-"), page.cast("string")).alias("id"), "title", "seq", F.when(page % 10 == 0, "expired").otherwise("active").alias("status"))
+    return pages.refresh_pages(old.unionByName(gone).withColumns(times), _deals(c, 1), F.lit("nation_1"), now).select("id", "title", "status", "first_seen_at", "last_seen_at", "valid_until")
+
+
+def page_assets(c):
+    """Pages with documents and images of their own and other hosts, inside and outside navigation, together with detail pages."""
+    k = F.col("page_id").cast("string")
+    block = F.concat(F.lit('<p><a href="/f/'), k, F.lit('.PDF?v=1#a">f</a><a href="https://cdn.example/'), (F.col("page_id") % 50).cast("string"), F.lit('.pdf">g</a><a href="https://other.example/x.pdf">h</a><img src="/i/'), k, F.lit('.png"><img src="data:image/png;base64,x"><img src="/i/'), k, F.lit('.svg"></p><nav><img src="/n/'), k, F.lit('.png"></nav>'))
+    links = pages.links_table(pages.parse_pages(c.table("pages").withColumn("html", F.concat(block, "html"))))
+    details = pages.page_links(links, "^/f/[0-9]*0[.]PDF")
+    return pages.merge_discovered(details, pages.discover_assets(links, ["cdn.example"]))
+
+
+def content_images(c):
+    rows = c.table("pages").select("page_id", F.concat(F.when(F.col("page_id") % 7 == 0, "data:").otherwise(""), F.regexp_extract("url", "^([^?#]*)", 1), F.element_at(F.array(*map(F.lit, (".png", ".JPG?x=1", ".svg", ".webp"))), (F.col("page_id") % 4 + 1).cast("int"))).alias("image"), (F.length("html") * 3).alias("size"))
+    return rows.where(pages.is_content_image(F.col("image"), F.col("size"))).select("page_id", "image")
+
+
+def append_missing(c):
+    old, new = _batches(c)
+    return maintain.append_missing(old.select("id", "title", "seq"), new.select("id", "title", "seq"), "id")
+
+
+def registry_sources(c):
+    """(bank_id, url, type) of the enabled banks of a registry made from the bank table."""
+    source = lambda url, kind: F.struct(url.alias("url"), F.lit(kind).alias("type"))
+    entries = c.banks.select("bank_id", (F.col("seq") % 4 != 0).alias("enabled"), F.array(source(F.col("website_url"), "static_html"), source(F.concat("website_url", F.lit("/feed.json")), "json_feed")).alias("sources"))
+    return catalog.registry_sources(entries)
+
+
+def display_labels(c):
+    return c.offers.select("seq", text.display_date(F.col("valid_until").substr(1, 10)).alias("until"), text.category_label(F.col("category")).alias("label"))
+
+
 def crawl_discover(c):
     """Banks in turn find details by a pattern and a pager, by a selector, and behind a hop."""
     p = c.table("pages")
@@ -425,7 +479,7 @@ CATALOG_QUERIES = (
     scan_violations, sync_scanned, merge_lifecycle, reconcile_orphans, hash_gate, extraction_budget, cards_in_scope, match_saved_filters, count_by_category, catalog_totals,
     bank_offer_count, collapse_gate, refresh_summary, bank_status, expire_lapsed, refresh_sweep, bank_content_hash, dedupe_first, dedupe_last, dedupe_semantic, page_slice, page_meta,
     import_bank, remove_bank, url_feed, classify_text, normalize_scrapes, stable_ids, url_keys, extract_expiry, feed_a, feed_b, feed_envelope, conform_extracted,
-    page_strip_hash, page_extract, feed_registry, dimension_violations, catalog_orphans, page_links, page_candidates, crawl_discover, presets_clean, presets_recent, preset_upsert, preset_reconcile, preset_names, preset_match,
+    candidate_cap, refresh_pages, page_assets, content_images, append_missing, registry_sources, display_labels, page_strip_hash, page_extract, feed_registry, dimension_violations, catalog_orphans, page_links, page_candidates, crawl_discover, presets_clean, presets_recent, preset_upsert, preset_reconcile, preset_names, preset_match,
     log_filters, return_visits, visit_paths, rate_limit,
 )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerloom import schema
 from offerloom.operators.maintain import offer_violations, scrape_violations
@@ -28,9 +29,22 @@ def read_offers(spark: SparkSession, path: str, fmt: str = "json", mode: str = "
 
 
 def read_scrape(spark: SparkSession, path: str, fmt: str = "json", mode: str = "fail") -> DataFrame:
-    """Raw scrape rows of every publisher; percent and expiry may be null."""
-    rows = spark.read.format(fmt).schema(schema.SCRAPE).option("multiLine", True).load(path)
-    return checked(rows, scrape_violations(rows), mode)
+    """Raw scrape rows of every publisher; percent and expiry may be null. A record of another shape breaks the check like a missing field."""
+    corrupt = "_corrupt_record"
+    reader = spark.read.format(fmt).option("multiLine", True)
+    if fmt != "json":
+        rows = reader.schema(schema.SCRAPE).load(path)
+        return checked(rows, scrape_violations(rows), mode)
+    rows = reader.schema(T.StructType([*schema.SCRAPE.fields, T.StructField(corrupt, T.StringType())])).option("columnNameOfCorruptRecord", corrupt).load(path)
+    broken = F.col(corrupt).isNotNull()
+    if mode == "quarantine":
+        good = rows.where(~broken).drop(corrupt)
+        return checked(good, scrape_violations(good), mode)
+    first = rows.where(broken).select(corrupt).first()
+    if first is not None:
+        raise ValueError(f"unreadable record: {first[0][:200]}")
+    good = rows.drop(corrupt)
+    return checked(good, scrape_violations(good), mode)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -53,3 +67,8 @@ def read_assets(spark: SparkSession, path: str) -> DataFrame:
 def registry(spark: SparkSession, entries: list[dict]) -> DataFrame:
     """Source registry as a small table: enabled flags, sources, asset hosts, cards."""
     return spark.createDataFrame(entries, "bank_id string, enabled boolean, sources array<struct<url:string,type:string>>, asset_hosts array<string>, cards array<string>, scan_assets boolean")
+
+
+def registry_sources(entries: DataFrame) -> DataFrame:
+    """(bank_id, url, type) of every source of the enabled banks."""
+    return entries.where("enabled").select("bank_id", F.explode("sources").alias("s")).select("bank_id", "s.url", "s.type")
