@@ -69,12 +69,18 @@ def is_crawler(agent: Column) -> Column:
     return out
 
 
+#: Busy clients are broadcast up to this many; beyond, the joins are shuffled.
+MOST_BROADCAST = 1_000_000
+
+
 def rate_limit(log: DataFrame, seconds: int = 60, most: int = 60) -> DataFrame:
     """(event_id, client_key, blocked, retry_after) of requests that are no crawler's.
 
     A window opens with a client's first request and closes `seconds` later; the next request
-    opens the next one. So windows chain, and each client's requests are folded in time order:
-    rows are shuffled by client and sorted, and the fold carries its state over Arrow batches.
+    opens the next one. A client that never has more than `most` requests in two neighbouring
+    spans of the clock is never blocked, which counts tell. Of the others windows chain, so their
+    requests are folded in time order: rows are shuffled by client and sorted, and the fold carries
+    its state over Arrow batches. Requests without a client key are not limited.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,4 +98,12 @@ def rate_limit(log: DataFrame, seconds: int = 60, most: int = 60) -> DataFrame:
 
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = log.where(~is_crawler(F.col("user_agent"))).select("event_id", "client_key", micros.alias("at"))
-    return rows.repartition("client_key").sortWithinPartitions("client_key", "at", "event_id").mapInPandas(fold, "event_id long, client_key string, blocked boolean, retry_after long")
+    span = F.expr(f"at div {seconds * 1_000_000}")
+    counts = rows.where("client_key is not null").groupBy("client_key", span.alias("span")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("client_key").orderBy("span")
+    both = F.col("n") + F.when(F.lag("span").over(before) == F.col("span") - 1, F.lag("n").over(before)).otherwise(0)
+    busy = counts.withColumn("both", both).where(F.col("both") > most).select("client_key").distinct().checkpoint()
+    busy = F.broadcast(busy) if busy.count() <= MOST_BROADCAST else busy
+    calm = rows.join(busy, "client_key", "left_anti").select("event_id", "client_key", F.lit(False).alias("blocked"), F.lit(None).cast("long").alias("retry_after"))
+    folded = rows.join(busy, "client_key", "left_semi").select("event_id", "client_key", "at").repartition("client_key").sortWithinPartitions("client_key", "at", "event_id")
+    return calm.unionByName(folded.mapInPandas(fold, "event_id long, client_key string, blocked boolean, retry_after long"))

@@ -29,7 +29,7 @@ def read_offers(spark: SparkSession, path: str, fmt: str = "json", mode: str = "
 
 
 def read_scrape(spark: SparkSession, path: str, fmt: str = "json", mode: str = "fail") -> DataFrame:
-    """Raw scrape rows of every publisher; percent and expiry may be null. A record of another shape breaks the check like a missing field."""
+    """Raw scrape rows of every publisher; percent and expiry may be null. A file that is no JSON of that shape breaks the check like a missing field."""
     corrupt = "_corrupt_record"
     reader = spark.read.format(fmt).option("multiLine", True)
     if fmt != "json":
@@ -40,7 +40,7 @@ def read_scrape(spark: SparkSession, path: str, fmt: str = "json", mode: str = "
     if mode == "quarantine":
         good = rows.where(~broken).drop(corrupt)
         return checked(good, scrape_violations(good), mode)
-    first = rows.where(broken).select(corrupt).first()
+    first = rows.where(broken).select(corrupt, "seq").first()
     if first is not None:
         raise ValueError(f"unreadable record: {first[0][:200]}")
     good = rows.drop(corrupt)

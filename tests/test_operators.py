@@ -217,6 +217,12 @@ def test_sources_and_snapshot(spark, tmp_path):
     assert catalog.read_scrape(spark, str(tmp_path / "s.json"), mode="quarantine").count() == 1
     with pytest.raises(ValueError):
         catalog.read_scrape(spark, str(tmp_path / "s.json"))
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "s.json").write_text('[{"bank_id":"b","category":"x","offer_about":"y","source_url":"u","seq":1}]')
+    (tmp_path / "t" / "broken.json").write_text('[{"bank_id":"b","seq":2')
+    assert [r["seq"] for r in catalog.read_scrape(spark, str(tmp_path / "t"), mode="quarantine").collect()] == [1]
+    with pytest.raises(ValueError, match="unreadable record"):
+        catalog.read_scrape(spark, str(tmp_path / "t"))
     (tmp_path / "a.pdf").write_bytes(b"/Type /Page " * 101)
     (tmp_path / "b.txt").write_bytes(b"x")
     assert {r["path"].rsplit("/")[-1]: r["reason"] for r in catalog.read_assets(spark, str(tmp_path)).collect() if "json" not in r["path"]} == {"a.pdf": "pdf has too many pages", "b.txt": "unsupported media type"}
