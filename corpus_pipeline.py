@@ -1,7 +1,11 @@
 """From raw documents to token ids: five operators in a row.
 
 The mixing and encoding stages have results that SQL cannot express after the language model's
-decisions, so ORACLE_SQL is None; tests/llm holds brute-force versions of the stages.
+decisions, so ORACLE_SQL is None; tests/llm compares the stages with plain Python.
+
+Rows are told apart by id and text, so null and repeated ids are neither lost nor multiplied. Columns
+beside those of documents go along, also where an operator's own columns have their names. An empty
+table gives empty tables.
 """
 
 from __future__ import annotations
@@ -35,13 +39,19 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language model of trusted text does not reject."""
+    """Documents that the language model of trusted text does not reject.
+
+    Null, empty and blank texts go; languages without trusted text stay whole; equal rows fare alike.
+    """
     keyed = docs.withColumn("row_key", ROW())
     return _without(keyed, quality(keyed, table(spark, sf_dir, "labels"), key_col="row_key").where("not keep"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest id."""
+    """Of documents with equal texts, the one with the largest id (null is below all); of rows that repeat id and text, one.
+
+    Null texts equal empty ones.
+    """
     told = exact_dedup(docs).select(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_sha256").alias("row_key"), "kept")
     told = written(told.groupBy("row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"))
     keyed = docs.withColumn("row_key", EXACT())
@@ -55,7 +65,10 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the smallest id (a null id is above all)."""
+    """Of each group of documents that links join, the one with the smallest id (a null id is above all).
+
+    Texts without words link with nothing and stay.
+    """
     keyed = docs.withColumn("row_key", ROW())
     found = jaccard_components(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
     joined = written(found.where("row_key <> component_id").distinct())
@@ -67,12 +80,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated and sampled until sources have their target shares."""
+    """Documents repeated and sampled until sources have their target shares.
+
+    A null source is one source; texts without words weigh nothing and come as often as their source is taken whole.
+    """
     return take(docs, mix_sources(docs, carry=True))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row's text, and what they decode to, as digests."""
+    """Token ids of each row's text, and what they decode to, as digests; a null text is empty. One row for each row."""
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
