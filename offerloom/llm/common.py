@@ -29,9 +29,10 @@ def written(df: DataFrame, free: bool = False) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if free:
-        time.sleep(0.5)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2 if free else 1):
+        if free:
+            time.sleep(0.5)
+        df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
