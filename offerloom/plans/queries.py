@@ -172,7 +172,7 @@ def collapse_gate(c):
     batch = _with_bank(new, c)
     # banks whose number ends in 1 send one and the same offer again and again
     text = lambda name: F.when(F.col("bank_id").endswith("1"), "one").otherwise(F.col(name)).alias(name)
-    one = F.when(F.col("bank_id").endswith("1"), "one").otherwise(F.col("card_id")).alias("card_id")
+    one = F.when(F.col("bank_id").endswith("1"), F.col("bank_id")).otherwise(F.col("card_id")).alias("card_id")
     batch = batch.select(*[c for c in batch.columns if c not in ("card_id", "title", "merchant", "description")], one, text("title"), text("merchant"), text("description"))
     return maintain.collapse_gate(bank_offer_count(c), batch, ["nation_11"])
 
