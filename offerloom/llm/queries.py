@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from offerloom.llm.chunk_dedup import exact_dedup
 from offerloom.llm.common import LOWER, UPPER, table
 from offerloom.llm.grid_join import near_vectors
 from offerloom.llm.html_text import extract_main_text
+from offerloom.llm.merkle_manifest import folded, manifest, siblings
 from offerloom.llm.ngram_quality import quality
 from offerloom.llm.personal_data import personal_data
 from offerloom.llm.phrase_dedup import repeated_passages
@@ -18,6 +20,7 @@ from offerloom.llm.piece_codec import encode_decode
 from offerloom.llm.source_mix import mix_sources
 from offerloom.llm.token_combo_join import jaccard_components
 from offerloom.llm.token_count import token_counts
+from offerloom.llm.vector_codes import vector_codes
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -62,6 +65,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = manifest(table(spark, sf_dir, "documents")).withColumn("folded_root", folded(F.coalesce("altered", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_grid_join": op8_grid_join,
         "op9_phrase_dedup": op9_phrase_dedup,
         "op10_token_counts": op10_token_counts,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -160,5 +174,82 @@ from embeddings left join c on c.a = vec_id left join d on d.a = vec_id
 """
 
 
+_FIELD = lambda c, s="varchar": f"coalesce(cast(strlen(cast({c} as {s})) as varchar) || ':' || cast({c} as {s}), '-')"
+_HEAD = " || ".join(map(_FIELD, ("doc_id", "source", "lang", "n_chars")))
+
+OP11_SQL = f"""
+with recursive c as (
+  select *, sha256({_HEAD} || {_FIELD("text")}) as leaf, sha256({_HEAD} || {_FIELD("replace(text, chr(10), '')")}) as bad,
+         list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, strlen(cast(doc_id as varchar)) + 1), lambda i: list_concat([cast(ord(cast(doc_id as varchar)[i]) as bigint)], [-1::bigint, -1, -1, -1, -1, -1, -1, -1])))),
+                     lambda r, b: case when b >= 0 then xor(r, b) when r & 1 = 1 then xor(r >> 1, 3988292384::bigint) else r >> 1 end) as crc
+  from documents),
+d as (
+  select *, coalesce(xor(crc, 4294967295::bigint) % 2 = 0, false) as chosen, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos from c),
+u(source, level, i, h, n) as (
+  select source, 0, pos, leaf, count(*) over (partition by source) from d
+  union all
+  select source, level + 1, i // 3, sha256(string_agg(h, '' order by i)), cast(ceil(max(n) / 3.0) as bigint) from u where n > 1 group by source, level, i // 3),
+s as (select source, h as subroot, level as height, row_number() over (order by source nulls first) - 1 as pos from u where n = 1),
+v(level, i, h, n) as (
+  select 0, pos, subroot, count(*) over () from s
+  union all
+  select level + 1, i // 3, sha256(string_agg(h, '' order by i)), cast(ceil(max(n) / 3.0) as bigint) from v where n > 1 group by level, i // 3),
+nodes as (
+  select u.source, false as upper, u.level, u.i, u.h from u union all select null, true, level, i, h from v),
+around as (
+  select a.source, a.upper, a.level, a.i, coalesce(string_agg(b.h, '' order by b.i) filter (where b.i < a.i), '') as before, coalesce(string_agg(b.h, '' order by b.i) filter (where b.i > a.i), '') as after
+  from nodes a left join nodes b on a.source is not distinct from b.source and a.upper = b.upper and a.level = b.level and a.i // 3 = b.i // 3 and a.i <> b.i
+  group by a.source, a.upper, a.level, a.i),
+steps as (
+  select d.source, d.pos, k.level, w.before, w.after
+  from d join s on d.source is not distinct from s.source join (select unnest(range(0, 40)) as level) k on k.level < s.height
+  join around w on not w.upper and w.source is not distinct from d.source and w.level = k.level and w.i = d.pos // cast(pow(3, k.level) as bigint)
+  union all
+  select d.source, d.pos, s.height + k.level, w.before, w.after
+  from d join s on d.source is not distinct from s.source join (select unnest(range(0, 40)) as level) k on k.level < (select max(level) from v)
+  join around w on w.upper and w.level = k.level and w.i = s.pos // cast(pow(3, k.level) as bigint)),
+paths as (select source, pos, list(before order by level) as before, list(after order by level) as after from steps group by source, pos),
+f(source, pos, k, h) as (
+  select source, pos, 0, case when chosen then bad else leaf end from d
+  union all
+  select f.source, f.pos, f.k + 1, sha256(p.before[f.k + 1] || f.h || p.after[f.k + 1])
+  from f join paths p on f.source is not distinct from p.source and f.pos = p.pos where f.k < len(p.before)),
+last as (select source, pos, max_by(h, k) as folded_root from f group by source, pos),
+r as (select h as root from v where n = 1)
+select d.doc_id, d.leaf, s.subroot, r.root,
+       sha256(coalesce((select list_reduce(list_transform(list_zip(p.before, p.after), lambda z: z[1] || z[2]), lambda x, y: x || y) from paths p where p.source is not distinct from d.source and p.pos = d.pos), '')) as proof_sha256,
+       l.folded_root, l.folded_root = r.root as verified
+from d join s on d.source is not distinct from s.source join last l on l.source is not distinct from d.source and l.pos = d.pos cross join r
+"""
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """Each round as two tables: a, the parts with their entry and distance, and c, the entries after it."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"a{k} as (select r, p, m % 16 as e, m // 16 as d from (select q.r, q.p, min(list_sum(list_transform(list_zip(q.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + b.e) as m from q join c{k} b on q.p = b.p group by q.r, q.p) t)"
+        )
+        if k < rounds:
+            steps.append(
+                f"m{k} as (select p, e, list(v order by j) as x from (select a.p, a.e, j, cast(floor(cast(sum(q.x[j]) as double) / count(*)) as bigint) as v from a{k} a join q on a.r = q.r and a.p = q.p, unnest(range(1, len(q.x) + 1)) as t(j) group by a.p, a.e, j) t group by p, e)"
+            )
+            steps.append(f"c{k + 1} as (select c.p, c.e, coalesce(m.x, c.x) as x from c{k} c left join m{k} m on c.p = m.p and c.e = m.e)")
+    return f"""
+with v as (
+  select vec_id, label, list_transform(embedding, lambda e: cast(floor(4096 * cast(e as double)) as bigint)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0),
+n as (select *, row_number() over (order by vec_id nulls last, x) as r from v),
+q as (select r, t.p, x[t.p * (len(x) // 8) + 1 : (t.p + 1) * (len(x) // 8)] as x from n, unnest(range(0, 8)) as t(p)),
+c0 as (select p, r - 1 as e, x from q where r <= 16),
+{(","+chr(10)).join(steps)},
+s as (select sha256(string_agg(t.v, ',' order by p, e, j)) as h from (select p, e, j, cast(c.x[j] as varchar) as v from c{rounds} c, unnest(range(1, len(c.x) + 1)) as t(j)) t),
+o as (select r, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from a{rounds} group by r),
+l as (select n.label, cast(sum(error) as bigint) as label_error from o join n on o.r = n.r group by n.label)
+select n.vec_id, o.code, o.error, l.label_error, s.h as codebooks_sha256
+from n join o on n.r = o.r join l on n.label is not distinct from l.label cross join s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chunk_dedup": OP3_SQL, "op4_token_combo_join": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_grid_join": OP8_SQL, "op9_phrase_dedup": OP9_SQL}
+    return {"op3_chunk_dedup": OP3_SQL, "op4_token_combo_join": OP4_SQL, "op5_source_mix": OP5_SQL, "op8_grid_join": OP8_SQL, "op9_phrase_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_vector_codes": _op12_sql()}
