@@ -18,6 +18,7 @@ from offerloom.llm.personal_data import personal_data
 from offerloom.llm.phrase_dedup import repeated_passages
 from offerloom.llm.piece_codec import encode_decode
 from offerloom.llm.source_mix import mix_sources
+from offerloom.llm.subword_score import lattice_scores
 from offerloom.llm.token_combo_join import jaccard_components
 from offerloom.llm.token_count import token_counts
 from offerloom.llm.vector_codes import vector_codes
@@ -74,6 +75,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
 
 
+def op13_subword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), modulus=7, remainder=2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_counts": op10_token_counts,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_vector_codes": op12_vector_codes,
+        "op13_subword_score": op13_subword_score,
     }
 
 
