@@ -60,33 +60,35 @@ class Pieces:
             for k in range(n):
                 key = self.rolled(key, codes[:, k])
             order = np.argsort(key)
-            self.by_length[n] = key[order], at[order], codes[order]
+            some = np.zeros(1 << 18, bool)  # most strings are no piece: the upper bits of their keys tell
+            some[key >> np.uint64(46)] = True
+            self.by_length[n] = some, key[order], at[order], codes[order]
 
     @staticmethod
     def rolled(key: np.ndarray, code: np.ndarray) -> np.ndarray:
         return (key + code.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
     def found(self, codes: np.ndarray, inner: bool = False) -> dict[int, np.ndarray]:
-        """{length: piece at each place, -1 for none} of words of one length, given as codes (n, length). inner: the codes start inside a word."""
+        """{length: piece at each place of each word (place, word), -1 for none} of words of one length, given as codes (n, length). inner: the codes start inside a word."""
         n, length = codes.shape
-        key, out = np.zeros((n, length), np.uint64), {}
+        codes = np.ascontiguousarray(codes.T)
+        key, out = np.zeros((length, n), np.uint64), {}
         for k in range(1, min(length, max(self.by_length)) + 1):
-            key = self.rolled(key[:, : length - k + 1], codes[:, k - 1 :])
+            key = self.rolled(key[: length - k + 1], codes[k - 1 :])
             if k not in self.by_length:
                 continue
-            keys, at, letters = self.by_length[k]
-            where = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            row, place = np.nonzero(keys[where] == key)
-            hit = where[row, place]
-            same = np.ones(len(row), bool)
+            some, keys, at, letters = self.by_length[k]
+            place, word = np.nonzero(some[key >> np.uint64(46)])
+            mine = key[place, word]
+            hit = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+            same = keys[hit] == mine
             for j in range(k):
-                same &= codes[row, place + j] == letters[hit, j]
+                same &= codes[place + j, word] == letters[hit, j]
             # a piece with the marker begins a word, and a word begins with one
             same &= self.starts[at[hit]] == ((place == 0) & (not inner))
             if same.any():
-                ids = np.full((n, length - k + 1), -1, np.int64)
-                ids[row[same], place[same]] = at[hit[same]]
-                out[k] = ids
+                out[k] = np.full((length - k + 1, n), -1, np.int64)
+                out[k][place[same], word[same]] = at[hit[same]]
         return out
 
 
@@ -112,15 +114,17 @@ def spelled(codes: np.ndarray) -> np.ndarray:
 def forward(pieces: Pieces, codes: np.ndarray, w: Weights):
     """(log likelihoods of words of one length, forward values, pieces found): the recursion over end places, in log space."""
     n, length = codes.shape
-    found, spell = pieces.found(codes), spelled(codes) * w.byte
+    found, spell = pieces.found(codes), np.ascontiguousarray(spelled(codes).T) * w.byte
     a = np.full((length + 1, n), -np.inf)
     a[0] = 0
     for t in range(1, length + 1):
-        best = a[t - 1] + spell[:, t - 1] if t > 1 else a[t]
-        for k, ids in found.items():
-            if k <= t:
-                best = np.logaddexp(best, a[t - k] + w.piece[ids[:, t - k]])
-        a[t] = best
+        terms = [a[t - 1] + spell[t - 1]] if t > 1 else []
+        terms += [a[t - k] + w.piece[ids[t - k]] for k, ids in found.items() if k <= t]
+        if len(terms) == 1:
+            a[t] = terms[0]
+            continue
+        top = np.maximum.reduce(terms)
+        a[t] = top + np.log(sum(np.exp(x - top) for x in terms))
     return a[length] + w.end, a, found
 
 
@@ -128,21 +132,22 @@ def expected(pieces: Pieces, codes: np.ndarray, w: Weights) -> np.ndarray:
     """Uses of each piece, of bytes and of ends, over all segmentations of words of one length."""
     n, length = codes.shape
     _, a, found = forward(pieces, codes, w)
-    spell, size = spelled(codes) * w.byte, spelled(codes)
+    size = np.ascontiguousarray(spelled(codes).T)
     b = np.full((length + 1, n), -np.inf)
     b[length] = 0
     ids_, uses, in_bytes = [], [], 0.0
     for t in range(length - 1, -1, -1):
         if t:
-            by_bytes = spell[:, t] + b[t + 1]
-            in_bytes += float((np.exp(a[t] + by_bytes - a[length]) * size[:, t]).sum())
+            by_bytes = size[t] * w.byte + b[t + 1]
+            in_bytes += float((np.exp(a[t] + by_bytes - a[length]) * size[t]).sum())
             b[t] = by_bytes
         for k, ids in found.items():
             if t + k <= length:
-                here = np.flatnonzero(ids[:, t] >= 0)
+                here = np.flatnonzero(ids[t] >= 0)
                 if len(here):
-                    on = w.piece[ids[here, t]] + b[t + k, here]
-                    ids_.append(ids[here, t])
+                    piece = ids[t, here]
+                    on = w.piece[piece] + b[t + k, here]
+                    ids_.append(piece)
                     uses.append(np.exp(a[t, here] + on - a[length, here]))
                     b[t, here] = np.logaddexp(b[t, here], on)
     return np.r_[np.bincount(np.concatenate(ids_), np.concatenate(uses), len(pieces.text)), in_bytes, n]
@@ -154,7 +159,7 @@ def long_word(pieces: Pieces, codes: np.ndarray, w: Weights) -> float:
     for lo in range(0, len(codes), 1 << 16):
         back = max(0, lo - reach + 1)
         part = codes[back : lo + (1 << 16)]
-        found = {k: ids[0].tolist() for k, ids in pieces.found(part[None], inner=back > 0).items()}
+        found = {k: ids[:, 0].tolist() for k, ids in pieces.found(part[None], inner=back > 0).items()}
         spell = (spelled(part) * w.byte).tolist()
         for t in range(lo - back + 1, len(part) + 1):
             terms = [last[-1] + spell[t - 1]] if back + t > 1 else []
