@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerloom.functions import expiry
 from offerloom.functions.text import dedupe_key, url_without_fragment
+from offerloom.operators import ordered
 from offerloom.schema import CATEGORIES
 
 BASELINE, FLOOR = 10, 3
@@ -63,38 +66,13 @@ def dedupe_last(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("r"), F.min("seq").alias("seq")).select("r.*", "seq")
 
 
-def _fold(batches):
-    """(seq, place) of each group's winner, from (group, seq, score, length) rows in order of group and seq; a task holds one row."""
-    group = place = won = None
-    done: list[tuple] = []
-
-    def out():
-        rows = pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in (0, 1)], ["seq", "_place"])
-        done.clear()
-        return rows
-
-    for batch in batches:
-        for g, seq, s, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if g != group:
-                if won is not None:
-                    done.append((won[0], place))
-                group, place, won = g, seq, (seq, s, n)
-            elif s + (n > won[2]) > won[1] + (won[2] > n):
-                won = (seq, s, n)
-        if len(done) > 10_000:
-            yield out()
-    if won is not None:
-        done.append((won[0], place))
-    yield out()
-
-
 def dedupe_semantic(rows: DataFrame) -> DataFrame:
     """First by id, then of rows with one card, anchor (merchant, else title) and description the richer.
 
     Rows meet in order: a later one wins if it has more of four optional fields, a longer
     description counting one more. That is no total order, so it is a fold over each group in
-    `seq` order. It needs only score and length: groups of several rows stream in order through
-    tasks that hold one row each, and the winner's row is joined back.
+    order of `seq` (and id, where a seq repeats). It needs only score and length, and splits a large group over
+    tasks (see ordered.winners); the winner's row is joined back by id.
     """
     first = dedupe_first(rows)
     anchor = F.coalesce(F.nullif(dedupe_key(F.col("merchant")), F.lit("")), dedupe_key(F.col("title")))
@@ -102,10 +80,10 @@ def dedupe_semantic(rows: DataFrame) -> DataFrame:
     score = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in ("valid_until", "valid_from", "location", "terms_link")), F.lit(0))
     open_ = (F.col("_a") == "") & (F.col("_d") == "")
     group = F.sha2(F.concat_ws("|", F.coalesce("card_id", F.lit("?")), "_a", "_d"), 256)
-    marked = keyed.where(~open_).select(group.alias("g"), F.col("seq").cast("long").alias("seq"), score.alias("s"), F.length(F.coalesce("description", F.lit(""))).alias("n"))
-    won = marked.repartition("g").sortWithinPartitions("g", "seq").mapInArrow(_fold, "seq long, _place long")
-    kept = first.join(won, "seq").drop("seq").withColumnRenamed("_place", "seq")
-    return kept.unionByName(keyed.where(open_).drop("_a", "_d"))
+    marked = keyed.where(~open_).select(group.alias("g"), F.col("seq").cast("long").alias("seq"), "id", score.alias("s"), F.length(F.coalesce("description", F.lit(""))).alias("n"))
+    won = ordered.winners(ordered.ranged(marked, ["g"], ["seq", "id"])).withColumnRenamed("id", "_id")
+    kept = first.join(won, F.col("id").eqNullSafe(F.col("_id"))).drop("seq", "_id").withColumnRenamed("place", "seq")
+    return kept.select(*[c for c in rows.columns if c != "seq"], "seq").unionByName(keyed.where(open_).drop("_a", "_d"))
 
 
 def sync_scanned(stored: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -116,15 +94,17 @@ def sync_scanned(stored: DataFrame, scanned: DataFrame) -> DataFrame:
     return kept.withColumn("part", F.lit(0)).unionByName(scanned.select(*stored.columns, F.lit(1).alias("part")))
 
 
-def merge_lifecycle(existing: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
+def merge_lifecycle(existing: DataFrame, incoming: DataFrame, now: str | None = None, now_col: str | None = None) -> DataFrame:
     """Stored offers after a batch: matched ones updated, missing ones inactive, new ones added.
 
     A matched offer keeps first_seen_at; validity and image take the fresh value even if it is
     null, other optional fields only where the fresh row has one. Expired stays expired. Of
     incoming rows with one id the last counts, at the first one's place. A second stored row of
-    a matched id goes inactive. Order: (part, seq).
+    a matched id goes inactive. Order: (part, seq). With now_col, both tables carry the batch's time
+    in a column of that name, which may differ between rows without a common id; it is left out of the result.
     """
-    at = F.lit(now).cast("timestamp")
+    now = F.lit(now) if now_col is None else F.coalesce(F.col(f"new.{now_col}"), F.col(f"old.{now_col}"))
+    at = now.cast("timestamp")
     fresh = dedupe_last(incoming).select(F.struct("*").alias("new"), F.col("id").alias("nid"))
     old = existing.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).select(F.struct(*existing.columns).alias("old"), F.col("id").alias("oid"), "_k")
     both = old.join(fresh, (F.col("oid") == F.col("nid")) & (F.col("_k") == 1), "full_outer")
@@ -133,13 +113,13 @@ def merge_lifecycle(existing: DataFrame, incoming: DataFrame, now: str) -> DataF
     value = lambda c: F.when(new, F.col(f"new.{c}")).when(~hit, F.col(f"old.{c}"))
     own = {"valid_until": F.col("new.valid_until"), "first_seen_at": F.col("old.first_seen_at"), "seq": F.col("old.seq")}
     cols = []
-    for c in existing.columns:
+    for c in [c for c in existing.columns if c != now_col]:
         if c == "status":
             cols.append(status.alias(c))
         elif c in ("last_seen_at", "last_checked_at"):
-            cols.append(F.when(F.col("nid").isNotNull() | F.lit(c == "last_checked_at"), F.lit(now)).otherwise(F.col(f"old.{c}")).alias(c))
+            cols.append(F.when(F.col("nid").isNotNull() | F.lit(c == "last_checked_at"), now).otherwise(F.col(f"old.{c}")).alias(c))
         elif c == "first_seen_at":
-            cols.append(F.when(new, F.lit(now)).otherwise(F.col("old.first_seen_at")).alias(c))
+            cols.append(F.when(new, now).otherwise(F.col("old.first_seen_at")).alias(c))
         else:
             cols.append(value(c).otherwise(own.get(c, F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")))).alias(c))
     return both.select(*cols, F.when(new, 1).otherwise(0).alias("part"))
@@ -195,11 +175,34 @@ def collapse_gate(stored_counts: DataFrame, batch: DataFrame, override: list[str
 
 
 def content_hash(sources: DataFrame, assets: DataFrame) -> DataFrame:
-    """(bank_id, hash) of source hashes in their order (ord), then asset URLs in theirs, joined by bars."""
-    a = sources.groupBy("bank_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("hash", F.lit("")).alias("h")))).alias("s"))
-    b = assets.groupBy("bank_id").agg(F.array_sort(F.collect_list("url")).alias("u"))
-    joined = F.concat(F.transform("s", lambda x: x["h"]), F.coalesce("u", F.array().cast("array<string>")))
-    return a.join(b, "bank_id", "left").select("bank_id", F.sha1(F.array_join(joined, "|")).alias("hash"))
+    """(bank_id, hash) of source hashes in their order (ord), then asset URLs in theirs, joined by bars.
+
+    A bank's texts stream in order through one task that holds the digest so far; a digest of one
+    sequence has no parts that could be made apart. Banks without sources have none.
+    """
+    texts = sources.select("bank_id", F.lit(0).alias("part"), F.col("ord").cast("long").alias("ord"), F.coalesce("hash", F.lit("")).alias("text"))
+    texts = texts.unionByName(assets.select("bank_id", F.lit(1).alias("part"), F.lit(None).cast("long").alias("ord"), F.col("url").alias("text")))
+
+    def digest(batches):
+        bank, so_far, told = None, None, False
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([bank], pa.string()), pa.array([so_far.hexdigest()])], ["bank_id", "hash"])
+
+        for batch in batches:
+            for b, part, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if so_far is None or b != bank:
+                    if told:
+                        yield done()
+                    bank, so_far, told = b, hashlib.sha1(), part == 0
+                    so_far.update(text.encode())
+                else:
+                    so_far.update(b"|" + text.encode())
+        if told:
+            yield done()
+
+    ordered_ = texts.where("text is not null").repartition("bank_id").sortWithinPartitions("bank_id", "part", "ord", "text")
+    return ordered_.select("bank_id", "part", "text").mapInArrow(digest, "bank_id string, hash string")
 
 
 def hash_gate(discovered: DataFrame, state: DataFrame, prior: DataFrame, budget: int) -> DataFrame:
@@ -207,15 +210,16 @@ def hash_gate(discovered: DataFrame, state: DataFrame, prior: DataFrame, budget:
 
     discovered (bank_id, url_key, pos, fetched, has_content, hash, extracts): what the page gave and
     whether extraction would succeed. state (bank_id, url_key, hash); prior (bank_id, url_key).
-    Changed pages are tried in order while fewer than `budget` before them have succeeded.
+    Changed pages are tried in order while fewer than `budget` before them have succeeded; how many
+    that are is summed over ranges of a bank's places first, so that a large bank is many tasks.
     """
     held = prior.groupBy("bank_id", "url_key").agg(F.count("*").alias("prior"))
     rows = discovered.join(state.withColumnRenamed("hash", "old_hash"), ["bank_id", "url_key"], "left").join(held, ["bank_id", "url_key"], "left").withColumn("prior", F.coalesce("prior", F.lit(0)))
     same = (F.col("old_hash") == F.col("hash")) & (F.col("prior") > 0)
     rows = rows.withColumn("gate", F.when(~F.col("fetched"), "fetch-failed").when(~F.col("has_content"), "no-content").when(F.coalesce(same, F.lit(False)), "unchanged").otherwise("changed"))
     tried = (F.col("gate") == "changed").cast("int") * F.col("extracts").cast("int")
-    before = F.coalesce(F.sum(tried).over(Window.partitionBy("bank_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    decision = F.when(F.col("gate") != "changed", F.col("gate")).when(before >= budget, "over-budget").when(F.col("extracts"), "extracted").otherwise("extract-failed")
+    rows = ordered.before(ordered.ranged(rows, ["bank_id"], ["pos"]), ["bank_id"], tried, "before")
+    decision = F.when(F.col("gate") != "changed", F.col("gate")).when(F.col("before") >= budget, "over-budget").when(F.col("extracts"), "extracted").otherwise("extract-failed")
     rows = rows.withColumn("decision", decision)
     keeps = ~F.col("decision").isin("unchanged", "extracted")
     next_hash = F.when(keeps, F.when(F.col("prior") > 0, F.col("old_hash"))).otherwise(F.col("hash"))

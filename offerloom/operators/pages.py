@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.text import classify, extract_expiry, host_of, normalize_text, page_key, path_query, stable_id, url_without_fragment
 from offerloom.operators.maintain import dedupe_first, dedupe_last, merge_lifecycle
+from offerloom.operators.selectors import select_nodes
 from offerloom.sources.feeds import conform_extracted
 
 # Elements without page text, chrome, words of navigation blocks.
@@ -130,24 +131,16 @@ def page_links(links: DataFrame, pattern: str) -> DataFrame:
     return hits.groupBy("page_key", page_key(t).alias("url")).agg(F.min("pos").alias("pos"))
 
 
-def selects(css: Column) -> Column:
-    """Whether a row of the link table meets a compound selector such as a.next[rel="next"]: tag, classes, id, attributes with or without a value.
-
-    The selector is a column, so each row may bring its own; one with combinators meets nothing.
-    """
-    css = F.trim(css)
-    bare = F.regexp_replace(css, r"\[[^\]]*\]", "")
-    tag, classes = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9]*)", 1), F.regexp_extract_all(bare, F.lit(r"\.([\w-]+)"), F.lit(1))
-    pair = lambda p: F.struct(F.lower(F.trim(F.split_part(p, F.lit("="), F.lit(1)))).alias("name"), F.when(p.contains("="), F.regexp_replace(F.regexp_extract(p, "^[^=]*=(.*)$", 1), r"^\s*[\"']?|[\"']?\s*$", "")).alias("value"))
-    wanted = F.transform(F.regexp_extract_all(css, F.lit(r"\[([^\]]*)\]"), F.lit(1)), lambda p: pair(p))
-    ids = F.transform(F.regexp_extract_all(bare, F.lit(r"#([\w-]+)"), F.lit(1)), lambda v: F.struct(F.lit("id").alias("name"), v.alias("value")))
-    has = lambda w: F.exists("attrs", lambda a: (a["name"] == w["name"]) & (w["value"].isNull() | (a["value"] == w["value"])))
-    return ~bare.rlike(r"[\s>+~,:]") & ((tag == "") | (F.lower(tag) == F.col("tag"))) & F.forall(classes, lambda c: F.array_contains("classes", c)) & F.forall(F.concat(wanted, ids), has)
+def _marked_links(nodes: DataFrame, selectors: list[str]) -> DataFrame:
+    """(page_key, css, pos, to): same-host targets of elements that meet a selector, at the element's place in its page."""
+    t = F.col("target")
+    hits = select_nodes(nodes, selectors).where(t.isNotNull() & (host_of(t) == host_of(F.col("url"))))
+    return hits.select(page_key(F.col("url")).alias("page_key"), F.explode("hits").alias("css"), F.col("pre").alias("pos"), page_key(t).alias("to"))
 
 
-def selected_links(links: DataFrame, css: str) -> DataFrame:
-    """The same for anchors that meet a selector."""
-    return page_links(links.where(selects(F.lit(css))), "")
+def selected_links(nodes: DataFrame, css: str) -> DataFrame:
+    """(page_key, url, pos): the same for elements with a link that meet a selector, pos as the element's place."""
+    return _marked_links(nodes, [css]).groupBy("page_key", F.col("to").alias("url")).agg(F.min("pos").alias("pos"))
 
 
 def page_candidates(parsed: DataFrame, bank_id: Column, reviewed: str) -> DataFrame:
@@ -172,17 +165,27 @@ def recipe_rows(spark, recipes: list[dict]) -> DataFrame:
     return spark.createDataFrame([(r["bank_id"], r.get("hops", []), r.get("detail_match"), r.get("detail_css"), r.get("next_css")) for r in recipes], "bank_id string, hops array<string>, detail_match string, detail_css string, next_css string")
 
 
-def discover(seeds: DataFrame, links: DataFrame, recipes: DataFrame, cap: int = 100) -> DataFrame:
+def discover(seeds: DataFrame, links: DataFrame, recipes: DataFrame, cap: int = 100, nodes: DataFrame | None = None) -> DataFrame:
     """(bank_id, url, error) of every bank: detail pages, or the step that matched nothing.
 
-    seeds (bank_id, url); recipes (bank_id, hops, detail_match, detail_css, next_css), a row a bank.
-    All banks walk together, each by its own recipe, one join of frontier and links a hop. Where
-    there is a next_css, the first link that meets it leads to the next page until none is new or
-    the bank has seen `cap` pages. Banks without a recipe are left out. Each step ends in a checkpoint.
+    seeds (bank_id, url, and seq where their order matters); recipes (bank_id, hops, detail_match, detail_css, next_css), a
+    row a bank; nodes, the table of page elements, where a recipe has a selector. All banks walk
+    together, each by its own recipe, one join of frontier and links a hop. Where there is a next_css, the first
+    link that meets it leads to the next page until none is new or the bank has seen `cap` pages. Pages
+    are seen in the order of a queue: each carries the places of the links that led to it, and of pages
+    that were reached in equally many steps the smaller list of places comes first. Banks without a
+    recipe are left out. Each step ends in a checkpoint.
     """
     anchors = links.where((F.col("tag") == "a") & (host_of(F.col("target")) == F.col("host"))).withColumn("to", page_key(F.col("target")))
     matching = lambda pattern: F.regexp_like(path_query(F.col("target")), pattern)
-    frontier = seeds.join(recipes, "bank_id", "left_semi").select("bank_id", page_key(F.col("url")).alias("page_key")).distinct()
+    # at most two selectors a recipe
+    selectors = sorted(r[0] for r in recipes.select(F.explode(F.array("detail_css", "next_css")).alias("css")).where("css is not null").distinct().collect())
+    if selectors and nodes is None:
+        raise ValueError("recipes with selectors need the table of page elements")
+    marked = _marked_links(nodes, selectors).checkpoint() if selectors else None
+    seq = F.col("seq").cast("long") if "seq" in seeds.columns else F.lit(0).cast("long")
+    once = lambda t: t.groupBy("bank_id", "page_key").agg(F.min("path").alias("path"))
+    frontier = once(seeds.join(recipes, "bank_id", "left_semi").select("bank_id", page_key(F.col("url")).alias("page_key"), F.array(seq).alias("path")))
     failed = recipes.join(seeds.select("bank_id").distinct(), "bank_id", "left_semi").select("bank_id", F.when(F.coalesce("detail_match", "detail_css").isNull(), "crawl recipe names no details").alias("error"))
 
     def note(failed: DataFrame, left: DataFrame, expected: DataFrame) -> DataFrame:
@@ -193,31 +196,35 @@ def discover(seeds: DataFrame, links: DataFrame, recipes: DataFrame, cap: int =
 
     for i in range(recipes.agg(F.max(F.size("hops"))).first()[0] or 0):
         going = recipes.where(F.size("hops") > i).select("bank_id", F.col("hops")[i].alias("hop"))
-        moved = frontier.join(going, "bank_id").join(anchors, "page_key").where(matching(F.col("hop"))).select("bank_id", F.col("to").alias("page_key")).distinct()
-        frontier = frontier.join(going, "bank_id", "left_anti").unionByName(moved).checkpoint()
+        moved = frontier.join(going, "bank_id").join(anchors, "page_key").where(matching(F.col("hop"))).select("bank_id", F.col("to").alias("page_key"), F.concat("path", F.array(F.col("pos").cast("long"))).alias("path"))
+        frontier = frontier.join(going, "bank_id", "left_anti").unionByName(once(moved)).checkpoint()
         failed = note(failed, frontier, going.select("bank_id", F.concat(F.lit("no links matched hop "), "hop").alias("why")))
 
     def within(frontier: DataFrame, pages: DataFrame | None) -> DataFrame:
-        """As much of a walking bank's frontier as its pages so far leave room for."""
-        place = F.row_number().over(Window.partitionBy("bank_id").orderBy("page_key"))
-        seen = F.coalesce("_seen", F.lit(0))
-        counted = frontier.withColumn("_seen", F.lit(0)) if pages is None else frontier.join(pages.groupBy("bank_id").agg(F.count("*").alias("_seen")), "bank_id", "left")
-        return counted.where(seen < cap).withColumn("_n", place).where(F.col("_n") + seen <= cap).select("bank_id", "page_key")
-
-    walking = recipes.where("next_css is not null").select("bank_id", "next_css")
+        """As much of a walking bank's frontier, in order, as its pages so far leave room for."""
+        place = F.row_number().over(Window.partitionBy("bank_id").orderBy("path", "page_key"))
+        first = frontier.withColumn("_n", place).where(F.col("_n") <= cap)
+        if pages is not None:
+            first = first.join(pages.groupBy("bank_id").agg(F.count("*").alias("_seen")), "bank_id", "left").where(F.col("_n") + F.coalesce("_seen", F.lit(0)) <= cap)
+        return first.select("bank_id", "page_key", "path")
+
+    walking = recipes.where("next_css is not null").select("bank_id", F.col("next_css").alias("css"))
     pages = frontier
     if not walking.isEmpty():
         frontier = within(frontier.join(walking, "bank_id", "left_semi"), None).checkpoint()
         pages = pages.join(walking, "bank_id", "left_anti").unionByName(frontier).checkpoint()
         while True:
-            onward = frontier.join(walking, "bank_id").join(anchors, "page_key").where(selects(F.col("next_css"))).groupBy("bank_id", "page_key").agg(F.min_by("to", "pos").alias("next"))
-            new = onward.select("bank_id", F.col("next").alias("page_key")).distinct().join(pages, ["bank_id", "page_key"], "left_anti")
+            onward = frontier.join(walking, "bank_id").join(marked, ["page_key", "css"]).groupBy("bank_id", "page_key", "path").agg(F.min_by("to", "pos").alias("next"))
+            new = once(onward.select("bank_id", F.col("next").alias("page_key"), "path")).join(pages, ["bank_id", "page_key"], "left_anti")
             frontier = within(new, pages).checkpoint()
             if frontier.isEmpty():
                 break
             pages = pages.unionByName(frontier).checkpoint()
-    chosen = F.when(F.col("detail_css").isNotNull(), selects(F.col("detail_css"))).otherwise(matching(F.col("detail_match")))
-    details = pages.join(recipes, "bank_id").join(anchors, "page_key").where(chosen).select("bank_id", F.col("to").alias("url")).distinct().checkpoint()
+    chosen = pages.drop("path").join(recipes, "bank_id")
+    details = chosen.where("detail_css is null").join(anchors, "page_key").where(matching(F.col("detail_match"))).select("bank_id", F.col("to").alias("url"))
+    if selectors:
+        details = details.unionByName(chosen.join(marked, (chosen["page_key"] == marked["page_key"]) & (F.col("detail_css") == F.col("css"))).select("bank_id", F.col("to").alias("url")))
+    details = details.distinct().checkpoint()
     why = F.when(F.col("detail_css").isNotNull(), F.concat(F.lit("no detail links matched selector "), "detail_css")).otherwise(F.concat(F.lit("no detail links matched "), "detail_match"))
     failed = note(failed, details, recipes.select("bank_id", why.alias("why")))
     return details.withColumn("error", F.lit(None).cast("string")).unionByName(failed.where("error is not null").select("bank_id", F.lit(None).cast("string").alias("url"), "error"))

@@ -107,10 +107,45 @@ def page_meta(rows: DataFrame, page: int, size: int) -> DataFrame:
     )
 
 
-def page_slice(rows: DataFrame, key: str, page: int, size: int) -> DataFrame:
-    """The rows of a clamped page: a count, then a bounded top-k."""
-    at = page_meta(rows, page, size).first()["page"] if page > 1 else 1
-    return rows.orderBy(*order(key)).offset((at - 1) * size).limit(size)
+def page_slice(rows: DataFrame, key: str, page: int, size: int, top: int = 10_000) -> DataFrame:
+    """The rows of a clamped page.
+
+    A page among the first `top` rows is a bounded top-k. For a later one, rows are dealt by ranges of the
+    sort key in one pass; the sizes of the ranges tell the last page and which ranges hold the one asked for,
+    and only these are sorted.
+    """
+    if max(1, page) * size <= top:
+        first = rows.orderBy(*order(key)).offset((max(1, page) - 1) * size).limit(size).checkpoint()
+        if page <= 1 or not first.isEmpty():
+            return first
+    spread = rows.repartitionByRange(*order(key)).withColumn("_range", F.spark_partition_id()).checkpoint()
+    # a line for each range
+    sizes = sorted((r["_range"], r["count"]) for r in spread.groupBy("_range").count().collect())
+    total = sum(n for _, n in sizes)
+    at = min(max(page, 1), max(1, -(-total // size)))
+    skip, ahead, wanted, inside = (at - 1) * size, 0, [], None
+    for place, n in sizes:
+        if ahead < skip + size and ahead + n > skip:
+            wanted.append(place)
+            inside = skip - ahead if inside is None else inside
+        ahead += n
+    return spread.where(F.col("_range").isin(wanted)).drop("_range").orderBy(*order(key)).offset(inside or 0).limit(size)
+
+
+def page_after(rows: DataFrame, key: str, last: dict, size: int) -> DataFrame:
+    """The `size` rows after the row `last` (its columns last_seen_at, first_seen_at, valid_until and seq as far as the order uses them): a bounded top-k, however far on."""
+    seq = F.col("seq") > last["seq"]
+    if key == "newest":
+        a, b = (F.lit(last[c]) for c in ("last_seen_at", "first_seen_at"))
+        here = lambda c, v: F.col(c).eqNullSafe(v)
+        lower = lambda c, v: F.coalesce(F.col(c) < v, F.col(c).isNull() & v.isNotNull())
+        rest = lower("last_seen_at", a) | here("last_seen_at", a) & (lower("first_seen_at", b) | here("first_seen_at", b) & seq)
+    elif key == "expiring-soon":
+        own, v = expiry.instant(F.col("valid_until")), expiry.instant(F.lit(last["valid_until"]).cast("string"))
+        rest = F.coalesce(own > v, own.isNull() & v.isNotNull()) | own.eqNullSafe(v) & seq
+    else:
+        rest = seq
+    return rows.where(rest).orderBy(*order(key)).limit(size)
 
 
 def count_by(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:

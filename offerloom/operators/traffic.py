@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.operators import ordered
 from offerloom.schema import CATEGORIES, PAGE_SIZES, SORT_KEYS
 
 # Crawlers that are never limited.
@@ -38,10 +36,13 @@ def log_filters(log: DataFrame) -> DataFrame:
     )
 
 
-def return_visits(log: DataFrame, minutes: int = 30) -> DataFrame:
-    """(event_id, is_return): whether the client's previous request is at least `minutes` back."""
+def return_visits(log: DataFrame, minutes: int = 30, keep_days: int | None = None) -> DataFrame:
+    """(event_id, is_return): whether the client's previous request is at least `minutes` back, and less than keep_days if they are given."""
     before = F.lag("ts").over(Window.partitionBy("client_key").orderBy("ts", "event_id"))
-    return log.select("event_id", "client_key", "url", F.coalesce(F.col("ts") >= before + F.expr(f"interval {minutes} minutes"), F.lit(False)).alias("is_return"))
+    back = F.col("ts") >= before + F.expr(f"interval {minutes} minutes")
+    if keep_days is not None:
+        back &= F.col("ts") < before + F.expr(f"interval {keep_days} days")
+    return log.select("event_id", "client_key", "url", F.coalesce(back, F.lit(False)).alias("is_return"))
 
 
 def visit_path(url: Column, is_return: Column) -> Column:
@@ -78,24 +79,11 @@ def rate_limit(log: DataFrame, seconds: int = 60, most: int = 60) -> DataFrame:
 
     A window opens with a client's first request and closes `seconds` later; the next request
     opens the next one. A client that never has more than `most` requests in two neighbouring
-    spans of the clock is never blocked, which counts tell. Of the others windows chain, so their
-    requests are folded in time order: rows are shuffled by client and sorted, and the fold carries
-    its state over Arrow batches. Requests without a client key are not limited.
+    spans of the clock is never blocked, which counts tell. Of the others windows chain; a busy client's
+    requests lie in ranges of time that are numbered apart (see ordered.windows). Requests without a
+    client key are not limited.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, start, n = None, 0, 0
-        for batch in batches:
-            blocked, wait = [], []
-            for key, at in zip(batch["client_key"], batch["at"]):
-                if key != client or at - start >= seconds * 1_000_000:
-                    client, start, n = key, at, 1
-                else:
-                    n += 1
-                blocked.append(n > most)
-                wait.append(-((at - start - seconds * 1_000_000) // 1_000_000) if n > most else None)
-            yield pd.DataFrame({"event_id": batch["event_id"], "client_key": batch["client_key"], "blocked": blocked, "retry_after": pd.array(wait, "Int64")})
-
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = log.where(~is_crawler(F.col("user_agent"))).select("event_id", "client_key", micros.alias("at"))
     span = F.expr(f"at div {seconds * 1_000_000}")
@@ -105,5 +93,7 @@ def rate_limit(log: DataFrame, seconds: int = 60, most: int = 60) -> DataFrame:
     busy = counts.withColumn("both", both).where(F.col("both") > most).select("client_key").distinct().checkpoint()
     busy = F.broadcast(busy) if busy.count() <= MOST_BROADCAST else busy
     calm = rows.join(busy, "client_key", "left_anti").select("event_id", "client_key", F.lit(False).alias("blocked"), F.lit(None).cast("long").alias("retry_after"))
-    folded = rows.join(busy, "client_key", "left_semi").select("event_id", "client_key", "at").repartition("client_key").sortWithinPartitions("client_key", "at", "event_id")
-    return calm.unionByName(folded.mapInPandas(fold, "event_id long, client_key string, blocked boolean, retry_after long"))
+    folded = ordered.windows(ordered.ranged(rows.join(busy, "client_key", "left_semi").select("event_id", "client_key", "at"), ["client_key"], ["at", "event_id"]), seconds * 1_000_000)
+    blocked = F.col("nth") > most
+    wait = -F.floor((F.col("at") - F.col("opened") - seconds * 1_000_000) / 1_000_000)
+    return calm.unionByName(folded.select("event_id", "client_key", blocked.alias("blocked"), F.when(blocked, wait).cast("long").alias("retry_after")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from offerloom.functions.text import CATEGORY_RULES
-from offerloom.plans.queries import NOW, REVIEWED, SITE
+from offerloom.plans.queries import LATER, NOW, PAGE_SELECTORS, REVIEWED, SITE
 from offerloom.plans.views import AS_OF, VIEWS
 from offerloom.schema import CATEGORIES, CATEGORY_LABELS
 
@@ -119,6 +119,16 @@ BODIES = {
                case when o.id is null then '{NOW}' else o.last_reviewed_at end as first_seen_at, case when n.id is null then o.last_reviewed_at else '{NOW}' end as last_seen_at, '{NOW}' as last_checked_at,
                case when n.id is null then o.valid_until else n.valid_until end as valid_until, cast(o.id is null as int) as part, coalesce(o.seq, n.seq) as seq
         from old_batch o full outer join new_batch n on o.id = n.id""",
+    "refresh_runs": f"""
+        with o as (select f.*, c.bank_id, case when coalesce((select {_EXPIRES} < timestamp '{AS_OF}' from (select f.valid_until)), false) then 'expired' else 'active' end as was from old_batch f join card c on f.card_id = c.card_id),
+        n as (select f.*, c.bank_id from new_batch f join card c on f.card_id = c.card_id), again as (select distinct bank_id from n)
+        select coalesce(n.id, o.id) as id, coalesce(n.title, o.title) as title,
+               case when n.id is not null then case when coalesce((select {_EXPIRES} < timestamp '{LATER[:10]} {LATER[11:19]}' from (select n.valid_until)), false) then 'expired' else 'active' end
+                    when o.bank_id in (select bank_id from again) and o.was <> 'expired' then 'inactive' else o.was end as status,
+               case when o.id is null then '{LATER}' else '{NOW}' end as first_seen_at, case when n.id is null then '{NOW}' else '{LATER}' end as last_seen_at,
+               case when coalesce(n.bank_id, o.bank_id) in (select bank_id from again) then '{LATER}' else '{NOW}' end as last_checked_at,
+               coalesce(n.valid_until, o.valid_until) as valid_until, coalesce(o.seq, n.seq) as seq
+        from o full outer join n on o.id = n.id""",
     "reconcile_orphans": f"""
         with r as (select id, case when seq % 100 = 0 then 'unknown' else card_id end as card_id, seq from offers)
         select * from r where card_id not in (select card_id from card where bank_id not in {_BANKS_EVEN})""",
@@ -155,6 +165,10 @@ BODIES = {
     "dedupe_last": "select id, max_by(title, seq) as title, min(seq) as seq from offers group by id",
     "dedupe_semantic": "select r.id, r.card_id, r.description, s.place as seq from semantic s join semantic_rows r on r.seq = s.won where s.a <> '' or s.d <> '' union all select id, card_id, description, seq from semantic_rows where a = '' and d = ''",
     "page_slice": "select id, seq from active order by last_seen_at desc, first_seen_at desc, seq limit 24 offset 48",
+    "page_slice_late": f"""
+        with p as (select least(40, greatest(1, cast(ceil(count(*) / 24.0) as int))) as page from active),
+        o as (select id, seq, row_number() over (order by {_EXPIRES} nulls last, seq) as k from active)
+        select id, seq from o, p where k > (page - 1) * 24 and k <= page * 24""",
     "page_meta": """
         with c as (select count(*) as n from active), p as (select n, greatest(1, cast(ceil(n / 24.0) as int)) as pages from c)
         select n as total_items, pages as total_pages, case when n = 0 then 1 else pages end as page, 24 as page_size, case when n = 0 then 0 else (pages - 1) * 24 + 1 end as start_index, n as end_index from p""",
@@ -268,6 +282,19 @@ BODIES = {
         select bank_id, url, null::varchar as error from d union all
         select bank_id, null, case n % 3 when 0 then 'no detail links matched ^/th' when 1 then 'no detail links matched selector a[href="/the"]'
           else case when bank_id in (select bank_id from t where href like '/th%') then 'no detail links matched ^/' else 'no links matched hop ^/th' end end from b where bank_id not in (select bank_id from d)""",
+    "crawl_queue": """
+        with s as (select page_id from pages where page_id % 50 < 25),
+        q as (select page_id % 25 as n, page_id, page_id as d, 0 as level from s union all select page_id % 25, page_id, page_id + 25, 1 from s),
+        v as (select n, d from q qualify row_number() over (partition by n order by level, page_id desc) <= 8)
+        select 'nation_' || n as bank_id, 'https://site.example/d/' || d || '/' as url, null::varchar as error from v where d in (select page_id from pages)
+        union all select 'nation_' || n, null, 'no detail links matched selector nav ~ .pager > span:first-child a' from (select distinct n from v) where n not in (select n from v where d in (select page_id from pages))""",
+    "page_select": f"""
+        with l as (select page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) as l from pages), h as (select page_id, l[i] as href, i, len(l) as n from l, unnest(range(1, len(l) + 1)) as t(i))
+        """
+    + " union all ".join(
+        f"select distinct page_id, '{css.replace(chr(39), chr(39) * 2)}' as css, href from h where {where}"
+        for css, where in zip(PAGE_SELECTORS, ("i % 2 = 1", "i = 2", "i < n and href like '/th%'", "i = n - 1 and i > 1 or n = 1", "href like '%.' or href like '%en%'"))
+    ),
     "presets_clean": f"select user_id, preset_id, bank_ids, list_filter(categories, lambda c: list_contains({list(CATEGORIES)}, c)) as categories from preset_fresh",
     "presets_recent": "select user_id, preset_id, rank from (select *, row_number() over (partition by user_id order by coalesce(last_used_at, created_at) desc, preset_id) as rank from preset_fresh) where rank <= 3",
     # one change after another: what is left at its time, the latest ten, then the change

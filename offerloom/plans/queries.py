@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerloom import shared_dir
 from offerloom.functions import expiry, text
-from offerloom.operators import maintain, normalize, pages, presets, publishers, query, traffic
+from offerloom.operators import maintain, normalize, pages, presets, publishers, query, selectors, traffic
 from offerloom.plans.views import AS_OF, Catalog
 from offerloom.sources import catalog, feeds
+from offerloom.sources.snapshot import Snapshot
+from offerloom.streaming import refresh
 
-NOW, REVIEWED, SITE = "1998-06-15T12:00:00.000Z", "2026-06-01T00:00:00.000Z", "https://catalog.example"
+NOW, LATER, REVIEWED, SITE = "1998-06-15T12:00:00.000Z", "1998-07-15T12:00:00.000Z", "2026-06-01T00:00:00.000Z", "https://catalog.example"
 
 
 def at() -> F.Column:
@@ -110,6 +114,22 @@ def merge_lifecycle(c):
     return maintain.merge_lifecycle(lived(old), lived(new), NOW).select("id", "title", "status", "first_seen_at", "last_seen_at", "last_checked_at", "valid_until", "part", "seq")
 
 
+def refresh_runs(c):
+    """Two runs of every bank through a store, in three micro-batches that cut both; the first run's ends come before its rows."""
+    k = F.col("seq")
+    run = lambda t, n, at: _with_bank(t, c).withColumns({"run": F.lit(n).cast("long"), "at": F.lit(at).cast("timestamp"), "total": F.lit(None).cast("long")})
+    old, new = (run(t, n, at) for t, n, at in zip(_batches(c), (1, 2), (NOW, LATER)))
+    end = lambda t: t.groupBy("bank_id", "run", "at").agg(F.count("*").alias("total"))
+    rows = old.withColumn("part", F.when(k % 3 < 2, 0).otherwise(1)).unionByName(new.withColumn("part", F.when(k % 2 == 0, 1).otherwise(2)))
+    rows = rows.unionByName(end(old).withColumn("part", F.lit(0)), allowMissingColumns=True).unionByName(end(new).withColumn("part", F.lit(2)), allowMissingColumns=True).checkpoint()
+    store = Snapshot(c.spark, f"{shared_dir(c.spark)}/store-{uuid.uuid4().hex}")
+    offers = lambda t: t.drop("run", "at", "total")
+    for i in range(3):
+        refresh.apply_runs(store, rows.where(F.col("part") == i).drop("part"), i, offers)
+    schema = refresh.stored_schema(offers(rows.drop("part")))
+    return store.read("offers", schema).select("id", "title", "status", "first_seen_at", "last_seen_at", "last_checked_at", "valid_until", "seq")
+
+
 def reconcile_orphans(c):
     rows = c.offers.withColumn("card_id", F.when(F.col("seq") % 100 == 0, "unknown").otherwise(F.col("card_id")))
     return maintain.reconcile_orphans(rows, c.cards, _even(c)).select("id", "card_id", "seq")
@@ -230,6 +250,11 @@ def page_slice(c):
     return query.page_slice(_active(c), "newest", 3, 24).select("id", "seq")
 
 
+def page_slice_late(c):
+    """The last page but some, from the ranges of the order that hold it."""
+    return query.page_slice(_active(c), "expiring-soon", 40, 24, top=500).select("id", "seq")
+
+
 def page_meta(c):
     return query.page_meta(_active(c), 10**6, 24)
 
@@ -409,7 +434,27 @@ def crawl_discover(c):
     links = pages.links_table(pages.parse_pages(p)).checkpoint()
     seeds = p.select(F.concat(F.lit("nation_"), (F.col("page_id") % 25).cast("string")).alias("bank_id"), "url")
     kinds = ({"detail_match": "^/th", "next_css": "a.next"}, {"detail_css": 'a[href="/the"]'}, {"hops": ["^/th"], "detail_match": "^/"})
-    return pages.discover(seeds, links, pages.recipe_rows(c.spark, [{"bank_id": f"nation_{n}", **kinds[n % 3]} for n in range(25)]))
+    return pages.discover(seeds, links, pages.recipe_rows(c.spark, [{"bank_id": f"nation_{n}", **kinds[n % 3]} for n in range(25)]), nodes=selectors.node_table(p))
+
+
+def crawl_queue(c):
+    """Pages with a pager: each bank sees eight, its seeds from the last to the first, then the pages after these."""
+    k = F.col("page_id")
+    page = lambda n: F.concat(F.lit("/p/"), n.cast("string"), F.lit("/"))
+    pager = F.concat(F.lit('<div class="pager"><span><a href="/d/'), k.cast("string"), F.lit('">d</a></span><a class="next" href="'), page(k + 25), F.lit('">n</a></div>'))
+    p = c.table("pages").withColumns({"url": F.concat(F.lit("https://site.example"), page(k)), "html": F.replace("html", F.lit("<article>"), F.concat(pager, F.lit("<article>")))})
+    seeds = p.where(k % 50 < 25).select(F.concat(F.lit("nation_"), (k % 25).cast("string")).alias("bank_id"), "url", (-k).alias("seq"))
+    recipe = {"detail_css": "nav ~ .pager > span:first-child a", "next_css": "div.pager > span + a.next"}
+    return pages.discover(seeds, pages.links_table(pages.parse_pages(p)).checkpoint(), pages.recipe_rows(c.spark, [{"bank_id": f"nation_{n}", **recipe} for n in range(25)]), cap=8, nodes=selectors.node_table(p))
+
+
+PAGE_SELECTORS = ("nav > ul li:nth-child(odd) > a", "li:first-child + li a", 'li:not(:last-child) a[href^="/th"]', "ul > li ~ li:nth-last-child(2) a, li:only-child a", "body:has(article) ul a:is([href$='.'], [href*='en'])")
+
+
+def page_select(c):
+    """Links of all stored pages by selectors with combinators, lists and pseudo-classes."""
+    hits = selectors.select_nodes(selectors.node_table(c.table("pages")), list(PAGE_SELECTORS))
+    return hits.select("page_id", F.explode("hits").alias("css"), "href").distinct()
 
 
 def _titles(batches):
@@ -476,10 +521,10 @@ def rate_limit(c):
 
 CATALOG_QUERIES = (
     count_by_bank, catalog_violations, scrape_violations, catalog_offers, active_offers, expiring_soon, filter_facets, search_text, offer_lookup, filter_locked, offer_json_export,
-    scan_violations, sync_scanned, merge_lifecycle, reconcile_orphans, hash_gate, extraction_budget, cards_in_scope, match_saved_filters, count_by_category, catalog_totals,
-    bank_offer_count, collapse_gate, refresh_summary, bank_status, expire_lapsed, refresh_sweep, bank_content_hash, dedupe_first, dedupe_last, dedupe_semantic, page_slice, page_meta,
+    scan_violations, sync_scanned, merge_lifecycle, refresh_runs, reconcile_orphans, hash_gate, extraction_budget, cards_in_scope, match_saved_filters, count_by_category, catalog_totals,
+    bank_offer_count, collapse_gate, refresh_summary, bank_status, expire_lapsed, refresh_sweep, bank_content_hash, dedupe_first, dedupe_last, dedupe_semantic, page_slice, page_slice_late, page_meta,
     import_bank, remove_bank, url_feed, classify_text, normalize_scrapes, stable_ids, url_keys, extract_expiry, feed_a, feed_b, feed_envelope, conform_extracted,
-    candidate_cap, refresh_pages, page_assets, content_images, append_missing, registry_sources, display_labels, page_strip_hash, page_extract, feed_registry, dimension_violations, catalog_orphans, page_links, page_candidates, crawl_discover, presets_clean, presets_recent, preset_upsert, preset_reconcile, preset_names, preset_match,
+    candidate_cap, refresh_pages, page_assets, content_images, append_missing, registry_sources, display_labels, page_strip_hash, page_extract, feed_registry, dimension_violations, catalog_orphans, page_links, page_candidates, crawl_discover, crawl_queue, page_select, presets_clean, presets_recent, preset_upsert, preset_reconcile, preset_names, preset_match,
     log_filters, return_visits, visit_paths, rate_limit,
 )
 
