@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,24 +28,42 @@ def before(placed: DataFrame, keys: list[str], value: Column, name: str) -> Data
     return placed.join(sums, [*keys, "_range"]).withColumn(name, F.col("_ahead") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_ahead")
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each run of equal keys together, from batches that are sorted by them."""
-    held: list[pd.DataFrame] = []
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The columns of each run of rows that are equal in the first `keys` columns, from batches that are sorted by them."""
+    held: list[list] | None = None
     for batch in batches:
-        if not len(batch):
-            continue
-        change = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
-        if held and (held[-1][keys].iloc[-1] == batch[keys].iloc[0]).all():
-            change[0] = False
-        cuts = [*np.flatnonzero(change).tolist(), len(batch)]
-        if cuts[0] > 0:
-            held.append(batch.iloc[: cuts[0]])
-        for a, b in zip(cuts, cuts[1:]):
-            if held:
-                yield pd.concat(held)
-            held = [batch.iloc[a:b]]
+        columns = [c.to_pylist() for c in batch.columns]
+        at = list(zip(*columns[:keys]))
+        cuts = [i for i in range(1, len(at)) if at[i] != at[i - 1]]
+        for a, b in zip([0, *cuts], [*cuts, len(at)]):
+            if held is not None and a == 0 and b and at[0] == tuple(c[0] for c in held[:keys]):
+                for old, new in zip(held, columns):
+                    old += new[:b]
+            elif b:
+                if held is not None:
+                    yield held
+                held = [c[a:b] for c in columns]
+    if held is not None:
+        yield held
+
+
+def _told(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows."""
+    held: list[tuple] = []
+    for r in rows:
+        held.append(r)
+        if len(held) >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*held), schema)], schema=schema)
+            held = []
     if held:
-        yield pd.concat(held)
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _mapped(rows: DataFrame, keys: int, step, schema: str) -> DataFrame:
+    """Rows (tuples) that step makes of the runs of sorted rows."""
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "long": pa.int64(), "int": pa.int32()}
+    fields = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))])
+    return rows.mapInArrow(lambda batches: _told(step(_runs(batches, keys)), fields), schema)
 
 
 # --- windows that open with the first request after the last one's end ---------------------
@@ -60,53 +78,47 @@ def windows(placed: DataFrame, span: int) -> DataFrame:
     is short. A fold over a client's ranges then finds where each is really entered.
     """
 
-    def tables(batches):
-        for run in _runs(batches, ["client_key", "_range"]):
-            t = run["at"].to_numpy(np.int64)
+    def tables(runs):
+        for client, place, t in runs:
+            t = np.array(t, np.int64)
             n = len(t)
-            after = np.searchsorted(t, t + span, "left")
-            last = np.arange(n)
+            after = np.searchsorted(t, t + span, "left").tolist()
+            last = list(range(n))
             for i in range(n - 1, -1, -1):
                 if after[i] < n:
                     last[i] = last[after[i]]
-            at = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
+            begins = [i for i in range(n) if not i or last[i] != last[i - 1]]
             # a line holds for the requests up to the one before the next line's
-            yield pd.DataFrame({"client_key": run["client_key"].iloc[0], "_range": run["_range"].iloc[0], "upto": t[np.r_[at[1:] - 1, n - 1]], "i": at, "last": last[at], "last_at": t[last[at]], "n": n, "end_at": t[-1]})
+            for i, to in zip(begins, [*begins[1:], n]):
+                yield client[0], place[0], int(t[to - 1]), i, last[i], int(t[last[i]]), n, int(t[-1])
 
-    def fold(batches):
+    def fold(runs):
         client, opened, rank, ahead = None, None, 0, 0
-        for run in _runs(batches, ["client_key", "_range"]):
-            if run["client_key"].iloc[0] != client:
-                client, opened, rank, ahead = run["client_key"].iloc[0], None, 0, 0
-            yield pd.DataFrame({"client_key": [client], "_range": [run["_range"].iloc[0]], "opened": pd.array([opened], "Int64"), "rank": [rank], "ahead": [ahead]})
-            limit = None if opened is None else opened + span
-            if limit is None or limit <= run["end_at"].iloc[0]:
-                k = 0 if limit is None else int(np.searchsorted(run["upto"].to_numpy(np.int64), limit, "left"))
-                opened, rank = int(run["last_at"].iloc[k]), ahead + int(run["last"].iloc[k])
-            ahead += int(run["n"].iloc[0])
-
-    def number(batches):
-        for run in _runs(batches, ["client_key", "_range"]):
-            t, ahead = run["at"].to_numpy(np.int64), int(run["ahead"].iloc[0])
-            opened = None if pd.isna(run["opened"].iloc[0]) else int(run["opened"].iloc[0])
-            rank, i = int(run["rank"].iloc[0]) - ahead, 0
-            starts, nth = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
-            while i < len(t):
-                if opened is None or t[i] - opened >= span:
-                    opened, rank = int(t[i]), i
-                to = int(np.searchsorted(t, opened + span, "left"))
-                starts[i:to], nth[i:to] = opened, np.arange(i, to) - rank + 1
-                i = to
-            yield pd.DataFrame({"event_id": run["event_id"], "client_key": run["client_key"], "at": t, "opened": starts, "nth": nth})
+        for name, place, upto, _, last, last_at, n, end_at in runs:
+            if name[0] != client:
+                client, opened, rank, ahead = name[0], None, 0, 0
+            yield client, place[0], opened, rank, ahead
+            if opened is None or opened + span <= end_at[0]:
+                k = 0 if opened is None else bisect_left(upto, opened + span)
+                opened, rank = last_at[k], ahead + last[k]
+            ahead += n[0]
+
+    def number(runs):
+        for client, _, at, event, opened, rank, ahead in runs:
+            start, first, i, n = opened[0], rank[0] - ahead[0], 0, len(at)
+            while i < n:
+                if start is None or at[i] - start >= span:
+                    start, first = at[i], i
+                yield event[i], client[0], at[i], start, i - first + 1
+                i += 1
 
     keys = ["client_key", "_range"]
     kind = placed.schema["event_id"].dataType.simpleString()
-    slim = placed.select("client_key", "_range", "at", "_m")
-    made = slim.mapInPandas(tables, "client_key string, _range long, upto long, i long, last long, last_at long, n long, end_at long")
+    made = _mapped(placed.select(*keys, "at"), 2, tables, "client_key string, _range long, upto long, i long, last long, last_at long, n long, end_at long")
     made = made.repartition("client_key").sortWithinPartitions("client_key", "_range", "i")
-    entered = made.mapInPandas(fold, "client_key string, _range long, opened long, rank long, ahead long")
-    rows = placed.select(*keys, "at", "event_id", "_m").join(entered, keys).repartition(*keys).sortWithinPartitions(*keys, "_m")
-    return rows.mapInPandas(number, f"event_id {kind}, client_key string, at long, opened long, nth long")
+    entered = _mapped(made, 2, fold, "client_key string, _range long, opened long, rank long, ahead long")
+    rows = placed.join(entered, keys).repartition(*keys).sortWithinPartitions(*keys, "_m").select(*keys, "at", "event_id", "opened", "rank", "ahead")
+    return _mapped(rows, 2, number, f"event_id {kind}, client_key string, at long, opened long, nth long")
 
 
 # --- the richer of rows that are met in order ----------------------------------------------
@@ -146,36 +158,31 @@ def winners(placed: DataFrame) -> DataFrame:
     them, go into the fold over a group's ranges.
     """
 
-    def tables(batches):
-        for run in _runs(batches, ["g", "_range"]):
-            s, n = run["s"].tolist(), run["n"].tolist()
+    def tables(runs):
+        for g, place, seq, name, s, n in runs:
             right, wins = _Records(), list(range(len(s)))
             for i in range(len(s) - 1, -1, -1):
-                nxt = right.beats(s[i], n[i])
-                wins[i] = i if nxt is None else wins[nxt]
-                right.push(i, s[i], n[i])
+                after = right.beats(s[i], n[i])
+                wins[i] = i if after is None else wins[after]
+                if i:
+                    right.push(i, s[i], n[i])
             longest: dict[int, int] = {}
-            at = []
-            for i in range(len(s)):
+            for i, w in enumerate(wins):
                 if n[i] > longest.get(s[i], -1):
                     longest[s[i]] = n[i]
-                    at.append(i)
-            to = [wins[i] for i in at]
-            yield pd.DataFrame({"g": run["g"].iloc[0], "_range": run["_range"].iloc[0], "i": at, "s": [s[i] for i in at], "n": [n[i] for i in at], "won": run["id"].iloc[to].to_numpy(), "won_s": [s[i] for i in to], "won_n": [n[i] for i in to], "first": run["seq"].iloc[0]})
+                    yield g[0], place[0], i, s[i], n[i], name[w], s[w], n[w], seq[0]
 
-    def fold(batches):
+    def fold(runs):
         group, first, won = None, None, None
-        for run in _runs(batches, ["g", "_range"]):
-            if run["g"].iloc[0] != group:
+        for g, _, _, s, n, name, won_s, won_n, seq in runs:
+            if g[0] != group:
                 if won is not None:
-                    yield pd.DataFrame({"id": [won[0]], "place": [first]})
-                group, first, won = run["g"].iloc[0], run["first"].iloc[0], None
-            rows = list(zip(run["s"].tolist(), run["n"].tolist(), run["won"].tolist(), run["won_s"].tolist(), run["won_n"].tolist()))
-            hit = next((r for r in rows if won is None or r[0] + (r[1] > won[2]) > won[1] + (won[2] > r[1])), None)
-            if hit is not None:
-                won = hit[2:]
+                    yield won[0], first
+                group, first, won = g[0], seq[0], None
+            hit = next((r for r in zip(s, n, name, won_s, won_n) if won is None or r[0] + (r[1] > won[2]) > won[1] + (won[2] > r[1])), None)
+            won = won if hit is None else hit[2:]
         if won is not None:
-            yield pd.DataFrame({"id": [won[0]], "place": [first]})
+            yield won[0], first
 
-    made = placed.select("g", "_range", "seq", "id", "s", "n").mapInPandas(tables, "g string, _range long, i long, s int, n int, won string, won_s int, won_n int, first long")
-    return made.repartition("g").sortWithinPartitions("g", "_range", "i").mapInPandas(fold, "id string, place long")
+    made = _mapped(placed.select("g", "_range", "seq", "id", "s", "n"), 2, tables, "g string, _range long, i long, s int, n int, won string, won_s int, won_n int, first long")
+    return _mapped(made.repartition("g").sortWithinPartitions("g", "_range", "i"), 2, fold, "id string, place long")

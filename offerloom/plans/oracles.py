@@ -167,7 +167,7 @@ BODIES = {
     "page_slice": "select id, seq from active order by last_seen_at desc, first_seen_at desc, seq limit 24 offset 48",
     "page_slice_late": f"""
         with p as (select least(40, greatest(1, cast(ceil(count(*) / 24.0) as int))) as page from active),
-        o as (select id, seq, row_number() over (order by {_EXPIRES} nulls last, seq) as k from active)
+        o as (select id, seq, row_number() over (order by {_EXPIRES.replace('T23:59:59.999Z', 'T00:00:00.000Z')} nulls last, seq) as k from active)
         select id, seq from o, p where k > (page - 1) * 24 and k <= page * 24""",
     "page_meta": """
         with c as (select count(*) as n from active), p as (select n, greatest(1, cast(ceil(n / 24.0) as int)) as pages from c)

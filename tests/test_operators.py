@@ -156,7 +156,7 @@ def test_pager_walk_and_assets(spark):
     run = lambda **recipe: {(r["bank_id"], r["url"], r["error"]) for r in pages.discover(seeds, links, pages.recipe_rows(spark, [{"bank_id": b, **recipe} for b in "bc"]), nodes=nodes).collect()}
     walked = {("b", f"https://s.example/d/{i}/", None) for i in (1, 2, 3)}
     assert run(detail_match=r"^/d/\d", next_css="a.next") == walked | {("c", None, r"no detail links matched ^/d/\d")}
-    assert run(detail_css='a[href^="/"]', next_css="a.next") == {(b, None, 'no detail links matched selector a[href^="/"]') for b in "bc"}
+    assert run(detail_css='nav > a[href^="/d"]', next_css="nav ~ a.next") == {("b", f"https://s.example/d/nav{i}/", None) for i in (1, 2, 3)} | {("c", None, 'no detail links matched selector nav > a[href^="/d"]')}
     assert run(detail_css='a[href="/d/2"]', next_css="a[class=next]") == {("b", "https://s.example/d/2/", None), ("c", None, 'no detail links matched selector a[href="/d/2"]')}
     assert {r[2] for r in run(hops=["^/nothing"], detail_match="^/d/")} == {"no links matched hop ^/nothing"}
     assert {r[2] for r in run(hops=[])} == {"crawl recipe names no details"}
