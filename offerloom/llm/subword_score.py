@@ -17,6 +17,8 @@ from offerloom.llm import common
 
 #: Bytes of text in a pack, bytes that are split into words at a time, characters of words whose lattices are summed at a time.
 PACK, SPLIT, AT_ONCE = 16 << 20, 4 << 20, 60_000
+#: Distinct words that a task holds at a time.
+GATHERED = 100_000
 #: Characters, with the marker, of a stretch of a word that weights are fitted on; longer words are scored one by one.
 STRETCH = 256
 #: Languages with piece weights of their own: those with the most distinct training words. The others share the weights of all.
@@ -194,6 +196,19 @@ def likelihoods(pieces: Pieces, words: list[str], classes: list[int], weights: d
     return out
 
 
+def _gathered(batches):
+    """Tables of some GATHERED rows, so that many words have one length."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _pieces(path: str) -> Pieces:
     if path not in _loaded:
         _loaded[path] = Pieces(path)
@@ -277,9 +292,9 @@ def fitted(lexicon: DataFrame, classes: dict[str, int], path: str, rounds: int)
 
         def uses(batches):
             mine, total = _pieces(path), {}
-            for batch in batches:
+            for some in _gathered(batches):
                 words, groups = [], []
-                for lang, word in zip(*(c.to_pylist() for c in batch.columns)):
+                for lang, word in zip(*(c.to_pylist() for c in some.columns)):
                     # a longer word counts as its stretches
                     for a in range(0, len(word), STRETCH - 1):
                         words.append(word[a : a + STRETCH - 1])
@@ -354,9 +369,10 @@ def lattice_scores(docs: DataFrame, path: str, modulus: int = 7, remainder: int
     stats = F.broadcast(stats) if stats.count() <= MOST_BROADCAST else stats
 
     def inner(batches):
-        for batch in batches:
-            groups = [classes.get(x, 0) for x in batch.column("lang").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(likelihoods(_pieces(path), batch.column("word").to_pylist(), groups, weights.value))], ["lang", "word", "c", "c_all", "inner"])
+        for some in _gathered(batches):
+            groups = [classes.get(x, 0) for x in some.column("lang").to_pylist()]
+            value = pa.array(likelihoods(_pieces(path), some.column("word").to_pylist(), groups, weights.value))
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in some.columns), value], ["lang", "word", "c", "c_all", "inner"])
 
     scored = words.select("lang", "word", "c", "c_all").mapInArrow(inner, "lang string, word string, c long, c_all long, inner double").join(stats, "lang")
     by_all = F.col("to_all") * F.greatest(F.col("c_all") - d, F.lit(0.0)) / max(total, 1)
