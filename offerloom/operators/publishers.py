@@ -47,7 +47,7 @@ SAMPATH_PREMIUM = "visa infinite|visa signature|mastercard world|platinum ultram
 SAMPATH_STANDARD = r"visa credit|visa debit|visa cards|mastercard(?!\s*world)|credit\s*&\s*debit|credit\/debit|all sampath visa|all sampath mastercard|sampath mastercard\s*&\s*visa|sampath mastercard,\s*visa"
 NTB_PRIVATE_URL = "https://www.nationstrust.com/promotions/enjoy-exclusive-savings-with-private-banking-mastercard-credit-cards"
 
-#: Source URL (and subject, for ntb) -> id kept from earlier catalogs; and the titles of two of them.
+#: Source URL (and subject, for ntb) -> id kept from earlier catalogs; and titles of some of them.
 LEGACY_ID = {
     "https://www.boc.lk/personal-banking/card-offers/supermarkets/keells/product": "boc-keells-june-2026",
     "https://www.boc.lk/personal-banking/card-offers/zero-plans/air-tickets/product": "boc-air-tickets-august-2026",

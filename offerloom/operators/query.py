@@ -187,12 +187,16 @@ def url_feed(served: DataFrame, banks: DataFrame, site: str) -> DataFrame:
     return fixed.unionByName(by_bank).unionByName(by_category).unionByName(offers)
 
 
+#: Searches and their letters are broadcast up to this many; beyond, the joins are shuffled.
+MOST_BROADCAST = 1_000_000
+
+
 def match_saved(served: DataFrame, filters: DataFrame, most_searches: int = 200) -> DataFrame:
     """(filter_id, offers): how many offers each saved filter (bank_ids, categories, card_id, search) hits.
 
     Distinct selections are evaluated once. Each offer's text is tested once for each distinct
-    search; these come to the offers as one broadcast list where there are at most `most_searches`,
-    else through a join. Offers are counted by bank, category, card and search before anything
+    search; these come to the offers as one list where there are at most `most_searches`, else
+    through a join by each search's rarest three letters. Offers are counted by bank, category, card and search before anything
     else, and selections meet these counts through equal keys, sets exploded.
     """
     any_ = "*"
@@ -207,13 +211,16 @@ def match_saved(served: DataFrame, filters: DataFrame, most_searches: int = 200)
         hits = F.filter(F.array(*map(F.lit, known)).cast("array<string>"), lambda s: F.col("text").contains(s))
         found = offers.select("bank_id", "category", "card_id", F.explode(F.concat(F.array(F.lit("")), hits)).alias("s"))
     else:
-        # a search hits where its first three letters stand, so only offers with these meet it
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1))), lambda i: F.col("text").substr(i, F.lit(3))))
-        short = searches.where(F.length("s") < 3)
-        at = offers.select("*", F.explode(grams).alias("g")).join(searches.where(F.length("s") >= 3).withColumn("g", F.substring("s", 1, 3)), "g").where(F.expr("contains(text, s)"))
-        few = [r["s"] for r in short.collect()]  # at most the pairs and single letters that occur
-        brief = offers.select("*", F.explode(F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda s: F.col("text").contains(s))).alias("s"))
-        found = offers.select("bank_id", "category", "card_id", F.lit("").alias("s")).unionByName(at.select("bank_id", "category", "card_id", "s")).unionByName(brief.select("bank_id", "category", "card_id", "s"))
+        # a search stands only where its rarest three letters do, so offers with these meet it; one of two letters or
+        # fewer stands where they do
+        pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.col(c).substr(i, F.lit(n))))
+        asked = searches.select("s", F.explode(F.when(F.length("s") < 3, F.array("s")).otherwise(pieces("s", 3))).alias("g"))
+        grams = offers.select("*", F.explode(F.array_distinct(F.concat(*[pieces("text", n) for n in (1, 2, 3)]))).alias("g"))
+        small = lambda t: F.broadcast(t) if t.count() <= MOST_BROADCAST else t
+        common = grams.drop("text").join(small(asked.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
+        rarest = asked.join(common, "g", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).where("r.n > 0").select("s", F.col("r.g").alias("g")).checkpoint()
+        at = grams.join(small(rarest), "g").where(F.expr("contains(text, s)"))
+        found = offers.select("bank_id", "category", "card_id", F.lit("").alias("s")).unionByName(at.select("bank_id", "category", "card_id", "s"))
     # the eight ways to leave a dimension open
     open_ = lambda name: F.explode(F.array(F.col(name), F.lit(any_)))
     cube = found.groupBy("bank_id", "category", "card_id", "s").agg(F.count("*").alias("n"))

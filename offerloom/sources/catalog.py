@@ -53,22 +53,19 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, bytes, pages, reason): binary files with the limit that each breaks, if any."""
-    rows = spark.read.format("binaryFile").load(path)
+    """(path, kind, bytes, pages, reason): binary files with the limit that each breaks, if any; pages of documents that are not empty or too large."""
+    rows = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.when(ext == "pdf", "application/pdf").when(ext.isin("jpg", "jpeg"), "image/jpeg").when(ext.isin("png", "gif", "webp"), F.concat(F.lit("image/"), ext))
-    pages = F.when(kind == "application/pdf", F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type\s*/Page(?!s)")))
-    rows = rows.select("path", kind.alias("kind"), F.col("length").alias("bytes"), pages.alias("pages"))
+    # only documents that their size does not rule out are read
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).where(F.col("length").between(1, PDF_BYTES))
+    counted = read.select("path", F.regexp_count(F.decode("content", "ISO-8859-1"), F.lit(r"/Type\s*/Page(?!s)")).alias("pages"))
+    rows = rows.join(counted, "path", "left").select("path", kind.alias("kind"), "bytes", "pages")
     pdf = F.col("kind") == "application/pdf"
     reason = F.when(F.col("kind").isNull(), "unsupported media type").when(F.col("bytes") == 0, "empty").when(pdf & (F.col("bytes") > PDF_BYTES), "pdf too large").when(pdf & (F.col("pages") > PDF_PAGES), "pdf has too many pages").when(~pdf & (F.col("bytes") > IMAGE_BYTES), "image too large")
     return rows.withColumn("reason", reason)
 
 
-def registry(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    """Source registry as a small table: enabled flags, sources, asset hosts, cards."""
-    return spark.createDataFrame(entries, "bank_id string, enabled boolean, sources array<struct<url:string,type:string>>, asset_hosts array<string>, cards array<string>, scan_assets boolean")
-
-
 def registry_sources(entries: DataFrame) -> DataFrame:
     """(bank_id, url, type) of every source of the enabled banks."""
     return entries.where("enabled").select("bank_id", F.explode("sources").alias("s")).select("bank_id", "s.url", "s.type")
