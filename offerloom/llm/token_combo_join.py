@@ -17,7 +17,7 @@ from offerloom.llm import common
 
 #: A token of more sets than this is of the frequent class.
 FREQUENT = 3
-#: Bytes of text in a pack, tokens in a shard, candidate pairs of one set that meet it in one task, members of a block in a tile.
+#: Bytes of text in a pack, tokens in a shard, candidate pairs of one set that meet it in one task, sets in a tile.
 PACK, PER_SHARD, PER_SALT, TILE = 4 << 20, 1 << 21, 2000, 4096
 
 
@@ -117,9 +117,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 3, den: int
     answer each pack with a frequency level a token. So every set knows which of its tokens are
     rare, and only sets that can link at all are indexed: rare tokens singly, frequent ones in
     combinations (see signatures). The members of an index block meet its pivot, the member with the
-    fewest tokens of its own. Where the others still belong to several components, these meet
-    within their block, in tiles of bounded size, and bitmaps leave only pairs that may link (see _within). Only
-    members of one block ever meet. Every candidate is verified on hashes and then on words.
+    fewest tokens of its own. Blocks whose other members still belong to several components then form
+    clusters; these members meet in tiles of bounded size, and bitmaps leave only pairs that may link.
+    Every candidate is verified on hashes and then on words. Tiles inside one component never meet, nor
+    do texts that only share tokens with their neighbours in a chain, whose blocks have two members.
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased. A null text or
     one without words has an empty set and no links; with fewer words than a shingle, all words
@@ -148,7 +149,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 3, den: int
     named = common.components(numbered(first)).withColumnRenamed("id", "low")
     places = common.written(sets.select("node", "n").join(lowest, "node").join(named, "low", "left").select("node", "n", "low", F.coalesce("component_id", "low").alias("comp")))
     labelled = met.select("key", "node", "pivot").join(places.select("node", "low", "comp"), "node")
-    second = common.written(verified(_within(labelled, places, sets, num, den), sets, shingle, num, den))
+    # the pivot has met all others of its block: only where these are of several components is anything left to meet
+    others = labelled.where("node <> pivot")
+    mixed = others.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("low").alias("one")).where("lo <> hi").select("key", "one")
+    coarse = common.components(others.join(mixed, "key").select(F.col("low").alias("a"), F.col("one").alias("b")).distinct())
+    second = common.written(verified(_across(coarse, places, sets, num, den), sets, shingle, num, den))
 
     for done in (opened, met, places):
         common.discard(done)
@@ -276,55 +281,68 @@ def _opened(packs: DataFrame, shingle: int, num: int, den: int, total: int) -> D
     return packs.select("batch", "held", "lengths", "z").join(levels, "batch").mapInArrow(index, "key long, node binary, n int, own int, z binary, bits binary")
 
 
-def _within(labelled: DataFrame, places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of one block, its pivot aside, but of different components, whose bitmaps do not rule a link out.
+def _across(coarse: DataFrame, places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes of one cluster but of different components whose bitmaps do not rule a link out."""
+    members = places.join(coarse.select(F.col("id").alias("low"), F.col("component_id").alias("cluster")), "low").join(sets.select("node", "bits"), "node").select("cluster", "comp", "node", "n", "bits")
+    # neighbouring ranges go together, so that tiles are full however many ranges there are
+    tasks = max(1, coarse.count() // (4 * TILE))
+    spread = members.repartitionByRange("cluster", "comp", "node").sortWithinPartitions("cluster", "comp", "node").coalesce(tasks)
 
-    labelled: (key, node, pivot, comp). Of blocks with the same members one is enough. A block of more
-    than TILE members is dealt over tiles, and each two of these meet; a row holds two tiles at most.
-    """
-    rest = labelled.where("node <> pivot")
-    exact = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)")).alias(f"sum{seed}")
-    blocks = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), exact(1), exact(2)).where("lo <> hi")
-    blocks = common.written(blocks.groupBy("m", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")))
-    members = rest.select("key", "node").join(blocks, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("key", "node", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    held = met.join(places.select("node", "comp", "n").join(sets.select("node", "bits"), "node"), "node")
-    groups = held.groupBy("key", "i", "j").agg(*[F.collect_list(c).alias(c) for c in ("tile", "comp", "node", "n", "bits")])
+    def tiles(batches):
+        held: list = []
+        task, made = TaskContext.get().partitionId() << 32, 0
+
+        def flush():
+            nonlocal made
+            comp, n = [h[1] for h in held], [h[3] for h in held]
+            row = [task + made, held[0][0], min(comp), max(comp), min(n), max(n), comp, [h[2] for h in held], n, [h[4] for h in held]]
+            made += 1
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
+
+        names, types = ["tile", "cluster", "lo", "hi", "least", "most", "comp", "node", "n", "bits"], [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary())]
+        weight = 0
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (len(held) >= TILE or weight > 8 << 20 or held[0][0] != r[0]):
+                    yield flush()
+                    weight = 0
+                held.append(r)
+                weight += len(r[4])
+        if held:
+            yield flush()
+
+    made = common.written(spread.mapInArrow(tiles, "tile long, cluster long, lo long, hi long, least int, most int, comp array<long>, node array<binary>, n array<int>, bits array<binary>"))
+    side = lambda s: made.select(F.col("cluster").alias("cluster"), *[F.col(c).alias(s + c) for c in ("tile", "lo", "hi", "least", "most")])
+    pairs = side("a").join(side("b"), "cluster").where("atile <= btile and not (alo = ahi and blo = bhi and alo = blo)").where((F.col("amost") * den >= F.col("bleast") * num) & (F.col("bmost") * den >= F.col("aleast") * num)).select("atile", "btile")
+    full = lambda s: made.select(*[F.col(c).alias(s + c) for c in ("tile", "comp", "node", "n", "bits")])
 
     def compare(batches):
         for batch in batches:
-            left, right = [], []
-            for g in range(batch.num_rows):
-                same = batch.column("i")[g].as_py() == batch.column("j")[g].as_py()
-                tile, comp, n = (np.array(batch.column(c)[g].values, np.int64) for c in ("tile", "comp", "n"))
-                node, raw = batch.column("node")[g].values.to_pylist(), batch.column("bits")[g].values.to_pylist()
-                width = np.array([len(r) // 8 for r in raw])
-                kinds = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
-                bits = {w: np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.uint64).reshape(-1, w) for w, at in kinds.items()}
-                for w, at in kinds.items():
-                    for v, bt in kinds.items():
-                        # sets of more than twice the size do not link; each two widths meet once
-                        if not w <= v <= 2 * w:
+            for i in range(batch.num_rows):
+                a, b = (_tile(batch, i, s) for s in "ab")
+                same = batch.column("atile")[i].as_py() == batch.column("btile")[i].as_py()
+                left, right = [], []
+                for width, (at, bits) in a[3].items():
+                    for other, (bt, more) in b[3].items():
+                        if not width / 2 <= other <= width * 2:
                             continue
-                        mine, others = bits[w], _folded(bits[v], w)
-                        for p, row in zip(at.tolist(), mine):
-                            may = comp[bt] != comp[p]
-                            may &= (bt > p) if w == v else True
-                            may &= True if same else tile[bt] != tile[p]
-                            # linked sets differ in at most (den - num) / (den + num) of their sizes together
-                            may &= np.abs(n[bt] - n[p]) * (den + num) <= (n[bt] + n[p]) * (den - num)
-                            k = np.flatnonzero(may)
-                            if len(k):
-                                apart = np.bitwise_count(others[k] ^ row).sum(1, dtype=np.int64)
-                                q = bt[k][apart * (den + num) <= (n[p] + n[bt[k]]) * (den - num)]
-                                left += [node[p]] * len(q)
-                                right += [node[t] for t in q.tolist()]
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
-
-    found = groups.select("i", "j", "tile", "comp", "node", "n", "bits").mapInArrow(compare, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                        w = min(width, other)
+                        x, y = _folded(bits, w), _folded(more, w)
+                        for p, row in zip(at.tolist(), x):
+                            q = bt[(a[0][p] != b[0][bt]) & ((bt > p) if same else True)]
+                            if len(q):
+                                y_q = y if len(q) == len(bt) else y[np.isin(bt, q, assume_unique=True)]
+                                apart = np.bitwise_count(y_q ^ row).sum(1, dtype=np.int64)
+                                # linked sets differ in at most (den - num) / (den + num) of their sizes together
+                                q = q[apart * (den + num) <= (a[2][p] + b[2][q]) * (den - num)]
+                                left += [a[1][p]] * len(q)
+                                right += [b[1][t] for t in q.tolist()]
+                if left:
+                    yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+    met = pairs.join(full("a"), "atile").join(full("b"), "btile")
+    return met.mapInArrow(compare, "a binary, b binary")
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -333,6 +351,15 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+def _tile(batch: pa.RecordBatch, i: int, s: str):
+    """(components, names, sizes, {words of a bitmap: (places, bitmaps)}) of a tile."""
+    comp, n = np.array(batch.column(s + "comp")[i].values, np.int64), np.array(batch.column(s + "n")[i].values, np.int64)
+    raw = batch.column(s + "bits")[i].values.to_pylist()
+    width = np.array([len(r) // 8 for r in raw])
+    kinds = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    return comp, batch.column(s + "node")[i].values.to_pylist(), n, {w: (at, np.frombuffer(b"".join(raw[k] for k in at.tolist()), np.uint64).reshape(-1, w)) for w, at in kinds.items()}
+
+
 def verified(pairs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link. A node of many pairs is dealt over salts."""
 
