@@ -21,6 +21,9 @@ ENDS = {
 BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 NODES = "page_id long, url string, pre int, end int, parent int, tag string, classes array<string>, attrs map<string,string>, place int, places int, kind_place int, kind_places int, empty boolean, href string, target string"
 
+#: Elements of a batch that is handed on.
+HANDED_ON = 10_000
+
 
 class _Tree(HTMLParser):
     """Elements of a page in document order; open list items, cells, rows, options and paragraphs end where HTML says so."""
@@ -93,17 +96,26 @@ def node_table(pages: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in NODES.split(", ")]
     types = [pa.int64(), pa.string(), *[pa.int32()] * 3, pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), *[pa.int32()] * 4, pa.bool_(), pa.string(), pa.string()]
 
+    def told(some: list[tuple]) -> pa.RecordBatch:
+        columns = [[t[0] for t in some], [t[1] for t in some], *([list(x[n].items()) if n == "attrs" else x[n] for _, _, x in some] for n in names[2:])]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            held: list[tuple] = []
+            # pages are taken from their batch one at a time, and elements handed on in small batches
+            for page_id, url, html in zip(*batch.columns):
+                page_id, url = page_id.as_py(), url.as_py()
                 tree = _Tree(url or "")
-                tree.feed(html or "")
+                tree.feed(html.as_py() or "")
                 tree.close()
-                rows = tree.finished()
-                for a in range(0, len(rows), 20_000):
-                    some = rows[a : a + 20_000]
-                    columns = [[page_id] * len(some), [url] * len(some), *([list(x[n].items()) if n == "attrs" else x[n] for x in some] for n in names[2:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], names)
+                for x in tree.finished():
+                    held.append((page_id, url, x))
+                    if len(held) >= HANDED_ON:
+                        yield told(held)
+                        held = []
+            if held:
+                yield told(held)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, NODES)
 
