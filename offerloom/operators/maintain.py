@@ -56,14 +56,17 @@ def scan_violations(scanned: DataFrame, cards: DataFrame, banks: DataFrame) -> D
 
 
 def dedupe_first(rows: DataFrame, key: str = "id") -> DataFrame:
-    """The first row of each id, by an aggregate that combines before the shuffle."""
-    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), "seq").alias("r")).select("r.*")
+    """The first row of each id. Rows that cannot be first go before the shuffle, and so do columns that nobody reads later."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.asc_nulls_last("seq")))
+    return rows.withColumn("_first", place).where("_first = 1").drop("_first")
 
 
 def dedupe_last(rows: DataFrame, key: str = "id") -> DataFrame:
     """The last values of each id at the place of its first row."""
     rest = [c for c in rows.columns if c != "seq"]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("r"), F.min("seq").alias("seq")).select("r.*", "seq")
+    # a column each, so that those that nobody reads are left out
+    last = [F.max_by(c, "seq").alias(c) for c in rest if c != key]
+    return rows.groupBy(key).agg(*last, F.min("seq").alias("seq")).select(*rest, "seq")
 
 
 def dedupe_semantic(rows: DataFrame) -> DataFrame:
@@ -72,18 +75,24 @@ def dedupe_semantic(rows: DataFrame) -> DataFrame:
     Rows meet in order: a later one wins if it has more of four optional fields, a longer
     description counting one more. That is no total order, so it is a fold over each group in
     order of `seq` (and id, where a seq repeats). It needs only score and length, and splits a large group over
-    tasks (see ordered.winners); the winner's row is joined back by id.
+    tasks (see ordered.winners): these few numbers are shuffled and sorted, and the winner's row is joined back by id.
     """
-    first = dedupe_first(rows)
     anchor = F.coalesce(F.nullif(dedupe_key(F.col("merchant")), F.lit("")), dedupe_key(F.col("title")))
-    keyed = first.withColumns({"_a": anchor, "_d": dedupe_key(F.col("description"))})
+    keyed = rows.withColumns({"_a": anchor, "_d": dedupe_key(F.col("description"))})
     score = sum((F.when(F.coalesce(F.col(c), F.lit("")) != "", 1).otherwise(0) for c in ("valid_until", "valid_from", "location", "terms_link")), F.lit(0))
     open_ = (F.col("_a") == "") & (F.col("_d") == "")
-    group = F.sha2(F.concat_ws("|", F.coalesce("card_id", F.lit("?")), "_a", "_d"), 256)
-    marked = keyed.where(~open_).select(group.alias("g"), F.col("seq").cast("long").alias("seq"), "id", score.alias("s"), F.length(F.coalesce("description", F.lit(""))).alias("n"))
-    won = ordered.winners(ordered.ranged(marked, ["g"], ["seq", "id"])).withColumnRenamed("id", "_id")
-    kept = first.join(won, F.col("id").eqNullSafe(F.col("_id"))).drop("seq", "_id").withColumnRenamed("place", "seq")
-    return kept.select(*[c for c in rows.columns if c != "seq"], "seq").unionByName(keyed.where(open_).drop("_a", "_d"))
+    # the first 128 bits of a digest
+    group = F.substring(F.unhex(F.sha2(F.concat_ws("|", F.coalesce("card_id", F.lit("?")), "_a", "_d"), 256)), 1, 16)
+    marked = keyed.select(F.when(~open_, group).alias("g"), F.col("seq").cast("long").alias("seq"), "id", score.alias("s"), F.length(F.coalesce("description", F.lit(""))).alias("n"))
+    won = ordered.winners(ordered.ranged(dedupe_first(marked).where("g is not null"), ["g"], ["seq", "id"], keep=False)).withColumnRenamed("id", "_id")
+    first = dedupe_first(keyed.withColumn("_open", open_)).drop("_a", "_d")
+    rest = [c for c in rows.columns if c != "seq"]
+    # a plain equality, so that the rows, which are dealt by id, are not dealt again
+    every = first.join(won.where("_id is not null"), F.col("id") == F.col("_id"), "left").where("_open or _id is not null").select(*rest, F.when(F.col("_open"), F.col("seq")).otherwise(F.col("place")).alias("seq"))
+    unnamed = won.where("_id is null")
+    if not unnamed.isEmpty():
+        every = every.unionByName(first.where("id is null and not _open").crossJoin(unnamed).select(*rest, F.col("place").alias("seq")))
+    return every
 
 
 def sync_scanned(stored: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -103,25 +112,27 @@ def merge_lifecycle(existing: DataFrame, incoming: DataFrame, now: str | None =
     a matched id goes inactive. Order: (part, seq). With now_col, both tables carry the batch's time
     in a column of that name, which may differ between rows without a common id; it is left out of the result.
     """
-    now = F.lit(now) if now_col is None else F.coalesce(F.col(f"new.{now_col}"), F.col(f"old.{now_col}"))
+    # plain columns: those of a struct would all go through the join
+    of = lambda side, c: F.col(f"_{side}_{c}")
+    now = F.lit(now) if now_col is None else F.coalesce(of("new", now_col), of("old", now_col))
     at = now.cast("timestamp")
-    fresh = dedupe_last(incoming).select(F.struct("*").alias("new"), F.col("id").alias("nid"))
-    old = existing.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).select(F.struct(*existing.columns).alias("old"), F.col("id").alias("oid"), "_k")
+    fresh = dedupe_last(incoming).select(*[F.col(c).alias(f"_new_{c}") for c in incoming.columns], F.col("id").alias("nid"))
+    old = existing.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).select(*[F.col(c).alias(f"_old_{c}") for c in existing.columns], F.col("id").alias("oid"), "_k")
     both = old.join(fresh, (F.col("oid") == F.col("nid")) & (F.col("_k") == 1), "full_outer")
     hit, new = F.col("oid").isNotNull() & F.col("nid").isNotNull(), F.col("oid").isNull()
-    status = F.when(F.col("nid").isNull(), F.when(F.col("old.status") == "expired", "expired").otherwise("inactive")).otherwise(F.when(expiry.is_expired(F.col("new.valid_until"), at), "expired").otherwise("active"))
-    value = lambda c: F.when(new, F.col(f"new.{c}")).when(~hit, F.col(f"old.{c}"))
-    own = {"valid_until": F.col("new.valid_until"), "first_seen_at": F.col("old.first_seen_at"), "seq": F.col("old.seq")}
+    status = F.when(F.col("nid").isNull(), F.when(of("old", "status") == "expired", "expired").otherwise("inactive")).otherwise(F.when(expiry.is_expired(of("new", "valid_until"), at), "expired").otherwise("active"))
+    value = lambda c: F.when(new, of("new", c)).when(~hit, of("old", c))
+    own = {"valid_until": of("new", "valid_until"), "first_seen_at": of("old", "first_seen_at"), "seq": of("old", "seq")}
     cols = []
     for c in [c for c in existing.columns if c != now_col]:
         if c == "status":
             cols.append(status.alias(c))
         elif c in ("last_seen_at", "last_checked_at"):
-            cols.append(F.when(F.col("nid").isNotNull() | F.lit(c == "last_checked_at"), now).otherwise(F.col(f"old.{c}")).alias(c))
+            cols.append(F.when(F.col("nid").isNotNull() | F.lit(c == "last_checked_at"), now).otherwise(of("old", c)).alias(c))
         elif c == "first_seen_at":
-            cols.append(F.when(new, now).otherwise(F.col("old.first_seen_at")).alias(c))
+            cols.append(F.when(new, now).otherwise(of("old", "first_seen_at")).alias(c))
         else:
-            cols.append(value(c).otherwise(own.get(c, F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")))).alias(c))
+            cols.append(value(c).otherwise(own.get(c, F.coalesce(of("new", c), of("old", c)))).alias(c))
     return both.select(*cols, F.when(new, 1).otherwise(0).alias("part"))
 
 

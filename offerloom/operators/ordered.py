@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.llm.common import written
 
-def ranged(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """rows with _range and _m: dealt by ranges of keys and order, a large key over many; _m ascends with the order in each range. Ends in a checkpoint."""
+
+def ranged(rows: DataFrame, keys: list[str], order: list[str], keep: bool = True) -> DataFrame:
+    """rows with _range and _m: dealt by ranges of keys and order, a large key over many; _m ascends with the order in each range. Ends in a checkpoint, unless they are read only once."""
     at = [*keys, *order]
     spread = rows.repartitionByRange(*at).sortWithinPartitions(*at).withColumn("_m", F.monotonically_increasing_id())
-    return spread.withColumn("_range", F.shiftright("_m", 33)).checkpoint()
+    spread = spread.withColumn("_range", F.shiftright("_m", 33))
+    return spread.checkpoint() if keep else spread
 
 
 def before(placed: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
@@ -61,7 +64,7 @@ def _told(rows: Iterator[tuple], schema: pa.Schema, most: int = 20_000) -> Itera
 
 def _mapped(rows: DataFrame, keys: int, step, schema: str) -> DataFrame:
     """Rows (tuples) that step makes of the runs of sorted rows."""
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "long": pa.int64(), "int": pa.int32()}
+    kinds = {"binary": pa.binary(), "string": pa.string(), "bigint": pa.int64(), "long": pa.int64(), "int": pa.int32()}
     fields = pa.schema([(n, kinds[t]) for n, t in (f.split() for f in schema.split(", "))])
     return rows.mapInArrow(lambda batches: _told(step(_runs(batches, keys)), fields), schema)
 
@@ -153,24 +156,41 @@ def winners(placed: DataFrame) -> DataFrame:
     """(id, place) of the winner of each group of ranged rows (g, seq, id, s, n), with the first row's seq.
 
     In order, a row takes over if its score s, and one more for being longer, exceeds the winner's. From a row on it
-    is settled who wins within its range. A range is entered with a winner from before, who
+    is settled who wins within its range. Only the first and the last group of a range can reach into others: of the
+    rest the winner is known at once. A range is entered with a winner from before, who
     loses to a row that is longer than all before it of its score: only these rows, with who wins after
-    them, go into the fold over a group's ranges.
+    them, go into the fold over a group's ranges. What a range finds is written once.
     """
 
+    def wins_of(s, n):
+        right, wins = _Records(), list(range(len(s)))
+        for i in range(len(s) - 1, -1, -1):
+            after = right.beats(s[i], n[i])
+            wins[i] = i if after is None else wins[after]
+            if i:
+                right.push(i, s[i], n[i])
+        return wins
+
+    def lines(g, place, seq, name, s, n):
+        longest: dict[int, int] = {}
+        for i, w in enumerate(wins_of(s, n)):
+            if n[i] > longest.get(s[i], -1):
+                longest[s[i]] = n[i]
+                yield g[0], place[0], i, s[i], n[i], name[w], s[w], n[w], seq[0]
+
     def tables(runs):
-        for g, place, seq, name, s, n in runs:
-            right, wins = _Records(), list(range(len(s)))
-            for i in range(len(s) - 1, -1, -1):
-                after = right.beats(s[i], n[i])
-                wins[i] = i if after is None else wins[after]
-                if i:
-                    right.push(i, s[i], n[i])
-            longest: dict[int, int] = {}
-            for i, w in enumerate(wins):
-                if n[i] > longest.get(s[i], -1):
-                    longest[s[i]] = n[i]
-                    yield g[0], place[0], i, s[i], n[i], name[w], s[w], n[w], seq[0]
+        last, inside = None, False
+        for run in runs:
+            if last is not None:
+                if inside:
+                    _, _, seq, name, s, n = last
+                    yield None, None, None, None, None, name[wins_of(s, n)[0] if len(s) > 1 else 0], None, None, seq[0]
+                else:
+                    yield from lines(*last)
+                    inside = True
+            last = run
+        if last is not None:
+            yield from lines(*last)
 
     def fold(runs):
         group, first, won = None, None, None
@@ -184,5 +204,7 @@ def winners(placed: DataFrame) -> DataFrame:
         if won is not None:
             yield won[0], first
 
-    made = _mapped(placed.select("g", "_range", "seq", "id", "s", "n"), 2, tables, "g string, _range long, i long, s int, n int, won string, won_s int, won_n int, first long")
-    return _mapped(made.repartition("g").sortWithinPartitions("g", "_range", "i"), 2, fold, "id string, place long")
+    made = _mapped(placed.select("g", "_range", "seq", "id", "s", "n"), 2, tables, "g binary, _range long, i long, s int, n int, won string, won_s int, won_n int, first long")
+    made = written(made)
+    across = made.where("g is not null").repartition("g").sortWithinPartitions("g", "_range", "i")
+    return made.where("g is null").select(F.col("won").alias("id"), F.col("first").alias("place")).unionByName(_mapped(across, 2, fold, "id string, place long"))
