@@ -222,19 +222,42 @@ def _alternatives(inner: str) -> list:
             last = i + 1
     return [parsed_selector(p)[0] for p in [*parts, inner[last:]]]
 
+#: Tests that ask for other nodes or have selectors of their own.
+INNER = ("has", "not", "is")
+
 
 class _Marked:
     """A node table that gets a boolean column for each step of the selectors.
 
-    Nodes of a page are a family in document order, so each combinator is a window or a join by
-    node: an ancestor reaches over a node if the farthest end of the chosen nodes before it does;
-    a sibling is before it among the children of its parent; a parent is met by its number.
+    Nodes of a page are a family in document order, so each combinator is a window over
+    them: an ancestor reaches over a node if the farthest end of the chosen nodes before it does;
+    a sibling is before it among the children of its parent; a parent is met by its number. What a node shows by itself is tested
+    first: nodes that meet no step of any selector go, the others are dealt by page once, and all that follows stays within pages.
     """
 
-    def __init__(self, nodes: DataFrame, page: str):
-        self.nodes, self.page, self.n = nodes, page, 0
+    def __init__(self, nodes: DataFrame, page: str, parsed: list[list]):
+        self.nodes, self.page, self.n, self.own = nodes, page, 0, {}
         self.order = Window.partitionBy(page).orderBy("pre")
         self.family = Window.partitionBy(page, "parent").orderBy("place")
+        self.gather(parsed)
+        if self.own:
+            some = reduce(lambda a, b: a | b, [F.col(name) for name in self.own.values()])
+            self.nodes = self.nodes.where(some).repartition(page)
+
+    def gather(self, alternatives: list[list]) -> None:
+        """A column for what each step asks of a node itself, also for the steps inside :not, :is and :has."""
+        for steps in alternatives:
+            for _, tests in steps:
+                plain = self.plain(tests)
+                if plain not in self.own:
+                    self.keep(reduce(lambda a, b: a & b, [self.test(t) for t in plain], F.lit(True)))
+                    self.own[plain] = f"_s{self.n}"
+                for t in tests:
+                    if t[0] in INNER:
+                        self.gather(t[1])
+
+    def plain(self, tests: list[tuple]) -> tuple:
+        return tuple(t for t in tests if t[0] not in INNER)
 
     def keep(self, value: Column) -> Column:
         """A column of its own for a flag, so that windows do not nest."""
@@ -245,13 +268,15 @@ class _Marked:
 
     def by_parent(self, flagged: Column, to_children: bool) -> Column:
         """Whether a node's parent is flagged, or one of its children is."""
+        own, other = ("parent", "pre") if to_children else ("pre", "parent")
+        # each node stands under its own key; a flagged one gives a mark under the other key, which goes again
+        at = lambda key, mark: F.struct(F.col(key).alias("key"), F.lit(mark).alias("mark"))
+        places = F.when(flagged & F.col(other).isNotNull(), F.array(at(own, False), at(other, True))).otherwise(F.array(at(own, False)))
+        told = self.nodes.withColumn("_at", F.explode(places)).withColumns({"_key": F.col("_at.key"), "_mark": F.col("_at.mark")}).drop("_at")
         self.n += 1
         name = f"_s{self.n}"
-        key = F.col("pre") if to_children else F.col("parent")
-        some = self.nodes.where(flagged & key.isNotNull()).select(F.col(self.page).alias("_page"), key.alias("_key"), F.lit(True).alias(name)).distinct()
-        at = "parent" if to_children else "pre"
-        self.nodes = self.nodes.join(some, (F.col(self.page) == F.col("_page")) & (F.col(at) == F.col("_key")), "left").drop("_page", "_key")
-        return self.keep(F.col(name).isNotNull())
+        self.nodes = told.withColumn(name, F.max("_mark").over(Window.partitionBy(self.page, "_key"))).where("not _mark").drop("_key", "_mark")
+        return F.col(name)
 
     def test(self, t: tuple) -> Column:
         kind = t[0]
@@ -291,7 +316,7 @@ class _Marked:
         return ~inside if kind == "not" else inside
 
     def compound(self, tests: list[tuple]) -> Column:
-        return reduce(lambda a, b: a & b, [self.test(t) for t in tests])
+        return reduce(lambda a, b: a & b, [self.test(t) for t in tests if t[0] in INNER], F.col(self.own[self.plain(tests)]))
 
     def steps(self, steps: list[tuple[str, list[tuple]]]) -> Column:
         """Whether a node meets the last step, and others the steps before it."""
@@ -304,7 +329,7 @@ class _Marked:
             elif comb == " ":
                 before = self.keep(F.max(F.when(found, F.col("end"))).over(self.order.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("pre"))
             elif comb == "+":
-                before = self.keep(F.lag(found).over(self.family))
+                before = self.keep(F.lag(F.when(found, F.col("place"))).over(self.family) == F.col("place") - 1)
             else:
                 before = self.keep(F.max(found).over(self.family.rowsBetween(Window.unboundedPreceding, -1)))
             found = self.keep(before & self.compound(tests))
@@ -320,7 +345,7 @@ class _Marked:
             return self.by_parent(found, False)
         after = self.family.rowsBetween(1, Window.unboundedFollowing)
         if comb == "+":
-            return F.lead(found).over(self.family)
+            return F.lead(F.when(found, F.col("place"))).over(self.family) == F.col("place") + 1
         if comb == "~":
             return F.max(found).over(after)
         # the first such node after it is among its descendants
@@ -333,10 +358,11 @@ def select_nodes(nodes: DataFrame, selectors: list[str], page: str = "page_id")
     Tags, classes, ids, attributes with all operators, descendants, children, siblings, lists, :nth-child and
     its kin, :not, :is, :where, :has with one step, :empty and :root. Any other form is an error.
     """
-    marked = _Marked(nodes, page)
+    parsed = [parsed_selector(css) for css in selectors]
+    marked = _Marked(nodes, page, [steps for alternatives in parsed for steps in alternatives])
     flags = []
-    for css in selectors:
-        each = [marked.keep(marked.steps(steps)) for steps in parsed_selector(css)]
+    for css, alternatives in zip(selectors, parsed):
+        each = [marked.keep(marked.steps(steps)) for steps in alternatives]
         flags.append(F.when(reduce(lambda a, b: a | b, each), F.lit(css)))
     if not flags:
         return nodes.withColumn("hits", F.array().cast("array<string>")).where(F.lit(False))
