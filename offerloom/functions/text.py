@@ -104,7 +104,10 @@ def _url(c: Column, i: int) -> Column:
 
 def url_without_fragment(c: Column) -> Column:
     """Key of staged offers: the URL less its fragment; other strings unchanged."""
-    return F.when(c.rlike(_URL), F.concat(F.lower(_url(c, 1)), F.lit("://"), F.lower(_url(c, 2)), F.coalesce(F.nullif(_url(c, 3), F.lit("")), F.lit("/")), _url(c, 4))).otherwise(c)
+    whole = F.substring_index(c, "#", 1)
+    site = F.regexp_extract(whole, "^[^/]+//[^/?]+", 0)
+    rest = F.substring(whole, F.length(site) + 1, F.length(whole))
+    return F.when(c.rlike(_URL), F.concat(F.lower(site), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))).otherwise(c)
 
 
 def page_key(c: Column) -> Column:

@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import expiry
 from offerloom.functions.text import dedupe_key, url_without_fragment
+from offerloom.llm.common import written
 from offerloom.operators import ordered
 from offerloom.schema import CATEGORIES
 
 BASELINE, FLOOR = 10, 3
+#: Cards are broadcast up to this many (some 100 bytes each); beyond, the joins are shuffled.
+MOST_BROADCAST = 500_000
+
+
+def small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
 def offer_violations(offers: DataFrame) -> DataFrame:
@@ -98,7 +105,8 @@ def dedupe_semantic(rows: DataFrame) -> DataFrame:
 def sync_scanned(stored: DataFrame, scanned: DataFrame) -> DataFrame:
     """Stored offers whose id and URL are not scanned, then the scanned ones."""
     ids = scanned.select("id").distinct()
-    urls = scanned.select(url_without_fragment(F.col("source_url")).alias("_u")).distinct()
+    # many offers share a URL, which is parsed once; a plain distinct would be merged with the outer one, and all rows parsed
+    urls = scanned.groupBy("source_url").count().select(F.when(F.col("count") > 0, url_without_fragment(F.col("source_url"))).alias("_u")).distinct()
     kept = stored.join(ids, "id", "left_anti").withColumn("_u", url_without_fragment(F.col("source_url"))).join(urls, "_u", "left_anti").drop("_u")
     return kept.withColumn("part", F.lit(0)).unionByName(scanned.select(*stored.columns, F.lit(1).alias("part")))
 
@@ -140,10 +148,11 @@ def import_bank(stored: DataFrame, staging: DataFrame, batch: DataFrame, registr
     """(stored, staging) after replacing the offers of every bank in the batch, for all banks at once.
 
     registry_cards (card_id, bank_id): stored offers of these banks' cards go, then staging is synced.
+    The batch is read for its banks once; stored offers are shuffled by card only where the cards are too many for a broadcast.
     """
-    banks = batch.select("bank_id").distinct()
+    banks = written(batch.select("bank_id").distinct())
     staged = staging.join(banks, "bank_id", "left_anti").withColumn("part", F.lit(0)).unionByName(batch.select(*staging.columns, F.lit(1).alias("part")))
-    cards = registry_cards.join(banks, "bank_id", "left_semi").select("card_id").distinct()
+    cards = small(registry_cards.join(banks, "bank_id", "left_semi").select("card_id").distinct())
     return sync_scanned(stored.join(cards, "card_id", "left_anti"), staged.drop("part")), staged
 
 
