@@ -74,7 +74,7 @@ def recipes(rows: DataFrame, attempt: int, size: int) -> DataFrame:
                 assert at[-1] == len(ids) and len(first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sha), pa.ListArray.from_arrays(pa.array(at), pa.array(ids, pa.binary()))], ["doc_id", "text_sha256", "recipe"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, text_sha256 string, recipe array<binary>")
+    return rows.mapInArrow(common.lean(run), f"doc_id {id_type}, text_sha256 string, recipe array<binary>")
 
 
 def chunks(rows: DataFrame, attempt: int, size: int) -> DataFrame:
@@ -89,7 +89,7 @@ def chunks(rows: DataFrame, attempt: int, size: int) -> DataFrame:
                     ids = [_digest(raw[i:j], attempt, size) for i, j in zip(begin.tolist(), ends.tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), text.cast(pa.string())], ["id", "chunk"])
 
-    return rows.mapInArrow(run, "id binary, chunk string")
+    return rows.mapInArrow(common.lean(run), "id binary, chunk string")
 
 
 def exact_dedup(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,7 +88,7 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
                     strings, count = distinct(characters(seg)[0])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(strings), pa.string()), pa.array(strings, pa.string()), pa.array(count.astype(np.int64))], ["lang", "gram", "c"])
 
-    return trusted.mapInArrow(run, "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return trusted.mapInArrow(common.lean(run), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 class KneserNey:
@@ -169,10 +169,10 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([lang], pa.string()), pa.array([[ids[i] for i in at]], pa.list_(batch_type)), pa.array([blob], pa.binary()), pa.array([[len(t) for t in group]], pa.list_(pa.int32())), pa.array([[keys[i] for i in at]], pa.list_(pa.int64()))], ["name", "lang", "ids", "z", "lengths", "keys"])
 
     batch_type = pa.int64() if id_type in ("bigint", "int") else pa.string()
-    some = common.written(docs.mapInArrow(asked, "name long, lang string, gram string"))
+    some = common.written(docs.mapInArrow(common.lean(asked), "name long, lang string, gram string"))
     chances = model.log_chance(some.select("lang", "gram").distinct())
     answers = some.join(chances, ["lang", "gram"]).groupBy("name", "lang").agg(F.collect_list("gram").alias("grams"), F.collect_list("logp").alias("logps"))
-    blobs = docs.mapInArrow(carried, f"name long, lang string, ids array<{'bigint' if batch_type == pa.int64() else 'string'}>, z binary, lengths array<int>, keys array<bigint>")
+    blobs = docs.mapInArrow(common.lean(carried), f"name long, lang string, ids array<{'bigint' if batch_type == pa.int64() else 'string'}>, z binary, lengths array<int>, keys array<bigint>")
     met = blobs.join(answers, ["name", "lang"], "left").join(model.signs.select("lang", F.lit(True).alias("known")), "lang", "left")
 
     def score(batches):
@@ -204,7 +204,7 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
                     raise ValueError("a batch found no answer: the documents must be a table that reads alike twice")
                 yield pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(texts), pa.string()), pa.array(n), pa.array(total), *([batch.column("keys")[i].values] if keyed else [])], ["doc_id", "lang", "n", "logp", *(["row_key"] if keyed else [])])
 
-    return met.mapInArrow(score, f"doc_id {'bigint' if batch_type == pa.int64() else 'string'}, lang string, n long, logp double{', row_key long' if keyed else ''}")
+    return met.mapInArrow(common.lean(score), f"doc_id {'bigint' if batch_type == pa.int64() else 'string'}, lang string, n long, logp double{', row_key long' if keyed else ''}")
 
 
 def adjusted(n: Column, logp: Column, centre: Column, prior: int = 60) -> Column:

@@ -10,9 +10,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from offerloom.llm import common
+
 #: Distinct chunks kept by one Python worker; the table starts anew beyond that.
 KEPT = 200_000
-_loaded: dict[str, "PieceTable"] = {}
+_loaded: dict[str, "PieceTable"] = common.worker_table("piece_codec")
 
 
 class PieceTable:
@@ -109,4 +111,4 @@ def encode_decode(docs: DataFrame, path: str, keep_ids: bool = False, keep_text:
                     cols.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(common.lean(run, "piece_codec"), schema)

@@ -129,7 +129,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, num: int = 3, den: int
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
-    packs = common.written(rows.mapInArrow(_pack(shingle), f"batch long, docs array<{id_type}>, sizes array<int>, names array<binary>, held array<binary>, lengths array<int>, z binary"))
+    packs = common.written(rows.mapInArrow(common.lean(_pack(shingle)), f"batch long, docs array<{id_type}>, sizes array<int>, names array<binary>, held array<binary>, lengths array<int>, z binary"))
     known = packs.select(F.explode(F.arrays_zip("docs", "sizes", "names")).alias("r")).select(F.col("r.docs").alias("doc"), F.col("r.sizes").cast("long").alias("n"), F.col("r.names").alias("node"))
     ids = known.where("doc is not null and node is not null").select(F.col("doc").cast("long").alias("doc"), "node")
     lowest = common.written(ids.groupBy("node").agg(F.min("doc").alias("low")))
@@ -275,10 +275,10 @@ def _opened(packs: DataFrame, shingle: int, num: int, den: int, total: int) -> D
                     yield pa.RecordBatch.from_arrays([none(k, pa.int64()), pa.array(nodes, pa.binary()), pa.array(ns, pa.int32()), none(k, pa.int32()), pa.array(zs, pa.binary()), pa.array(bits, pa.binary())], names_out)
 
     names_out = ["key", "node", "n", "own", "z", "bits"]
-    asked = packs.select("batch", "lengths", "z").mapInArrow(ask, "shard int, batch long, tokens binary, counts binary")
-    answered = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(answer, "batch long, shard int, levels binary")
+    asked = packs.select("batch", "lengths", "z").mapInArrow(common.lean(ask), "shard int, batch long, tokens binary, counts binary")
+    answered = asked.repartition("shard").sortWithinPartitions("shard").mapInArrow(common.lean(answer), "batch long, shard int, levels binary")
     levels = answered.groupBy("batch").agg(F.collect_list(F.struct("shard", "levels")).alias("levels"))
-    return packs.select("batch", "held", "lengths", "z").join(levels, "batch").mapInArrow(index, "key long, node binary, n int, own int, z binary, bits binary")
+    return packs.select("batch", "held", "lengths", "z").join(levels, "batch").mapInArrow(common.lean(index), "key long, node binary, n int, own int, z binary, bits binary")
 
 
 def _across(coarse: DataFrame, places: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -312,7 +312,7 @@ def _across(coarse: DataFrame, places: DataFrame, sets: DataFrame, num: int, den
         if held:
             yield flush()
 
-    made = common.written(spread.mapInArrow(tiles, "tile long, cluster long, lo long, hi long, least int, most int, comp array<long>, node array<binary>, n array<int>, bits array<binary>"))
+    made = common.written(spread.mapInArrow(common.lean(tiles), "tile long, cluster long, lo long, hi long, least int, most int, comp array<long>, node array<binary>, n array<int>, bits array<binary>"))
     side = lambda s: made.select(F.col("cluster").alias("cluster"), *[F.col(c).alias(s + c) for c in ("tile", "lo", "hi", "least", "most")])
     pairs = side("a").join(side("b"), "cluster").where("atile <= btile and not (alo = ahi and blo = bhi and alo = blo)").where((F.col("amost") * den >= F.col("bleast") * num) & (F.col("bmost") * den >= F.col("aleast") * num)).select("atile", "btile")
     full = lambda s: made.select(*[F.col(c).alias(s + c) for c in ("tile", "comp", "node", "n", "bits")])
@@ -342,7 +342,7 @@ def _across(coarse: DataFrame, places: DataFrame, sets: DataFrame, num: int, den
                     yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
     met = pairs.join(full("a"), "atile").join(full("b"), "btile")
-    return met.mapInArrow(compare, "a binary, b binary")
+    return met.mapInArrow(common.lean(compare), "a binary, b binary")
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -389,4 +389,4 @@ def verified(pairs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int
     za = sets.select(F.col("node").alias("a"), F.col("z").alias("za")).join(salts, "a").select("a", "za", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     zb = sets.select(F.col("node").alias("b"), F.col("z").alias("zb"))
     dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    return dealt.join(zb, "b").join(za, ["a", "salt"]).select("a", "b", "za", "zb").mapInArrow(check, "a binary, b binary")
+    return dealt.join(zb, "b").join(za, ["a", "salt"]).select("a", "b", "za", "zb").mapInArrow(common.lean(check), "a binary, b binary")
