@@ -41,32 +41,90 @@ def segments(texts: list[str]):
         yield held
 
 
-def characters(parts: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram matrix, row of each gram): every character of the segments with the ORDER - 1 before it."""
+def characters(parts: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of the segments, each segment after its ORDER - 1 before; place where each gram begins; row of each gram)."""
     size = np.array([len(p[2]) for p in parts], np.int64)
     points = np.frombuffer("".join(b + t for _, b, t in parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.arange(int(size.sum())) + (np.repeat(np.arange(len(parts)), size) + 1) * (ORDER - 1)
-    return np.stack([points[at - k] for k in range(ORDER - 1, -1, -1)], 1), np.repeat(np.array([p[0] for p in parts], np.int64), size)
+    begin = np.arange(int(size.sum())) + np.repeat(np.arange(len(parts)), size) * (ORDER - 1)
+    return points, begin, np.repeat(np.array([p[0] for p in parts], np.int64), size)
+
+
+def signs(points: np.ndarray) -> np.ndarray:
+    """The distinct characters, sorted."""
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    return np.flatnonzero(seen).astype(np.uint32)
+
+
+def places(points: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """Each character's place in the sorted alphabet, in the fewest bytes that hold it: 1, 2 or 4."""
+    kind = np.uint8 if len(alphabet) <= 1 << 8 else np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
+    place = np.zeros(0x110000, kind)
+    place[alphabet] = np.arange(len(alphabet), dtype=kind)
+    return place[points]
+
+
+#: A gram's key is the places of its ORDER characters side by side, by bytes of a place.
+KEY = {1: np.dtype("u4"), 2: np.dtype("u8"), 4: np.dtype("S16")}
 
 
 def packed(grams: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
-    """One key for each gram: 16 bits a character by place in the sorted alphabet; its bytes where the alphabet is larger than that."""
-    if len(alphabet) > 65536:
-        return np.ascontiguousarray(grams, np.uint32).view(f"S{4 * grams.shape[1]}").ravel()
-    key = np.zeros(len(grams), np.uint64)
-    for k in range(grams.shape[1]):
-        key = (key << np.uint64(16)) | np.searchsorted(alphabet, grams[:, k]).astype(np.uint64)
-    return key
+    """The key of each gram, a row of characters."""
+    code = np.ascontiguousarray(places(grams, alphabet))
+    return code.view(KEY[code.itemsize]).ravel()
+
+
+def packed_at(points: np.ndarray, begin: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """The key of each gram that begins at a place in a run of characters."""
+    code = places(points, alphabet)
+    return np.ndarray(max(len(code) - ORDER + 1, 0), KEY[code.itemsize], code, strides=(code.itemsize,))[begin]
 
 
-def distinct(grams: np.ndarray):
-    """(strings of the distinct grams, their counts)."""
+def tallied(key: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams as rows of characters, their counts)."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    kind = {v: f"u{k}" for k, v in KEY.items()}[key.dtype]
+    return alphabet[key[first].view(kind).reshape(-1, ORDER)], np.diff(first, append=len(key))
+
+
+def looked_up(sought: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where in the sorted distinct keys each sought one stands: by a table of hashes, the few that it does not settle by bisection."""
+    if key.dtype.kind == "S":
+        return np.minimum(np.searchsorted(key, sought), len(key) - 1)
+    bits = int(4 * len(key)).bit_length()
+    slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.zeros(1 << bits, np.int32)
+    table[slot(key)] = np.arange(len(key), dtype=np.int32)
+    at = table[slot(sought)]
+    left = np.flatnonzero(key[at] != sought)
+    at[left] = np.minimum(np.searchsorted(key, sought[left]), len(key) - 1)
+    return at
+
+
+def strings(grams: np.ndarray) -> pa.Array:
+    """Rows of characters as an Arrow column of texts."""
+    size = (1 + (grams >= 0x80).astype(np.int32) + (grams >= 0x800) + (grams >= 0x10000)).sum(1)
+    text = np.ascontiguousarray(grams).tobytes().decode("utf-32-le", "surrogatepass").encode()
+    return pa.Array.from_buffers(pa.string(), len(grams), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.py_buffer(text)])
+
+
+def distinct(grams: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(the distinct grams, their counts) of rows of characters."""
     if not len(grams):
-        return [], np.zeros(0, np.int64)
-    alphabet = np.unique(grams)
-    key, first, count = np.unique(packed(grams, alphabet), return_index=True, return_counts=True)
-    text = np.ascontiguousarray(grams[first]).tobytes().decode("utf-32-le", "surrogatepass")
-    return [text[i : i + ORDER] for i in range(0, len(text), ORDER)], count
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    alphabet = signs(grams)
+    found, count = tallied(packed(grams, alphabet), alphabet)
+    return strings(found), count
+
+
+def counted(parts: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct grams of the segments as rows of characters, their counts)."""
+    points, begin, _ = characters(parts)
+    if not len(begin):
+        return np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+    alphabet = signs(points)
+    return tallied(packed_at(points, begin, alphabet), alphabet)
 
 
 def _by_lang(langs: list, texts: list[str]):
@@ -85,8 +143,8 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
                 part = batch.slice(i, 1000)
                 found = ((lang, seg) for lang, _, texts in _by_lang(part.column(0).to_pylist(), part.column(1).to_pylist()) for seg in segments(texts))
                 for lang, seg in found:
-                    strings, count = distinct(characters(seg)[0])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(strings), pa.string()), pa.array(strings, pa.string()), pa.array(count.astype(np.int64))], ["lang", "gram", "c"])
+                    grams, count = counted(seg)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(grams)), strings(grams), pa.array(count.astype(np.int64))], ["lang", "gram", "c"])
 
     return trusted.mapInArrow(common.lean(run), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -156,10 +214,8 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
     def asked(batches):
         for name, _, langs, texts, _ in parts(batches):
             for lang, _, group in _by_lang(langs, texts):
-                found: set[str] = set()
-                for seg in segments(group):
-                    found.update(distinct(characters(seg)[0])[0])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.int64()), pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string())], ["name", "lang", "gram"])
+                found, _ = distinct(np.concatenate([np.zeros((0, ORDER), np.uint32), *(counted(seg)[0] for seg in segments(group))]))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.int64()), len(found)), pa.repeat(pa.scalar(lang, pa.string()), len(found)), found], ["name", "lang", "gram"])
 
     def carried(batches):
         z = zstandard.ZstdCompressor(level=3)
@@ -184,16 +240,16 @@ def scores(docs: DataFrame, model: KneserNey) -> DataFrame:
                 texts = [whole[a:b] for a, b in zip([0, *ends], ends)]
                 n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
                 if batch.column("grams")[i].is_valid:
-                    text = "".join(batch.column("grams")[i].values.to_pylist())
+                    text = common.utf8(batch.column("grams")[i].values)[0].tobytes().decode()
                     grams = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, ORDER)
-                    alphabet = np.unique(grams)
+                    alphabet = signs(grams)
                     key = packed(grams, alphabet)
                     order = np.argsort(key)
                     key, logp = key[order], np.array(batch.column("logps")[i].values)[order]
                     for seg in segments(texts):
-                        g, row = characters(seg)
-                        v = packed(g, alphabet)
-                        at = np.minimum(np.searchsorted(key, v), len(key) - 1)
+                        points, begin, row = characters(seg)
+                        v = packed_at(points, begin, alphabet)
+                        at = looked_up(v, key)
                         if not (key[at] == v).all():
                             raise ValueError("a batch met other grams than it asked for")
                         n += np.bincount(row, minlength=len(texts))
